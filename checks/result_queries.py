@@ -1 +1,125 @@
-"""To come."""
+"""Tables over results, histograms and distances between distributions."""
+
+from pyspark.sql import functions as F
+
+from checks import fixtures as fx
+from checks.fixtures import given
+from checks.registry import long, query, r6
+from tripcast.operators import compare, metrics, results
+from tripcast.plans import hour_model
+
+NAMES = ["R²", "MAE", "MSE", "RMSE", "MAPE", "SMAPE"]
+
+
+def r3(c, name=None):
+    return F.round(F.col(f"`{c}`"), 3).alias(name or c)
+
+
+@query("a17_wide_results", given("wide_runs", """
+SELECT data_type, nc, epochs, seed, round(r2, 3) AS r2, round(mae, 3) AS mae, round(mape, 3) AS mape FROM wide_runs"""))
+def _(spark, sf):
+    w = results.wide_results(fx.results(spark, sf), ["R²", "MAE", "MAPE"])
+    return w.select("data_type", "nc", "epochs", "seed", r3("R²", "r2"), r3("MAE", "mae"), r3("MAPE", "mape"))
+
+
+@query("a18_mean_over_seeds", given("wide_runs", """
+SELECT data_type, nc, epochs, round(avg(r2), 3) AS r2, round(avg(mae), 3) AS mae FROM wide_runs GROUP BY ALL"""))
+def _(spark, sf):
+    m = results.mean_over_seeds(fx.results(spark, sf))
+    return m.select("data_type", "nc", "epochs", r3("R²", "r2"), r3("MAE", "mae"))
+
+
+@query("a19_box_statistics", given("results", """+
+b AS (SELECT metric, nc, epochs, data_type, count(value) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
+  FROM results WHERE value IS NOT NULL GROUP BY ALL)
+SELECT b.metric, b.nc, b.epochs, b.data_type, b.n, round(q1, 3) AS q1, round(median, 3) AS median, round(q3, 3) AS q3,
+  round(min(CASE WHEN value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN value END), 3) AS low,
+  round(max(CASE WHEN value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN value END), 3) AS high
+FROM results r JOIN b ON r.metric = b.metric AND r.nc = b.nc AND r.epochs = b.epochs AND r.data_type = b.data_type WHERE value IS NOT NULL GROUP BY ALL"""))
+def _(spark, sf):
+    b = results.box_statistics(fx.results(spark, sf))
+    return b.select("metric", "nc", "epochs", "data_type", "n", *[r3(c) for c in ("q1", "median", "q3", "low", "high")])
+
+
+@query("a21_model_comparison", given("wide_runs", """
+SELECT data_type, round(avg(r2), 3) AS r2, round(avg(smape), 3) AS smape, round(avg(mae), 3) AS mae FROM wide_runs GROUP BY data_type"""))
+def _(spark, sf):
+    m = results.model_comparison(fx.results(spark, sf))
+    return m.select("data_type", r3("R²", "r2"), r3("SMAPE", "smape"), r3("MAE", "mae"))
+
+
+def _trials(spark, sf):
+    lines = fx.table(spark, sf, "lineitem").selectExpr(
+        "l_returnflag AS data_type", "l_suppkey AS trial", "l_extendedprice AS y", "l_quantity * 1500 AS p")
+    wide = metrics.accuracy(lines, "y", "p", ["data_type", "trial"])
+    return wide.select("data_type", "trial", r6("r2"), r6("smape"))
+
+
+@query("j11_pareto_front", """
+WITH t AS (SELECT data_type, trial, round(1 - sum((y-p)*(y-p)) / (var_pop(y) * count(y)), 6) AS r2, round(100 * avg(2*abs(p-y)/(abs(y)+abs(p)+1e-8)), 6) AS smape
+  FROM (SELECT l_returnflag AS data_type, l_suppkey AS trial, l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem) x GROUP BY ALL)
+SELECT * FROM t WHERE r2 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t o WHERE o.data_type = t.data_type AND o.r2 >= t.r2 AND o.smape <= t.smape AND (o.r2 > t.r2 OR o.smape < t.smape))""")
+def _(spark, sf):
+    return results.pareto_front(_trials(spark, sf), ["data_type"]).select("data_type", "trial", "r2", "smape")
+
+
+@query("t4_best_by_information", given("wide_runs", """
+SELECT data_type, nc, epochs, seed, round(mse, 2) AS bic, round(mae, 2) AS aic FROM wide_runs WHERE mse IS NOT NULL ORDER BY 5, 6 LIMIT 1"""))
+def _(spark, sf):
+    w = results.wide_results(fx.results(spark, sf), ["MSE", "MAE"])
+    runs = w.select("data_type", "nc", "epochs", "seed", F.round("MSE", 2).alias("bic"), F.round("MAE", 2).alias("aic"))
+    return results.best_by_information(runs)
+
+
+def _bins_sql(column, bins):
+    return f"""+
+x AS (SELECT CAST({column} AS DOUBLE) AS x, 1 AS r FROM reals WHERE {column} IS NOT NULL UNION ALL SELECT CAST({column} AS DOUBLE), 0 FROM synth),
+e AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / {bins} AS step FROM x),
+edges AS (SELECT i, CASE WHEN i = {bins} THEN hi ELSE lo + i * step END AS edge FROM e, (SELECT CAST(unnest(range({bins} + 1)) AS INT) AS i) g),
+b AS (SELECT a.i AS bin, a.edge AS low, z.edge AS high FROM edges a JOIN edges z ON z.i = a.i + 1),
+c AS (SELECT b.bin, b.high - b.low AS width, coalesce(sum(x.r), 0) AS n_real, coalesce(sum(1 - x.r), 0) AS n_synth FROM b
+  LEFT JOIN x ON x.x >= b.low AND (x.x < b.high OR b.bin = {bins} - 1) GROUP BY b.bin, b.high - b.low),
+d AS (SELECT bin, CAST(n_real AS BIGINT) AS n_real, CAST(n_synth AS BIGINT) AS n_synth, n_real / sum(n_real) OVER () / width AS d_real, n_synth / sum(n_synth) OVER () / width AS d_synth FROM c),
+f AS (SELECT *, CASE WHEN d_real = 0 THEN 1e-8 ELSE d_real END AS p, CASE WHEN d_synth = 0 THEN 1e-8 ELSE d_synth END AS q FROM d),
+k AS (SELECT *, sum(p) OVER (ORDER BY bin) AS cp, sum(q) OVER (ORDER BY bin) AS cq FROM f)
+"""
+
+
+def _density(spark, sf, column):
+    return compare.densities(fx.real(spark, sf), fx.synth(spark, sf), column)
+
+
+@query("a12_histograms", given("reals synth", _bins_sql("hour", 50) + "SELECT bin, n_real, n_synth, round(d_real, 6) AS d_real, round(d_synth, 6) AS d_synth FROM d"))
+def _(spark, sf):
+    return _density(spark, sf, "hour").select("bin", long("n_real"), long("n_synth"), r6("d_real"), r6("d_synth"))
+
+
+@query("a12_histograms_of_longitude", given("reals synth", _bins_sql("PU_longitude", 50) + "SELECT bin, n_real, n_synth, round(d_real, 6) AS d_real, round(d_synth, 6) AS d_synth FROM d"))
+def _(spark, sf):
+    return _density(spark, sf, "PU_longitude").select("bin", long("n_real"), long("n_synth"), r6("d_real"), r6("d_synth"))
+
+
+@query("w11_running_densities", given("reals synth", _bins_sql("DO_latitude", 50) + "SELECT bin, round(cp, 6) AS cdf_real, round(cq, 6) AS cdf_synth FROM k"))
+def _(spark, sf):
+    return compare.cumulative(_density(spark, sf, "DO_latitude")).select("bin", r6("cdf_real"), r6("cdf_synth"))
+
+
+@query("e5_divergence", given("reals synth", _bins_sql("PU_longitude", 50) + "SELECT round(sum(p * ln(p / q)), 6) AS kl FROM k"))
+def _(spark, sf):
+    return compare.divergence(_density(spark, sf, "PU_longitude")).select(r6("kl"))
+
+
+@query("e5_divergence_normalised", given("reals synth", _bins_sql("PU_longitude", 50) + """
+SELECT round(sum(p / sp * ln(p / sp / (q / sq))), 6) AS kl FROM k, (SELECT sum(p) AS sp, sum(q) AS sq FROM f) s"""))
+def _(spark, sf):
+    return compare.divergence(_density(spark, sf, "PU_longitude"), normalised=True).select(r6("kl"))
+
+
+@query("e6_running_distance", given("reals synth", _bins_sql("hour", 50) + "SELECT round(sum(abs(cp - cq)), 6) AS wd FROM k"))
+def _(spark, sf):
+    return compare.divergence(_density(spark, sf, "hour")).select(r6("wd"))
+
+
+@query("a22_component_sweep")
+def _(spark, sf):
+    return hour_model.sweep(fx.enriched(spark, sf), ks=(3, 5), share=1.0, multiplier=2, max_passes=8)

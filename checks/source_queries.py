@@ -11,13 +11,12 @@ from tripcast.sources import sinks, trips as trip_source, zones as zone_source
 
 
 @query("s1_scan_trips", given("enriched", """
-SELECT PULocationID AS pu, count(*) AS n, round(sum(PU_longitude), 6) AS lon FROM enriched WHERE PULocationID < 25 GROUP BY 1"""))
+SELECT PULocationID AS pu, count(*) AS n, round(sum(PU_longitude), 6) AS lon FROM enriched GROUP BY 1"""))
 def _(spark, sf):
     path = new_folder(spark, "enriched")
     sinks.write_parquet(fx.enriched(spark, sf).drop("trip_id"), path)
     back = trip_source.read_trips(spark, path, schema=trip_source.ENRICHED_SCHEMA)
-    known = back.filter(F.col("PULocationID") < 25)
-    return known.groupBy(F.col("PULocationID").alias("pu")).agg(long(F.count(F.lit(1)), "n"), r6(F.sum("PU_longitude"), "lon"))
+    return back.groupBy(F.col("PULocationID").alias("pu")).agg(long(F.count(F.lit(1)), "n"), r6(F.sum("PU_longitude"), "lon"))
 
 
 @query("s2_scan_months", given("trips", """
@@ -95,12 +94,12 @@ def _(spark, sf):
 
 
 @query("s8_runs_json", given("results", """
-SELECT data_type, nc, epochs, seed, metric, round(value, 6) AS value FROM results"""))
+SELECT data_type, nc, epochs, seed, metric, round(value, 2) AS value FROM results"""))
 def _(spark, sf):
     path = new_folder(spark, "runs")
     table = fx.results(spark, sf)
     sinks.write_json(table, path)
-    return sinks.read_json(spark, path, table.schema).select("data_type", "nc", "epochs", "seed", "metric", r6("value"))
+    return sinks.read_json(spark, path, table.schema).select("data_type", "nc", "epochs", "seed", "metric", F.round("value", 2).alias("value"))
 
 
 @query("s9_model_table", """

@@ -68,7 +68,8 @@ def densities(real: DataFrame, synth: DataFrame, column: str, bins: int = BINS)
         F.col(column).cast("double").alias("x"), F.lit(flag).alias("is_real"))
     rows = side(real, 1).unionByName(side(synth, 0)).filter(F.col("x").isNotNull())
     ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    first = ends.first()   # two numbers
+    lo, hi = F.lit(first["lo"]).cast("double"), F.lit(first["hi"]).cast("double")
     counts = rows.groupBy(_bin_of(F.col("x"), lo, hi, bins).cast("int").alias("bin")).agg(
         F.sum("is_real").alias("n_real"), F.sum(1 - F.col("is_real")).alias("n_synth"))
     full = real.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(
