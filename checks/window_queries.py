@@ -64,7 +64,7 @@ _PAIRS = """+
 x AS (SELECT date, slot AS start, trips AS x0, lead(trips, 1) OVER w AS x1, lead(trips, 2) OVER w AS x2, lead(trips, 3) OVER w AS x3,
       lead(trips, 4) OVER w AS y, lead(slot, 4) OVER w AS last FROM {series} WINDOW w AS (PARTITION BY date ORDER BY slot)),
 d AS (SELECT date, dense_rank() OVER (ORDER BY date) AS r FROM (SELECT DISTINCT date FROM {series}) z),
-f AS (SELECT c.*, d.r FROM x c JOIN d USING (date) WHERE last = start + 4),
+f AS (SELECT c.*, e.r FROM x c JOIN d e USING (date) WHERE last = start + 4),
 p AS (SELECT CAST(a.date AS VARCHAR) AS date_train, CAST(b.date AS VARCHAR) AS date_val, a.start AS window_start_hour,
   a.start || ',' || (a.start+1) || ',' || (a.start+2) || ',' || (a.start+3) AS hours_used,
   a.x0 AS h0_train, b.x0 AS h0_val, a.x1 AS h1_train, b.x1 AS h1_val, a.x2 AS h2_train, b.x2 AS h2_val, a.x3 AS h3_train, b.x3 AS h3_val,
