@@ -1,4 +1,4 @@
-"""When a join side may be broadcast."""
+"""When a join side may be broadcast, and spreading few rows over many tasks."""
 
 from __future__ import annotations
 
@@ -12,3 +12,13 @@ def small(df: DataFrame, rows: int | None) -> DataFrame:
     """Hint a broadcast when ``df`` is known to have at most ``rows`` rows and
     that is little; otherwise leave the choice to Catalyst's size check."""
     return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Shuffle rows that are about to be multiplied into a full set of tasks.
+
+    The explicit number keeps adaptive execution from merging the tasks again
+    for being small: it sees the rows before they are multiplied.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *columns)

@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripcast.functions import timecols as tc
+from tripcast.joins import spread
 from tripcast.sources.trips import DROPOFF_ZONE, PICKUP_TIME, PICKUP_ZONE
 
-QUARTER = "INTERVAL 15 MINUTES"
-
 
 def trips_per(df: DataFrame, keys: Sequence[str], trips: str = "trips") -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(trips).cast("long").alias("trips"))
@@ -65,15 +64,16 @@ def zone_demand(
 def slot_grid(demand: DataFrame, zones: DataFrame, only_observed_days: bool = False) -> DataFrame:
     """Every quarter hour from the first to the last, for every zone.
 
-    The zones are spread over tasks before they are multiplied by days and then
-    by slots, so no task holds more than one zone's days at a time.
+    Zones times days are spread over the tasks before each is multiplied into its
+    96 slots.
     """
-    days = demand.agg(
+    # filtering on the count keeps this read the same exchange as the join's, so trips are counted once
+    days = demand.filter(F.col("trips") > 0).agg(
         F.min("slot_ts").alias("first"), F.max("slot_ts").alias("last")
     )
     first, last = days.select("first").scalar(), days.select("last").scalar()
     by_day = (
-        zones.select("ord", "zone").repartition("zone")
+        zones.select("ord", "zone")
         .withColumn("date", F.explode(F.sequence(first.cast("date"), last.cast("date"))))
     )
     if only_observed_days:
@@ -81,7 +81,7 @@ def slot_grid(demand: DataFrame, zones: DataFrame, only_observed_days: bool = Fa
         by_day = by_day.join(seen, "date", "left_semi")
     slot = F.explode(F.sequence(F.lit(0), F.lit(tc.SLOTS_PER_DAY - 1)))
     return (
-        by_day.withColumn("slot", slot)
+        spread(by_day, "zone", "date").withColumn("slot", slot)
         .withColumn("slot_ts", tc.at_time(F.col("date"), 0, F.col("slot") * tc.SLOT_MINUTES))
         .filter(F.col("slot_ts").between(first, last))
         .select("slot_ts", "slot", "ord", "zone")

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from tripcast.functions import hashing, timecols as tc
 
 START_ROWS = 2_000        # points the start is made from
+TASK_POINTS = 50_000      # fewest points worth a task of their own
 STRIP_CELLS = 1 << 22     # numbers held at a time while adding up products
 EMPTY = 1e-10             # weight that keeps an empty component finite
 
@@ -232,13 +233,14 @@ def fit_mixtures(
         sample = kept.orderBy(luck, *features).limit(START_ROWS).toPandas()
         if sample.empty:
             raise ValueError("no points to fit")
-        total = kept.agg(F.sum("n").alias("n")).first()["n"]
+        size = kept.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("points")).first()
+        total, work = size["n"], kept.coalesce(max(1, -(-size["points"] // TASK_POINTS)))
         x, w = sample[features].to_numpy(float), np.ones(len(sample))
         models = [_start(x, w, c) for c in candidates]
         before = [-np.inf] * len(models)
         active = list(range(len(models)))
         for step in range(1, max_passes + 1):
-            found = _gather(kept, features, [models[i] for i in active])
+            found = _gather(work, features, [models[i] for i in active])
             going = []
             for i, (sums, likelihood) in zip(active, found):
                 c = candidates[i]
@@ -251,7 +253,7 @@ def fit_mixtures(
             active = going
             if not active:
                 break
-        ends = _gather(kept, features, models)
+        ends = _gather(work, features, models)
         return [(m, likelihood) for m, (_, likelihood) in zip(models, ends)]
     finally:
         kept.unpersist()

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripcast.functions import hashing, timecols as tc
+from tripcast.joins import spread
 from tripcast.sources.trips import DROPOFF_ZONE, PICKUP_TIME, PICKUP_ZONE
 
 CHUNK = 65_536   # draws made by one explode
@@ -115,9 +116,9 @@ def draw_with_replacement(
     chunks = F.sequence(F.lit(0), F.floor((F.col("draws") - 1) / CHUNK))
     last = F.least(F.col("draws"), (F.col("_chunk") + 1) * CHUNK)
     ticket = hashing.uniform(f"{seed}/draw", *[F.col(g) for g in groups], F.col("_j"))
+    chunked = plan.filter(F.col("draws") > 0).select(*groups, "n", "draws").withColumn("_chunk", F.explode(chunks))
     tickets = (
-        plan.filter(F.col("draws") > 0).select(*groups, "n", "draws")
-        .withColumn("_chunk", F.explode(chunks)).repartition(*groups, "_chunk")
+        spread(chunked, *groups, "_chunk")
         .withColumn("_j", F.explode(F.sequence(F.col("_chunk") * CHUNK + 1, last)))
         .select(*groups, "_j", (F.floor(ticket * F.col("n")) + 1).alias("_rank"))
     )

@@ -80,13 +80,13 @@ def run(
     total = int(folded.agg(F.sum("n")).first()[0])
     fitted = mixture.fit_mixtures(
         points, features, [mixture.Candidate(k, ridge, "full", seed) for k in ks], max_passes, tolerance, seed)
-    counted = demand.day_hours(real).select("date", "slot", "trips")
+    counted = checkpointed(demand.day_hours(real).select("date", "slot", "trips"))   # 24 rows a day
     parts = []
     for k, (model, _) in zip(ks, fitted):
         for turn in range(runs):
             now = seed + k + turn
             synth = synthetic_trips(spark, model, scaler, int(total * multiplier), hours, probabilities, now)
-            drawn = demand.day_hours(synth).select("date", "slot", "trips").persist()
+            drawn = checkpointed(demand.day_hours(synth).select("date", "slot", "trips"))
             series = {
                 "real": counted, "synthetic": drawn, "real+synthetic": demand.add_series(counted, drawn)}
             pairs = {kind: windows.day_pairs(s, st.WINDOW) for kind, s in series.items()}

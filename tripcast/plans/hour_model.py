@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripcast.durable import checkpointed
 from tripcast.functions.vectors import unscale, unscale_to_int
 from tripcast.operators import compare, filters, linear, metrics, mixture, sampling, splits
 from tripcast.operators.scaling import Scaler
@@ -35,7 +36,7 @@ def sweep(
     spark = trips.sparkSession
     rows = filters.complete(filters.on_weekdays(filters.with_trip_columns(trips), 1, 3), FEATURES)
     parted = splits.random_parts(sampling.sample_exact_share(rows, share, id_col, seed), id_col, seed)
-    parted = parted.select(*FEATURES, "part").persist()
+    parted = checkpointed(parted.select(*FEATURES, "part"))
     part = lambda name: parted.filter(F.col("part") == name)
     folded = mixture.fold_points(part("train"), FEATURES)
     scaler = Scaler.fit(folded, FEATURES, weight="n")

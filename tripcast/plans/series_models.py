@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripcast.durable import checkpointed
 from tripcast.functions import timecols as tc
 from tripcast.operators import demand, filters, linear, metrics, mixture, windows
 from tripcast.operators.scaling import Scaler
@@ -22,8 +23,8 @@ def train_series(
 ) -> DataFrame:
     """``rate, epochs, r2, smape, mae, mse, rmse``: trained on the first 70 % of
     the windows, tested on the rest."""
-    numbered = windows.with_position(series)
-    split = windows.chronological_split(windows.sliding_windows(numbered, width=width)).persist()
+    numbered = windows.with_position(checkpointed(series))   # 24 rows a day
+    split = checkpointed(windows.chronological_split(windows.sliding_windows(numbered, width=width)))
     xs = [f"x{k}" for k in range(width)]
     part = lambda name: split.filter(F.col("part") == name)
     train, val = (linear.Products.collect(part(p), xs, "y") for p in ("train", "val"))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripcast.durable import checkpointed
 from tripcast.operators import dating, demand, filters, linear, metrics, mixture, results, splits, zoning
 from tripcast.operators.scaling import Scaler
 from tripcast.plans import settings as st
@@ -17,13 +18,16 @@ from tripcast.sources.trips import PICKUP_TIME
 def zone_grids(
     train: DataFrame, synth: DataFrame, val: DataFrame, zones: DataFrame, only_observed_days: bool = False
 ) -> dict[str, DataFrame]:
-    """Dense demand of the three training kinds and of validation. The combined
-    kind is the sum of the counted series, not a second count of the trips."""
-    real, drawn = demand.zone_demand(train), demand.zone_demand(synth)
+    """Dense demand of the three training kinds and of validation.
+
+    Counts are written down once, being slots times zones however many trips
+    there are; the combined kind is the sum of the counted series.
+    """
+    real, drawn = checkpointed(demand.zone_demand(train)), checkpointed(demand.zone_demand(synth))
     series = {
         "real": real, "synthetic": drawn,
         "real+synthetic": demand.add_series(real, drawn, keys=["slot_ts", "zone"]),
-        "validation": demand.zone_demand(val),
+        "validation": checkpointed(demand.zone_demand(val)),
     }
     return {k: demand.demand_grid(s, zones, only_observed_days) for k, s in series.items()}
 
@@ -99,7 +103,7 @@ def run(
     grids = zone_grids(
         named.filter(F.col("part") == "train"), synth, named.filter(F.col("part") == "val"), zones)
     windows = {
-        kind: linear.channel_mean_windows(grid, st.LONG_WINDOW).persist() for kind, grid in grids.items()}
+        kind: checkpointed(linear.channel_mean_windows(grid, st.LONG_WINDOW)) for kind, grid in grids.items()}
     table = None
     for kind in st.TYPES:
         one = trial_metrics(
