@@ -90,7 +90,7 @@ def _(spark, sf):
 WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), r AS (SELECT date, dense_rank() OVER (ORDER BY date) AS k FROM d)
 SELECT CAST(a.date AS VARCHAR) AS date, CAST(b.date AS VARCHAR) AS next_date FROM r a JOIN r b ON b.k = a.k + 1""")
 def _(spark, sf):
-    days = windows.day_order(fx.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date")))
+    days = windows.day_order(fx.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), ONE.alias("trips")))
     nexts = days.select(F.col("date").alias("next_date"), (F.col("day_rank") - 1).alias("day_rank"))
     return days.join(nexts, "day_rank").select(text("date"), text("next_date"))
 

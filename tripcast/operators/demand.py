@@ -67,8 +67,8 @@ def slot_grid(demand: DataFrame, zones: DataFrame, only_observed_days: bool = Fa
     Zones times days are spread over the tasks before each is multiplied into its
     96 slots.
     """
-    # filtering on the count keeps this read the same exchange as the join's, so trips are counted once
-    days = demand.filter(F.col("trips") > 0).agg(
+    # asking for the count keeps this read the same exchange as the join's, so trips are counted once
+    days = demand.filter(F.col("trips").isNotNull()).agg(
         F.min("slot_ts").alias("first"), F.max("slot_ts").alias("last")
     )
     first, last = days.select("first").scalar(), days.select("last").scalar()

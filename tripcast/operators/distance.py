@@ -28,7 +28,7 @@ def _tile_sum(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> f
 
 def pair_sums(
     points: DataFrame, cluster: str, features: Sequence[str], block: int = BLOCK,
-    clusters: int | None = None,
+    clusters: int | None = None, weight: str | None = None,
 ) -> DataFrame:
     """``cluster, n, total``: members, and the sum of all their distances.
 
@@ -37,10 +37,12 @@ def pair_sums(
     A cluster's distinct points are hashed into blocks of bounded size and every
     pair of blocks becomes one group, so the work of a hot cluster is spread
     over as many tasks as it has block pairs. A task emits one sum. ``clusters``
-    is the number of clusters, if known.
+    is the number of clusters, if known; ``weight`` counts members when the
+    points come folded.
     """
     features = list(features)
-    folded = points.groupBy(cluster, *features).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    folded = points.groupBy(cluster, *features).agg(
+        F.sum(F.lit(1) if weight is None else F.col(weight)).cast("double").alias("w"))
     sizes = folded.groupBy(cluster).agg(
         F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.sum("w").alias("n"))
     placed = folded.join(small(sizes.select(cluster, "blocks"), clusters), cluster).withColumn(
@@ -69,11 +71,12 @@ def pair_sums(
 def mean_pair_distance(
     points: DataFrame, cluster: str, features: Sequence[str],
     alone: float | None = 0.0, clusters: Iterable[int] | None = None, block: int = BLOCK,
+    weight: str | None = None,
 ) -> DataFrame:
     """``cluster, mean_distance``. A cluster with one member gets ``alone``.
     With ``clusters`` every listed one is reported, empty ones as ``alone``."""
     clusters = None if clusters is None else list(clusters)
-    sums = pair_sums(points, cluster, features, block, None if clusters is None else len(clusters))
+    sums = pair_sums(points, cluster, features, block, None if clusters is None else len(clusters), weight)
     pairs = F.col("n") * (F.col("n") - 1) / 2
     lone = F.lit(alone).cast("double")
     mean = F.when(F.col("n") > 1, F.col("total") / pairs).otherwise(lone)

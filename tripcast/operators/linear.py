@@ -215,11 +215,9 @@ def channel_mean_windows(grid: DataFrame, length: int = 8) -> DataFrame:
     means = grid.groupBy("slot_ts").agg(
         ((F.sum("trips") + F.first("slot")) / (F.count(F.lit(1)) + 1)).alias("mean"))
     numbered = with_position(
-        means.withColumn("date", F.to_date("slot_ts")), within=("slot_ts",))
-    inputs = sliding_windows(numbered, "mean", length).select(
-        (F.col("pos") + length).alias("pos"), *[f"x{k}" for k in range(length)])
-    target = inputs.join(numbered.select("pos", "slot_ts"), "pos").drop("pos")
-    return target.join(grid.select("slot_ts", "zone", F.col("trips").cast("double").alias("y")), "slot_ts")
+        means.withColumn("date", F.to_date("slot_ts")), "mean", within=("slot_ts",))
+    inputs = sliding_windows(numbered, "mean", length, of_target=["slot_ts"]).drop("pos", "y")
+    return inputs.join(grid.select("slot_ts", "zone", F.col("trips").cast("double").alias("y")), "slot_ts")
 
 
 def zone_products(windows: DataFrame, length: int = 8) -> tuple[list[str], Products]:

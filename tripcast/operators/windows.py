@@ -19,15 +19,18 @@ from tripcast.functions import timecols as tc
 BLOCK = 65_536   # positions per window task
 
 
-def with_position(series: DataFrame, day: str = "date", within: Sequence[str] = ("slot",)) -> DataFrame:
+def with_position(
+    series: DataFrame, value: str = "trips", day: str = "date", within: Sequence[str] = ("slot",)
+) -> DataFrame:
     """Number the rows of a series 0, 1, 2... in time order.
 
     A row's number is its place within its day plus the rows of earlier days.
     Only the per-day counts, one row per calendar day, are ordered in one task
-    and broadcast.
+    and broadcast. Counting the value column, which has no nulls, lets both
+    reads of a counted series share one exchange, so trips are counted once.
     """
     before = F.sum("n").over(W.orderBy(day).rowsBetween(W.unboundedPreceding, -1))
-    starts = series.groupBy(day).agg(F.count(F.lit(1)).alias("n")).select(
+    starts = series.groupBy(day).agg(F.count(value).alias("n")).select(
         day, F.coalesce(before, F.lit(0)).alias("_start")
     )
     place = F.row_number().over(W.partitionBy(day).orderBy(*within)) - 1
@@ -36,21 +39,24 @@ def with_position(series: DataFrame, day: str = "date", within: Sequence[str] =
 
 
 def sliding_windows(
-    numbered: DataFrame, value: str = "trips", width: int = 4, block: int = BLOCK
+    numbered: DataFrame, value: str = "trips", width: int = 4, block: int = BLOCK,
+    of_target: Sequence[str] = (),
 ) -> DataFrame:
     """Windows by position: ``pos, x0 .. x{width-1}, y``; ``y`` is the next
-    value. A series of n rows has n - width windows."""
+    value. A series of n rows has n - width windows. ``of_target`` names columns
+    of the target's row to keep."""
     here = F.floor(F.col("pos") / block)
     lent = (F.col("pos") % block < width) & (here > 0)
-    spread = numbered.select("pos", F.col(value).cast("double").alias("v")).withColumn(
+    spread = numbered.select("pos", *of_target, F.col(value).cast("double").alias("v")).withColumn(
         "block", F.explode(F.when(lent, F.array(here - 1, here)).otherwise(F.array(here)))
     )
     along = W.partitionBy("block").orderBy("pos")
     steps = {f"x{k}": F.lead("v", k).over(along) for k in range(1, width)}
-    out = spread.withColumns({**steps, "y": F.lead("v", width).over(along)})
+    targets = {c: F.lead(c, width).over(along) for c in of_target}
+    out = spread.withColumns({**steps, **targets, "y": F.lead("v", width).over(along)})
     own = F.floor(F.col("pos") / block) == F.col("block")
     return out.filter(own & F.col("y").isNotNull()).select(
-        "pos", F.col("v").alias("x0"), *[f"x{k}" for k in range(1, width)], "y"
+        "pos", *of_target, F.col("v").alias("x0"), *[f"x{k}" for k in range(1, width)], "y"
     )
 
 
@@ -104,7 +110,7 @@ def day_windows(series: DataFrame, width: int = 4) -> DataFrame:
 
 def day_order(series: DataFrame) -> DataFrame:
     """Rank of every date present; one row per calendar day."""
-    days = series.select("date").distinct()
+    days = series.filter(F.col("trips").isNotNull()).select("date").distinct()
     return days.withColumn("day_rank", F.dense_rank().over(W.orderBy("date")))
 
 

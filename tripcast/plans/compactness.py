@@ -23,14 +23,27 @@ STUDY_ZONES = [
 ]
 
 
-def scaled_clusters(trips: DataFrame, k: int, ridge: float, seed: int, max_passes: int, tolerance: float) -> DataFrame:
-    """Standardised features and the cluster of every complete trip."""
+@dataclass(frozen=True)
+class Clustering:
+    """Distinct points ``raw_hour, raw_weekday``, standardised features, ``n``
+    and ``cluster``; and what is needed to place trips the same way."""
+
+    points: DataFrame
+    scaler: Scaler
+    model: mixture.Mixture
+
+    def place(self, trips: DataFrame) -> DataFrame:
+        return mixture.assign_clusters(self.scaler.transform(trips), FEATURES, self.model)
+
+
+def cluster_points(trips: DataFrame, k: int, ridge: float, seed: int, max_passes: int, tolerance: float) -> Clustering:
+    """Fit and assign on the folded points: far fewer than trips."""
     folded = mixture.fold_points(trips, FEATURES)
     scaler = Scaler.fit(folded, FEATURES, weight="n")
     model = mixture.fit_mixture(
         scaler.transform(folded), FEATURES, k, ridge, "full", max_passes, tolerance, seed)
-    kept = trips.withColumns({"raw_hour": F.col("hour"), "raw_weekday": F.col("weekday")})
-    return mixture.assign_clusters(scaler.transform(kept), FEATURES, model)
+    kept = folded.withColumns({"raw_hour": F.col("hour"), "raw_weekday": F.col("weekday")})
+    return Clustering(mixture.assign_clusters(scaler.transform(kept), FEATURES, model), scaler, model)
 
 
 def cluster_distances(
@@ -43,8 +56,8 @@ def cluster_distances(
     rows = filters.complete(filters.with_trip_columns(trips), FEATURES)
     rows = filters.from_zones(rows, STUDY_ZONES if zones is None else zones)
     rows = sampling.sample_exact_share(rows, share, id_col, seed)
-    clustered = scaled_clusters(rows, k, ridge, seed, max_passes, tolerance)
-    return distance.mean_pair_distance(clustered, "cluster", FEATURES, 0.0, range(k))
+    found = cluster_points(rows, k, ridge, seed, max_passes, tolerance)
+    return distance.mean_pair_distance(found.points, "cluster", FEATURES, 0.0, range(k), weight="n")
 
 
 @dataclass(frozen=True)
@@ -61,9 +74,10 @@ def wednesday_evening(
 ) -> Evening:
     """Clusters fitted on all trips, measured on Wednesdays at 18 h."""
     rows = filters.complete(filters.with_trip_columns(trips), FEATURES)
-    clustered = scaled_clusters(rows, k, 1e-6, seed, max_passes, tolerance)
-    evening = clustered.filter((F.col("raw_hour") == 18) & (F.col("raw_weekday") == 2))
-    distances = distance.mean_pair_distance(evening, "cluster", FEATURES, None)
+    found = cluster_points(rows, k, 1e-6, seed, max_passes, tolerance)
+    points = found.points.filter((F.col("raw_hour") == 18) & (F.col("raw_weekday") == 2))
+    distances = distance.mean_pair_distance(points, "cluster", FEATURES, None, weight="n")
+    evening = found.place(filters.at_hour_on(rows, 18, 2))
     joined = distance.with_distance(evening, distances, clusters=k)
     busiest = distance.busiest_clusters(evening)
     return Evening(
