@@ -68,12 +68,12 @@ def slot_grid(demand: DataFrame, zones: DataFrame, only_observed_days: bool = Fa
     96 slots.
     """
     # asking for the count keeps this read the same exchange as the join's, so trips are counted once
-    days = demand.filter(F.col("trips").isNotNull()).agg(
-        F.min("slot_ts").alias("first"), F.max("slot_ts").alias("last")
-    )
-    first, last = days.select("first").scalar(), days.select("last").scalar()
+    span = demand.filter(F.col("trips").isNotNull()).agg(
+        F.struct(F.min("slot_ts").alias("first"), F.max("slot_ts").alias("last")).alias("span")
+    ).scalar()
+    first, last = F.col("span.first"), F.col("span.last")
     by_day = (
-        zones.select("ord", "zone")
+        zones.select("ord", "zone", span.alias("span"))
         .withColumn("date", F.explode(F.sequence(first.cast("date"), last.cast("date"))))
     )
     if only_observed_days:

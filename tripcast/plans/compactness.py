@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripcast.durable import checkpointed
 from tripcast.operators import distance, filters, mixture, sampling
 from tripcast.operators.scaling import Scaler
 from tripcast.plans import settings as st
@@ -38,7 +39,7 @@ class Clustering:
 
 def cluster_points(trips: DataFrame, k: int, ridge: float, seed: int, max_passes: int, tolerance: float) -> Clustering:
     """Fit and assign on the folded points: far fewer than trips."""
-    folded = mixture.fold_points(trips, FEATURES)
+    folded = checkpointed(mixture.fold_points(trips, FEATURES))
     scaler = Scaler.fit(folded, FEATURES, weight="n")
     model = mixture.fit_mixture(
         scaler.transform(folded), FEATURES, k, ridge, "full", max_passes, tolerance, seed)

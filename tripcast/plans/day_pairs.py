@@ -74,7 +74,7 @@ def run(
     hours = demand.trips_per_hour(real)
     probabilities = dating.date_probabilities(real)
     features = filters.MIXTURE_FEATURES
-    folded = mixture.fold_points(real, features)
+    folded = checkpointed(mixture.fold_points(real, features))
     scaler = Scaler.fit(folded, features, weight="n")
     points = scaler.transform(folded)
     total = int(folded.agg(F.sum("n")).first()[0])

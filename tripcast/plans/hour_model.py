@@ -38,7 +38,7 @@ def sweep(
     parted = splits.random_parts(sampling.sample_exact_share(rows, share, id_col, seed), id_col, seed)
     parted = checkpointed(parted.select(*FEATURES, "part"))
     part = lambda name: parted.filter(F.col("part") == name)
-    folded = mixture.fold_points(part("train"), FEATURES)
+    folded = checkpointed(mixture.fold_points(part("train"), FEATURES))
     scaler = Scaler.fit(folded, FEATURES, weight="n")
     total = int(folded.agg(F.sum("n")).first()[0])
     scaled = {name: scaler.transform(part(name)) for name in ("train", "val", "test")}

@@ -41,7 +41,7 @@ def drawn_series(trips: DataFrame, k: int, multiplier: float, seed: int, max_pas
     """Hourly counts of trips drawn from a mixture of day, hour and coordinates.
     Days and hours are rounded, not wrapped: hours -1 and 24 may appear."""
     dated = trips.withColumn("day", tc.day_number(tc.date_of(F.col(PICKUP_TIME))))
-    folded = mixture.fold_points(dated, FEATURES)
+    folded = checkpointed(mixture.fold_points(dated, FEATURES))
     scaler = Scaler.fit(folded, FEATURES, weight="n")
     total = int(folded.agg(F.sum("n")).first()[0])
     model = mixture.fit_mixture(

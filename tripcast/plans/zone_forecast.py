@@ -89,7 +89,7 @@ def run(
     real = filters.with_trip_columns(filters.study_period(trips))
     features = filters.MIXTURE_FEATURES
     complete = splits.split_by_weeks(filters.complete(real, features))
-    folded = mixture.fold_points(complete.filter(F.col("part") == "train"), features)
+    folded = checkpointed(mixture.fold_points(complete.filter(F.col("part") == "train"), features))
     scaler = Scaler.fit(folded, features, weight="n")
     total = int(folded.agg(F.sum("n")).first()[0])
     model = mixture.fit_mixture(
