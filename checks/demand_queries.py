@@ -7,11 +7,10 @@ from checks.fixtures import given
 from checks.registry import long, query, r6, text
 from tripcast.operators import compare, demand, filters, sampling, zoning
 
-ONE = F.lit(1)
 
 
 def named_trips(spark, sf):
-    return zoning.name_zones(fx.trips(spark, sf).withColumn("trips", ONE), fx.zones(spark, sf))
+    return zoning.name_zones(fx.trips(spark, sf).withColumn("trips", F.lit(1)), fx.zones(spark, sf))
 
 
 @query("j1_attach_centroids", given("enriched", """
@@ -60,21 +59,21 @@ def _(spark, sf):
 
 @query("a2_trips_per_date_hour", given("day_hours", "SELECT CAST(date AS VARCHAR) AS date, slot AS hour, trips FROM day_hours"))
 def _(spark, sf):
-    t = fx.trips(spark, sf).withColumn("trips", ONE)
+    t = fx.trips(spark, sf).withColumn("trips", F.lit(1))
     return demand.day_hours(t).select(text("date"), F.col("slot").alias("hour"), "trips")
 
 
 @query("a3_day_slots", given("day_slots", """
 SELECT CAST(CAST(date AS TIMESTAMP) + to_minutes(slot * 15) AS VARCHAR) AS slot_ts, slot, trips FROM day_slots"""))
 def _(spark, sf):
-    t = fx.trips(spark, sf).withColumn("trips", ONE)
+    t = fx.trips(spark, sf).withColumn("trips", F.lit(1))
     return demand.day_slots(t).select(text("slot_ts"), "slot", "trips")
 
 
 @query("a3_day_hours", given("day_hours", """
 SELECT CAST(CAST(date AS TIMESTAMP) + to_hours(slot) AS VARCHAR) AS slot_ts, slot, trips FROM day_hours"""))
 def _(spark, sf):
-    t = fx.trips(spark, sf).withColumn("trips", ONE)
+    t = fx.trips(spark, sf).withColumn("trips", F.lit(1))
     return demand.day_hours(t).select(text("slot_ts"), "slot", "trips")
 
 
@@ -166,7 +165,7 @@ def _(spark, sf):
 @query("a7_day_slot_matrix", given("day_slots", "SELECT CAST(date AS VARCHAR) AS date, " + ", ".join(
     f"CAST(max(CASE WHEN slot = {i} THEN trips END) AS DOUBLE) AS s{i}" for i in range(96)) + " FROM day_slots GROUP BY date"))
 def _(spark, sf):
-    s = demand.day_slots(fx.trips(spark, sf).withColumn("trips", ONE))
+    s = demand.day_slots(fx.trips(spark, sf).withColumn("trips", F.lit(1)))
     wide = s.groupBy("date").pivot("slot", list(range(96))).agg(F.first("trips"))
     return wide.select(text("date"), *[F.col(str(i)).cast("double").alias(f"s{i}") for i in range(96)])
 
@@ -187,7 +186,7 @@ def _(spark, sf):
 SELECT (SELECT count(*) FROM synth) AS synth_total, (SELECT count(*) FROM trips) AS real_total,
        round((SELECT count(*) FROM synth) / (SELECT count(*) FROM trips) - 1.0, 6) AS gap"""))
 def _(spark, sf):
-    gap = compare.total_gap(fx.synth(spark, sf), fx.trips(spark, sf).withColumn("trips", ONE))
+    gap = compare.total_gap(fx.synth(spark, sf), fx.trips(spark, sf).withColumn("trips", F.lit(1)))
     return gap.select(long("synth_total"), long("real_total"), r6("gap"))
 
 
@@ -206,7 +205,7 @@ SELECT CAST(date AS VARCHAR) AS date, slot, CAST(sum(trips) AS BIGINT) AS trips
   SELECT date, slot, trips FROM day_hours UNION ALL
   SELECT DATE '2024-01-01' + CAST(o_orderkey % 40 AS INT), CAST(o_custkey % 24 AS INT), count(*) FROM orders GROUP BY ALL) x GROUP BY ALL"""))
 def _(spark, sf):
-    a = demand.day_hours(fx.trips(spark, sf).withColumn("trips", ONE)).select("date", "slot", "trips")
+    a = demand.day_hours(fx.trips(spark, sf).withColumn("trips", F.lit(1))).select("date", "slot", "trips")
     o = fx.table(spark, sf, "orders").selectExpr(
         "date_add(DATE '2024-01-01', CAST(o_orderkey % 40 AS INT)) AS date", "CAST(o_custkey % 24 AS INT) AS slot", "1 AS trips")
     return demand.add_series(a, demand.trips_per(o, ["date", "slot"])).select(text("date"), "slot", "trips")
@@ -218,8 +217,8 @@ SELECT (SELECT count(*) FROM (SELECT DISTINCT PULocationID, DOLocationID FROM re
 def _(spark, sf):
     r = fx.real(spark, sf)
     groups = demand.rows_per(r, ["PULocationID", "DOLocationID", "hour"])
-    pairs = groups.groupBy("PULocationID", "DOLocationID").agg(F.count(ONE).alias("hours"))
-    return pairs.agg(F.count(ONE).alias("od_pairs"), F.sum("hours").alias("groups"))
+    pairs = groups.groupBy("PULocationID", "DOLocationID").agg(F.count(F.lit(1)).alias("hours"))
+    return pairs.agg(F.count(F.lit(1)).alias("od_pairs"), F.sum("hours").alias("groups"))
 
 
 @query("j4_compare_groups", given("reals synth", """

@@ -10,7 +10,8 @@ from tripcast.functions.vectors import growth_weighting, unscale_to_int
 from tripcast.operators import demand, filters, sampling, scaling, windows, zoning
 from tripcast.sources.trips import PICKUP_TIME, require_columns
 
-TS = F.col(PICKUP_TIME)
+def ts():
+    return F.col(PICKUP_TIME)
 
 
 @query("p1_parse_timestamp", "SELECT o_orderkey AS id, CAST(CAST(CAST(o_orderdate AS VARCHAR) AS TIMESTAMP) + INTERVAL 1 HOUR AS VARCHAR) AS parsed FROM orders")
@@ -25,31 +26,31 @@ SELECT trip_id, CAST(hour(tpep_pickup_datetime) AS INT) AS hour, CAST(isodow(tpe
        CAST(CAST(tpep_pickup_datetime AS DATE) AS VARCHAR) AS date FROM trips"""))
 def _(spark, sf):
     return fx.trips(spark, sf).select(
-        "trip_id", tc.hour_of(TS).alias("hour"), tc.weekday_of(TS).alias("weekday"), text(tc.date_of(TS), "date"))
+        "trip_id", tc.hour_of(ts()).alias("hour"), tc.weekday_of(ts()).alias("weekday"), text(tc.date_of(ts()), "date"))
 
 
 @query("p3_cyclic_hour", given("reals", "SELECT trip_id, round(sin_hr, 6) + 0.0 AS sin_hr, round(cos_hr, 6) + 0.0 AS cos_hr FROM reals"))
 def _(spark, sf):
-    s, c = tc.cyclic_hour(tc.hour_of(TS))
+    s, c = tc.cyclic_hour(tc.hour_of(ts()))
     return fx.trips(spark, sf).select("trip_id", (F.round(s, 6) + 0.0).alias("sin_hr"), (F.round(c, 6) + 0.0).alias("cos_hr"))
 
 
 @query("p4_decode_hour", given("reals", "SELECT trip_id, hour AS decoded FROM reals"))
 def _(spark, sf):
-    s, c = tc.cyclic_hour(tc.hour_of(TS))
+    s, c = tc.cyclic_hour(tc.hour_of(ts()))
     return fx.trips(spark, sf).select("trip_id", tc.decode_hour(s, c).alias("decoded"))
 
 
 @query("p5_quarter_hour_slot", given("trips", """
 SELECT trip_id, CAST(hour(tpep_pickup_datetime) * 4 + minute(tpep_pickup_datetime) // 15 AS INT) AS slot FROM trips"""))
 def _(spark, sf):
-    return fx.trips(spark, sf).select("trip_id", tc.slot_of(TS).alias("slot"))
+    return fx.trips(spark, sf).select("trip_id", tc.slot_of(ts()).alias("slot"))
 
 
 @query("p6_floor_to_slot", given("trips", """
 SELECT trip_id, CAST(time_bucket(INTERVAL 15 MINUTE, tpep_pickup_datetime) AS VARCHAR) AS slot_ts FROM trips"""))
 def _(spark, sf):
-    return fx.trips(spark, sf).select("trip_id", text(tc.floor_to_slot(TS), "slot_ts"))
+    return fx.trips(spark, sf).select("trip_id", text(tc.floor_to_slot(ts()), "slot_ts"))
 
 
 @query("p7_rebuild_timestamp", given("trips", """
@@ -57,7 +58,7 @@ SELECT trip_id, CAST(CAST(CAST(tpep_pickup_datetime AS DATE) AS TIMESTAMP)
        + to_hours(CAST(hour(tpep_pickup_datetime) AS INT)) + to_minutes(CAST(minute(tpep_pickup_datetime) AS INT)) AS VARCHAR) AS at FROM trips"""))
 def _(spark, sf):
     return fx.trips(spark, sf).select(
-        "trip_id", text(tc.at_time(tc.date_of(TS), tc.hour_of(TS), F.minute(TS)), "at"))
+        "trip_id", text(tc.at_time(tc.date_of(ts()), tc.hour_of(ts()), F.minute(ts())), "at"))
 
 
 @query("p8_day_number", """
@@ -113,7 +114,7 @@ def _day_slots(spark, sf):
 @query("p13_window_label", given("trips", """
 SELECT trip_id, h || ',' || (h+1) || ',' || (h+2) || ',' || (h+3) AS label FROM (SELECT trip_id, hour(tpep_pickup_datetime) AS h FROM trips) x"""))
 def _(spark, sf):
-    return fx.trips(spark, sf).select("trip_id", tc.window_label(tc.hour_of(TS), 4).alias("label"))
+    return fx.trips(spark, sf).select("trip_id", tc.window_label(tc.hour_of(ts()), 4).alias("label"))
 
 
 @query("p14_zone_names", given("trips zones", """

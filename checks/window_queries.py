@@ -9,16 +9,15 @@ from tripcast.functions.vectors import moving_average, trend_and_rest
 from tripcast.operators import demand, splits, windows
 from checks.demand_queries import named_trips
 
-ONE = F.lit(1)
 LENGTH = 8
 
 
 def hour_series(spark, sf):
-    return demand.day_hours(fx.trips(spark, sf).withColumn("trips", ONE))
+    return demand.day_hours(fx.trips(spark, sf).withColumn("trips", F.lit(1)))
 
 
 def slot_series(spark, sf):
-    return demand.day_slots(fx.trips(spark, sf).withColumn("trips", ONE))
+    return demand.day_slots(fx.trips(spark, sf).withColumn("trips", F.lit(1)))
 
 
 _HOUR_WINDOWS = """+
@@ -39,7 +38,7 @@ w AS (SELECT pos, v AS x0, lead(v, 1) OVER (ORDER BY pos) AS x1, lead(v, 2) OVER
       lead(v, 4) OVER (ORDER BY pos) AS y FROM n)
 SELECT * FROM w WHERE y IS NOT NULL""")
 def _(spark, sf):
-    daily = fx.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), ONE.alias("trips"))
+    daily = fx.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), F.lit(1).alias("trips"))
     series = demand.trips_per(daily, ["date"]).withColumn("slot", F.lit(0))
     return windows.sliding_windows(windows.with_position(series), block=500)
 
@@ -90,7 +89,7 @@ def _(spark, sf):
 WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), r AS (SELECT date, dense_rank() OVER (ORDER BY date) AS k FROM d)
 SELECT CAST(a.date AS VARCHAR) AS date, CAST(b.date AS VARCHAR) AS next_date FROM r a JOIN r b ON b.k = a.k + 1""")
 def _(spark, sf):
-    days = windows.day_order(fx.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), ONE.alias("trips")))
+    days = windows.day_order(fx.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), F.lit(1).alias("trips")))
     nexts = days.select(F.col("date").alias("next_date"), (F.col("day_rank") - 1).alias("day_rank"))
     return days.join(nexts, "day_rank").select(text("date"), text("next_date"))
 
