@@ -7,7 +7,8 @@ from checks.fixtures import given
 from checks.registry import long, query, r6, text
 from tripcast.functions import timecols as tc
 from tripcast.functions.vectors import growth_weighting, unscale_to_int
-from tripcast.operators import demand, filters, sampling, scaling, windows, zoning
+from tripcast.joins import join_same
+from tripcast.operators import demand, filters, scaling, windows, zoning
 from tripcast.sources.trips import PICKUP_TIME, require_columns
 
 def ts():
@@ -148,7 +149,7 @@ FROM (SELECT pu_zone, count(*) AS n FROM named GROUP BY 1) a JOIN (SELECT pu_zon
 def _(spark, sf):
     z = fx.zones(spark, sf)
     count = lambda df, n: demand.rows_per(zoning.name_zones(df, z), ["pu_zone"], n)
-    both = sampling.join_same(count(fx.trips(spark, sf), "n_real"), count(fx.synth(spark, sf), "n_synth"), ["pu_zone"])
+    both = join_same(count(fx.trips(spark, sf), "n_real"), count(fx.synth(spark, sf), "n_synth"), ["pu_zone"])
     return both.withColumn("pu_zone", F.coalesce("pu_zone", F.lit("none")))
 
 

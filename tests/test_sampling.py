@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tripcast import joins
 from tripcast.operators import dating, ranking, sampling
 from tripcast.sources.trips import COORDINATES
 
@@ -32,6 +33,16 @@ def test_exact_take_is_the_smallest_digests(spark, partitions):
     assert got == want
 
 
+def test_hot_groups_apart_give_the_same(spark, monkeypatch):
+    df = hot_hours(spark)
+    plan = df.groupBy("hour").agg(F.count("*").alias("n")).withColumn("keep", F.floor(F.col("n") * 0.6))
+    want = {r["id"] for r in sampling.take_exact(df, ["hour"], plan, "id", 9).collect()}
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(joins, "HOT_ROWS", 1000)
+    got = sampling.take_exact(df, ["hour"], plan, "id", 9)
+    assert {r["id"] for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_take_edges(frame):
     df = frame("g int, id int", *[(g, 10 * (g or 0) + i) for g in (1, 2, 3, None) for i in range(5)])
     plan = frame("g int, n long, keep long", (1, 5, 0), (2, 5, 5), (None, 5, 2))

@@ -5,7 +5,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tripcast.operators import demand, filters, sampling, zoning
+from tripcast import joins
+from tripcast.operators import demand, filters, zoning
 from tripcast.sources import sinks, trips as trip_source, zones as zone_source
 from tripcast.durable import new_folder
 
@@ -132,7 +133,7 @@ def test_filters(frame):
 
 def test_same_join_matches_nulls(frame):
     a, b = frame("k int, x int", (None, 1), (2, 3)), frame("k int, y int", (None, 5), (4, 6))
-    assert [tuple(r) for r in sampling.join_same(a, b, ["k"]).collect()] == [(None, 1, 5)]
+    assert [tuple(r) for r in joins.join_same(a, b, ["k"]).collect()] == [(None, 1, 5)]
 
 
 def test_period_filter_reaches_the_scan(spark, frame):

@@ -1,11 +1,39 @@
-"""When a join side may be broadcast, and spreading few rows over many tasks."""
+"""Joins that hold up under hot keys, and spreading few rows over many tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 2_000_000
+HOT_ROWS = 5_000_000     # rows of one key worth keeping out of a shuffle join
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join in which null matches null; the left keys are kept."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def join_groups(left: DataFrame, plan: DataFrame, keys: Sequence[str], groups: int) -> DataFrame:
+    """Rows with their group's row of ``plan``, null matching null.
+
+    ``plan`` is stored, has one row per group and the group's size in ``_n``;
+    ``groups`` is its row count. A small plan is broadcast. Of a large one the
+    groups above HOT_ROWS, of which there are at most all rows / HOT_ROWS, are
+    broadcast and the rest joined by shuffle, so no task gets a hot group.
+    """
+    if groups <= BROADCAST_ROWS:
+        return join_same(left, F.broadcast(plan), keys)
+    hot = plan.filter(F.col("_n") > HOT_ROWS)
+    hot = small(hot, hot.count())
+    busy = join_same(left, hot, keys)
+    quiet = join_same(join_same(left, hot.select(*keys), keys, "left_anti"), plan.filter(F.col("_n") <= HOT_ROWS), keys)
+    return busy.unionByName(quiet)
 
 
 def small(df: DataFrame, rows: int | None) -> DataFrame:

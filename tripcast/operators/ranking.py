@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripcast.durable import checkpointed
+from tripcast.joins import small
 from tripcast.sources.trips import COORDINATES
 
 _ROW_BITS = 33   # monotonically_increasing_id: partition in the high bits, row in the low 33
@@ -49,11 +50,10 @@ def quantile_map(
         "_target", F.col(column).alias("_real")
     )
     some = global_rank(synth.filter(F.col(column).isNotNull()), [column, synth_id], "_rank")
-    n_real = targets.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    n_synth = some.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    product = F.col("_rank").cast("decimal(19,0)") * n_real.cast("decimal(19,0)")
-    aim = F.floor(product / n_synth.cast("decimal(19,0)")).cast("long")
-    mapped = some.withColumn("_target", aim).join(targets, "_target", "left").withColumn(
+    n_real, n_synth = targets.count(), some.count()   # both are stored
+    product = F.col("_rank").cast("decimal(19,0)") * F.lit(n_real).cast("decimal(19,0)")
+    aim = F.floor(product / F.lit(max(n_synth, 1)).cast("decimal(19,0)")).cast("long")
+    mapped = some.withColumn("_target", aim).join(small(targets, n_real), "_target", "left").withColumn(
         column, F.col("_real")
     )
     return mapped.select(*synth.columns).unionByName(synth.filter(F.col(column).isNull()))

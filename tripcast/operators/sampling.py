@@ -6,38 +6,25 @@ passes: sizes, counts per leading hex digits, and the exact place inside the
 one range of digests holding the k-th. The number of digits grows with the
 group so that both the counts and that range have about the square root of the
 group's rows; no task sees a whole group. The wide rows are then filtered
-against the thresholds, without being shuffled when the groups are few.
+against the stored thresholds, without being shuffled when the groups are few.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tripcast.durable import checkpointed
 from tripcast.functions import hashing, timecols as tc
-from tripcast.joins import spread
+from tripcast.joins import join_groups, join_same, spread
 from tripcast.sources.trips import DROPOFF_ZONE, PICKUP_TIME, PICKUP_ZONE
 
 CHUNK = 65_536   # draws made by one explode
 
 
-def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equality join in which null matches null; the left keys are kept."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
-
-
-def _sized(plan: DataFrame, few: bool) -> DataFrame:
-    """Plans keyed by hour or date are bounded by the calendar and broadcast;
-    others are left to Catalyst's size check and the adaptive skew join."""
-    return F.broadcast(plan) if few else plan
-
-
 def _lead(n: Column, key: Column) -> Column:
     digits = F.greatest(F.lit(0), F.rint(F.log2(n) / 8)).cast("int")
     return F.substring(key, F.lit(1), digits)
@@ -50,53 +37,55 @@ def _lead_counts(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     return counts.withColumn("_before", F.coalesce(F.sum("_here").over(upto), F.lit(0)))
 
 
-def take_exact(
-    df: DataFrame, groups: Sequence[str], plan: DataFrame, id_col: str, seed: int,
-    few: bool = False,
-) -> DataFrame:
+def _stored(plan: DataFrame) -> tuple[DataFrame, int]:
+    """A plan has one row per group and is read several times: store it, so the
+    rows are counted once, and count the groups to choose the joins by."""
+    stored = checkpointed(plan)
+    return stored, stored.count()
+
+
+def take_exact(df: DataFrame, groups: Sequence[str], plan: DataFrame, id_col: str, seed: int) -> DataFrame:
     """Keep ``keep`` of each group's ``n`` rows, without replacement.
 
     ``plan`` has one row per group: the group, ``n`` and ``keep``. Groups absent
     from the plan are dropped.
     """
-    groups = list(groups)
+    return _take(df, list(groups), *_stored(plan), id_col, seed)
+
+
+def _take(df: DataFrame, groups: list[str], plan: DataFrame, count: int, id_col: str, seed: int) -> DataFrame:
     key = hashing.digest(seed, F.col(id_col))
-    plan = plan.select(*groups, F.col("n").alias("_n"), F.col("keep").alias("_keep"))
-    short = plan.filter((F.col("_keep") < F.col("_n")) & (F.col("_keep") > 0))
+    plan = plan.select(*groups, F.col("n").alias("_n"), F.col("keep").alias("_keep")).filter(F.col("_keep") > 0)
+    short = plan.filter(F.col("_keep") < F.col("_n"))
     narrow = df.select(*groups, F.col(id_col).alias("_id"), key.alias("_key"))
-    contested = join_same(narrow, _sized(short, few), groups).withColumn(
+    contested = join_groups(narrow, short, groups, count).withColumn(
         "_lead", _lead(F.col("_n"), F.col("_key"))
     )
-    kept_before = _lead_counts(contested.select(*groups, "_lead"), groups)
-    edges = join_same(kept_before, _sized(short, few), groups).filter(
+    edges = join_same(_lead_counts(contested.select(*groups, "_lead"), groups), short, groups).filter(
         (F.col("_before") < F.col("_keep"))
         & (F.col("_keep") <= F.col("_before") + F.col("_here"))
-    ).select(*groups, "_lead", (F.col("_keep") - F.col("_before")).alias("_need"))
+    ).select(*groups, "_lead", "_n", (F.col("_keep") - F.col("_before")).alias("_need"))
     along = W.partitionBy(*groups).orderBy("_key", "_id")
     cuts = (
-        join_same(contested.select(*groups, "_lead", "_key", "_id"), _sized(edges, few), [*groups, "_lead"])
+        join_groups(contested.select(*groups, "_lead", "_key", "_id"), edges, [*groups, "_lead"], count)
         .withColumn("_place", F.row_number().over(along))
         .filter(F.col("_place") == F.col("_need"))
         .select(*groups, F.col("_key").alias("_cut"), F.col("_id").alias("_cut_id"))
     )
-    limits = join_same(plan.filter(F.col("_keep") > 0), cuts, groups, "left")
-    tagged = join_same(df.withColumn("_key", key), _sized(limits, few), groups)
+    limits = checkpointed(join_same(plan, cuts, groups, "left"))
+    tagged = join_groups(df.withColumn("_key", key), limits, groups, count)
     below = (F.col("_key") < F.col("_cut")) | (
         (F.col("_key") == F.col("_cut")) & (F.col(id_col) <= F.col("_cut_id"))
     )
     return tagged.filter((F.col("_keep") >= F.col("_n")) | below).select(*df.columns)
 
 
-def rank_in_groups(
-    df: DataFrame, groups: Sequence[str], sizes: DataFrame, id_col: str, seed: int,
-    few: bool = False,
-) -> DataFrame:
+def _rank(df: DataFrame, groups: list[str], plan: DataFrame, count: int, id_col: str, seed: int) -> DataFrame:
     """Number each group's rows from 1 in digest order (``_rank``), the work
     being cut by (group, leading digits)."""
-    groups = list(groups)
-    sizes = sizes.select(*groups, F.col("n").alias("_n"))
-    keyed = join_same(
-        df.withColumn("_key", hashing.digest(seed, F.col(id_col))), _sized(sizes, few), groups
+    sizes = plan.select(*groups, F.col("n").alias("_n"))
+    keyed = join_groups(
+        df.withColumn("_key", hashing.digest(seed, F.col(id_col))), sizes, groups, count
     ).withColumn("_lead", _lead(F.col("_n"), F.col("_key")))
     before = _lead_counts(keyed.select(*groups, "_lead"), groups)
     along = W.partitionBy(*groups, "_lead").orderBy("_key", id_col)
@@ -106,29 +95,32 @@ def rank_in_groups(
     )
 
 
-def draw_with_replacement(
-    df: DataFrame, groups: Sequence[str], plan: DataFrame, id_col: str, seed: int,
-    few: bool = False,
-) -> DataFrame:
-    """``draws`` rows per group, drawn independently: draw j takes the row of
-    rank ``floor(u * n) + 1``. The new rows' ids are ``id#j``."""
-    groups = list(groups)
+def _draw(df: DataFrame, groups: list[str], plan: DataFrame, count: int, id_col: str, seed: int) -> DataFrame:
+    """``draws`` rows per group, drawn independently with replacement: draw j
+    takes the row of rank ``floor(u * n) + 1``. The new rows' ids are ``id#j``."""
+    wanted = plan.filter(F.col("draws") > 0)
     chunks = F.sequence(F.lit(0), F.floor((F.col("draws") - 1) / CHUNK))
     last = F.least(F.col("draws"), (F.col("_chunk") + 1) * CHUNK)
     ticket = hashing.uniform(f"{seed}/draw", *[F.col(g) for g in groups], F.col("_j"))
-    chunked = plan.filter(F.col("draws") > 0).select(*groups, "n", "draws").withColumn("_chunk", F.explode(chunks))
+    chunked = wanted.select(*groups, "n", "draws").withColumn("_chunk", F.explode(chunks))
     tickets = (
         spread(chunked, *groups, "_chunk")
         .withColumn("_j", F.explode(F.sequence(F.col("_chunk") * CHUNK + 1, last)))
         .select(*groups, "_j", (F.floor(ticket * F.col("n")) + 1).alias("_rank"))
     )
-    wanted = plan.filter(F.col("draws") > 0)
-    ranked = rank_in_groups(df, groups, wanted, id_col, seed, few)
+    ranked = _rank(df, groups, wanted, count, id_col, seed)
     drawn = join_same(ranked, tickets, [*groups, "_rank"])
     new_id = F.concat_ws("#", F.col(id_col).cast("string"), F.col("_j").cast("string"))
     return drawn.withColumn(id_col, new_id).select(*df.columns)
 
 
+def _resample(df: DataFrame, groups: list[str], plan: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """Take ``keep`` rows and draw ``draws`` more with replacement, per group."""
+    plan, count = _stored(plan)
+    kept = _text_id(_take(df, groups, plan, count, id_col, seed), id_col)
+    return kept.unionByName(_draw(df, groups, plan, count, id_col, seed))
+
+
 def _text_id(df: DataFrame, id_col: str) -> DataFrame:
     return df.withColumn(id_col, F.col(id_col).cast("string"))
 
@@ -144,11 +136,11 @@ def equal_frequency(
     sizes = synth.groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
     plan = sizes.join(real_hours.select("hour", F.col("trips").alias("goal")), "hour")
     enough = F.col("goal") <= F.col("n")
-    take = plan.filter(enough).withColumn("keep", F.col("goal"))
-    draw = plan.filter(~enough).withColumn("draws", F.col("goal"))
-    kept = _text_id(take_exact(synth, ["hour"], take, id_col, seed, few=True), id_col)
-    drawn = draw_with_replacement(synth, ["hour"], draw, id_col, seed, few=True)
-    return kept.unionByName(drawn)
+    plan = plan.withColumns({
+        "keep": F.when(enough, F.col("goal")).otherwise(0),
+        "draws": F.when(enough, 0).otherwise(F.col("goal")),
+    })
+    return _resample(synth, ["hour"], plan, id_col, seed)
 
 
 def noisy_counts(sizes: DataFrame, seed: int, share: float = 0.05) -> DataFrame:
@@ -164,9 +156,7 @@ def perturb_counts(df: DataFrame, id_col: str, seed: int, share: float = 0.05) -
     plan = plan.withColumns({
         "keep": F.least("goal", "n"), "draws": F.greatest(F.lit(0), F.col("goal") - F.col("n")),
     })
-    kept = _text_id(take_exact(df, ["hour"], plan, id_col, seed, few=True), id_col)
-    extra = draw_with_replacement(df, ["hour"], plan, id_col, seed, few=True)
-    return kept.unionByName(extra)
+    return _resample(df, ["hour"], plan, id_col, seed)
 
 
 def cap_groups(
@@ -200,7 +190,7 @@ def even_days(df: DataFrame, min_trips: Column | int, id_col: str, seed: int, ts
     plan = sizes.withColumn(
         "keep", F.when(F.col("n") < goal, F.raise_error(short).cast("long")).otherwise(goal)
     )
-    return take_exact(dated, ["_day"], plan, id_col, seed, few=True).drop("_day")
+    return take_exact(dated, ["_day"], plan, id_col, seed).drop("_day")
 
 
 def sample_share(df: DataFrame, share: float, id_col: str, seed: int) -> DataFrame:
@@ -210,11 +200,11 @@ def sample_share(df: DataFrame, share: float, id_col: str, seed: int) -> DataFra
 
 def sample_exact_share(df: DataFrame, share: float, id_col: str, seed: int) -> DataFrame:
     """Exactly ``share`` of the rows, rounded half to even."""
-    keyed = df.withColumn("_all", F.lit(0))
+    keyed = df.withColumn("_all", F.substring(F.col(id_col).cast("string"), 1, 0))   # one group for all
     plan = keyed.groupBy("_all").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "keep", F.rint(F.col("n") * F.lit(share)).cast("long")
     )
-    return take_exact(keyed, ["_all"], plan, id_col, seed, few=True).drop("_all")
+    return take_exact(keyed, ["_all"], plan, id_col, seed).drop("_all")
 
 
 def sample_pairs(pairs: DataFrame, count: int, columns: Sequence[str], seed: int) -> DataFrame:

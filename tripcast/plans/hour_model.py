@@ -48,7 +48,7 @@ def sweep(
     fitted = mixture.fit_mixtures(
         scaler.transform(folded), FEATURES, [mixture.Candidate(k, 1e-6, "full", seed) for k in ks],
         max_passes, tolerance, seed)
-    out = None
+    gaps = wides = None
     for k, (model, _) in zip(ks, fitted):
         drawn = mixture.draw(spark, model, total * multiplier, FEATURES, seed + k)
         extra = linear.Products.collect(drawn, COORDINATES, "hour")
@@ -59,8 +59,9 @@ def sweep(
         models = {("real",): real, ("finetune",): tuned, ("real_synth_init",): both}
         hours = drawn.select(unscale_to_int(F.col("hour"), scaler.means[0], scaler.scales[0]).alias("hour"))
         gap = compare.divergence(compare.densities(part("train"), hours, "hour")).withColumn("n_clusters", F.lit(k))
-        wide = hour_accuracy(scaled["test"], models, scaler).groupBy(F.lit(k).alias("n_clusters")).pivot(
-            "model", [m for m, in models]).agg(*[F.first(c).alias(c) for c in ("mae", "mse", "r2")])
-        row = gap.join(wide, "n_clusters")
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy("n_clusters")
+        wide = hour_accuracy(scaled["test"], models, scaler).withColumn("n_clusters", F.lit(k))
+        gaps = gap if gaps is None else gaps.unionByName(gap)
+        wides = wide if wides is None else wides.unionByName(wide)
+    accuracy = wides.groupBy("n_clusters").pivot("model", ["real", "finetune", "real_synth_init"]).agg(
+        *[F.first(c).alias(c) for c in ("mae", "mse", "r2")])
+    return gaps.join(accuracy, "n_clusters").orderBy("n_clusters")
