@@ -11,6 +11,7 @@ from checks.demand_queries import named_trips
 from checks.fixtures import SEED, given, u_sql
 from checks.registry import query, r6, text
 from checks.window_queries import _HOUR_WINDOWS, _PAIRS, _WEEKS, hour_series
+from tripcast.durable import checkpointed
 from tripcast.functions.vectors import moving_average_matrix
 from tripcast.operators import demand, linear, metrics, scaling, splits, windows
 from tripcast.plans import day_pairs, hour_model, series_models, zone_forecast
@@ -386,7 +387,7 @@ def part_grids(spark, sf):
     z = fx.zones(spark, sf)
     parted = splits.split_by_weeks(named_trips(spark, sf))
     return {
-        p: demand.demand_grid(demand.zone_demand(parted.filter(F.col("part") == p)), z) for p in ("train", "val")}
+        p: demand.demand_grid(checkpointed(demand.zone_demand(parted.filter(F.col("part") == p))), z) for p in ("train", "val")}
 
 
 def _heads_sql(rate, epochs, zones=25):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tripcast.durable import checkpointed
 from tripcast.functions import hashing, timecols as tc
 from tripcast.sources.trips import PICKUP_TIME
 
@@ -40,9 +41,10 @@ def week_parts(weeks: DataFrame, train: float = 0.6, val: float = 0.2) -> DataFr
 def split_by_weeks(
     df: DataFrame, train: float = 0.6, val: float = 0.2, ts: str = PICKUP_TIME
 ) -> DataFrame:
-    """Add ``part``. The week table has one row per calendar week, so it is
-    broadcast and the trips are not shuffled."""
-    parts = week_parts(week_sizes(df, ts), train, val).select("week", "part")
+    """Add ``part``. The week table has one row per calendar week: it is stored,
+    so the weeks are counted once however often the split is read, and
+    broadcast, so the trips are not shuffled."""
+    parts = checkpointed(week_parts(week_sizes(df, ts), train, val).select("week", "part"))
     keyed = df.withColumn("week", tc.iso_week_key(F.col(ts)))
     return keyed.join(F.broadcast(parts), "week").drop("week")
 
