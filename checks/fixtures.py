@@ -58,7 +58,7 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
 
     lines = table(spark, sf, "lineitem").selectExpr(
         "l_returnflag AS data_type", "l_linenumber AS nc", "year(l_shipdate) AS epochs",
-        "CAST(round(l_discount * 100) AS INT) AS seed", "l_extendedprice AS y", "l_quantity * 1500 AS p")
+        "CAST(round(l_discount * 100) AS INT) AS seed", "l_extendedprice AS y", "l_quantity * 1499.7182818 AS p")
     keys = ["data_type", "nc", "epochs", "seed"]
     return as_long(accuracy(lines, "y", "p", keys), keys)
 
@@ -97,7 +97,7 @@ _CTES = {
     "day_hours": """SELECT CAST(tpep_pickup_datetime AS DATE) AS date, CAST(hour(tpep_pickup_datetime) AS INT) AS slot,
        count(*) AS trips FROM trips GROUP BY ALL""",
     "lines": """SELECT l_returnflag AS data_type, l_linenumber AS nc, CAST(year(l_shipdate) AS INT) AS epochs,
-       CAST(round(l_discount * 100) AS INT) AS seed, l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem""",
+       CAST(round(l_discount * 100) AS INT) AS seed, l_extendedprice AS y, l_quantity * 1499.7182818 AS p FROM lineitem""",
     "wide_runs": """SELECT data_type, nc, epochs, seed, count(y) AS n,
        CASE WHEN count(y) > 1 THEN CASE WHEN var_pop(y) * count(y) = 0 THEN CASE WHEN sum((y-p)*(y-p)) = 0 THEN 1.0 ELSE 0.0 END
             ELSE 1 - sum((y-p)*(y-p)) / (var_pop(y) * count(y)) END END AS r2,

@@ -42,10 +42,10 @@ def _accuracy(df, by=()):
 
 def _lines(spark, sf):
     return fx.table(spark, sf, "lineitem").selectExpr(
-        "l_extendedprice AS y", "l_quantity * 1500 AS p", "l_returnflag", "l_linestatus")
+        "l_extendedprice AS y", "l_quantity * 1499.7182818 AS p", "l_returnflag", "l_linestatus")
 
 
-_LINES = "(SELECT l_extendedprice AS y, l_quantity * 1500 AS p, l_returnflag, l_linestatus FROM lineitem) x"
+_LINES = "(SELECT l_extendedprice AS y, l_quantity * 1499.7182818 AS p, l_returnflag, l_linestatus FROM lineitem) x"
 
 
 @query("e1_r2", f"SELECT round(1 - sum((y-p)*(y-p)) / (var_pop(y) * count(y)), 6) AS r2 FROM {_LINES}")
