@@ -67,6 +67,11 @@ def _(spark, sf):
 _ROUNDED = "(SELECT floor(value) AS y, floor(value) + event_id % 3 - 1 AS p, event_type FROM events) x"
 
 
+@query("a13_all_metrics", _accuracy_sql(_LINES))
+def _(spark, sf):
+    return _accuracy(_lines(spark, sf))
+
+
 @query("e3_mape_with_zero_actuals", f"SELECT event_type, round(avg(CASE WHEN y <> 0 THEN abs((y-p)/y) END) * 100, 6) AS mape FROM {_ROUNDED} GROUP BY 1")
 def _(spark, sf):
     e = fx.table(spark, sf, "events").selectExpr("floor(value) AS y", "floor(value) + event_id % 3 - 1 AS p", "event_type")

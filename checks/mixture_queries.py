@@ -140,6 +140,54 @@ def _(spark, sf):
         for c in range(new.k)], "component long, weight double, m0 double, m1 double, v00 double, v01 double, v11 double")
 
 
+def _pass_sql(before, after, ridge):
+    """One expectation and maximisation from parameter table to parameter table."""
+    updates = ", ".join(
+        f"sum(g * {c}) / sum(g) AS m{i}, sum(g * {c} * {c}) / sum(g) - (sum(g * {c}) / sum(g)) * (sum(g * {c}) / sum(g)) + {ridge} AS v{i}"
+        for i, c in enumerate(FEATURES))
+    return f"""
+{after}_j AS (SELECT r.*, p.c, {_joint(FEATURES)} AS lp FROM rows r CROSS JOIN {before} p),
+{after}_g AS (SELECT *, exp(lp - mx) / sum(exp(lp - mx)) OVER (PARTITION BY trip_id) AS g FROM (SELECT *, max(lp) OVER (PARTITION BY trip_id) AS mx FROM {after}_j) x),
+{after} AS (SELECT c, sum(g) / (SELECT count(*) FROM rows) AS w, {updates} FROM {after}_g GROUP BY c)"""
+
+
+def _likelihood_sql(p):
+    return f"""(SELECT sum(ll) FROM (SELECT trip_id, max(lp) + ln(sum(exp(lp - mx))) AS ll FROM (SELECT *, max(lp) OVER (PARTITION BY trip_id) AS mx
+  FROM (SELECT r.trip_id, {_joint(FEATURES)} AS lp FROM rows r CROSS JOIN {p} p) a) b GROUP BY trip_id) c)"""
+
+
+_ROWS_P = _SCORED.split("j AS (")[0].rstrip().rstrip(",")
+
+
+@query("m2_three_passes", given("reals", _ROWS_P + "," + ",".join(
+    _pass_sql(a, b, RIDGE) for a, b in (("p", "p1"), ("p1", "p2"), ("p2", "p3"))) + f"""
+SELECT CAST(c AS INT) AS component, round(w, 6) AS weight, {', '.join(f'round(m{i}, 6) + 0.0 AS m{i}, round(v{i}, 6) AS v{i}' for i in _D)} FROM p3"""))
+def _(spark, sf):
+    points = mixture.fold_points(complete(spark, sf), FEATURES)
+    start = weekday_mixture(spark, sf)
+    (model, _), = mixture.fit_mixtures(
+        points, FEATURES, [mixture.Candidate(7, RIDGE, "diag")], 3, -1.0, starts=[start])
+    table = model.to_table(spark)
+    return table.select(
+        "component", r6("weight"), *[(F.round(F.col("mean")[i], 6) + F.lit(0.0)).alias(f"m{i}") for i in _D],
+        *[r6(F.col("covariance")[7 * i], f"v{i}") for i in _D])
+
+
+_RIDGES = (0.001, 0.01, 0.0005)
+
+
+@query("m6_select_from_start", given("reals", _ROWS_P + "," + ",".join(
+    _pass_sql(f"p{i}_{k}" if k else "p", f"p{i}_{k + 1}", r) for i, r in enumerate(_RIDGES) for k in range(2)) + " " + " UNION ALL ".join(f"""
+SELECT {i} AS trial, 7 AS k, CAST({r} AS DOUBLE) AS ridge, round({_likelihood_sql(f'p{i}_2')}, 3) AS log_likelihood,
+  round(90 * ln((SELECT count(*) FROM rows)) - 2 * {_likelihood_sql(f'p{i}_2')}, 3) AS bic""" for i, r in enumerate(_RIDGES))))
+def _(spark, sf):
+    points = mixture.fold_points(complete(spark, sf), FEATURES)
+    start = weekday_mixture(spark, sf)
+    chosen = mixture.select_mixture(
+        points, FEATURES, [mixture.Candidate(7, r, "diag") for r in _RIDGES], 2, -1.0, starts=[start] * len(_RIDGES))
+    return chosen.runs.select("trial", "k", "ridge", F.round("log_likelihood", 3).alias("log_likelihood"), F.round("bic", 3).alias("bic"))
+
+
 @query("m2_fit_mixture")
 def _(spark, sf):
     folded = mixture.fold_points(fx.real(spark, sf), FEATURES)
@@ -174,9 +222,6 @@ n AS (SELECT id, {u_sql('42/component', 'id')} AS u FROM (SELECT unnest(range((S
 drawn AS (SELECT n.id, p.c, {', '.join(values)} FROM n JOIN e p ON n.u >= p.lo AND n.u < p.hi)"""
 
 
-_ROWS_P = _SCORED.split("j AS (")[0].rstrip().rstrip(",")
-
-
 @query("m5_draw_points", given("reals", _ROWS_P + "," + _points_sql() + " SELECT id AS sample_id, CAST(c AS INT) AS component, " + ", ".join(
     f"round({c}, 6) + 0.0 AS {c}" for c in FEATURES) + " FROM drawn"))
 def _(spark, sf):

@@ -220,23 +220,28 @@ def _start(sample: np.ndarray, weight: np.ndarray, c: Candidate) -> Mixture:
 def fit_mixtures(
     points: DataFrame, features: Sequence[str], candidates: Sequence[Candidate],
     max_passes: int = 200, tolerance: float = 1e-3, seed: int = 42,
+    starts: Sequence[Mixture] | None = None,
 ) -> list[tuple[Mixture, float]]:
     """Fit all candidates to folded points; ``(mixture, log-likelihood)`` each.
 
     A candidate stops when its mean log-likelihood gains less than
-    ``tolerance``; the rest go on without it.
+    ``tolerance``; the rest go on without it. ``starts`` gives each candidate's
+    first parameters, in place of a start made from a sample.
     """
     features = list(features)
     kept = points.select(*features, "n").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        luck = -F.log(1 - hashing.uniform(seed, *[F.col(c) for c in features])) / F.col("n")
-        sample = kept.orderBy(luck, *features).limit(START_ROWS).toPandas()
-        if sample.empty:
-            raise ValueError("no points to fit")
         size = kept.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("points")).first()
+        if not size["points"]:
+            raise ValueError("no points to fit")
         total, work = size["n"], kept.coalesce(max(1, -(-size["points"] // TASK_POINTS)))
-        x, w = sample[features].to_numpy(float), np.ones(len(sample))
-        models = [_start(x, w, c) for c in candidates]
+        if starts is None:
+            luck = -F.log(1 - hashing.uniform(seed, *[F.col(c) for c in features])) / F.col("n")
+            sample = kept.orderBy(luck, *features).limit(START_ROWS).toPandas()
+            x, w = sample[features].to_numpy(float), np.ones(len(sample))
+            models = [_start(x, w, c) for c in candidates]
+        else:
+            models = list(starts)
         before = [-np.inf] * len(models)
         active = list(range(len(models)))
         for step in range(1, max_passes + 1):
@@ -302,12 +307,13 @@ class Selection:
 def select_mixture(
     points: DataFrame, features: Sequence[str], candidates: Sequence[Candidate],
     max_passes: int = 200, tolerance: float = 1e-3, seed: int = 42,
+    starts: Sequence[Mixture] | None = None,
 ) -> Selection:
     """Fit all candidates and take the least BIC, then AIC. Candidates of
     several seeds may be mixed: the best of all seeds is the best trial."""
     from tripcast.operators.results import best_by_information
 
-    fitted = fit_mixtures(points, features, candidates, max_passes, tolerance, seed)
+    fitted = fit_mixtures(points, features, candidates, max_passes, tolerance, seed, starts)
     rows = points.agg(F.sum("n").alias("n")).first()["n"]
     table = []
     for i, (c, (m, likelihood)) in enumerate(zip(candidates, fitted)):
