@@ -7,7 +7,6 @@ whole. Two pickup ids have no zone. Zone boxes overlap on purpose.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tripcast.operators.filters import with_trip_columns
 from tripcast.operators.zoning import attach_centroids

@@ -436,14 +436,14 @@ sums AS ({sums_sql('train_w', L, 'zone')}),""" + _heads_sql(0.01, 50) + f""",
 sco AS (SELECT v.y, {_predicted('fin', [f'x{k}' for k in range(L)])} AS p FROM val_w v JOIN fin ON fin.zone = v.zone)
 SELECT r2, smape, mae FROM ({_accuracy_sql('sco')}) q""").replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, sf):
-    w = {p: linear.channel_mean_windows(g, L).persist() for p, g in part_grids(spark, sf).items()}
+    w = {p: checkpointed(linear.channel_mean_windows(g, L)) for p, g in part_grids(spark, sf).items()}
     out = zone_forecast.trial_metrics(spark, w["train"], w["val"], "real", [(0.01, 50)], SEED)
     return out.select(r6("r2"), r6("smape"), F.round("mae", 4).alias("mae"))
 
 
 @query("m13_zone_trials")
 def _(spark, sf):
-    w = {p: linear.channel_mean_windows(g, L).persist() for p, g in part_grids(spark, sf).items()}
+    w = {p: checkpointed(linear.channel_mean_windows(g, L)) for p, g in part_grids(spark, sf).items()}
     return zone_forecast.trial_metrics(spark, w["train"], w["val"], "real", linear.random_trials(6, SEED), SEED)
 
 

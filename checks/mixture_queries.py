@@ -7,10 +7,8 @@ from checks import fixtures as fx
 from checks.fixtures import SEED, given, u_sql, z_sql
 from checks.registry import long, query, r6
 from checks.source_queries import PAIR_SQL, labelled
-from tripcast.functions import timecols as tc
 from tripcast.operators import distance, filters, mixture, results, scaling
 from tripcast.plans import compactness
-from tripcast.sources.trips import COORDINATES
 
 FEATURES = filters.MIXTURE_FEATURES
 RIDGE = 0.001

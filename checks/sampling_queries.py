@@ -149,8 +149,8 @@ def _(spark, sf):
 SELECT a.trip_id, CAST(CAST(p.date AS TIMESTAMP) + to_hours(a.hour) + to_minutes(CAST(floor({u_sql('42/quarter', 'a.trip_id')} * 4) * 15 AS INT)) AS VARCHAR) AS at
 FROM aimed a JOIN p ON p.hour = a.used AND a.u >= p.lo AND a.u < p.hi"""))
 def _(spark, sf):
-    p = dating.date_probabilities(fx.trips(spark, sf))
-    return dating.stamp(fx.synth(spark, sf), p, "trip_id", SEED).select("trip_id", text("tpep_pickup_datetime", "at"))
+    lookup = dating.DateLookup(dating.date_probabilities(fx.trips(spark, sf)))
+    return dating.stamp(fx.synth(spark, sf), lookup, "trip_id", SEED).select("trip_id", text("tpep_pickup_datetime", "at"))
 
 
 @query("g8_jitter", given("synth", "SELECT trip_id, " + ", ".join(

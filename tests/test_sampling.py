@@ -118,8 +118,8 @@ def test_dates_follow_the_real_shares(spark, frame):
     night = synth.withColumn("hour", F.lit(3))
     assert set(counts(dating.assign_dates(night, p, "id", 5), "date")) == {dt.date(2024, 1, d) for d in (1, 2, 5)}
     assert dating.assign_dates(synth, p.limit(0), "id", 5).filter("date IS NOT NULL").count() == 0
-    assert dating.stamp(synth, p.limit(0), "id", 5).count() == 0
-    minutes = {r["m"] for r in dating.stamp(synth, p, "id", 5).select(F.minute("tpep_pickup_datetime").alias("m")).distinct().collect()}
+    assert dating.stamp(synth, dating.DateLookup(p.limit(0)), "id", 5).count() == 0
+    minutes = {r["m"] for r in dating.stamp(synth, dating.DateLookup(p), "id", 5).select(F.minute("tpep_pickup_datetime").alias("m")).distinct().collect()}
     assert minutes == {0, 15, 30, 45}
 
 

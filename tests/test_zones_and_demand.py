@@ -3,7 +3,6 @@ import datetime as dt
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from tripcast import joins
 from tripcast.operators import demand, filters, zoning

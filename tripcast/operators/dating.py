@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tripcast.durable import checkpointed
 from tripcast.functions import hashing, timecols as tc
+from tripcast.joins import small
 from tripcast.sources.trips import COORDINATES, PICKUP_TIME
 
 CELLS = 1024             # steps of the inverse-distribution lookup
@@ -26,38 +28,49 @@ def date_probabilities(real: DataFrame, ts: str = PICKUP_TIME) -> DataFrame:
     )
 
 
+class DateLookup:
+    """Inverse distributions of the dates of each hour.
+
+    [0, 1) is cut into cells and each date's piece listed under the cells it
+    touches, so a row meets the one or two pieces of its cell by an equality
+    join instead of all dates of its hour. The probabilities are stored, so real
+    trips are read once for any number of draws, and counted to bound the
+    lookup: each hour has at most its dates plus CELLS rows.
+    """
+
+    def __init__(self, probabilities: DataFrame):
+        stored = checkpointed(probabilities.select("hour", "date", "lo", "hi"))
+        counted = stored.agg(
+            F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("hour")).alias("hours")).first()
+        self.hours = counted["hours"]   # at most 24
+        cells = F.sequence(
+            F.floor(F.col("lo") * CELLS), F.least(F.lit(CELLS - 1), F.floor(F.col("hi") * CELLS)))
+        lookup = stored.select(
+            F.col("hour").alias("_hour"), F.col("date").alias("_date"), "lo", "hi", F.explode(cells).alias("_cell"))
+        self.lookup = small(lookup, counted["rows"] + CELLS * len(self.hours))
+
+    def assign(self, synth: DataFrame, id_col: str, seed: int, name: str = "date") -> DataFrame:
+        """Draw a date for each row given its hour. An hour without dates borrows
+        a random hour that has some; without any the date is null."""
+        seen = F.array(*[F.lit(h) for h in self.hours]).cast("array<int>")
+        spare = F.floor(hashing.uniform(f"{seed}/hour", F.col(id_col)) * len(self.hours)).cast("int")
+        aimed = synth.withColumns({
+            "_u": hashing.uniform(f"{seed}/date", F.col(id_col)),
+            "_hour": F.when(F.col("hour").isin(self.hours), F.col("hour")).otherwise(F.get(seen, spare)),
+        }).withColumn("_cell", F.floor(F.col("_u") * CELLS))
+        found = aimed.alias("a").join(
+            self.lookup.alias("b"),
+            (F.col("a._hour") == F.col("b._hour")) & (F.col("a._cell") == F.col("b._cell"))
+            & (F.col("a._u") >= F.col("b.lo")) & (F.col("a._u") < F.col("b.hi")),
+            "left",
+        )
+        return found.select(*[F.col(f"a.{c}") for c in synth.columns], F.col("b._date").alias(name))
+
+
 def assign_dates(
     synth: DataFrame, probabilities: DataFrame, id_col: str, seed: int, name: str = "date"
 ) -> DataFrame:
-    """Draw a date for each row given its hour.
-
-    An hour without dates borrows a random hour that has some; without any the
-    date is null. [0, 1) is cut into cells and each piece listed under the cells
-    it touches, so a row meets the one or two pieces of its cell by an equality
-    join instead of all dates of its hour. The lookup has at most
-    24 * (days + CELLS) rows and is broadcast.
-    """
-    seen = probabilities.agg(F.array_sort(F.collect_set("hour")).alias("h")).select("h").scalar()
-    u = hashing.uniform(f"{seed}/date", F.col(id_col))
-    spare = F.floor(hashing.uniform(f"{seed}/hour", F.col(id_col)) * F.size("_seen")).cast("int")
-    aimed = synth.withColumns({"_u": u, "_seen": seen}).withColumns({
-        "_hour": F.when(F.array_contains("_seen", F.col("hour")), F.col("hour"))
-        .otherwise(F.get("_seen", spare)),
-        "_cell": F.floor(F.col("_u") * CELLS),
-    })
-    lookup = probabilities.select(
-        F.col("hour").alias("_hour"), F.col("date").alias(name), "lo", "hi",
-        F.explode(F.sequence(
-            F.floor(F.col("lo") * CELLS), F.least(F.lit(CELLS - 1), F.floor(F.col("hi") * CELLS))
-        )).alias("_cell"),
-    )
-    found = aimed.alias("a").join(
-        F.broadcast(lookup.alias("b")),
-        (F.col("a._hour") == F.col("b._hour")) & (F.col("a._cell") == F.col("b._cell"))
-        & (F.col("a._u") >= F.col("b.lo")) & (F.col("a._u") < F.col("b.hi")),
-        "left",
-    )
-    return found.select(*[F.col(f"a.{c}") for c in synth.columns], F.col(f"b.{name}").alias(name))
+    return DateLookup(probabilities).assign(synth, id_col, seed, name)
 
 
 def quarter_offset(df: DataFrame, id_col: str, seed: int, name: str = "minutes") -> DataFrame:
@@ -76,12 +89,12 @@ def jitter(df: DataFrame, id_col: str, seed: int, sigma: float = SIGMA_DEGREES)
 
 
 def stamp(
-    synth: DataFrame, probabilities: DataFrame, id_col: str, seed: int,
+    synth: DataFrame, lookup: DateLookup, id_col: str, seed: int,
     quarters: bool = True, ts: str = PICKUP_TIME,
 ) -> DataFrame:
     """Give synthetic trips a pickup time: drawn date, own hour and, if asked,
     a random quarter. Rows without a date are dropped."""
-    dated = assign_dates(synth, probabilities, id_col, seed, "_date").filter(F.col("_date").isNotNull())
+    dated = lookup.assign(synth, id_col, seed, "_date").filter(F.col("_date").isNotNull())
     if not quarters:
         return dated.withColumn(ts, tc.at_time(F.col("_date"), F.col("hour"))).drop("_date")
     timed = quarter_offset(dated, id_col, seed, "_minutes")

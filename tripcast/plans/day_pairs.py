@@ -30,7 +30,7 @@ def weighted_windows(pairs: DataFrame, side: str, width: int = st.WINDOW) -> Dat
 
 def synthetic_trips(
     spark: SparkSession, model: mixture.Mixture, scaler: Scaler, rows: int, real_hours: DataFrame,
-    probabilities: DataFrame, seed: int,
+    lookup: dating.DateLookup, seed: int,
 ) -> DataFrame:
     """Drawn, balanced, perturbed and dated trips: ``tpep_pickup_datetime, trips``.
 
@@ -40,7 +40,7 @@ def synthetic_trips(
     raw = checkpointed(mixture.draw_trips(spark, model, rows, scaler, seed).select("sample_id", "hour", "trips"))
     even = checkpointed(sampling.equal_frequency(raw, real_hours, "sample_id", seed))
     noisy = sampling.perturb_counts(even, "sample_id", seed + 1, st.COUNT_NOISE)
-    return dating.stamp(noisy, probabilities, "sample_id", seed, quarters=False).select(PICKUP_TIME, "trips")
+    return dating.stamp(noisy, lookup, "sample_id", seed, quarters=False).select(PICKUP_TIME, "trips")
 
 
 def train_kinds(
@@ -71,8 +71,8 @@ def run(
     enriched trips, hourly slots."""
     spark = trips.sparkSession
     real = filters.with_trip_columns(filters.study_period(trips))
-    hours = demand.trips_per_hour(real)
-    probabilities = dating.date_probabilities(real)
+    hours = checkpointed(demand.trips_per_hour(real))   # 24 rows
+    lookup = dating.DateLookup(dating.date_probabilities(real))
     features = filters.MIXTURE_FEATURES
     folded = checkpointed(mixture.fold_points(real, features))
     scaler = Scaler.fit(folded, features, weight="n")
@@ -85,7 +85,7 @@ def run(
     for k, (model, _) in zip(ks, fitted):
         for turn in range(runs):
             now = seed + k + turn
-            synth = synthetic_trips(spark, model, scaler, int(total * multiplier), hours, probabilities, now)
+            synth = synthetic_trips(spark, model, scaler, int(total * multiplier), hours, lookup, now)
             drawn = checkpointed(demand.day_hours(synth).select("date", "slot", "trips"))
             series = {
                 "real": counted, "synthetic": drawn, "real+synthetic": demand.add_series(counted, drawn)}

@@ -34,12 +34,12 @@ def zone_grids(
 
 def synthetic_trips(
     spark: SparkSession, model: mixture.Mixture, scaler: Scaler, rows: int, zones: DataFrame,
-    probabilities: DataFrame, seed: int,
+    lookup: dating.DateLookup, seed: int,
 ) -> DataFrame:
     """Drawn trips with the zone of the box they fall in and a quarter-hour time."""
     raw = mixture.draw_trips(spark, model, rows, scaler, seed)
     placed = zoning.BoxIndex(zones).locate(raw, "PU_longitude", "PU_latitude", "PULocationID", "pu_zone")
-    return dating.stamp(placed, probabilities, "sample_id", st.DATE_SEED).select(PICKUP_TIME, "pu_zone", "trips")
+    return dating.stamp(placed, lookup, "sample_id", st.DATE_SEED).select(PICKUP_TIME, "pu_zone", "trips")
 
 
 def trial_metrics(
@@ -97,7 +97,8 @@ def run(
     parted = splits.split_by_weeks(real)
     dated = parted.filter(F.col("part") == "train") if fit_dates_on == "train" else real
     synth = synthetic_trips(
-        spark, model, scaler, int(total * multiplier), zones, dating.date_probabilities(dated), seed)
+        spark, model, scaler, int(total * multiplier), zones,
+        dating.DateLookup(dating.date_probabilities(dated)), seed)
     named = zoning.locate_trips(parted, zones) if rezone_real else zoning.name_zones(parted, zones)
     named = named.select(PICKUP_TIME, "pu_zone", "trips", "part")
     grids = zone_grids(
