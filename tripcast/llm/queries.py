@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripcast.llm import lines, packing, quality, sharding, simhash
+from tripcast.llm import lines, packing, quality, sharding, simhash, topk, vectors
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
 def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     docs = sharding.shuffle_into_shards(table(spark, sf, "documents"))
     return docs.select(
@@ -43,8 +47,12 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-QUERIES = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_simhash, op6_sharding, op7_quality, op8_line_dedup)}
+def op10_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_products(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_simhash, op5_embedding_dedup, op6_sharding, op7_quality, op8_line_dedup, op10_top_k)}
 
 SQL = {
     "op8_line_dedup": """
@@ -70,4 +78,34 @@ SELECT doc_id, CAST(len(own) - len(k) AS BIGINT) AS removed_lines,
        CAST(length(array_to_string(k, chr(10))) AS BIGINT) AS kept_chars,
        md5(array_to_string(k, chr(10))) AS text_md5
 FROM kept""",
+    "op5_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+good AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE e IS NOT NULL AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_dot_product(e, e) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.95 * a.norm * b.norm),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+root AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT r.a AS vec_id, coalesce(n, 0) AS n_links, component_id, r.a = component_id AS kept
+FROM root r LEFT JOIN degree d ON d.a = r.a""",
+    "op10_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.w) = len(c.w)),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
 }
