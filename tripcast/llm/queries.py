@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripcast.llm import lines, packing, quality, sharding, simhash, topk, vectors
+from tripcast.durable import stored
+from tripcast.llm import chat, lines, packing, pages, pieces, quality, sharding, simhash, topk, vectors
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,6 +21,22 @@ def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation is written as a transcript and read again by a model
+    counted on four fifths of them."""
+    parts = stored(chat.with_transcripts(
+        chat.conversations_as_parts(table(spark, sf, "conversations"))), "transcripts")
+    model = chat.fit(parts.filter(~chat.held_out(F.col("conv_id"))))
+    return chat.format_transcripts(parts, model).select(
+        "conv_id", "part", chat.held_out(F.col("conv_id")).alias("held_out"), F.size("roles").alias("n_turns"),
+        F.array_join("roles", " ").alias("roles"),
+        (F.col("roles") == F.transform("turns", lambda t: t["role"])).alias("roles_agree"), "formatted")
+
+
+def op4_page_text(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.extract(table(spark, sf, "pages"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf, "embeddings"))
 
@@ -47,12 +64,17 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf, "documents"))
+
+
 def op10_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_products(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_simhash, op5_embedding_dedup, op6_sharding, op7_quality, op8_line_dedup, op10_top_k)}
+    op1_best_fit_packing, op2_simhash, op3_chat_format, op4_page_text, op5_embedding_dedup, op6_sharding, op7_quality,
+    op8_line_dedup, op9_sentencepiece, op10_top_k)}
 
 SQL = {
     "op8_line_dedup": """
