@@ -10,6 +10,11 @@ that merge by aggregation; lines near either threshold are counted exactly.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +25,7 @@ SITES = 10
 SHARE = 0.5
 BAND = 0.1      # six standard errors of a sketch of 2^12 registers
 LG_K = 12
+LISTED = 2_000_000      # boilerplate lines that are sent to every task: 16 MB
 
 
 def _trimmed(line: Column) -> Column:
@@ -69,9 +75,52 @@ def spread_lines(lines: DataFrame, sites: int = SITES, share: float = SHARE, ban
     return found
 
 
+def _without_listed(docs: DataFrame, text_column: str, bad: DataFrame, removed: str) -> DataFrame:
+    """Texts without the lines of a short list, which every task holds sorted."""
+    sent = docs.sparkSession.sparkContext.broadcast(
+        np.sort(np.array([r[0] for r in bad.select("line").collect()], np.int64)))
+    where = docs.columns.index(text_column)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = sent.value
+        for batch in batches:
+            texts, gone = [], []
+            for text in batch.column(where):
+                own = (text.as_py() or "").split("\n")
+                keys = np.array([
+                    xxhash.xxh64_intdigest(x.strip(" \t\r").encode(), 42) for x in own], np.uint64).view(np.int64)
+                at = np.minimum(np.searchsorted(listed, keys), max(len(listed) - 1, 0))
+                hit = listed[at] == keys if len(listed) else np.zeros(len(own), bool)
+                texts.append("\n".join(x for x, h in zip(own, hit) if not h) if text.is_valid else None)
+                gone.append(int(hit.sum()))
+            columns = list(batch.columns)
+            columns[where] = pa.array(texts, batch.schema.types[where])
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(gone, pa.int32())], names=[*batch.schema.names, removed])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{fields}, `{removed}` int")
+
+
+def _without_joined(docs: DataFrame, id_column: str, text_column: str, lines: DataFrame, bad: DataFrame,
+                    removed: str) -> DataFrame:
+    """Texts without the lines of a list of any length: each document is joined
+    with its own lines on the list."""
+    key, gone, own = fresh(docs, "own_id", "gone_lines", "lines")
+    hit = stored(
+        lines.join(bad, "line").select("id", "line").distinct().groupBy("id")
+        .agg(F.collect_list("line").alias(gone)).withColumnRenamed("id", key), "hit")
+    joined = docs.join(hit, docs[id_column].eqNullSafe(hit[key]), "left").withColumn(
+        own, F.split(F.col(text_column), "\n"))
+    kept = F.filter(own, lambda x: ~F.array_contains(F.col(gone), F.xxhash64(_trimmed(x))))
+    whole = F.col(gone).isNull() | F.col(own).isNull()
+    return joined.withColumns({
+        text_column: F.when(whole, F.col(text_column)).otherwise(F.array_join(kept, "\n")),
+        removed: F.when(whole, 0).otherwise(F.size(own) - F.size(kept))}).select(*docs.columns, removed)
+
+
 def remove_spread_lines(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source",
-    sites: int = SITES, share: float = SHARE, removed: str | None = None,
+    sites: int = SITES, share: float = SHARE, removed: str | None = None, listed: int = LISTED,
 ) -> DataFrame:
     """All rows and columns of ``docs``, the text without its boilerplate lines;
     with ``removed``, a column of that name counts them.
@@ -79,21 +128,15 @@ def remove_spread_lines(
     Lines compare trimmed; blank lines stay. A null text stays null, an empty
     one empty, and a text of boilerplate only becomes empty: no row is dropped.
     Rows that share an id, or have none, are handled together without mixing
-    their texts, as whether a line goes hangs on the line alone.
+    their texts, as whether a line goes hangs on the line alone. A list of at
+    most ``listed`` lines is sent to the tasks and the texts are not shuffled; a
+    longer one is joined. The rows are the same.
     """
-    key, gone, own = fresh(docs, "own_id", "gone_lines", "lines")
+    count = removed or fresh(docs, "removed_lines")[0]
     lines = stored(line_table(docs, id_column, text_column, site_column), "lines")
     bad = spread_lines(lines, sites, share)
-    hit = stored(
-        lines.join(bad, "line").select("id", "line").distinct().groupBy("id")
-        .agg(F.collect_list("line").alias(gone)).withColumnRenamed("id", key), "hit")
-    forget(lines, bad)
-    joined = docs.join(hit, docs[id_column].eqNullSafe(hit[key]), "left").withColumn(
-        own, F.split(F.col(text_column), "\n"))
-    kept = F.filter(own, lambda x: ~F.array_contains(F.col(gone), F.xxhash64(_trimmed(x))) | (_trimmed(x) == ""))
-    clean = joined.withColumn(
-        text_column, F.when(F.col(gone).isNull(), F.col(text_column)).otherwise(F.array_join(kept, "\n")))
-    if removed:
-        clean = clean.withColumn(removed, F.when(F.col(gone).isNull() | F.col(own).isNull(), 0).otherwise(
-            F.size(own) - F.size(kept)))
-    return clean.select(*docs.columns, *([removed] if removed else []))
+    if bad.count() <= listed:
+        clean = _without_listed(docs, text_column, bad, count)
+    else:
+        clean = _without_joined(docs, id_column, text_column, lines, bad, count)
+    return clean if removed else clean.drop(count)
