@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 from tripcast.durable import stored
 
 
+def long_rows(df: DataFrame) -> DataFrame:
+    """``df``, with batches to and from Python kept to a thousand rows, as one
+    row may be a long text. This is a setting of the session and stays."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names close to the given ones that no column of ``df`` has, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -22,8 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripcast.llm.arrow import long_rows
+
 ROLES = ("system", "user", "assistant")
 STATES = [(r, opens) for r in ROLES for opens in (True, False)]
+PRIOR = 0.1          # added to every count
 PART_TURNS = 64      # turns of a conversation that make one transcript
 
 # Words that mark a speaker, and ways to write a transcript.
@@ -127,10 +130,10 @@ def counted(lines: list[str], states: list[tuple[str, bool]]) -> Counter:
 
 
 def model_of(counts: dict[tuple, int]) -> Model:
-    """Probabilities from counts, one added to each possible case. A turn goes on
+    """Probabilities from counts, a tenth added to each possible case. A turn goes on
     only as the same speaker's, which the counts can't break."""
     n = len(STATES)
-    start, step, lines = np.ones(n), np.ones((n, n)), np.ones(n)
+    start, step, lines = np.full(n, PRIOR), np.full((n, n), PRIOR), np.full(n, PRIOR)
     cases: dict[str, set] = {}
     for (name, value, s), c in counts.items():
         if name == "start":
@@ -151,8 +154,8 @@ def model_of(counts: dict[tuple, int]) -> Model:
     for name, values in cases.items():
         for value in values:
             c = np.array([counts.get((name, value, s), 0) for s in range(n)])
-            seen[name, value] = np.log((c + 1) / (lines + len(values)))
-    return Model(log_start, log_step, {(k, _typed(v)): x for (k, v), x in seen.items()}, -np.log(lines + 2))
+            seen[name, value] = np.log((c + PRIOR) / (lines + PRIOR * len(values)))
+    return Model(log_start, log_step, {(k, _typed(v)): x for (k, v), x in seen.items()}, np.log(PRIOR / (lines + 2 * PRIOR)))
 
 
 def _typed(value: str):
@@ -199,7 +202,7 @@ def conversations_as_parts(
     bounds what one row holds. Equal rows are one turn. Turns with the same number
     are ordered by role and text; a null number counts as 0, a null text as
     empty. A row without a conversation is one of its own."""
-    clean = rows.select(
+    clean = long_rows(rows).select(
         F.col(id_column).cast("long").alias("conv_id"), F.coalesce(F.col(turn_column).cast("long"), F.lit(0)).alias("turn"),
         F.col(role_column).cast("string").alias("role"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     once = clean.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))

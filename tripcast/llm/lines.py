@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripcast.durable import forget, stored
-from tripcast.llm.arrow import fresh
+from tripcast.llm.arrow import fresh, long_rows
 
 SITES = 10
 SHARE = 0.5
@@ -133,6 +133,7 @@ def remove_spread_lines(
     longer one is joined. The rows are the same.
     """
     count = removed or fresh(docs, "removed_lines")[0]
+    docs = long_rows(docs)
     lines = stored(line_table(docs, id_column, text_column, site_column), "lines")
     bad = spread_lines(lines, sites, share)
     if bad.count() <= listed:

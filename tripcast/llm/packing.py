@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripcast.durable import forget, stored
+from tripcast.llm.arrow import long_rows
 
 CAPACITY = 1024
 SEPARATOR = 2
@@ -93,7 +94,7 @@ def pieces(
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
             columns = list(zip(*rows)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-    return docs.select(F.col(id_column).cast("long"), text_column).mapInArrow(
+    return long_rows(docs).select(F.col(id_column).cast("long"), text_column).mapInArrow(
         run, PIECES + (", ids binary" if with_ids else ""))
 
 
@@ -181,7 +182,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
         if not n:
             previous = None
             break
-        groups = max(1, -(-n // group))
+        groups = max(1, -(-n // (group << (turn - 1))))     # fewer pieces each round, in larger groups
         dealt = pool.withColumn("_group", F.pmod(F.xxhash64(F.lit(turn), *order), F.lit(groups)))
         packed = stored(dealt.groupBy("_group").applyInPandas(
             _with_group(_pack_group(capacity), columns), f"_group long, {out}"), "packed")
@@ -190,7 +191,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
             forget(packed)
             break
         named = packed.withColumn(
-            "sequence_id", F.lit(turn << 58) + F.col("_group") * F.lit(group * 64) + F.col("bin"))
+            "sequence_id", F.lit(turn << 58) + F.col("_group") * F.lit(group << 10) + F.col("bin"))
         keep = [*columns, "sequence_id", "offset", "certified"]
         settled.append(named.filter(~F.col("goes_on")).select(*keep))
         previous = named.filter("goes_on").select(*keep)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripcast.llm.arrow import long_rows
+
 MARK = "▁"
 KEPT_WORDS = 300_000
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -166,7 +168,7 @@ def encode(
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([i for i, _ in found], pa.binary()),
                  pa.array([s for _, s in found], pa.float64())], names=["doc_id", "ids", "score"])
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_column).mapInArrow(
+    return long_rows(docs).select(F.col(id_column).cast("long").alias("doc_id"), text_column).mapInArrow(
         run, "doc_id long, ids binary, score double")
 
 
@@ -207,5 +209,5 @@ def round_trip(
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
                 names=["doc_id", "n_pieces", "n_bytes", "ids_crc32", "score", "round_trip"])
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_column).mapInArrow(
+    return long_rows(docs).select(F.col(id_column).cast("long").alias("doc_id"), text_column).mapInArrow(
         run, "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, score double, round_trip boolean")

@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripcast.llm.arrow import long_rows
+
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 BLOCK = 2_048
@@ -141,4 +143,4 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", name: str =
         of = model.scorer()
         for some in texts:
             yield pd.Series([of(t) for t in some], dtype="float64")
-    return docs.withColumn(name, scored(F.col(text_column)))
+    return long_rows(docs).withColumn(name, scored(F.col(text_column)))

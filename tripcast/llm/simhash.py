@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripcast.durable import stored
-from tripcast.llm.arrow import fresh, numbers, split_cells, whole_runs
+from tripcast.llm.arrow import fresh, long_rows, numbers, split_cells, whole_runs
 from tripcast.llm.components import components
 
 THRESHOLD = 4
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_column: str, text_column: str, width: int =
             fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
-    return docs.select(F.col(id_column).cast("long"), text_column).mapInArrow(run, "doc_id long, fp long")
+    return long_rows(docs).select(F.col(id_column).cast("long"), text_column).mapInArrow(run, "doc_id long, fp long")
 
 
 def _flips() -> tuple[np.ndarray, np.ndarray]:
