@@ -139,9 +139,11 @@ def given(names: str, body: str) -> str:
     return f"WITH {tables}\n{body}"
 
 
-def u_sql(seed: str, *ids: str, word: int = 0) -> str:
+def u_sql(seed: str, *ids: str, word: int | None = None) -> str:
     """The hash uniform of ``tripcast.functions.hashing`` in SQL."""
     key = " || ':' || ".join([f"'{seed}'", *[f"CAST({i} AS VARCHAR)" for i in ids]])
+    if word is None:
+        return f"(('0x' || substr(md5({key}), 1, 13))::UBIGINT / 4503599627370496.0)"
     return f"(('0x' || substr(md5({key}), {1 + 8 * word}, 8))::UBIGINT / 4294967296.0)"
 
 

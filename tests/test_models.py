@@ -234,3 +234,30 @@ def test_box_statistics(spark):
     rows = spark.createDataFrame([("m", 1, 1, "real", v) for v in values], "metric string, nc int, epochs int, data_type string, value double")
     got = results.box_statistics(rows).first()
     assert (got["q1"], got["median"], got["q3"], got["low"], got["high"], got["outliers"]) == (2, 3, 4, 1, 4, 1)
+
+
+def test_start_weighs_every_point(spark):
+    from tripcast.operators import mixture
+
+    rng = np.random.default_rng(8)
+    rare, heavy = rng.normal(0, 1, (495, 2)), rng.normal(50, 1, (5, 2))
+    rows = [(*map(float, x), 1) for x in rare] + [(*map(float, x), 100_000) for x in heavy]
+    points = spark.createDataFrame(rows, "a double, b double, n long")
+    split = spark.createDataFrame(
+        [r for r in rows if r[2] == 1] + [(a, b, 25_000) for a, b, n in rows if n > 1 for _ in range(4)],
+        "a double, b double, n long").repartition(5)
+    one, two = (
+        mixture.fit_mixture(p, ["a", "b"], 3, max_passes=1, seed=4) for p in (points, split))
+    assert np.allclose(one.means, two.means) and np.allclose(one.weights, two.weights)
+    assert one.weights[np.linalg.norm(one.means, axis=1) > 40].sum() > 0.99
+    assert not one.converged and mixture.fit_mixture(points, ["a", "b"], 2, seed=4).converged
+
+
+def test_centres_are_drawn_by_weight_and_distance(spark):
+    from tripcast.operators import mixture
+
+    points = spark.createDataFrame([(0.0, 1), (1.0, 6), (3.0, 3)], "x double, n long").coalesce(1)
+    first = [mixture.spread_centres(points, ["x"], 1, s)[0, 0] for s in range(60)]
+    assert 22 <= first.count(1.0) <= 50 and first.count(0.0) < first.count(3.0) + 8
+    assert len(set(mixture.spread_centres(points, ["x"], 3, 1)[:, 0])) == 3
+    assert len(mixture.spread_centres(points, ["x"], 5, 1)) == 5

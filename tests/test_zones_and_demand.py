@@ -53,6 +53,10 @@ def test_unknown_zones_are_listed_or_refused(frame, zones):
     assert [r["zone"] for r in zoning.unknown_zones(rows, zones).collect()] == ["X"]
     with pytest.raises(PySparkException, match="zone not in the dimension: X"):
         zoning.require_known_zones(rows, zones).collect()
+    wide = zoning.require_known_zones(rows.selectExpr("*", "1 AS hour"), zones)
+    for use in (wide.count, wide.groupBy("hour").count().collect, wide.select("hour").collect):
+        with pytest.raises(PySparkException, match="zone not in the dimension: X"):
+            use()
     assert zoning.require_known_zones(rows.filter("pu_zone = 'A' OR pu_zone IS NULL"), zones).count() == 2
 
 

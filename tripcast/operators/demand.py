@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tripcast.functions import timecols as tc
 from tripcast.joins import spread
+from tripcast.operators.zoning import require_known_zones
 from tripcast.sources.trips import DROPOFF_ZONE, PICKUP_TIME, PICKUP_ZONE
 
 
@@ -88,12 +89,17 @@ def slot_grid(demand: DataFrame, zones: DataFrame, only_observed_days: bool = Fa
     )
 
 
-def demand_grid(demand: DataFrame, zones: DataFrame, only_observed_days: bool = False) -> DataFrame:
+def demand_grid(
+    demand: DataFrame, zones: DataFrame, only_observed_days: bool = False, strict: bool = True
+) -> DataFrame:
     """Demand on the dense grid, zero where nothing was counted.
 
-    Days the data skips are part of the grid unless ``only_observed_days``.
+    Days the data skips are part of the grid unless ``only_observed_days``. A zone
+    that the dimension lacks fails the job; unless ``strict``, its demand is left out.
     """
     grid = slot_grid(demand, zones, only_observed_days)
+    if strict:
+        demand = require_known_zones(demand, zones, "zone")
     joined = grid.join(demand, ["zone", "slot_ts"], "left")
     return joined.select(
         "slot_ts", "slot", "ord", "zone",

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tripcast.functions import hashing, timecols as tc
 
-START_ROWS = 2_000        # points the start is made from
+START_ROUNDS = 4          # nearest-centre rounds of a start
 TASK_POINTS = 50_000      # fewest points worth a task of their own
 STRIP_CELLS = 1 << 22     # numbers held at a time while adding up products
 EMPTY = 1e-10             # weight that keeps an empty component finite
@@ -59,6 +59,7 @@ class Mixture:
     kind: str = "full"
     passes: int = 0
     history: tuple[float, ...] = field(default=(), compare=False)
+    converged: bool = field(default=False, compare=False)
 
     @property
     def k(self) -> int:
@@ -189,32 +190,84 @@ def maximise(sums: np.ndarray, d: int, kind: str, ridge: float) -> Mixture:
     return Mixture(mass / mass.sum(), means, spread + ridge * np.eye(d), kind)
 
 
-def _start(sample: np.ndarray, weight: np.ndarray, c: Candidate) -> Mixture:
-    """Spread-out centres, a few nearest-centre rounds, then one maximisation,
-    all on the bounded sample."""
-    rng = np.random.default_rng([c.seed, c.k])
-    d = sample.shape[1]
-    centres = sample[[rng.choice(len(sample), p=weight / weight.sum())]]
-    gap = ((sample - centres[0]) ** 2).sum(1)
-    while len(centres) < c.k:
-        pull = gap * weight
-        share = pull / pull.sum() if pull.sum() > 0 else weight / weight.sum()
-        centres = np.vstack([centres, sample[rng.choice(len(sample), p=share)]])
-        gap = np.minimum(gap, ((sample - centres[-1]) ** 2).sum(1))
-    for _ in range(10):
-        squares = (sample ** 2).sum(1)[:, None] - 2 * sample @ centres.T + (centres ** 2).sum(1)
-        member = np.eye(c.k)[squares.argmin(1)] * weight[:, None]
-        held = member.sum(0)
-        centres = np.where(held[:, None] > 0, member.T @ sample / np.maximum(held, EMPTY)[:, None], centres)
-    second = np.einsum("ni,nj->nij", sample, sample).reshape(len(sample), -1) if c.kind == "full" else sample ** 2
-    sums = member.T @ np.hstack([np.ones((len(sample), 1)), sample, second])
-    fitted = maximise(sums, d, c.kind, c.ridge)
-    empty = held <= 0
-    return replace(
-        fitted,
-        means=np.where(empty[:, None], centres, fitted.means),
-        covariances=np.where(empty[:, None, None], np.eye(d), fitted.covariances),
-        weights=(fitted.weights + 1e-6) / (fitted.weights + 1e-6).sum())
+@dataclass(frozen=True)
+class _Nearest:
+    """Centres that take the points nearest to them whole, as a model of a pass."""
+
+    centres: np.ndarray
+    kind: str
+
+    @property
+    def k(self) -> int:
+        return len(self.centres)
+
+    @property
+    def d(self) -> int:
+        return self.centres.shape[1]
+
+    def joint(self, x: np.ndarray) -> np.ndarray:
+        nearest = squared_gaps(x, self.centres).argmin(1)
+        return np.where(np.arange(self.k)[None, :] == nearest[:, None], 0.0, -np.inf)
+
+
+def squared_gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.stack([((x - c) ** 2).sum(1) for c in centres], axis=1)
+
+
+def spread_centres(points: DataFrame, features: Sequence[str], k: int, seed: int | str) -> np.ndarray:
+    """``k`` centres drawn from all points, each next one with a chance in
+    proportion to weight times squared distance from those before.
+
+    The draw is the largest of ln(gap² n) plus Gumbel noise hashed from seed, step
+    and point, so every task names one point and the result hangs on neither
+    partitions nor order. With fewer distinct points than ``k`` the rest repeat,
+    drawn by weight.
+    """
+    features = list(features)
+    centres = np.empty((0, len(features)))
+    schema = "score double, " + ", ".join(f"`{f}` double" for f in features)
+    for step in range(k):
+        def best_of_task(batches: Iterator[pd.DataFrame], known: np.ndarray = centres) -> Iterator[pd.DataFrame]:
+            found = []
+            for batch in batches:
+                x, n = batch[features].to_numpy(float), batch["n"].to_numpy(float)
+                gap = squared_gaps(x, known).min(1) if len(known) else np.ones(len(x))
+                with np.errstate(divide="ignore"):
+                    far = np.where(gap > 0, np.log(gap * n), np.log(n) - 1e6)
+                score = far - np.log(-np.log(np.maximum(batch["u"].to_numpy(), 2.0 ** -53)))
+                batch = batch[features].assign(score=score)
+                found.append(batch.nlargest(1, "score"))
+            if found:
+                yield pd.concat(found).sort_values(["score", *features]).tail(1)[["score", *features]]
+        noisy = points.withColumn("u", hashing.uniform(f"{seed}/{step}", *[F.col(c) for c in features]))
+        best = noisy.mapInPandas(best_of_task, schema).orderBy(F.desc("score"), *features).first()
+        centres = np.vstack([centres, [best[f] for f in features]])
+    return centres
+
+
+def _starts(points: DataFrame, features: Sequence[str], candidates: Sequence[Candidate], seed: int) -> list[Mixture]:
+    """Spread-out centres, a few nearest-centre rounds and one maximisation, all
+    over every point. Candidates of one seed share the draws, all share the rounds."""
+    most = {}
+    for c in candidates:
+        most[c.seed] = max(c.k, most.get(c.seed, 0))
+    drawn = {s: spread_centres(points, features, k, f"{seed}/{s}") for s, k in most.items()}
+    models = [_Nearest(drawn[c.seed][:c.k], c.kind) for c in candidates]
+    for left in range(START_ROUNDS, -1, -1):
+        found = [sums for sums, _ in _gather(points, features, models)]
+        if left:
+            models = [
+                _Nearest(np.where(s[:, :1] > 0, s[:, 1:1 + m.d] / np.maximum(s[:, :1], EMPTY), m.centres), m.kind)
+                for m, s in zip(models, found)]
+    out = []
+    for c, m, sums in zip(candidates, models, found):
+        fitted, empty = maximise(sums, m.d, c.kind, c.ridge), sums[:, 0] <= 0
+        out.append(replace(
+            fitted,
+            means=np.where(empty[:, None], m.centres, fitted.means),
+            covariances=np.where(empty[:, None, None], np.eye(m.d), fitted.covariances),
+            weights=(fitted.weights + 1e-6) / (fitted.weights + 1e-6).sum()))
+    return out
 
 
 def fit_mixtures(
@@ -225,21 +278,19 @@ def fit_mixtures(
     """Fit all candidates to folded points; ``(mixture, log-likelihood)`` each.
 
     A candidate stops when its mean log-likelihood gains less than
-    ``tolerance``; the rest go on without it. ``starts`` gives each candidate's
-    first parameters, in place of a start made from a sample.
+    ``tolerance``, and only then is marked ``converged``; the rest go on without
+    it. ``starts`` gives each candidate's first parameters, in place of a start
+    drawn from the points. Repeated points are added up first.
     """
     features = list(features)
-    kept = points.select(*features, "n").persist(StorageLevel.MEMORY_AND_DISK)
+    kept = points.groupBy(*features).agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         size = kept.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("points")).first()
         if not size["points"]:
             raise ValueError("no points to fit")
         total, work = size["n"], kept.coalesce(max(1, -(-size["points"] // TASK_POINTS)))
         if starts is None:
-            luck = -F.log(1 - hashing.uniform(seed, *[F.col(c) for c in features])) / F.col("n")
-            sample = kept.orderBy(luck, *features).limit(START_ROWS).toPandas()
-            x, w = sample[features].to_numpy(float), np.ones(len(sample))
-            models = [_start(x, w, c) for c in candidates]
+            models = _starts(work, features, candidates, seed)
         else:
             models = list(starts)
         before = [-np.inf] * len(models)
@@ -250,9 +301,10 @@ def fit_mixtures(
             for i, (sums, likelihood) in zip(active, found):
                 c = candidates[i]
                 trace = models[i].history + (likelihood,)
+                settled = likelihood / total - before[i] < tolerance
                 models[i] = replace(
-                    maximise(sums, len(features), c.kind, c.ridge), passes=step, history=trace)
-                if likelihood / total - before[i] >= tolerance:
+                    maximise(sums, len(features), c.kind, c.ridge), passes=step, history=trace, converged=settled)
+                if not settled:
                     going.append(i)
                 before[i] = likelihood / total
             active = going
@@ -291,7 +343,7 @@ def random_candidates(
         for _ in range(trials)]
 
 
-RUN_SCHEMA = "trial int, seed long, k int, ridge double, kind string, passes int, log_likelihood double, bic double, aic double"
+RUN_SCHEMA = "trial int, seed long, k int, ridge double, kind string, passes int, converged boolean, log_likelihood double, bic double, aic double"
 
 
 @dataclass(frozen=True)
@@ -318,7 +370,7 @@ def select_mixture(
     table = []
     for i, (c, (m, likelihood)) in enumerate(zip(candidates, fitted)):
         bic, aic = information(m.parameter_count(), rows, likelihood)
-        table.append((i, c.seed, c.k, c.ridge, c.kind, m.passes, likelihood, float(bic), float(aic)))
+        table.append((i, c.seed, c.k, c.ridge, c.kind, m.passes, m.converged, likelihood, float(bic), float(aic)))
     runs = points.sparkSession.createDataFrame(table, RUN_SCHEMA)
     best = best_by_information(runs).first()
     if best is None:

@@ -53,14 +53,15 @@ def unknown_zones(df: DataFrame, zones: DataFrame, column: str = "pu_zone") -> D
 
 
 def require_known_zones(df: DataFrame, zones: DataFrame, column: str = "pu_zone") -> DataFrame:
-    """Fail the job when a row names a zone the dimension lacks."""
+    """Fail the job when a row names a zone the dimension lacks.
+
+    The guard is a filter, which no later projection, count or aggregate prunes.
+    """
     known = zones.select(F.col("zone").alias("_known")).distinct()
     checked = df.join(known, F.col(column) == F.col("_known"), "left")
     stray = F.col(column).isNotNull() & F.col("_known").isNull()
     message = F.concat(F.lit("zone not in the dimension: "), F.col(column).cast("string"))
-    return checked.withColumn(
-        column, F.when(stray, F.raise_error(message)).otherwise(F.col(column))
-    ).drop("_known")
+    return checked.filter(F.when(stray, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))).drop("_known")
 
 
 class BoxIndex:
