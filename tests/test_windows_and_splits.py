@@ -80,3 +80,11 @@ def test_random_parts_cover_everything(spark):
     rows = splits.random_parts(spark.range(20000), "id", 5)
     share = {r["part"]: r["n"] / 20000 for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
     assert share["test"] == pytest.approx(0.15, abs=0.01) and share["val"] == pytest.approx(0.1275, abs=0.01)
+
+
+@pytest.mark.parametrize("name", ["a5_demand_grid", "w1_sliding_windows", "w2_zone_windows", "w3_day_pairs"])
+def test_trips_are_read_once(spark, name):
+    from checks import all_queries
+
+    reads = all_queries()[0][name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert reads and not any("events" in f for f in reads)      # only the stored counts are read again

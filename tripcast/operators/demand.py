@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripcast.durable import stored
 from tripcast.functions import timecols as tc
 from tripcast.joins import spread
 from tripcast.operators.zoning import require_known_zones
@@ -68,8 +69,7 @@ def slot_grid(demand: DataFrame, zones: DataFrame, only_observed_days: bool = Fa
     Zones times days are spread over the tasks before each is multiplied into its
     96 slots.
     """
-    # asking for the count keeps this read the same exchange as the join's, so trips are counted once
-    span = demand.filter(F.col("trips").isNotNull()).agg(
+    span = demand.agg(
         F.struct(F.min("slot_ts").alias("first"), F.max("slot_ts").alias("last")).alias("span")
     ).scalar()
     first, last = F.col("span.first"), F.col("span.last")
@@ -96,7 +96,9 @@ def demand_grid(
 
     Days the data skips are part of the grid unless ``only_observed_days``. A zone
     that the dimension lacks fails the job; unless ``strict``, its demand is left out.
+    The demand is counted and stored when this is called, as the grid reads it twice.
     """
+    demand = stored(demand, "demand")
     grid = slot_grid(demand, zones, only_observed_days)
     if strict:
         demand = require_known_zones(demand, zones, "zone")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tripcast.durable import stored
 from tripcast.functions import timecols as tc
 
 BLOCK = 65_536   # positions per window task
@@ -26,9 +27,9 @@ def with_position(
 
     A row's number is its place within its day plus the rows of earlier days.
     Only the per-day counts, one row per calendar day, are ordered in one task
-    and broadcast. Counting the value column, which has no nulls, lets both
-    reads of a counted series share one exchange, so trips are counted once.
+    and broadcast. The series is stored when this is called, as it is read twice.
     """
+    series = stored(series, "series")
     before = F.sum("n").over(W.orderBy(day).rowsBetween(W.unboundedPreceding, -1))
     starts = series.groupBy(day).agg(F.count(value).alias("n")).select(
         day, F.coalesce(before, F.lit(0)).alias("_start")
@@ -118,8 +119,10 @@ def day_pairs(series: DataFrame, width: int = 4) -> DataFrame:
     """Windows present on a day and on the next day that has data.
 
     The pairs come from one ordered pass per start slot over the days, in place
-    of a self join that would count the trips twice.
+    of a self join. The series is stored when this is called, as its days are
+    ranked apart.
     """
+    series = stored(series, "series")
     ranked = day_windows(series, width).join(F.broadcast(day_order(series)), "date")
     along = W.partitionBy("start").orderBy("date")
     names = [f"x{k}" for k in range(width)] + ["y"]
