@@ -8,7 +8,7 @@ from checks.fixtures import SEED, given, u_sql, z_sql
 from checks.registry import long, query, r6
 from checks.source_queries import PAIR_SQL, labelled
 from tripcast.operators import distance, filters, mixture, results, scaling
-from tripcast.plans import compactness
+from tripcast.plans import compactness, settings
 
 FEATURES = filters.MIXTURE_FEATURES
 RIDGE = 0.001
@@ -350,7 +350,7 @@ def _(spark, sf):
 
 @query("d2_compactness_report")
 def _(spark, sf):
-    return compactness.cluster_distances(fx.enriched(spark, sf), k=6, zones=list(range(25)), max_passes=10)
+    return compactness.cluster_distances(fx.enriched(spark, sf), k=6, share=settings.COMPACT_SHARE, zones=list(range(25)), max_passes=10)
 
 
 @query("d1_wednesday_report")

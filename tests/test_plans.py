@@ -1,7 +1,10 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from checks import fixtures as fx
-from tripcast.plans import compactness, day_pairs, enrich, zone_forecast
+from tripcast.operators import filters, sampling
+from tripcast.plans import comparison, compactness, day_pairs, enrich, hour_model, series_models, zone_forecast
 from tripcast.durable import new_folder
 from tripcast.sources import sinks
 from tripcast.sources.trips import ENRICHED_SCHEMA, read_trips
@@ -36,3 +39,55 @@ def test_compactness_reports_every_cluster(spark):
     rows = compactness.cluster_distances(
         fx.enriched(spark, SF), k=3, zones=list(range(25)), max_passes=4).orderBy("cluster").collect()
     assert [r["cluster"] for r in rows] == [0, 1, 2] and all(r["mean_distance"] >= 0 for r in rows)
+
+
+def enriched_file(spark):
+    """Written by one month with ids of 32 bits, one of 64."""
+    paths = [new_folder(spark, "month"), new_folder(spark, "month")]
+    t = fx.enriched(spark, SF).drop("trip_id")
+    early = F.col("tpep_pickup_datetime") < F.lit("2024-01-16").cast("timestamp_ntz")
+    sinks.write_parquet(t.filter(early), paths[0])
+    sinks.write_parquet(
+        t.filter(~early).withColumns({c: F.col(c).cast("long") for c in ("PULocationID", "DOLocationID")}), paths[1])
+    return read_trips(spark, *paths, schema=ENRICHED_SCHEMA, row_id="trip_id"), t.count()
+
+
+def test_months_of_other_types_and_row_ids(spark):
+    rows, n = enriched_file(spark)
+    assert rows.count() == n == rows.select("trip_id").distinct().count()
+    assert rows.drop("trip_id").schema == ENRICHED_SCHEMA
+    first = sorted(r[0] for r in sampling.sample_share(rows, 0.2, "trip_id", 3).select("trip_id").collect())
+    assert first == sorted(r[0] for r in sampling.sample_share(rows, 0.2, "trip_id", 3).select("trip_id").collect())
+
+
+def test_missing_column_fails_at_reading(spark):
+    path = new_folder(spark, "short")
+    sinks.write_parquet(fx.trips(spark, SF).drop("DOLocationID"), path)
+    with pytest.raises(ValueError, match="DOLocationID"):
+        read_trips(spark, path)
+
+
+def test_workloads_run_from_files(spark):
+    rows, n = enriched_file(spark)
+    always = filters.Period("1990-01-01", "2100-01-01")
+    assert compactness.cluster_distances(rows, k=2, zones=list(range(25)), max_passes=2).count() == 2
+    assert hour_model.sweep(rows, ks=(2,), multiplier=1, max_passes=2, weekdays=(0, 6)).count() == 1
+    assert series_models.run(
+        rows, ks=(2,), multiplier=1, rates=(0.01,), epochs=(5,), max_passes=2, weekdays=(0, 6)).count() == 2
+    assert day_pairs.run(rows, ks=(2,), runs=1, epochs=(5,), max_passes=2, period=always).count() == 12
+    assert zone_forecast.run(
+        rows, fx.zones(spark, SF), k=2, multiplier=1, trials=1, max_passes=2, period=always).count() == 3
+
+
+def test_comparison_workload(spark):
+    rows, n = enriched_file(spark)
+    out = new_folder(spark, "comparison")
+    always = filters.Period("1990-01-01", "2100-01-01")
+    done = comparison.run(rows, fx.zones(spark, SF), out, k=3, multiplier=2, runs=2, max_passes=3, period=always)
+    assert len(done) == 2
+    for i, one in enumerate(done, 1):
+        lost, drawn = one.lost.first()
+        sums = one.table.agg(F.sum("real_trips"), F.sum("synth_trips")).first()
+        assert 0 < sums[0] <= n and sums[1] == drawn - lost
+        back = sinks.read_csv(spark, f"{out}/run={i}", one.table.schema)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, one.table.collect()))

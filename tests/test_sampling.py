@@ -37,7 +37,7 @@ def test_hot_groups_apart_give_the_same(spark, monkeypatch):
     df = hot_hours(spark)
     plan = df.groupBy("hour").agg(F.count("*").alias("n")).withColumn("keep", F.floor(F.col("n") * 0.6))
     want = {r["id"] for r in sampling.take_exact(df, ["hour"], plan, "id", 9).collect()}
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 300)
     monkeypatch.setattr(joins, "HOT_ROWS", 1000)
     got = sampling.take_exact(df, ["hour"], plan, "id", 9)
     assert {r["id"] for r in got.collect()} == want and got.count() == len(want)

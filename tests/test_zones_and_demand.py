@@ -29,7 +29,7 @@ def test_location_without_broadcast_is_the_same(frame, zones, monkeypatch):
     rng = np.random.default_rng(0)
     points = frame("id int, x double, y double", *[(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-1, 11, (500, 2)))])
     one = zoning.BoxIndex(zones).locate(points, "x", "y", "zid", "zone").orderBy("id").collect()
-    monkeypatch.setattr(zoning, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     two = zoning.BoxIndex(zones, grid=5).locate(points, "x", "y", "zid", "zone").orderBy("id").collect()
     assert one == two
     boxes = [r.asDict() for r in zones.orderBy("ord").collect()]
@@ -128,6 +128,7 @@ def test_filters(frame):
     t = frame("tpep_pickup_datetime timestamp_ntz, PULocationID int, DOLocationID int",
               (at("2024-01-01 00:00:00"), 1, 2), (at("2024-01-04 10:00:00"), 1, 3), (at("2024-03-04 10:00:00"), 2, 2))
     assert filters.study_period(t).count() == 1
+    assert filters.study_period(t, filters.Period("2023-01-01", "2023-01-02")).count() == 0
     assert filters.of_zone(t, 1, 2).count() == 2 and filters.of_zone(t, None, 2).count() == 2
     lost = filters.trips_without_zone(
         frame("pu string, do string, trips int", ("a", "b", 2), ("", "b", 3), (None, "b", 4)), "pu", "do").first()

@@ -7,11 +7,27 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20     # estimated size of the largest table that is sent to every task
+TEXT_BYTES, ITEMS = 40, 8       # guesses for what a schema doesn't tell
 HOT_ROWS = 5_000_000     # rows of one key worth keeping out of a shuffle join
 
 
+def row_bytes(kind: T.DataType) -> int:
+    """Estimated size of a value or, for a schema, of a row."""
+    if isinstance(kind, T.StructType):
+        return 16 + sum(8 + row_bytes(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return 16 + ITEMS * row_bytes(kind.elementType)
+    return TEXT_BYTES if isinstance(kind, (T.StringType, T.BinaryType)) else 8
+
+
+def fits(df: DataFrame, rows: int | None) -> bool:
+    """Whether ``df``, known to have at most ``rows`` rows, may be broadcast."""
+    return rows is not None and rows * row_bytes(df.schema) <= BROADCAST_BYTES
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equality join in which null matches null; the left keys are kept."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -27,7 +43,7 @@ def join_groups(left: DataFrame, plan: DataFrame, keys: Sequence[str], groups: i
     groups above HOT_ROWS, of which there are at most all rows / HOT_ROWS, are
     broadcast and the rest joined by shuffle, so no task gets a hot group.
     """
-    if groups <= BROADCAST_ROWS:
+    if fits(plan, groups):
         return join_same(left, F.broadcast(plan), keys)
     hot = plan.filter(F.col("_n") > HOT_ROWS)
     hot = small(hot, hot.count())
@@ -38,8 +54,8 @@ def join_groups(left: DataFrame, plan: DataFrame, keys: Sequence[str], groups: i
 
 def small(df: DataFrame, rows: int | None) -> DataFrame:
     """Hint a broadcast when ``df`` is known to have at most ``rows`` rows and
-    that is little; otherwise leave the choice to Catalyst's size check."""
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+    they are small; otherwise leave the choice to Catalyst's size check."""
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripcast.durable import stored
 from tripcast.joins import small
 
-BLOCK = 2_000   # distinct points per block
-STRIP = 256     # rows of a tile held at a time
+BLOCK = 20_000   # distinct points per block: every point travels once for each block of its cluster
+STRIP = 64       # rows of a tile held at a time
 
 
 def _tile_sum(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -38,11 +39,12 @@ def pair_sums(
     pair of blocks becomes one group, so the work of a hot cluster is spread
     over as many tasks as it has block pairs. A task emits one sum. ``clusters``
     is the number of clusters, if known; ``weight`` counts members when the
-    points come folded.
+    points come folded. The folded points are stored when this is called, as
+    their number is needed before they are placed.
     """
     features = list(features)
-    folded = points.groupBy(cluster, *features).agg(
-        F.sum(F.lit(1) if weight is None else F.col(weight)).cast("double").alias("w"))
+    folded = stored(points.groupBy(cluster, *features).agg(
+        F.sum(F.lit(1) if weight is None else F.col(weight)).cast("double").alias("w")), "folded")
     sizes = folded.groupBy(cluster).agg(
         F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.sum("w").alias("n"))
     placed = folded.join(small(sizes.select(cluster, "blocks"), clusters), cluster).withColumn(

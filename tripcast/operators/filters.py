@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +24,21 @@ def on_weekdays(df: DataFrame, first: int, last: int, ts: str = PICKUP_TIME) ->
     return df.filter(tc.weekday_of(F.col(ts)).between(first, last))
 
 
-def study_period(df: DataFrame, ts: str = PICKUP_TIME) -> DataFrame:
-    """January and February 2024, Monday to Wednesday."""
-    return on_weekdays(in_period(df, "2024-01-01", "2024-03-01", ts), 0, 2, ts)
+@dataclass(frozen=True)
+class Period:
+    """Days from ``start`` to before ``end`` on weekdays ``first`` to ``last``."""
+
+    start: str
+    end: str
+    first: int = 0
+    last: int = 6
+
+
+STUDY = Period("2024-01-01", "2024-03-01", 0, 2)     # the reference's months, Monday to Wednesday
+
+
+def study_period(df: DataFrame, period: Period = STUDY, ts: str = PICKUP_TIME) -> DataFrame:
+    return on_weekdays(in_period(df, period.start, period.end, ts), period.first, period.last, ts)
 
 
 def with_trip_columns(df: DataFrame, ts: str = PICKUP_TIME) -> DataFrame:

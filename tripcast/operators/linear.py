@@ -181,6 +181,28 @@ def _descend(train, val, parameters, merge, split, rate, epochs, patience=None,
     return Path(at, losses, val_losses)
 
 
+WEIGHTS_SCHEMA = "output int, input int, weight double"     # the bias is the last input
+
+
+def weights_table(spark: SparkSession, weights: np.ndarray) -> DataFrame:
+    """A trained model as a table of parameters, ready to be saved."""
+    rows = [(o, i, float(weights[i, o])) for o in range(weights.shape[1]) for i in range(weights.shape[0])]
+    return spark.createDataFrame(rows, WEIGHTS_SCHEMA)
+
+
+def weights_from(table: DataFrame) -> np.ndarray:
+    """The weights of ``weights_table``: a start for further training, too."""
+    rows = table.select("output", "input", "weight").collect()     # the parameters of one model
+    if not rows:
+        raise ValueError("no parameters in the table")
+    out = np.full((1 + max(r["input"] for r in rows), 1 + max(r["output"] for r in rows)), np.nan)
+    for r in rows:
+        out[r["input"], r["output"]] = r["weight"]
+    if np.isnan(out).any():
+        raise ValueError("the table lacks some parameters")
+    return out
+
+
 def predict(df: DataFrame, xs: Sequence[str], weights: np.ndarray, name: str = "predicted") -> DataFrame:
     """Score windows with one output's weights, the bias last."""
     flat = np.asarray(weights, dtype=float).ravel()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripcast.durable import checkpointed
+from tripcast.durable import stored
 from tripcast.joins import small
 from tripcast.sources.trips import COORDINATES
 
@@ -22,14 +22,14 @@ def global_rank(df: DataFrame, by: Sequence[str], name: str = "rank") -> DataFra
 
     The rows are range-partitioned and sorted; a row's rank is its place in its
     partition plus the sizes of the partitions before. The ranged rows are
-    checkpointed in the shared folder, since two passes must see the same
-    partitions even after a lost executor.
+    stored in the shared folder, since two passes must see the same partitions
+    even after a lost executor.
     """
     ranged = (
         df.repartitionByRange(*by).sortWithinPartitions(*by)
         .withColumn("_at", F.monotonically_increasing_id())
     )
-    fixed = checkpointed(ranged)
+    fixed = stored(ranged, "ranged")
     part = F.shiftright("_at", _ROW_BITS)
     sizes = fixed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
@@ -62,6 +62,19 @@ def quantile_map(
 def quantile_map_coordinates(
     synth: DataFrame, real: DataFrame, synth_id: str, real_id: str
 ) -> DataFrame:
-    for column in COORDINATES:
-        synth = quantile_map(synth, real, column, synth_id, real_id)
-    return synth
+    """All coordinates mapped. Only ids and one coordinate at a time are ranked;
+    the mapped values come back to the rows in one join on the id, which must be
+    unique. A coordinate that the real side lacks becomes null."""
+    known = [c for c in COORDINATES if c in real.columns]
+    each = None
+    for column in known:
+        one = quantile_map(synth.select(synth_id, column), real, column, synth_id, real_id).select(
+            F.col(synth_id).alias("_id"), F.lit(column).alias("_axis"), F.col(column).alias("_value"))
+        each = one if each is None else each.unionByName(one)
+    lacking = {c: F.lit(None).cast("double") for c in COORDINATES if c not in known}
+    if each is None:
+        return synth.withColumns(lacking)
+    mapped = each.groupBy("_id").agg(
+        *[F.max(F.when(F.col("_axis") == c, F.col("_value"))).alias(c) for c in known])
+    rest = synth.drop(*known).join(mapped, F.col(synth_id) == F.col("_id"), "left")
+    return rest.withColumns(lacking).select(*synth.columns)

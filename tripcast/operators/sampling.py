@@ -48,7 +48,8 @@ def take_exact(df: DataFrame, groups: Sequence[str], plan: DataFrame, id_col: st
     """Keep ``keep`` of each group's ``n`` rows, without replacement.
 
     ``plan`` has one row per group: the group, ``n`` and ``keep``. Groups absent
-    from the plan are dropped.
+    from the plan are dropped. Ids must be unique: of rows that share the last
+    kept id all stay.
     """
     return _take(df, list(groups), *_stored(plan), id_col, seed)
 
@@ -61,10 +62,10 @@ def _take(df: DataFrame, groups: list[str], plan: DataFrame, count: int, id_col:
     contested = join_groups(narrow, short, groups, count).withColumn(
         "_lead", _lead(F.col("_n"), F.col("_key"))
     )
-    edges = join_same(_lead_counts(contested.select(*groups, "_lead"), groups), short, groups).filter(
+    edges = checkpointed(join_same(_lead_counts(contested.select(*groups, "_lead"), groups), short, groups).filter(
         (F.col("_before") < F.col("_keep"))
         & (F.col("_keep") <= F.col("_before") + F.col("_here"))
-    ).select(*groups, "_lead", "_n", (F.col("_keep") - F.col("_before")).alias("_need"))
+    ).select(*groups, "_lead", "_n", (F.col("_keep") - F.col("_before")).alias("_need")))
     along = W.partitionBy(*groups).orderBy("_key", "_id")
     cuts = (
         join_groups(contested.select(*groups, "_lead", "_key", "_id"), edges, [*groups, "_lead"], count)
@@ -151,7 +152,9 @@ def noisy_counts(sizes: DataFrame, seed: int, share: float = 0.05) -> DataFrame:
 
 
 def perturb_counts(df: DataFrame, id_col: str, seed: int, share: float = 0.05) -> DataFrame:
-    """Drop or duplicate random rows so each hour has its noisy count."""
+    """Drop or duplicate random rows so each hour has its noisy count. Rows
+    whose hour is null or not one of the 24 go. Ids must be unique."""
+    df = df.filter(F.col("hour").between(0, tc.HOURS_PER_DAY - 1))
     plan = noisy_counts(df.groupBy("hour").agg(F.count(F.lit(1)).alias("n")), seed, share)
     plan = plan.withColumns({
         "keep": F.least("goal", "n"), "draws": F.greatest(F.lit(0), F.col("goal") - F.col("n")),
@@ -164,10 +167,12 @@ def cap_groups(
     groups: Sequence[str] = (PICKUP_ZONE, DROPOFF_ZONE, "hour"),
 ) -> DataFrame:
     """At most ``ceil((1 + tolerance) * real)`` trips per group; groups the real
-    trips lack are dropped. Null keys form a group of their own, matched with
-    null. Keeps the id, the group and ``trips``."""
+    trips lack are dropped. A null zone is a group of its own, matched with
+    null; rows without an hour go. Keeps the id, the group and ``trips``."""
     groups = list(groups)
     narrow = synth.select(id_col, *groups, "trips")
+    if "hour" in groups:
+        narrow = narrow.filter(F.col("hour").isNotNull())
     plan = join_same(
         narrow.groupBy(*groups).agg(
             F.count(F.lit(1)).alias("n"), F.sum("trips").alias("n_synth")),

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripcast.joins import small
 from tripcast.sources.trips import DROPOFF_ZONE, PICKUP_ZONE
 
 GRID = 64                      # cells per axis of the location index
-BROADCAST_ROWS = 2_000_000     # largest (cell, box) table worth broadcasting
 
 
 def unique_zones(zones: DataFrame) -> DataFrame:
@@ -79,7 +79,6 @@ class BoxIndex:
         extent = zones.agg(
             F.min("minx").alias("x0"), F.max("maxx").alias("x1"),
             F.min("miny").alias("y0"), F.max("maxy").alias("y1"),
-            F.count(F.lit(1)).alias("zones"),
         ).first()
         self.x0, self.y0 = extent["x0"] or 0.0, extent["y0"] or 0.0
         self.dx = ((extent["x1"] or 0.0) - self.x0) / grid or 1.0
@@ -95,9 +94,7 @@ class BoxIndex:
                 asc=False,
             ).alias("boxes")
         )
-        # grid * grid cells, each naming a box at most once
-        bounded = (grid + 1) ** 2 * extent["zones"] <= BROADCAST_ROWS
-        self.cells = F.broadcast(boxes) if bounded else boxes
+        self.cells = small(boxes, touched.count())     # more rows than cells: one for each listed box
 
     def _cx(self, x: str):
         return F.floor((F.col(x) - F.lit(self.x0)) / F.lit(self.dx))

@@ -48,7 +48,7 @@ def cluster_points(trips: DataFrame, k: int, ridge: float, seed: int, max_passes
 
 
 def cluster_distances(
-    trips: DataFrame, k: int = st.COMPACT_K, ridge: float = st.COMPACT_RIDGE, share: float = 0.5,
+    trips: DataFrame, k: int = st.COMPACT_K, ridge: float = st.COMPACT_RIDGE, share: float = 1.0,
     zones: list[int] | None = None, id_col: str = "trip_id", seed: int = 42,
     max_passes: int = 100, tolerance: float = 1e-3,
 ) -> DataFrame:

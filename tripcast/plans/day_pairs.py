@@ -66,11 +66,12 @@ def train_kinds(
 def run(
     trips: DataFrame, ks: Sequence[int] = st.PAIR_KS, runs: int = 5, epochs: Sequence[int] = st.PAIR_EPOCHS,
     multiplier: float = 2, seed: int = 42, ridge: float = 1e-4, max_passes: int = 200, tolerance: float = 1e-3,
+    period: filters.Period = filters.STUDY,
 ) -> DataFrame:
     """Long result table ``data_type, metric, value, nc, epochs, seed`` from
     enriched trips, hourly slots."""
     spark = trips.sparkSession
-    real = filters.with_trip_columns(filters.study_period(trips))
+    real = filters.with_trip_columns(filters.study_period(trips, period))
     hours = checkpointed(demand.trips_per_hour(real))   # 24 rows
     lookup = dating.DateLookup(dating.date_probabilities(real))
     features = filters.MIXTURE_FEATURES

@@ -28,13 +28,14 @@ def hour_accuracy(test: DataFrame, models: dict[tuple, object], scaler: Scaler)
 
 
 def sweep(
-    trips: DataFrame, ks: Sequence[int] = st.SWEEP_KS, share: float = 1e-4, multiplier: int = 10,
+    trips: DataFrame, ks: Sequence[int] = st.SWEEP_KS, share: float = 1.0, multiplier: int = 10,
     id_col: str = "trip_id", seed: int = 42, epochs: int = 30, max_passes: int = 100, tolerance: float = 1e-3,
+    weekdays: tuple[int, int] = (1, 3),
 ) -> DataFrame:
     """One row per component count: ``kl``, ``wd`` and the accuracy of the model
     trained on real trips, tuned on synthetic ones, and trained on both."""
     spark = trips.sparkSession
-    rows = filters.complete(filters.on_weekdays(filters.with_trip_columns(trips), 1, 3), FEATURES)
+    rows = filters.complete(filters.on_weekdays(filters.with_trip_columns(trips), *weekdays), FEATURES)
     parted = splits.random_parts(sampling.sample_exact_share(rows, share, id_col, seed), id_col, seed)
     parted = checkpointed(parted.select(*FEATURES, "part"))
     part = lambda name: parted.filter(F.col("part") == name)

@@ -57,9 +57,10 @@ def run(
     trips: DataFrame, ks: Sequence[int] = (25, 30, 35), multiplier: float = 5,
     rates: Sequence[float] = (0.001, 0.01), epochs: Sequence[int] = (50, 100, 150, 200),
     seed: int = 42, max_passes: int = 100, tolerance: float = 1e-3,
+    weekdays: tuple[int, int] = (0, 2),
 ) -> DataFrame:
     """``nc, data_type, rate, epochs`` and the accuracy of each model."""
-    kept = filters.with_trip_columns(filters.on_weekdays(trips, 0, 2))
+    kept = filters.with_trip_columns(filters.on_weekdays(trips, *weekdays))
     real = demand.day_hours(kept).select("date", "slot", "trips")
     parts = []
     for k in ks:

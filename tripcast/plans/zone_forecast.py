@@ -82,6 +82,7 @@ def run(
     trips: DataFrame, zones: DataFrame, k: int = st.CHOSEN_K, ridge: float = st.CHOSEN_RIDGE,
     multiplier: float = st.SYNTHETIC_MULTIPLIER, trials: int = 20, seed: int = 42,
     rezone_real: bool = True, fit_dates_on: str = "all", max_passes: int = 200, tolerance: float = 1e-3,
+    period: filters.Period = filters.STUDY,
 ) -> DataFrame:
     """One row per kind: the chosen trial and its R², SMAPE and MAE.
 
@@ -90,7 +91,7 @@ def run(
     dates out of the date distribution.
     """
     spark = trips.sparkSession
-    real = filters.with_trip_columns(filters.study_period(trips))
+    real = filters.with_trip_columns(filters.study_period(trips, period))
     features = filters.MIXTURE_FEATURES
     complete = splits.split_by_weeks(filters.complete(real, features))
     folded = checkpointed(mixture.fold_points(complete.filter(F.col("part") == "train"), features))
