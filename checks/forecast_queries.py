@@ -11,10 +11,11 @@ from checks.demand_queries import named_trips
 from checks.fixtures import SEED, given, u_sql
 from checks.registry import query, r6, text
 from checks.window_queries import _HOUR_WINDOWS, _PAIRS, _WEEKS, hour_series
-from tripcast.durable import checkpointed
+from tripcast.durable import checkpointed, new_folder
 from tripcast.functions.vectors import moving_average_matrix
 from tripcast.operators import demand, linear, metrics, scaling, splits, windows
 from tripcast.plans import day_pairs, hour_model, series_models, zone_forecast
+from tripcast.sources import sinks
 from tripcast.sources.trips import COORDINATES
 
 XS = [f"x{k}" for k in range(4)]
@@ -196,6 +197,19 @@ def _(spark, sf):
     return out.select("epochs", *[F.round(c, _PLACES[c]).alias(c) for c in ("r2", "smape", "mae", "rmse")])
 
 
+@query("s9_linear_weights", given("day_hours", _SPLIT_SUMS + adam_sql("path", "g", "h", 4, _start(SEED), 0.01, 150) + """
+SELECT 0 AS output, unnest(range(5))::INT AS input, unnest([round(w0, 6), round(w1, 6), round(w2, 6), round(w3, 6), round(w4, 6)]) AS weight
+FROM path WHERE e = 150""").replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, sf):
+    w = windows.chronological_split(hour_windows(spark, sf))
+    train, val = (linear.Products.collect(w.filter(F.col("part") == p), XS, "y") for p in ("train", "val"))
+    path = new_folder(spark, "linear")
+    trained = linear.gradient_path(train, val, linear.initial_weights(4, 1, SEED), 0.01, [150]).at[150]
+    sinks.save_model(linear.weights_table(spark, trained), path)
+    back = linear.weights_from(sinks.load_model(spark, path))
+    return linear.weights_table(spark, back).select("output", "input", r6("weight"))
+
+
 @query("m15_score_windows", given("day_hours", _HOUR_WINDOWS + """
 SELECT pos, round(0.1 * x0 + 0.2 * x1 + 0.3 * x2 + 0.4 * x3 + 1.5, 6) AS predicted FROM w WHERE y IS NOT NULL"""))
 def _(spark, sf):
@@ -395,8 +409,9 @@ def part_grids(spark, sf):
         p: demand.demand_grid(checkpointed(demand.zone_demand(parted.filter(F.col("part") == p))), z) for p in ("train", "val")}
 
 
-def _heads_sql(rate, epochs, zones=25):
-    """The two-headed model's epochs, one row per zone: heads s and t."""
+def _heads_sql(rate, epochs, zones=25, tag=""):
+    """The two-headed model's epochs, one row per zone: heads s and t. ``tag``
+    marks the tables of one trial."""
     smooth = moving_average_matrix(L)
     at = range(L + 1)
     draw = [linear.initial_weights(L, zones, SEED), linear.initial_weights(L, zones, SEED + 1)]
@@ -421,14 +436,14 @@ def _heads_sql(rate, epochs, zones=25):
     mv = ", ".join([f"m{h}" for h in heads] + [f"v{h}" for h in heads])
     zero = ", ".join(f"{_num(0)} AS {c}{h}" for c in "mv" for h in heads)
     return f"""
-st(e, zone, {keep}) AS (
+st{tag}(e, zone, {keep}) AS (
   SELECT 0 AS e, zone, {', '.join(heads)}, {zero} FROM (VALUES {values}) i({', '.join(names)})
   UNION ALL
   SELECT e, zone, {stepped}, {mv} FROM (
     SELECT e, zone, {', '.join(heads)}, {moved} FROM (
       SELECT *, {', '.join(ds + dt)} FROM (
-        SELECT q.*, {', '.join(grad)} FROM (SELECT e + 1 AS e, zone, {keep}, {', '.join(merged)} FROM st WHERE e < {epochs}) q JOIN sums g ON g.zone = q.zone) r) u) x),
-fin AS (SELECT zone, {', '.join(merged)} FROM st WHERE e = {epochs})"""
+        SELECT q.*, {', '.join(grad)} FROM (SELECT e + 1 AS e, zone, {keep}, {', '.join(merged)} FROM st{tag} WHERE e < {epochs}) q JOIN sums g ON g.zone = q.zone) r) u) x),
+fin{tag} AS (SELECT zone, {', '.join(merged)} FROM st{tag} WHERE e = {epochs})"""
 
 
 @query("m12_train_zone_model", given("trips zones", _ZONE_SUMS + "," + _part_windows("val") + f""",
@@ -441,10 +456,29 @@ def _(spark, sf):
     return out.select(r6("r2"), r6("smape"), F.round("mae", 4).alias("mae"))
 
 
-@query("m13_zone_trials")
+_TRIALS = linear.random_trials(6, SEED)
+
+
+def _trials_sql():
+    """Every trial trained on its own; R² over all zones and averaged over them."""
+    each = [
+        f"SELECT {i} AS trial, {_num(rate)} AS rate, {epochs} AS epochs, v.zone, v.y, "
+        f"{_predicted(f'fin{i}', [f'x{k}' for k in range(L)])} AS p FROM val_w v JOIN fin{i} ON fin{i}.zone = v.zone"
+        for i, (rate, epochs) in enumerate(_TRIALS)]
+    return ",".join(_heads_sql(rate, epochs, tag=str(i)) for i, (rate, epochs) in enumerate(_TRIALS)) + f""",
+sco AS ({' UNION ALL '.join(each)}),
+per AS (SELECT trial, zone, var_pop(y) * count(y) AS sst, sum((y-p)*(y-p)) AS sse FROM sco GROUP BY 1, 2),
+means AS (SELECT trial, round(avg(CASE WHEN sst <> 0 THEN 1 - sse / sst WHEN sse = 0 THEN 1 ELSE 0 END), 6) AS r2_mean FROM per GROUP BY 1)
+SELECT 'real' AS kind, trial, rate, epochs, r2_mean, r2, smape, mae
+FROM ({_accuracy_sql('sco', by='trial, rate, epochs')}) q JOIN means USING (trial)"""
+
+
+@query("m13_zone_trials", given("trips zones", _ZONE_SUMS + "," + _part_windows("val") + f""",
+sums AS ({sums_sql('train_w', L, 'zone')}),""" + _trials_sql()).replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, sf):
     w = {p: checkpointed(linear.channel_mean_windows(g, L)) for p, g in part_grids(spark, sf).items()}
-    return zone_forecast.trial_metrics(spark, w["train"], w["val"], "real", linear.random_trials(6, SEED), SEED)
+    out = zone_forecast.trial_metrics(spark, w["train"], w["val"], "real", _TRIALS, SEED)
+    return out.select("kind", "trial", "rate", "epochs", r6("r2_mean"), r6("r2"), r6("smape"), F.round("mae", 4).alias("mae"))
 
 
 @query("m14_zone_forecast_experiment")

@@ -27,13 +27,17 @@ def _(spark, sf):
 
 
 @query("m1_scale_and_back", given("reals", """+
-k AS (SELECT *, avg(PU_longitude) OVER () AS m, stddev_pop(PU_longitude) OVER () AS s FROM reals WHERE PU_longitude IS NOT NULL)
-SELECT trip_id, round((PU_longitude - m) / s, 6) + 0.0 AS scaled, round(PU_longitude, 6) AS back FROM k"""))
+k AS (SELECT * FROM reals WHERE PU_longitude IS NOT NULL)
+SELECT trip_id, """ + ", ".join(
+    f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) + 0.0 AS {c}_scaled, round({c}, 6) + 0.0 AS {c}_back"
+    for c in FEATURES) + " FROM k"))
 def _(spark, sf):
     rows = complete(spark, sf)
     s = scaling.Scaler.fit(rows, FEATURES)
-    scaled = s.transform(rows).withColumn("scaled", F.col("PU_longitude"))
-    return s.inverse(scaled).select("trip_id", (F.round("scaled", 6) + F.lit(0.0)).alias("scaled"), r6("PU_longitude", "back"))
+    scaled = s.transform(rows).withColumns({f"{c}_scaled": F.col(c) for c in FEATURES})
+    return s.inverse(scaled).select(
+        "trip_id", *[(F.round(f"{c}_scaled", 6) + F.lit(0.0)).alias(f"{c}_scaled") for c in FEATURES],
+        *[(F.round(c, 6) + F.lit(0.0)).alias(f"{c}_back") for c in FEATURES])
 
 
 @query("m1_fold_points", given("reals", """
@@ -230,12 +234,13 @@ def _(spark, sf):
 
 @query("m5_draw_trips", given("reals", _ROWS_P + "," + _points_sql() + """
 SELECT id AS sample_id, CAST(round_even((atan2(sin_hr, cos_hr) / (2 * pi()) + CASE WHEN atan2(sin_hr, cos_hr) < 0 THEN 1 ELSE 0 END) * 24, 0) AS INT) % 24 AS hour,
-  round(PU_longitude, 6) AS lon, 1 AS trips FROM drawn"""))
+  round(PU_longitude, 6) AS pu_lon, round(PU_latitude, 6) AS pu_lat, round(DO_longitude, 6) AS do_lon, round(DO_latitude, 6) AS do_lat, 1 AS trips FROM drawn"""))
 def _(spark, sf):
     rows = complete(spark, sf).count()
     plain = scaling.Scaler(FEATURES, [0.0] * 6, [1.0] * 6)
     drawn = mixture.draw_trips(spark, weekday_mixture(spark, sf), rows, plain, SEED)
-    return drawn.select("sample_id", "hour", r6("PU_longitude", "lon"), "trips")
+    return drawn.select("sample_id", "hour", r6("PU_longitude", "pu_lon"), r6("PU_latitude", "pu_lat"),
+                        r6("DO_longitude", "do_lon"), r6("DO_latitude", "do_lat"), "trips")
 
 
 def _scaled_points(spark, sf):
