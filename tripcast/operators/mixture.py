@@ -15,11 +15,11 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripcast.durable import forget, stored
 from tripcast.functions import hashing, timecols as tc
 
 START_ROUNDS = 4          # nearest-centre rounds of a start
@@ -280,10 +280,11 @@ def fit_mixtures(
     A candidate stops when its mean log-likelihood gains less than
     ``tolerance``, and only then is marked ``converged``; the rest go on without
     it. ``starts`` gives each candidate's first parameters, in place of a start
-    drawn from the points. Repeated points are added up first.
+    drawn from the points. Repeated points are added up and stored first; every
+    pass reads that table.
     """
     features = list(features)
-    kept = points.groupBy(*features).agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = stored(points.groupBy(*features).agg(F.sum("n").alias("n")), "points")
     try:
         size = kept.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("points")).first()
         if not size["points"]:
@@ -313,7 +314,7 @@ def fit_mixtures(
         ends = _gather(work, features, models)
         return [(m, likelihood) for m, (_, likelihood) in zip(models, ends)]
     finally:
-        kept.unpersist()
+        forget(kept)
 
 
 def fit_mixture(

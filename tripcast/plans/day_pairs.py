@@ -48,7 +48,9 @@ def train_kinds(
     patience: int = 10, min_delta: float = 1e-4, width: int = st.WINDOW,
 ) -> DataFrame:
     """Long metrics ``data_type, metric, value, epochs`` of each kind's models on
-    the real validation windows."""
+    the real validation windows. The pairs, at most a row a slot and day, are
+    stored first: each kind is trained and scored from one count of its trips."""
+    pairs = {kind: checkpointed(frame) for kind, frame in pairs.items()}
     xs = [f"x{k}" for k in range(width)]
     validation = weighted_windows(pairs["real"], "val", width)
     val = linear.Products.collect(validation, xs, "y")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripcast.durable import checkpointed
@@ -37,16 +37,10 @@ def train_series(
         "rate", "epochs", "r2", "smape", "mae", "mse", "rmse")
 
 
-def drawn_series(trips: DataFrame, k: int, multiplier: float, seed: int, max_passes: int = 100, tolerance: float = 1e-3) -> DataFrame:
+def drawn_series(spark: SparkSession, model: mixture.Mixture, scaler: Scaler, rows: int, seed: int) -> DataFrame:
     """Hourly counts of trips drawn from a mixture of day, hour and coordinates.
     Days and hours are rounded, not wrapped: hours -1 and 24 may appear."""
-    dated = trips.withColumn("day", tc.day_number(tc.date_of(F.col(PICKUP_TIME))))
-    folded = checkpointed(mixture.fold_points(dated, FEATURES))
-    scaler = Scaler.fit(folded, FEATURES, weight="n")
-    total = int(folded.agg(F.sum("n")).first()[0])
-    model = mixture.fit_mixture(
-        scaler.transform(folded), FEATURES, k, 1e-6, "full", max_passes, tolerance, seed)
-    drawn = scaler.inverse(mixture.draw(trips.sparkSession, model, int(total * multiplier), FEATURES, seed))
+    drawn = scaler.inverse(mixture.draw(spark, model, rows, FEATURES, seed))
     keyed = drawn.select(
         tc.date_from_day_number(F.col("day")).alias("date"), F.rint("hour").cast("int").alias("slot"),
         F.lit(1).alias("trips"))
@@ -59,14 +53,23 @@ def run(
     seed: int = 42, max_passes: int = 100, tolerance: float = 1e-3,
     weekdays: tuple[int, int] = (0, 2),
 ) -> DataFrame:
-    """``nc, data_type, rate, epochs`` and the accuracy of each model."""
+    """``nc, data_type, rate, epochs`` and the accuracy of each model. The trips
+    are counted once and folded once; all mixtures share the passes of the fit."""
     kept = filters.with_trip_columns(filters.on_weekdays(trips, *weekdays))
-    real = demand.day_hours(kept).select("date", "slot", "trips")
+    real = checkpointed(demand.day_hours(kept).select("date", "slot", "trips"))   # 24 rows a day
+    dated = kept.withColumn("day", tc.day_number(tc.date_of(F.col(PICKUP_TIME))))
+    folded = checkpointed(mixture.fold_points(dated, FEATURES))
+    scaler = Scaler.fit(folded, FEATURES, weight="n")
+    total = int(folded.agg(F.sum("n")).first()[0])
+    fitted = mixture.fit_mixtures(
+        scaler.transform(folded), FEATURES, [mixture.Candidate(k, 1e-6, "full", seed) for k in ks],
+        max_passes, tolerance, seed)
+    alone = checkpointed(train_series(real, rates, epochs, seed))   # the same beside every mixture
     parts = []
-    for k in ks:
-        both = demand.add_series(real, drawn_series(kept, k, multiplier, seed, max_passes, tolerance))
-        for kind, series in (("real", real), ("real_synthetic", both)):
-            table = train_series(series, rates, epochs, seed)
+    for k, (model, _) in zip(ks, fitted):
+        drawn = drawn_series(trips.sparkSession, model, scaler, int(total * multiplier), seed)
+        both = train_series(demand.add_series(real, drawn), rates, epochs, seed)
+        for kind, table in (("real", alone), ("real_synthetic", both)):
             parts.append(table.select(F.lit(k).alias("nc"), F.lit(kind).alias("data_type"), "*"))
     out = parts[0]
     for part in parts[1:]:
