@@ -12,6 +12,7 @@ and packed again; a round counts only if it needs fewer bins than before.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -37,18 +38,22 @@ class Encoder:
     """Byte-level BPE ids of a text as little-endian 32-bit numbers.
 
     The rank file holds the same vocabulary as the JSON file of the tokenizers
-    library, and tests hold both to the same ids.
+    library, whose added tokens are one id each where a text spells them out.
+    Tests hold both to the same ids.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, json_path: str, pattern: str):
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        with open(json_path, encoding="utf-8") as whole:
+            added = {t["content"]: t["id"] for t in json.load(whole)["added_tokens"]}
+        ranks = {word: i for word, i in ranks.items() if i not in added.values()}
+        self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
     def __call__(self, text: str) -> bytes:
-        return array("I", self.bpe.encode_ordinary(text)).tobytes()
+        return array("I", self.bpe.encode(text, allowed_special="all")).tobytes()
 
 
 def public_encoder() -> Callable[[], Encoder]:
@@ -56,7 +61,9 @@ def public_encoder() -> Callable[[], Encoder]:
     def make() -> Encoder:
         import public_tokenizers
 
-        return Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+        return Encoder(
+            public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"),
+            public_tokenizers.PATTERN)
     return make
 
 
