@@ -1,6 +1,7 @@
 """Packing, SimHash, sharding, quality, lines and the pipeline on small tables."""
 
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -71,6 +72,24 @@ def test_encoder_agrees_with_tokenizers(text):
     assert np.frombuffer(encode(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
 
 
+def test_repeated_rows_spread_over_groups(spark, monkeypatch, tmp_path):
+    pack_group = packing._pack_group
+
+    def counted(capacity):
+        run = pack_group(capacity)
+
+        def count(rows):
+            (tmp_path / uuid.uuid4().hex).write_text(str(len(rows)))
+            return run(rows)
+        return count
+    monkeypatch.setattr(packing, "_pack_group", counted)
+    same = spark.range(20_000).selectExpr(
+        "CAST(NULL AS LONG) AS doc_id", "0 AS piece", "0L AS start", "100L AS length", "7L AS ids_crc32")
+    got = packing.pack(same, 1024, group=500, rounds=1).toPandas()
+    assert len(got) == 20_000 and max(int(f.read_text()) for f in tmp_path.iterdir()) < 1_000
+    check_packed(got, 1024)
+
+
 def test_packing_covers_all(odd, spark):
     got = packing.pack_documents(odd).toPandas()
     check_packed(got, 1024)

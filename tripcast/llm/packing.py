@@ -1,6 +1,7 @@
 """Packing token sequences: best fit decreasing, certified by dual feasible functions.
 
-Pieces are dealt by hash into small groups. Each group packs its pieces by best
+Pieces are dealt by a hash of their row number into small groups, so that
+repeated rows spread like any others. Each group packs its pieces by best
 fit decreasing and takes the best lower bound of two families of dual feasible
 functions (Fekete and Schepers, 2001). A group whose bins equal its bound is
 certified; there only the loosest bin goes on, since the bound's rounding leaves
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripcast.durable import forget, stored
-from tripcast.llm.arrow import long_rows
+from tripcast.llm.arrow import fresh, long_rows
 
 CAPACITY = 1024
 SEPARATOR = 2
@@ -173,16 +174,16 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
     come. An empty table packs into none. At the end each sequence's offsets are
     gapless from 0.
     """
-    columns = parts.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
+    (row,) = fresh(parts, "row")
+    rest = stored(parts.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    columns = rest.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     out = fields + ", bin long, offset long, goes_on boolean, certified boolean"
-    rest = stored(parts, "pieces")
     full = rest.filter(F.col("length") >= capacity).select(
         *columns, F.monotonically_increasing_id().alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     settled = [full]
     pool, open_bins = rest.filter(F.col("length") < capacity), None
-    order = [c for c in ("doc_id", "piece", "ids_crc32") if c in columns]
     previous = None
     for turn in range(1, rounds + 1):
         n = pool.count()
@@ -190,7 +191,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
             previous = None
             break
         groups = max(1, -(-n // (group << (turn - 1))))     # fewer pieces each round, in larger groups
-        dealt = pool.withColumn("_group", F.pmod(F.xxhash64(F.lit(turn), *order), F.lit(groups)))
+        dealt = pool.withColumn("_group", F.pmod(F.xxhash64(F.lit(turn), row), F.lit(groups)))
         packed = stored(dealt.groupBy("_group").applyInPandas(
             _with_group(_pack_group(capacity), columns), f"_group long, {out}"), "packed")
         bins = packed.select("_group", "bin").distinct().count()
@@ -211,7 +212,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
     out_rows = settled[0]
     for more in settled[1:]:
         out_rows = out_rows.unionByName(more)
-    return out_rows
+    return out_rows.drop(row)
 
 
 def _with_group(pack_group, columns):
