@@ -8,7 +8,10 @@ the query's length and the part's greatest one. Above 1 the part is skipped. Oth
 the threshold chooses how the part is pruned: a high one by coordinates (on the
 query's largest coordinates a vector must lie in the range the threshold
 leaves), a low one by length (vectors long enough to reach the bound at all).
-What is left is verified by exact integer products.
+What is left is verified by exact integer products. Queries pruned by length
+keep a run of the longest vectors each and are verified together. A block of
+queries goes only to vectors long enough for one of them, so what no bound
+allows is not shuffled.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from tripcast.llm.vectors import usable
 K = 10
 SCALE = 1024
 PART = 4096            # vectors of a part
-QUERIES = 512          # queries of a block
+QUERIES = 4096         # queries of a block
+STRIP = 256            # queries multiplied at a time
 STEPS = 8              # norm buckets per doubling of the length
 SEED_PARTS = 2         # longest parts that give the first bounds
 FOCUS = 4              # coordinates tested when pruning by coordinates
@@ -80,6 +84,20 @@ def candidates(query: np.ndarray, norm: float, bound: float, part: np.ndarray, n
     return rows
 
 
+def _scores(queries: np.ndarray, part: np.ndarray, kept: list[np.ndarray]) -> list[np.ndarray]:
+    """Each query's exact products with its kept rows. Where those are the first
+    rows of the part, the queries share one product."""
+    runs = [i for i, rows in enumerate(kept) if len(rows) and rows[-1] + 1 == len(rows)]
+    out = [np.zeros(0, np.int64)] * len(kept)
+    if runs:
+        together = _exact(queries[runs], part[:max(len(kept[i]) for i in runs)])
+        for at, i in enumerate(runs):
+            out[i] = together[at, :len(kept[i])]
+    for i in set(range(len(kept))).difference(runs):
+        out[i] = _exact(queries[i:i + 1], part[kept[i]])[0]
+    return out
+
+
 def _search(k: int, prune: bool):
     def run(key: tuple, queries: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
@@ -88,20 +106,22 @@ def _search(k: int, prune: bool):
         part = part.sort_values(["norm", "vec_id"], ascending=[False, True])
         q, p = (np.stack(f["whole"].to_numpy()).astype(np.int64) for f in (queries, part))
         ids, norms = part["vec_id"].to_numpy(), part["norm"].to_numpy()
-        plain = p.astype(np.float64)
+        asking, lengths, bounds = (queries[c].to_numpy() for c in ("vec_id", "norm", "bound"))
+        plain, everything = p.astype(np.float64), np.arange(len(p))
         out = []
-        for i, (qid, norm, bound) in enumerate(zip(queries["vec_id"], queries["norm"], queries["bound"])):
-            rows = candidates(q[i].astype(np.float64), norm, bound, plain, norms) if prune and bound == bound else (
-                np.arange(len(p)))
-            rows = rows[ids[rows] != qid]
-            if not len(rows):
-                continue
-            scores = _exact(q[i:i + 1], p[rows])[0]
-            if prune and bound == bound:
-                rows, scores = rows[scores >= bound], scores[scores >= bound]
-            best = _best(scores, ids[rows], k)
-            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[rows][best], "score": scores[best]}))
-        return pd.concat(out) if out else empty
+        for low in range(0, len(q), STRIP):
+            strip = range(low, min(low + STRIP, len(q)))
+            kept = [
+                candidates(q[i].astype(np.float64), lengths[i], bounds[i], plain, norms)
+                if prune and bounds[i] == bounds[i] else everything for i in strip]
+            for i, rows, scores in zip(strip, kept, _scores(q[low:low + STRIP], p, kept)):
+                good = ids[rows] != asking[i]
+                if prune and bounds[i] == bounds[i]:
+                    good &= scores >= bounds[i]
+                rows, scores = rows[good], scores[good]
+                best = _best(scores, ids[rows], k)
+                out.append((np.full(len(best), asking[i]), ids[rows][best], scores[best]))
+        return pd.DataFrame(dict(zip(empty.columns, map(np.concatenate, zip(*out)))))
     return run
 
 
@@ -143,22 +163,29 @@ def top_products(
         "vec_id", "row.*")
     blocks = max(1, -(-asking.count() // QUERIES))
     asking = stored(asking.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "queries")
-    numbered = good.select("vec_id", "whole", "norm", "dim", "bucket").join(
-        sizes.select("dim", "bucket", F.ceil(F.col("n") / F.lit(PART)).cast("int").alias("parts")), ["dim", "bucket"])
-    dealt = numbered.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("parts")
+    dealt = good.select("vec_id", "whole", "norm", "dim", "bucket").join(
+        sizes.select("dim", "bucket", F.ceil(F.col("n") / F.lit(PART)).cast("int").alias("parts")), ["dim", "bucket"]
+    ).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
     rank = F.row_number().over(W.partitionBy("dim").orderBy(F.desc("bucket"), "part"))
     longest = grid.withColumn("rank", rank).filter(F.col("rank") <= SEED_PARTS).select(
         "dim", "bucket", "part", F.lit(True).alias("first"))
     placed = stored(grid.join(longest, ["dim", "bucket", "part"], "left").select(
-        "dim", "bucket", "part", F.coalesce("first", F.lit(False)).alias("first")), "placed")
+        "dim", "bucket", "part", F.coalesce("first", F.lit(False)).alias("first"),
+        F.pow(F.lit(2.0), (F.col("bucket") + 1) / F.lit(STEPS)).alias("longest")), "placed")
     fields = ["vec_id", "whole", "norm", "bound", "block", "dim", "bucket", "part"]
 
     def meet(queries: DataFrame, first: bool) -> DataFrame:
-        some = placed.filter(F.col("first") == first).select("dim", "bucket", "part")
-        return _met(
-            queries.join(some, "dim").select(*fields),
-            dealt.join(some, ["dim", "bucket", "part"]), k, prune=not first)
+        some = placed.filter(F.col("first") == first).drop("first")
+        # a vector shorter than this can't reach the query's bound
+        need = F.when((F.col("bound") > 0) & ~F.isnan("bound") & (F.col("norm") > 0), F.col("bound") / F.col("norm"))
+        queries = queries.withColumn("need", F.coalesce(need, F.lit(0.0)) * (1 - SLACK))
+        blocks = stored(
+            queries.groupBy("dim", "block").agg(F.min("need").alias("need"))
+            .groupBy("dim").agg(F.collect_list(F.struct("block", "need")).alias("blocks")), "blocks")
+        sent = dealt.join(some.drop("longest"), ["dim", "bucket", "part"]).join(blocks, "dim").withColumn(
+            "block", F.explode(F.filter("blocks", lambda b: b["need"] <= F.col("norm"))["block"])).drop("blocks")
+        asked = queries.join(some, "dim").filter(F.col("need") <= F.col("longest"))
+        return _met(asked.select(*fields), sent, k, prune=not first)
     seeds = stored(meet(asking.withColumn("bound", F.lit(float("nan"))), True), "seeds")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     bounds = stored(
