@@ -142,13 +142,13 @@ def _(spark, sf):
         for c in range(new.k)], "component long, weight double, m0 double, m1 double, v00 double, v01 double, v11 double")
 
 
-def _pass_sql(before, after, ridge):
+def _pass_sql(before, after, ridge, features=FEATURES):
     """One expectation and maximisation from parameter table to parameter table."""
     updates = ", ".join(
         f"sum(g * {c}) / sum(g) AS m{i}, sum(g * {c} * {c}) / sum(g) - (sum(g * {c}) / sum(g)) * (sum(g * {c}) / sum(g)) + {ridge} AS v{i}"
-        for i, c in enumerate(FEATURES))
+        for i, c in enumerate(features))
     return f"""
-{after}_j AS (SELECT r.*, p.c, {_joint(FEATURES)} AS lp FROM rows r CROSS JOIN {before} p),
+{after}_j AS (SELECT r.*, p.c, {_joint(features)} AS lp FROM rows r CROSS JOIN {before} p),
 {after}_g AS (SELECT *, exp(lp - mx) / sum(exp(lp - mx)) OVER (PARTITION BY trip_id) AS g FROM (SELECT *, max(lp) OVER (PARTITION BY trip_id) AS mx FROM {after}_j) x),
 {after} AS (SELECT c, sum(g) / (SELECT count(*) FROM rows) AS w, {updates} FROM {after}_g GROUP BY c)"""
 
@@ -361,3 +361,41 @@ def _(spark, sf):
 @query("d1_wednesday_report")
 def _(spark, sf):
     return compactness.wednesday_evening(fx.enriched(spark, sf), k=6, max_passes=10).report
+
+
+# The reports once more, from a start that SQL can follow: five groups of pickup zones.
+def _report_sql(ridge, evening):
+    scaled = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in _TRIP_FEATURES)
+    gap = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _TRIP_FEATURES)
+    return f"""+
+rows AS (SELECT trip_id, PULocationID % 5 AS label, hour AS h, weekday AS wd, {scaled} FROM reals
+  WHERE PU_longitude IS NOT NULL AND DO_longitude IS NOT NULL AND PULocationID BETWEEN 0 AND 24),
+p AS {_components(_TRIP_FEATURES, 'label', 'rows')}, {_pass_sql('p', 'p1', ridge, _TRIP_FEATURES)},
+{_pass_sql('p1', 'p2', ridge, _TRIP_FEATURES)},
+placed AS (SELECT trip_id, arg_max(c, lp) AS cluster FROM (SELECT r.trip_id, p.c, {_joint(_TRIP_FEATURES)} AS lp FROM rows r CROSS JOIN p2 p) x GROUP BY 1),
+ev AS (SELECT * FROM rows JOIN placed USING (trip_id) {_AT_18 if evening else ''}),
+pairs AS (SELECT a.cluster, avg(sqrt({gap})) AS m FROM ev a JOIN ev b ON a.cluster = b.cluster AND a.trip_id < b.trip_id GROUP BY 1)
+"""
+
+
+def _zone_start(spark, sf):
+    rows = filters.from_zones(filters.complete(fx.real(spark, sf), _TRIP_FEATURES), range(25))
+    scaled = scaling.Scaler.fit(rows, _TRIP_FEATURES).transform(rows)
+    return mixture_from_labels(scaled.withColumn("label", F.col("PULocationID") % 5), "label", _TRIP_FEATURES, "diag")
+
+
+@query("d2_compactness_from_start", given("reals", _report_sql(RIDGE, False) + """
+SELECT CAST(r.c AS INT) AS cluster, coalesce(round(m, 6), 0) AS mean_distance FROM (SELECT unnest(range(5)) AS c) r LEFT JOIN pairs ON pairs.cluster = r.c"""))
+def _(spark, sf):
+    out = compactness.cluster_distances(
+        fx.enriched(spark, sf), 5, RIDGE, zones=list(range(25)), max_passes=2, tolerance=-1.0, start=_zone_start(spark, sf))
+    return out.select("cluster", r6("mean_distance"))
+
+
+@query("d1_wednesday_from_start", given("reals", _report_sql(1e-6, True) + """
+SELECT CAST(c.cluster AS INT) AS cluster, round(m, 6) AS mean_distance
+FROM (SELECT DISTINCT cluster FROM ev) c LEFT JOIN pairs USING (cluster)"""))
+def _(spark, sf):
+    trips = filters.from_zones(fx.enriched(spark, sf), range(25))
+    report = compactness.wednesday_evening(trips, 5, max_passes=2, tolerance=-1.0, start=_zone_start(spark, sf)).report
+    return report.select("cluster", r6("mean_distance"))

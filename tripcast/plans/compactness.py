@@ -37,12 +37,17 @@ class Clustering:
         return mixture.assign_clusters(self.scaler.transform(trips), FEATURES, self.model)
 
 
-def cluster_points(trips: DataFrame, k: int, ridge: float, seed: int, max_passes: int, tolerance: float) -> Clustering:
-    """Fit and assign on the folded points: far fewer than trips."""
+def cluster_points(
+    trips: DataFrame, k: int, ridge: float, seed: int, max_passes: int, tolerance: float,
+    start: mixture.Mixture | None = None,
+) -> Clustering:
+    """Fit and assign on the folded points: far fewer than trips. ``start`` gives
+    the first parameters over the standardised features, and the covariance kind."""
     folded = checkpointed(mixture.fold_points(trips, FEATURES))
     scaler = Scaler.fit(folded, FEATURES, weight="n")
-    model = mixture.fit_mixture(
-        scaler.transform(folded), FEATURES, k, ridge, "full", max_passes, tolerance, seed)
+    candidate = mixture.Candidate(k, ridge, start.kind if start else "full", seed)
+    (model, _), = mixture.fit_mixtures(
+        scaler.transform(folded), FEATURES, [candidate], max_passes, tolerance, seed, [start] if start else None)
     kept = folded.withColumns({"raw_hour": F.col("hour"), "raw_weekday": F.col("weekday")})
     return Clustering(mixture.assign_clusters(scaler.transform(kept), FEATURES, model), scaler, model)
 
@@ -50,14 +55,14 @@ def cluster_points(trips: DataFrame, k: int, ridge: float, seed: int, max_passes
 def cluster_distances(
     trips: DataFrame, k: int = st.COMPACT_K, ridge: float = st.COMPACT_RIDGE, share: float = 1.0,
     zones: list[int] | None = None, id_col: str = "trip_id", seed: int = 42,
-    max_passes: int = 100, tolerance: float = 1e-3,
+    max_passes: int = 100, tolerance: float = 1e-3, start: mixture.Mixture | None = None,
 ) -> DataFrame:
     """``cluster, mean_distance`` over a share of the study-area trips; clusters
     with fewer than two members report 0."""
     rows = filters.complete(filters.with_trip_columns(trips), FEATURES)
     rows = filters.from_zones(rows, STUDY_ZONES if zones is None else zones)
     rows = sampling.sample_exact_share(rows, share, id_col, seed)
-    found = cluster_points(rows, k, ridge, seed, max_passes, tolerance)
+    found = cluster_points(rows, k, ridge, seed, max_passes, tolerance, start)
     return distance.mean_pair_distance(found.points, "cluster", FEATURES, 0.0, range(k), weight="n")
 
 
@@ -71,11 +76,12 @@ class Evening:
 
 
 def wednesday_evening(
-    trips: DataFrame, k: int = st.BUSY_K, seed: int = 42, max_passes: int = 100, tolerance: float = 1e-3
+    trips: DataFrame, k: int = st.BUSY_K, seed: int = 42, max_passes: int = 100, tolerance: float = 1e-3,
+    start: mixture.Mixture | None = None,
 ) -> Evening:
     """Clusters fitted on all trips, measured on Wednesdays at 18 h."""
     rows = filters.complete(filters.with_trip_columns(trips), FEATURES)
-    found = cluster_points(rows, k, 1e-6, seed, max_passes, tolerance)
+    found = cluster_points(rows, k, 1e-6, seed, max_passes, tolerance, start)
     points = found.points.filter((F.col("raw_hour") == 18) & (F.col("raw_weekday") == 2))
     distances = distance.mean_pair_distance(points, "cluster", FEATURES, None, weight="n")
     evening = found.place(filters.at_hour_on(rows, 18, 2))
