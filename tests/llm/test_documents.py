@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tripcast.llm import lines, packing, quality, sharding, simhash
+from tripcast.llm import lines, packing, quality, sharding, shingles, simhash
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, piece int, Score double, shard int"
@@ -215,6 +215,61 @@ def test_near_duplicates_odd_rows(odd):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [2, 3, 3, 7]
 
 
+# shingle sets
+
+def shingles_of(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar_components(rows):
+    sets = [(i, shingles_of(t)) for i, t in rows]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+def edited(text, share, seed):
+    """The text with that share of its words replaced, so similarity falls with it."""
+    draw = np.random.default_rng(seed)
+    words = text.split()
+    for at in draw.choice(len(words), round(share * len(words)), replace=False):
+        words[at] = f"w{draw.integers(10**9)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("cell, listed", [(512, 10_000), (8, 0)])
+def test_similar_texts_match_brute_force(spark, frame, cell, listed):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    long = [t for _, t in rows if t and len(t.split()) > 150][:40]
+    rows += [(10_000 + 10 * k + j, edited(t, 0.01 * j, 10 * k + j)) for k, t in enumerate(long) for j in range(1, 6)]
+    rows += [(20_000 + j, edited(long[0], 0.02, 999 + j)) for j in range(60)]
+    rows += [(30_000, None), (30_001, " "), (30_002, "one two"), (30_003, "One  two"), (30_004, "one three")]
+    got = shingles.similar_texts(frame("doc_id long, text string", *rows), cell=cell, listed=listed).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == similar_components(rows)
+
+
+def test_pipeline_drops_similar_texts(spark, frame):
+    import corpus_pipeline
+
+    base = " ".join(f"word{i}" for i in range(400))
+    rows = [doc(1, base), *[doc(2 + j, edited(base, 0.02, j)) for j in range(20)]]
+    similar = similar_components([(r[0], r[1]) for r in rows])
+    assert len(set(similar.values())) < len(rows) / 2
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, frame(DOCS, *rows), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(similar.values()))
+
+
 # sharding
 
 def test_shards_hold_every_row(odd, spark, tmp_path):

@@ -184,13 +184,18 @@ def near_duplicates(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The documents that are the smallest of their component, with all their
-    columns. Rows that repeat an id stay or go together; rows without an id
-    stay, as nothing says which of them is first. The ids to drop grow with the
-    corpus, so they are always joined by shuffle."""
-    found = near_duplicates(docs, id_column, text_column, **options)
+def without_copies(docs: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
+    """``docs`` without the rows whose ``doc_id`` in ``found`` is not the smallest
+    of its component. The ids to drop grow with the corpus, so they are always
+    joined by shuffle."""
     (key,) = fresh(docs, "dropped_id")
     gone = stored(
         found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct(), "gone")
     return docs.join(gone.hint("merge"), docs[id_column] == gone[key], "left_anti")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The documents that are the smallest of their component, with all their
+    columns. Rows that repeat an id stay or go together; rows without an id
+    stay, as nothing says which of them is first."""
+    return without_copies(docs, near_duplicates(docs, id_column, text_column, **options), id_column)
