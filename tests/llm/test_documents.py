@@ -72,6 +72,19 @@ def test_encoder_agrees_with_tokenizers(text):
     assert np.frombuffer(encode(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("space", [" ", "\n"])
+@pytest.mark.parametrize("after", ["", "b", " b", MARKER, "\x1c", "!"])
+def test_very_long_white_space(space, after):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.public_encoder()()
+    for n in (2_000_000, 100_000):
+        text = "a" + "\t\u3000" + space * n + after
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_repeated_rows_spread_over_groups(spark, monkeypatch, tmp_path):
     pack_group = packing._pack_group
 
