@@ -100,6 +100,19 @@ def test_broken_and_marked_pages(source, text):
     assert "\n".join(pages.main_blocks(source, set())) == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<div class='content has-sidebar'><article>a b c</article><div class='sidebar'>d</div></div>", "a b c"),
+    ("<div class='content-sidebar-wrap'><main><p>a</p></main><aside>b</aside></div><footer>c</footer>", "a"),
+    ("<body><form id='aspnetForm'><div class='menu'>m</div><p>a b</p><p>c</p></form></body>", "a b\nc"),
+    ("<form><div class='has-sidebar'><article>a</article></div></form>", "a"),
+    ("<article>a</article><div class='related'><article>b</article></div>", "a"),
+    ("<p>a</p><div class='related'><article>b</article><article>c</article></div>", "a"),
+    ("<p>a</p><div class='comments-area'><p>b b b b b</p></div>", "a"),
+    ("<p>a</p><div class='sidebar'><p>b b b b b</p></div>", "a")])
+def test_wrappers_of_the_article_stay(source, text):
+    assert "\n".join(pages.main_blocks(source, set())) == text
+
+
 def test_template_of_a_site_goes_by_importance(frame):
     def page(i, host):
         return (i, f"http://{host}/{i}", f"<div><div id='top'>Welcome to us</div><div id='b{i}'><p>Story {i} of {host} "
