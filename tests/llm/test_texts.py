@@ -124,6 +124,15 @@ def test_template_of_a_site_goes_by_importance(frame):
     assert got[101].startswith("Welcome to us")      # too few pages to know
 
 
+def test_long_notice_on_every_page_is_template(frame):
+    notice = "We use small files to remember what you like and share them with our partners. " * 20
+    rows = frame("page_id long, url string, html string", *[
+        (i, f"http://a.org/{i}", f"<div id='x'>{notice}</div><div id='y'><p>Story {i}, told in its own words</p></div>")
+        for i in range(30)])
+    assert {r.page_id: r.text for r in pages.extract(rows).collect()} == {
+        i: f"Story {i}, told in its own words" for i in range(30)}
+
+
 def test_copies_of_an_article_are_no_template(frame):
     rows = frame("page_id long, url string, html string", *[
         (i, "http://a.org", f"<article><p>{'The same story' if i < 60 else f'Story {i}'} told at length</p></article>")
