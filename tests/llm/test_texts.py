@@ -113,6 +113,17 @@ def test_wrappers_of_the_article_stay(source, text):
     assert "\n".join(pages.main_blocks(source, set())) == text
 
 
+def test_article_elements_choose_only_with_most_of_the_text():
+    body = "<div><p>The story itself stands in a plain element.</p><p>And goes on.</p></div>"
+    cards = "<article class='card'>Other one</article><article class='card'>Other two</article>"
+    assert pages.main_blocks(body + cards, set()) == [
+        "The story itself stands in a plain element.", "And goes on.", "Other one", "Other two"]
+    whole = "<div id='t'>Top</div><h1>Headline</h1><article>The story itself, at some length</article>"
+    assert pages.main_blocks(whole, set()) == ["The story itself, at some length"]      # nothing known of the site
+    top = pages.parse(whole)[0][0].paths[-1]
+    assert pages.main_blocks(whole, {top}) == ["Headline", "The story itself, at some length"]
+
+
 def test_template_of_a_site_goes_by_importance(frame):
     def page(i, host):
         return (i, f"http://{host}/{i}", f"<div><div id='top'>Welcome to us</div><div id='b{i}'><p>Story {i} of {host} "
