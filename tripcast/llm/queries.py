@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripcast.durable import stored
-from tripcast.llm import chat, lines, packing, pages, pieces, quality, sharding, simhash, topk, vectors
+from tripcast.llm import chat, lines, packing, pages, pieces, quality, sharding, simhash, suffixes, topk, vectors
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -72,9 +72,16 @@ def op10_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_products(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = suffixes.remove_repeats(table(spark, sf, "documents"))
+    return kept.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_simhash, op3_chat_format, op4_page_text, op5_embedding_dedup, op6_sharding, op7_quality,
-    op8_line_dedup, op9_sentencepiece, op10_top_k)}
+    op8_line_dedup, op9_sentencepiece, op10_top_k, op11_suffix_dedup)}
 
 SQL = {
     "op8_line_dedup": """
