@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripcast.durable import stored
-from tripcast.llm import chat, lines, packing, pages, pieces, quality, sharding, simhash, suffixes, topk, vectors
+from tripcast.llm import bags, chat, lines, packing, pages, pieces, quality, sharding, simhash, suffixes, topk, vectors
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -79,9 +79,14 @@ def op11_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return bags.rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_simhash, op3_chat_format, op4_page_text, op5_embedding_dedup, op6_sharding, op7_quality,
-    op8_line_dedup, op9_sentencepiece, op10_top_k, op11_suffix_dedup)}
+    op8_line_dedup, op9_sentencepiece, op10_top_k, op11_suffix_dedup,
+    op12_ranked_search)}
 
 SQL = {
     "op8_line_dedup": """
@@ -137,4 +142,34 @@ scored AS (
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+    "op12_ranked_search": r"""
+WITH item AS (
+  SELECT item_id, item, unnest(own) AS term
+  FROM (SELECT item_id, row_number() OVER () AS item,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS own
+        FROM benchmark)),
+cut AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS own
+  FROM documents WHERE text IS NOT NULL),
+total AS (SELECT count(*) AS n_docs, CAST(sum(len(own)) AS BIGINT) AS n_terms FROM cut WHERE len(own) > 0),
+held AS (
+  SELECT row, doc_id, n, term, count(*) AS tf
+  FROM (SELECT row, doc_id, len(own) AS n, unnest(own) AS term FROM cut)
+  WHERE term IN (SELECT term FROM item) GROUP BY ALL),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term), total),
+worth AS (
+  SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS worth
+  FROM held JOIN weight USING (term), total),
+scored AS (
+  SELECT item, any_value(item_id) AS item_id, row, any_value(doc_id) AS doc_id, CAST(sum(worth) AS BIGINT) AS score
+  FROM item JOIN worth USING (term) GROUP BY item, row),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
