@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripcast.durable import stored
-from tripcast.llm import bags, chat, lines, packing, pages, pieces, quality, sharding, simhash, suffixes, topk, vectors
+from tripcast.llm import bags, chat, lines, merkle, packing, pages, pieces, quality, sharding, simhash, suffixes, topk, vectors
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -83,10 +83,23 @@ def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     return bags.rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Proofs of the true leaves, checked with those leaves and, for one id in seven,
+    with the leaf of a row whose n_chars was raised by one."""
+    raised = F.col("n_chars").cast("decimal(20,0)") + 1
+    forged = merkle.leaf([raised if c == "n_chars" else F.col(c) for c in merkle.COLUMNS])
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.manifest(table(spark, sf, "documents"), extra=F.when(chosen, forged))
+    folded = merkle.folded(F.coalesce("extra", "leaf"), F.col("proof"), F.col("steps"))
+    return found.withColumn("folded_root", folded).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_simhash, op3_chat_format, op4_page_text, op5_embedding_dedup, op6_sharding, op7_quality,
     op8_line_dedup, op9_sentencepiece, op10_top_k, op11_suffix_dedup,
-    op12_ranked_search)}
+    op12_ranked_search, op13_merkle_manifest)}
 
 SQL = {
     "op8_line_dedup": """
@@ -172,4 +185,57 @@ ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank
   FROM scored WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op13_merkle_manifest": """
+WITH RECURSIVE told AS (
+  SELECT doc_id, lang, source, text, n_chars,
+         list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+             string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+             lambda d, k: CASE WHEN d % 2 = 1 THEN xor(d // 2, 3988292384) ELSE d // 2 END)) AS crc
+  FROM documents),
+named AS (
+  SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') ||
+            coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS body, xor(crc, 4294967295) % 7 = 0 AS chosen
+  FROM told),
+leaves AS (
+  SELECT row_number() OVER () AS row, doc_id, CASE WHEN lang IS NULL THEN '' ELSE '+' || lang END AS tree, leaf, start
+  FROM (SELECT doc_id, lang,
+               sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || body) AS leaf,
+               sha256(head || coalesce(strlen(CAST(n_chars + CAST(chosen AS INT) AS VARCHAR)) || ':' ||
+                                       (n_chars + CAST(chosen AS INT)), '-') || body) AS start
+        FROM named)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+low AS (
+  SELECT tree, 0 AS level, pos, leaf AS node FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM low) WHERE c > 1 GROUP BY tree, level, pos // 2),
+tops AS (SELECT tree, max(level) AS height, arg_max(node, level) AS subroot FROM low GROUP BY tree),
+ordered AS (SELECT *, row_number() OVER (ORDER BY tree) - 1 AS place FROM tops),
+high AS (
+  SELECT 0 AS level, place AS pos, subroot AS node FROM ordered
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS c FROM high) WHERE c > 1 GROUP BY level, pos // 2),
+apex AS (SELECT max(level) AS heights, arg_max(node, level) AS root FROM high),
+walk AS (
+  SELECT row, tree, place, pos, 0 AS level, start AS node, '' AS proof FROM placed JOIN ordered USING (tree)
+  UNION ALL
+  SELECT w.row, w.tree, w.place, w.pos // 2, w.level + 1,
+         sha256(CASE WHEN s.node IS NULL THEN w.node WHEN w.pos % 2 = 0 THEN w.node || s.node ELSE s.node || w.node END),
+         w.proof || coalesce(s.node, '')
+  FROM walk w JOIN ordered o ON o.tree = w.tree
+  LEFT JOIN low s ON s.tree = w.tree AND s.level = w.level AND s.pos = xor(w.pos, 1) WHERE w.level < o.height),
+climb AS (
+  SELECT row, place AS pos, 0 AS level, node, proof FROM (
+    SELECT *, row_number() OVER (PARTITION BY row ORDER BY level DESC) AS last FROM walk) WHERE last = 1
+  UNION ALL
+  SELECT c.row, c.pos // 2, c.level + 1,
+         sha256(CASE WHEN s.node IS NULL THEN c.node WHEN c.pos % 2 = 0 THEN c.node || s.node ELSE s.node || c.node END),
+         c.proof || coalesce(s.node, '')
+  FROM climb c JOIN apex ON c.level < heights LEFT JOIN high s ON s.level = c.level AND s.pos = xor(c.pos, 1))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM climb JOIN apex ON level = heights JOIN placed USING (row) JOIN tops USING (tree)""",
 }
