@@ -76,20 +76,21 @@ def _holders(size: int):
 
 class Items:
     """The items of one block: for groups of them the terms they hold and how often, as a
-    dense table of at most CELLS numbers, or one item."""
+    dense table of at most ``cells`` numbers, or one item."""
 
-    def __init__(self, item: np.ndarray, number: np.ndarray, times: np.ndarray, weight: np.ndarray):
+    def __init__(self, item: np.ndarray, number: np.ndarray, times: np.ndarray, weight: np.ndarray,
+                 cells: int = CELLS):
         order = np.argsort(item, kind="stable")
         item, number, times = item[order], number[order], times[order]
         self.names, starts = np.unique(item, return_index=True)
         ends = np.r_[starts[1:], len(item)]
-        self.weight, self.groups = weight, []
+        self.weight, self.cells, self.groups = weight, cells, []
         at = 0
         while at < len(self.names):
             stop, held = at, np.zeros(0, number.dtype)
             while stop < len(self.names):
                 more = np.union1d(held, number[starts[stop]:ends[stop]])
-                if stop > at and len(more) * (stop + 1 - at) > CELLS:
+                if stop > at and len(more) * (stop + 1 - at) > cells:
                     break
                 held, stop = more, stop + 1
             some = slice(starts[at], ends[stop - 1])
@@ -151,7 +152,7 @@ def _scores(sent, limit: int):
             for first, held, table in items.groups:
                 at = np.minimum(np.searchsorted(held, number), len(held) - 1)
                 own = held[at] == number
-                step = max(1, CELLS // max(len(held), table.shape[1]))
+                step = max(1, items.cells // max(len(held), table.shape[1]))
                 for start in range(0, len(bags), step):
                     some = slice(*np.searchsorted(row, [start, start + step]))
                     use = own[some]
@@ -170,7 +171,7 @@ def _scores(sent, limit: int):
     return run
 
 
-def _rank_block(docs: DataFrame, postings: DataFrame, limit: int) -> DataFrame:
+def _rank_block(docs: DataFrame, postings: DataFrame, limit: int, cells: int) -> DataFrame:
     """``item, rank, doc_id, score`` for a block of items, whose postings fit every task."""
     sc = docs.sparkSession.sparkContext
     table = postings.toArrow()
@@ -185,7 +186,8 @@ def _rank_block(docs: DataFrame, postings: DataFrame, limit: int) -> DataFrame:
     df[counted.column("number").to_numpy()] = counted.column("df").to_numpy()
     weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * int(d) + 1))) for d in df], np.int64)
     items = sc.broadcast(Items(
-        table.column("item").to_numpy(), words.indices.to_numpy().astype(np.int64), table.column("times").to_numpy(), weight))
+        table.column("item").to_numpy(), words.indices.to_numpy().astype(np.int64), table.column("times").to_numpy(), weight,
+        cells))
     m = F.expr(f"25 + (75L * n * {n_docs}L) div {n_terms or 1}L")
     bag = bags.filter(F.octet_length("bag") > 0).select("doc_id", m.alias("m"), "bag").withColumn("h", F.xxhash64("m", "bag"))
     same = W.partitionBy("h", "m", "bag")       # the hash brings together, the whole bag decides
@@ -204,6 +206,7 @@ def _rank_block(docs: DataFrame, postings: DataFrame, limit: int) -> DataFrame:
 def rank_documents(
     docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
     item_text_column: str = "text", limit: int = LIMIT, postings: int = POSTINGS,
+    cells: int = CELLS,
 ) -> DataFrame:
     """``item_id, rank, doc_id, score`` of each item's ``limit`` best documents with a score
     above 0; equal scores by ascending id, a null id first. Scores are whole numbers: weight
@@ -225,7 +228,7 @@ def rank_documents(
     total = held.count()
     blocks = -(-total // postings)
     spread = F.pmod(F.xxhash64("item"), F.lit(max(blocks, 1)))
-    ranked = [_rank_block(texts, held.filter(spread == b), limit) for b in range(blocks)]
+    ranked = [_rank_block(texts, held.filter(spread == b), limit, cells) for b in range(blocks)]
     if not ranked:
         ranked = [docs.sparkSession.createDataFrame([], "item long, score long, doc_id long, rank int")]
     forget(held)

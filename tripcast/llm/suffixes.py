@@ -82,11 +82,11 @@ def gram_width(least: int) -> int:
     return max(1, 1 << max(0, (least // 3).bit_length() - 1))
 
 
-def _blocks(sizes: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+def _blocks(sizes: np.ndarray, least: int, block: int) -> Iterator[tuple[int, int]]:
     """Byte ranges to hash at a time; one ends where it has no suffix of the next."""
     total, start = int(sizes.sum()), 0
     while start < total:
-        stop = min(total, start + BLOCK)
+        stop = min(total, start + block)
         yield start, min(total, stop + least - 1)
         start = stop
 
@@ -94,8 +94,8 @@ def _blocks(sizes: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
 class Chunk:
     """Documents one after the other in one array of bytes."""
 
-    def __init__(self, text: bytes, sizes: list[int], least: int):
-        self.text, self.least = np.frombuffer(text, np.uint8), least
+    def __init__(self, text: bytes, sizes: list[int], least: int, block: int = BLOCK):
+        self.text, self.least, self.block = np.frombuffer(text, np.uint8), least, block
         self.sizes = np.array(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
@@ -115,7 +115,7 @@ class Chunk:
         smallest for a suffix."""
         gram = gram_width(self.least)
         width = self.least - gram + 1
-        for start, stop in _blocks(self.sizes, self.least):
+        for start, stop in _blocks(self.sizes, self.least, self.block):
             hashes = gram_hashes(self.text[start:stop], gram)
             if len(hashes) < width:
                 continue
@@ -159,11 +159,11 @@ def _chunks(size: int):
     return run
 
 
-def _grams(least: int):
+def _grams(least: int, block: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, sizes, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "text"))):
-                for *_, hashes, chosen in Chunk(text, sizes, least).runs():
+                for *_, hashes, chosen in Chunk(text, sizes, least, block).runs():
                     grams, n = np.unique(hashes[chosen], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), chunk)), pa.array(n.astype(np.int32))],
@@ -182,7 +182,7 @@ def _merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts[first], stops[np.r_[first[1:] - 1, len(stops) - 1]]
 
 
-def _pieces(least: int):
+def _pieces(least: int, block: int, longest: int):
     """Of each chunk: the pieces of text of shared grams, equal ones once, and the spans
     that are later copies within the chunk."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -192,7 +192,7 @@ def _pieces(least: int):
         grams = right.column("gram").to_numpy().view(np.uint64)
         order = np.argsort(grams)
         grams, crowded = grams[order], right.column("crowded").to_numpy(zero_copy_only=False)[order]
-        own = Chunk(text, sizes, least)
+        own = Chunk(text, sizes, least, block)
         width = least - gram_width(least) + 1
         seen: set[tuple[int, bytes]] = set()
         rows, copies, often = [], [], []
@@ -202,8 +202,8 @@ def _pieces(least: int):
             low, first, n, many = low[shared], first[shared], n[shared], crowded[where[shared]]
             often += list(zip(first[many].tolist(), n[many].tolist()))
             for cell, at, count in zip(low[~many].tolist(), first[~many].tolist(), n[~many].tolist()):
-                for some in range(at, at + count, PIECE):
-                    stop = min(at + count, some + PIECE)
+                for some in range(at, at + count, longest):
+                    stop = min(at + count, some + longest)
                     piece = text[some:stop + least - 1]
                     if (cell, piece) in seen:
                         copies.append((some, stop + least - 1))
@@ -214,7 +214,7 @@ def _pieces(least: int):
                         loops = stop - some > 1 and np.count_nonzero(within == np.uint64(cell)) > 1
                         rows.append((cell, some, stop - some, piece, loops))
         often.sort()      # runs go on across blocks
-        for start, stop in _joined(often):
+        for start, stop in _joined(often, block):
             prints = [gram_hashes(own.text[start:stop + least - 1], least, b) for b in BASES]
             for some, (a, b) in enumerate(zip(prints[0].tolist(), prints[1].tolist()), start):
                 key = (a, b.to_bytes(8, "little"))
@@ -232,11 +232,11 @@ def _pieces(least: int):
     return run
 
 
-def _joined(runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Runs of suffixes next to each other as one, BLOCK suffixes at most."""
+def _joined(runs: list[tuple[int, int]], block: int) -> Iterator[tuple[int, int]]:
+    """Runs of suffixes next to each other as one, ``block`` suffixes or so at most."""
     start = stop = 0
     for at, n in runs:
-        if stop > start and (at != stop or stop - start >= BLOCK):
+        if stop > start and (at != stop or stop - start >= block):
             yield start, stop
             start = at
         elif stop == start:
@@ -267,6 +267,8 @@ def repeats(text: np.ndarray, suffix: np.ndarray, position: np.ndarray, least: i
     def dense(values: np.ndarray) -> np.ndarray:
         return np.unique(values, return_inverse=True)[1].astype(np.uint64)
 
+    if not len(suffix):
+        return np.zeros(0, bool)
     size, ranks, top = 1, {1: text.astype(np.uint64)}, 256      # ranks lie below top; pairs must fit 64 bits
     while 2 * size <= least:
         if top * top > 1 << 64:
@@ -405,7 +407,7 @@ def _stored_chunks(docs: DataFrame, id_column: str, text_column: str, size: int)
 
 def remove_repeats(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, chunk: int = CHUNK,
-    crowded: int = CROWDED,
+    crowded: int = CROWDED, block: int = BLOCK, piece: int = PIECE,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_bytes``, ``spans`` (start and stop of each
     maximal removed run of bytes, from 0) and ``kept``, the other bytes as binary, since a
@@ -415,16 +417,16 @@ def remove_repeats(
     share an id are different documents, in the order in which they were read; a null id
     is smaller than any other. A document of any length is handled whole, one at a time.
     An empty table gives an empty result. Columns other than the two named are not
-    read, so their names don't matter.
+    read, so their names don't matter. The other options bound memory; the result is the same.
     """
     if least < 2:
         raise ValueError("a repeat has two bytes or more")
     chunks, tasks = _stored_chunks(docs, id_column, text_column, chunk)
-    grams = chunks.select("chunk", "sizes", "text").mapInArrow(_grams(least), "gram long, chunk long, n int")
+    grams = chunks.select("chunk", "sizes", "text").mapInArrow(_grams(least, block), "gram long, chunk long, n int")
     shared = (
         grams.withColumn("total", F.sum("n").over(W.partitionBy("gram"))).filter("total > 1")
         .select("chunk", "gram", (F.col("total") > crowded).alias("crowded")))
-    pieces = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_pieces(least), PIECES)
+    pieces = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_pieces(least, block, piece), PIECES)
     spans = (pieces.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_match(least), SPANS))
     return chunks.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(
         _kept, "doc_id long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
