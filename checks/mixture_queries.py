@@ -328,6 +328,49 @@ def _(spark, sf):
     return distance.with_distance(e, d).select("trip_id", "cluster", r6("mean_distance"))
 
 
+_GAPS = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _TRIP_FEATURES)
+_DRAWN_PAIRS = f"""+
+rows AS (SELECT DOLocationID AS cluster, hour AS h, weekday AS wd, {', '.join(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}' for c in _TRIP_FEATURES)}
+  FROM reals WHERE PU_longitude IS NOT NULL),
+f AS (SELECT cluster, {', '.join(_TRIP_FEATURES)}, CAST(count(*) AS BIGINT) AS w FROM rows {{where}} GROUP BY ALL),
+p AS (SELECT *, CAST(sum(w) OVER (PARTITION BY cluster) AS BIGINT) AS n, count(*) OVER (PARTITION BY cluster) AS p,
+  CAST(coalesce(sum(w) OVER (PARTITION BY cluster ORDER BY {', '.join(_TRIP_FEATURES)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position FROM f),
+plan AS (SELECT DISTINCT cluster, n, CAST(least({{draws}} // 2, n) AS BIGINT) AS strata FROM p WHERE p * (p - 1) / 2 > {{draws}}),
+t AS (SELECT *, unnest(range(CAST(greatest(2, ceil({{draws}} / strata)) AS BIGINT))) + 1 AS draw FROM (SELECT *, unnest(range(strata)) AS stratum FROM plan) x),
+r AS (SELECT *, lo + CAST(floor({u_sql('7/first', 'cluster', 'stratum', 'draw')} * (hi - lo)) AS BIGINT) AS first,
+  CAST(floor({u_sql('7/second', 'cluster', 'stratum', 'draw')} * (n - 1)) AS BIGINT) AS other
+  FROM (SELECT *, stratum * n // strata AS lo, (stratum + 1) * n // strata AS hi FROM t) x),
+d AS (SELECT r.cluster, r.n, r.stratum, (r.hi - r.lo) / r.n AS share, sqrt({_GAPS}) AS d
+  FROM (SELECT *, other + CASE WHEN other >= first THEN 1 ELSE 0 END AS second FROM r) r
+  JOIN p a ON a.cluster = r.cluster AND r.first >= a.position AND r.first < a.position + a.w
+  JOIN p b ON b.cluster = r.cluster AND r.second >= b.position AND r.second < b.position + b.w),
+e AS (SELECT cluster, n, share, stratum, count(*) AS per, avg(d) AS m, var_samp(d) AS v FROM d GROUP BY ALL),
+sampled AS (SELECT cluster, n, CAST(sum(per) AS BIGINT) AS draws, sum(share * m) AS m, 1.959964 * sqrt(sum(share * share * v / per)) AS half FROM e GROUP BY ALL),
+exact AS (SELECT a.cluster, a.n, CAST(0 AS BIGINT) AS draws, sum(a.w * b.w * sqrt({_GAPS})) / any_value(a.n * (a.n - 1)) AS m, CAST(0 AS DOUBLE) AS half
+  FROM p a JOIN p b ON a.cluster = b.cluster WHERE a.n > 1 AND a.p * (a.p - 1) / 2 <= {{draws}} GROUP BY ALL)
+SELECT cluster, n, draws, round(m, 6) AS mean_distance, round(m - half, 6) AS low, round(m + half, 6) AS high FROM (FROM sampled UNION ALL FROM exact) x"""
+
+
+def _drawn(points, draws):
+    out = distance.sampled_pair_distance(points, "cluster", _TRIP_FEATURES, draws, seed=7)
+    return out.filter("n > 1").select("cluster", "n", "draws", r6("mean_distance"), r6("low"), r6("high"))
+
+
+@query("j8_sampled_pairs", given("reals", _DRAWN_PAIRS.format(draws=300, where="")))
+def _(spark, sf):
+    return _drawn(trip_clusters(spark, sf), 300)
+
+
+@query("d2_sampled_or_whole", given("reals", _DRAWN_PAIRS.format(draws=4000, where="")))
+def _(spark, sf):
+    return _drawn(trip_clusters(spark, sf), 4000)
+
+
+@query("d1_sampled_evening", given("reals", _DRAWN_PAIRS.format(draws=50, where=_AT_18)))
+def _(spark, sf):
+    return _drawn(evening(spark, sf), 50)
+
+
 _TOP = "(SELECT cluster, count(*) AS n FROM rows GROUP BY 1 ORDER BY n DESC, cluster LIMIT 10)"
 
 

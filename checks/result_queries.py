@@ -41,6 +41,15 @@ def _(spark, sf):
     return b.select("metric", "nc", "epochs", "data_type", "n", *[r3(c) for c in ("q1", "median", "q3", "low", "high")])
 
 
+@query("a19_quantiles_of_prices", """
+SELECT l_returnflag AS flag, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, 0.05), 3) AS q05,
+  round(quantile_cont(l_extendedprice, 0.5), 3) AS q50, round(quantile_cont(l_extendedprice, 0.99), 3) AS q99 FROM lineitem GROUP BY 1""")
+def _(spark, sf):
+    q = results.grouped_quantiles(fx.table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.99])
+    return q.select(F.col("l_returnflag").alias("flag"), "n", *[
+        F.round(F.col("quantiles")[i], 3).alias(name) for i, name in enumerate(("q05", "q50", "q99"))])
+
+
 @query("a21_model_comparison", given("wide_runs", """
 SELECT data_type, round(avg(r2), 3) AS r2, round(avg(smape), 3) AS smape, round(avg(mae), 3) AS mae FROM wide_runs GROUP BY data_type"""))
 def _(spark, sf):

@@ -9,11 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripcast.durable import stored
-from tripcast.joins import small
+from tripcast.durable import forget, stored
+from tripcast.functions import hashing
+from tripcast.joins import small, spread
+from tripcast.operators.ranking import group_positions
 
 BLOCK = 20_000   # distinct points per block: every point travels once for each block of its cluster
 STRIP = 64       # rows of a tile held at a time
+DRAWS = 100_000  # pairs drawn per cluster; a cluster with fewer pairs is measured whole
+NORMAL_95 = 1.959964   # a standard normal lies within this with a probability of 0.95
 
 
 def _tile_sum(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -89,6 +93,92 @@ def mean_pair_distance(
     return listed.join(out, cluster, "left").fillna({} if alone is None else {"mean_distance": alone})
 
 
+def _drawn(placed: DataFrame, plan: DataFrame, cluster: str, features: Sequence[str], seed: int | str) -> DataFrame:
+    """``cluster, n, draws, mean_distance, half``: means of drawn pairs and half the width
+    of their interval, for the clusters of ``plan`` (``cluster, n, strata, per``).
+
+    Members stand in the order of their features. The first member of a pair is drawn from
+    a stratum of neighbours, the second from all others; ``per`` pairs a stratum, by hash.
+    Members are looked up by equality on the cell, as wide as a stratum, that holds them.
+    """
+    lo = F.expr("stratum * n div strata")
+    hi = F.expr("(stratum + 1) * n div strata")
+    strata = plan.withColumn("stratum", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strata") - 1)))
+    tickets = spread(strata, cluster, "stratum").withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("per"))))
+    u = [hashing.uniform(f"{seed}/{side}", F.col(cluster), F.col("stratum"), F.col("draw")) for side in ("first", "second")]
+    ranks = tickets.withColumn("first", lo + F.floor(u[0] * (hi - lo))).withColumn(
+        "second", F.floor(u[1] * (F.col("n") - 1))).withColumn(
+        "second", F.col("second") + F.when(F.col("second") >= F.col("first"), 1).otherwise(0))
+    ends = ranks.select(cluster, "n", "strata", "per", "stratum", "draw", (hi - lo).alias("width"), F.posexplode(
+        F.array("first", "second")).alias("side", "rank")).withColumn("cell", F.expr("rank * strata div n"))
+    known = placed.join(small(plan.select(cluster, "strata"), None), cluster)
+    cells = known.withColumn("cell", F.explode(F.sequence(
+        F.expr("position * strata div n"), F.expr("(position + w - 1) * strata div n"))))
+    member = F.struct(*[F.col(f).cast("double").alias(f) for f in features])
+    found = ends.join(cells.select(cluster, "cell", "position", "w", member.alias("member")), [cluster, "cell"]).filter(
+        "rank >= position AND rank < position + w")
+    pairs = found.groupBy(cluster, "n", "per", "stratum", "draw", "width").agg(
+        *[F.max(F.when(F.col("side") == k, F.col("member"))).alias(f"m{k}") for k in (0, 1)])
+    gap = sum((F.col(f"m0.{f}") - F.col(f"m1.{f}")) * (F.col(f"m0.{f}") - F.col(f"m1.{f}")) for f in features)
+    share = F.col("width") / F.col("n")
+    by_stratum = pairs.withColumn("d", F.sqrt(gap)).groupBy(cluster, "n", "per", "stratum", "width").agg(
+        F.avg("d").alias("mean"), F.var_samp("d").alias("spread"))
+    return by_stratum.groupBy(cluster, "n").agg(
+        F.sum("per").alias("draws"), F.sum(share * F.col("mean")).alias("mean_distance"),
+        (NORMAL_95 * F.sqrt(F.sum(share * share * F.col("spread") / F.col("per")))).alias("half"))
+
+
+def sampled_pair_distance(
+    points: DataFrame, cluster: str, features: Sequence[str], draws: int = DRAWS, error: float | None = None,
+    seed: int = 42, alone: float | None = 0.0, clusters: Iterable[int] | None = None, weight: str | None = None,
+) -> DataFrame:
+    """``cluster, n, mean_distance, low, high, draws``: the mean distance of the pairs of a
+    cluster from about ``draws`` of them, and an interval that holds it in 95 of 100 cases.
+
+    The work grows with the distinct points and the draws, never with their pairs. A cluster
+    whose distinct points have at most ``draws`` pairs is measured whole: no draws, and the
+    interval is the mean. With ``error``, clusters whose interval is wider than that share of
+    the mean on either side are drawn again, as often as the spread of the first draws asks
+    for. Draws depend on the seed, the cluster and their number only. A cluster with one
+    member gets ``alone``, and with ``clusters`` every listed one is reported.
+    """
+    features = list(features)
+    folded = points.groupBy(cluster, *features).agg(
+        F.sum(F.lit(1) if weight is None else F.col(weight)).cast("long").alias("w"))
+    placed = stored(group_positions(folded, [cluster], features, "w", total="n"), "placed")
+    sizes = stored(placed.groupBy(cluster, "n").agg(F.count(F.lit(1)).alias("p")), "sizes")
+    whole = F.col("p") * (F.col("p") - 1) / 2 <= draws
+    per_stratum = lambda many: F.greatest(F.lit(2), F.ceil(many / F.col("strata"))).cast("long")
+    plan = sizes.filter(~whole).select(
+        cluster, "n", F.least(F.ceil(F.lit(draws) / 2), F.col("n")).cast("long").alias("strata")).withColumn(
+        "per", per_stratum(F.lit(draws)))
+    sampled = stored(_drawn(placed, plan, cluster, features, seed), "sampled")
+    if error is not None:
+        wide = F.col("half") > error * F.col("mean_distance")
+        asked = F.least(F.lit(float(1 << 40)), F.col("draws") * F.pow(F.col("half") / (error * F.col("mean_distance")), 2) * 1.2)
+        again = stored(sampled.filter(wide).select(cluster, "n", asked.alias("asked")).select(
+            cluster, "n", F.least(F.ceil(F.col("asked") / 2), F.col("n")).cast("long").alias("strata"), "asked").withColumn(
+            "per", per_stratum(F.col("asked"))).drop("asked"), "again")
+        more = stored(_drawn(placed, again, cluster, features, f"{seed}/again"), "sampled")
+        first, sampled = sampled, stored(sampled.join(small(again.select(cluster), None), cluster, "left_anti").unionByName(more), "sampled")
+        forget(first, again, more)
+    lone = F.lit(alone).cast("double")
+    few = placed.join(small(sizes.filter(whole & (F.col("n") > 1)).select(cluster), None), cluster, "left_semi")
+    exact = pair_sums(few, cluster, features, weight="w").select(
+        cluster, F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("draws"),
+        (F.col("total") / (F.col("n") * (F.col("n") - 1) / 2)).alias("mean_distance"), F.lit(0.0).alias("half"))
+    single = sizes.filter("n = 1").select(
+        cluster, "n", F.lit(0).cast("long").alias("draws"), lone.alias("mean_distance"), F.lit(0.0).alias("half"))
+    out = sampled.unionByName(exact).unionByName(single).select(
+        cluster, "n", "mean_distance", (F.col("mean_distance") - F.col("half")).alias("low"),
+        (F.col("mean_distance") + F.col("half")).alias("high"), "draws")
+    if clusters is None:
+        return out
+    listed = points.sparkSession.createDataFrame([(int(c),) for c in clusters], f"`{cluster}` int")
+    empty = {"n": 0, "draws": 0} | ({} if alone is None else {c: alone for c in ("mean_distance", "low", "high")})
+    return listed.join(out, cluster, "left").fillna(empty)
+
+
 def with_distance(
     trips: DataFrame, distances: DataFrame, cluster: str = "cluster", clusters: int | None = None
 ) -> DataFrame:

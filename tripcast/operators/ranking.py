@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripcast.durable import stored
-from tripcast.joins import small
+from tripcast.joins import join_same, small
 from tripcast.sources.trips import COORDINATES
 
 _ROW_BITS = 33   # monotonically_increasing_id: partition in the high bits, row in the low 33
@@ -39,6 +41,53 @@ def global_rank(df: DataFrame, by: Sequence[str], name: str = "rank") -> DataFra
     return joined.withColumn(name, F.col("_start") + place).drop("_at", "_part", "_start")
 
 
+def group_positions(
+    df: DataFrame, groups: Sequence[str], by: Sequence[str], weight: str | None = None,
+    name: str = "position", total: str = "total",
+) -> DataFrame:
+    """Rows with their place in their group in the order of ``by``, from 0, and the
+    group's size. With ``weight``, a column of whole numbers, a row counts that often:
+    its place is the weight before it. ``by`` must tell the rows of a group apart.
+
+    All groups are cut by one range partition over group and order, so one ordering
+    serves every group and a group of any size spreads over tasks; places are those in
+    the partition plus the weight of the group in the partitions before. The ranged
+    rows are stored. A null group is a group.
+    """
+    groups = list(groups)
+    ordered = df.repartitionByRange(*groups, *by).sortWithinPartitions(*groups, *by)
+    if weight is None:
+        place = F.monotonically_increasing_id()
+        ranged = ordered.withColumn("_at", place).withColumn("_part", F.shiftright("_at", _ROW_BITS))
+        counted = F.lit(1)
+    else:
+        tagged = ordered.withColumn("_part", F.spark_partition_id().cast("long"))
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tagged.schema)
+        ranged = tagged.mapInArrow(_weight_before(weight), f"{fields}, _at long")
+        counted = F.col(weight)
+    ranged = stored(ranged, "ranged")
+    pieces = ranged.groupBy("_part", *groups).agg(
+        F.min("_at").alias("_first"), F.sum(counted).cast("long").alias("_here"))
+    before = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = stored(pieces.select(
+        "_part", *groups, "_first", F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_before"),
+        F.sum("_here").over(W.partitionBy(*groups)).alias(total)), "offsets")   # a row per task and per group
+    joined = join_same(ranged, small(offsets, offsets.count()), ["_part", *groups])
+    return joined.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first")).select(*df.columns, name, total)
+
+
+def _weight_before(weight: str):
+    """Adds to the rows of a partition the weight of those before them."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = 0
+        for batch in batches:
+            upto = carried + np.cumsum(batch.column(weight).to_numpy(zero_copy_only=False).astype(np.int64))
+            before = np.r_[carried, upto[:-1]][:len(upto)]
+            carried = int(upto[-1]) if len(upto) else carried
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64())], names=[*batch.schema.names, "_at"])
+    return run
+
+
 def quantile_map(
     synth: DataFrame, real: DataFrame, column: str, synth_id: str, real_id: str
 ) -> DataFrame:
@@ -62,19 +111,27 @@ def quantile_map(
 def quantile_map_coordinates(
     synth: DataFrame, real: DataFrame, synth_id: str, real_id: str
 ) -> DataFrame:
-    """All coordinates mapped. Only ids and one coordinate at a time are ranked;
-    the mapped values come back to the rows in one join on the id, which must be
-    unique. A coordinate that the real side lacks becomes null."""
+    """All coordinates mapped. Only ids and values are ranked, the coordinates as rows of
+    one table, so each side is put in order once; the mapped values come back to the rows
+    in one join on the id, which must be unique. A coordinate that the real side lacks
+    becomes null."""
     known = [c for c in COORDINATES if c in real.columns]
-    each = None
-    for column in known:
-        one = quantile_map(synth.select(synth_id, column), real, column, synth_id, real_id).select(
-            F.col(synth_id).alias("_id"), F.lit(column).alias("_axis"), F.col(column).alias("_value"))
-        each = one if each is None else each.unionByName(one)
     lacking = {c: F.lit(None).cast("double") for c in COORDINATES if c not in known}
-    if each is None:
+    if not known:
         return synth.withColumns(lacking)
-    mapped = each.groupBy("_id").agg(
-        *[F.max(F.when(F.col("_axis") == c, F.col("_value"))).alias(c) for c in known])
+
+    def values(df: DataFrame, id_col: str) -> DataFrame:
+        axes = F.array(*[F.struct(F.lit(i).alias("_axis"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(known)])
+        long = df.select(F.col(id_col).alias("_id"), F.inline(axes)).filter(F.col("_value").isNotNull())
+        return group_positions(long, ["_axis"], ["_value", "_id"], name="_rank", total="_n")
+
+    targets = values(real, real_id).select(
+        "_axis", F.col("_rank").alias("_target"), F.col("_value").alias("_real"), F.col("_n").alias("_n_real"))
+    sizes = targets.groupBy("_axis").agg(F.max("_n_real").alias("_n_real"))     # a row per coordinate
+    exact = lambda c: F.col(c).cast("decimal(19,0)")
+    aimed = values(synth, synth_id).join(F.broadcast(sizes), "_axis", "left").withColumn(
+        "_target", F.floor(exact("_rank") * exact("_n_real") / exact("_n")).cast("long"))
+    mapped = aimed.join(targets.drop("_n_real"), ["_axis", "_target"], "left").groupBy("_id").agg(
+        *[F.max(F.when(F.col("_axis") == i, F.col("_real"))).alias(c) for i, c in enumerate(known)])
     rest = synth.drop(*known).join(mapped, F.col(synth_id) == F.col("_id"), "left")
     return rest.withColumns(lacking).select(*synth.columns)

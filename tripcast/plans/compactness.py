@@ -52,18 +52,29 @@ def cluster_points(
     return Clustering(mixture.assign_clusters(scaler.transform(kept), FEATURES, model), scaler, model)
 
 
+def _distances(
+    points: DataFrame, seed: int, draws: int | None, error: float | None, alone: float | None, clusters: range | None = None,
+) -> DataFrame:
+    if draws is None and error is None:
+        return distance.mean_pair_distance(points, "cluster", FEATURES, alone, clusters, weight="n")
+    return distance.sampled_pair_distance(
+        points, "cluster", FEATURES, draws or distance.DRAWS, error, seed, alone, clusters, "n")
+
+
 def cluster_distances(
     trips: DataFrame, k: int = st.COMPACT_K, ridge: float = st.COMPACT_RIDGE, share: float = 1.0,
     zones: list[int] | None = None, id_col: str = "trip_id", seed: int = 42,
     max_passes: int = 100, tolerance: float = 1e-3, start: mixture.Mixture | None = None,
+    draws: int | None = None, error: float | None = None,
 ) -> DataFrame:
     """``cluster, mean_distance`` over a share of the study-area trips; clusters
-    with fewer than two members report 0."""
+    with fewer than two members report 0. With ``draws`` or ``error`` (a share of the
+    mean) clusters with many pairs are measured on drawn ones, with an interval."""
     rows = filters.complete(filters.with_trip_columns(trips), FEATURES)
     rows = filters.from_zones(rows, STUDY_ZONES if zones is None else zones)
     rows = sampling.sample_exact_share(rows, share, id_col, seed)
     found = cluster_points(rows, k, ridge, seed, max_passes, tolerance, start)
-    return distance.mean_pair_distance(found.points, "cluster", FEATURES, 0.0, range(k), weight="n")
+    return _distances(found.points, seed, draws, error, 0.0, range(k))
 
 
 @dataclass(frozen=True)
@@ -77,13 +88,14 @@ class Evening:
 
 def wednesday_evening(
     trips: DataFrame, k: int = st.BUSY_K, seed: int = 42, max_passes: int = 100, tolerance: float = 1e-3,
-    start: mixture.Mixture | None = None,
+    start: mixture.Mixture | None = None, draws: int | None = None, error: float | None = None,
 ) -> Evening:
-    """Clusters fitted on all trips, measured on Wednesdays at 18 h."""
+    """Clusters fitted on all trips, measured on Wednesdays at 18 h; ``draws`` and
+    ``error`` as for ``cluster_distances``."""
     rows = filters.complete(filters.with_trip_columns(trips), FEATURES)
     found = cluster_points(rows, k, 1e-6, seed, max_passes, tolerance, start)
     points = found.points.filter((F.col("raw_hour") == 18) & (F.col("raw_weekday") == 2))
-    distances = distance.mean_pair_distance(points, "cluster", FEATURES, None, weight="n")
+    distances = _distances(points, seed, draws, error, None)
     evening = found.place(filters.at_hour_on(rows, 18, 2))
     joined = distance.with_distance(evening, distances, clusters=k)
     busiest = distance.busiest_clusters(evening)
