@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from checks import fixtures as fx
+from checks import fixtures as fx, shape_files
 from checks.fixtures import given
 from checks.registry import long, query, r6, text
 from tripcast.durable import new_folder
 from tripcast.operators import compare, distance, mixture
-from tripcast.sources import sinks, trips as trip_source, zones as zone_source
+from tripcast.functions.projection import Conic
+from tripcast.sources import shapes, sinks, trips as trip_source, zones as zone_source
 
 
 @query("s1_scan_trips", given("enriched", """
@@ -53,6 +54,58 @@ def _(spark, sf):
     return g.select("zone_id", *[r6(c) for c in ("cx", "cy", "minx", "maxx", "miny", "maxy")])
 
 
+# Around a zone's centre, in hundredths of a degree: an angle with a hole, and an island. Rings run clockwise, holes the other way.
+_RINGS = [
+    [(-9, -8), (-9, 8), (-2, 8), (-2, 0), (6, 0), (6, -8), (-9, -8)], [(-7, -6), (-4, -6), (-4, -3), (-7, -3), (-7, -6)],
+    [(4, 3), (4, 7), (9, 7), (9, 3), (4, 3)]]
+_RING_ROWS = ", ".join(f"({r}, {k}, {x}, {y})" for r, ring in enumerate(_RINGS) for k, (x, y) in enumerate(ring))
+
+
+def _zone_files(spark, sf, projection):
+    """The zones as polygon files, every fifth with a record without shape before it."""
+    folder = new_folder(spark, "polygons")
+    records, rows = [], []
+    for z in fx.zones(spark, sf).orderBy("ord").collect():      # the 25 nations
+        if z.ord % 5 == 0:
+            records.append(None)
+            rows.append((f"{1000 + z.ord}", "no shape", "0"))
+        place = projection.from_degrees if projection else lambda lon, lat: (lon, lat)
+        records.append([[place(z.cx + x / 100, z.cy + y / 100) for x, y in ring] for ring in _RINGS])
+        rows.append((str(z.zone_id), z.zone, "0.5"))
+    fields = [("LocationID", "N", 9, 0), ("zone", "C", 30, 0), ("share", "N", 9, 3)]
+    shape_files.put(spark, f"{folder}/zones.shp", shape_files.shape_bytes(records))
+    shape_files.put(spark, f"{folder}/zones.dbf", shape_files.attribute_bytes(fields, rows))
+    shape_files.put(spark, f"{folder}/zones.prj", (shape_files.LONG_ISLAND if projection else 'GEOGCS["GCS_WGS_1984"]').encode())
+    return f"{folder}/zones"
+
+
+_POLYGON_SQL = given("zones", f"""+
+v AS (SELECT z.zone_id, r.ring, r.seq, z.cx + r.x / 100.0 AS lon, z.cy + r.y / 100.0 AS lat, r.x / 100.0 AS x, r.y / 100.0 AS y, cx, cy
+  FROM zones z CROSS JOIN (VALUES {_RING_ROWS}) r(ring, seq, x, y)),
+e AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM v WINDOW w AS (PARTITION BY zone_id, ring ORDER BY seq)),
+s AS (SELECT zone_id, any_value(cx) AS ox, any_value(cy) AS oy, min(lon) AS minx, max(lon) AS maxx, min(lat) AS miny, max(lat) AS maxy,
+  sum(x * y1 - x1 * y) AS a, sum((x + x1) * (x * y1 - x1 * y)) AS mx, sum((y + y1) * (x * y1 - x1 * y)) AS my FROM e GROUP BY zone_id)
+SELECT CAST(zone_id AS BIGINT) AS zone_id, round(ox + mx / (3 * a), 6) AS cx, round(oy + my / (3 * a), 6) AS cy,
+  round(minx, 6) AS minx, round(maxx, 6) AS maxx, round(miny, 6) AS miny, round(maxy, 6) AS maxy FROM s""")
+
+
+def _from_files(spark, sf, projection):
+    stem = _zone_files(spark, sf, projection)
+    found = shapes.read_projection(spark, f"{stem}.prj")
+    g = zone_source.zone_geometry(shapes.read_zone_vertices(spark, stem, "LocationID", found))
+    return g.select(long("zone_id"), *[r6(c) for c in ("cx", "cy", "minx", "maxx", "miny", "maxy")])
+
+
+@query("s4_polygon_files", _POLYGON_SQL)
+def _(spark, sf):
+    return _from_files(spark, sf, None)
+
+
+@query("s4_projected_polygon_files", _POLYGON_SQL)
+def _(spark, sf):
+    return _from_files(spark, sf, Conic.from_wkt(shape_files.LONG_ISLAND))
+
+
 @query("s5_enriched_trips", given("enriched", """
 SELECT trip_id, PULocationID, DOLocationID, round(PU_longitude, 6) AS pu_lon, round(PU_latitude, 6) AS pu_lat, round(DO_longitude, 6) AS do_lon, round(DO_latitude, 6) AS do_lat FROM enriched"""))
 def _(spark, sf):
