@@ -166,8 +166,16 @@ def _(spark, sf):
     f"CAST(max(CASE WHEN slot = {i} THEN trips END) AS DOUBLE) AS s{i}" for i in range(96)) + " FROM day_slots GROUP BY date"))
 def _(spark, sf):
     s = demand.day_slots(fx.trips(spark, sf).withColumn("trips", F.lit(1)))
-    wide = s.groupBy("date").pivot("slot", list(range(96))).agg(F.first("trips"))
-    return wide.select(text("date"), *[F.col(str(i)).cast("double").alias(f"s{i}") for i in range(96)])
+    wide = demand.day_slot_matrix(s)
+    return wide.select(text("date"), *[F.col(f"s{i}").cast("double").alias(f"s{i}") for i in range(96)])
+
+
+@query("a7_day_hour_matrix", given("day_hours", "SELECT CAST(date AS VARCHAR) AS date, " + ", ".join(
+    f"CAST(max(CASE WHEN slot = {i} THEN trips END) AS BIGINT) AS h{i}" for i in range(24)) + " FROM day_hours GROUP BY date"))
+def _(spark, sf):
+    s = demand.day_hours(fx.trips(spark, sf).withColumn("trips", F.lit(1)))
+    wide = demand.day_slot_matrix(s, 24, "h")
+    return wide.select(text("date"), *[f"h{i}" for i in range(24)])
 
 
 @query("a9_fewest_daily_trips", given("trips", "SELECT min(n) AS min_trips FROM (SELECT count(*) AS n FROM trips GROUP BY CAST(tpep_pickup_datetime AS DATE)) x"))

@@ -103,6 +103,34 @@ def _(spark, sf):
         [(c, float(x), float(y)) for c, (x, y) in enumerate(centres)], "component int, x double, y double")
 
 
+def rounds_sql(name, seed, many, rounds):
+    """Tables ``name_0`` to ``name_{rounds}`` of the candidates of each round."""
+    steps = []
+    for step in range(rounds + 1):
+        known = " UNION ALL ".join(f"SELECT x, y FROM {name}_{i}" for i in range(step))
+        gap = f"(SELECT min({_gap('p', 'q')}) FROM ({known}) q)" if step else "1.0"
+        steps.append(f"""{name}_{step} AS MATERIALIZED (
+  SELECT {step} AS round, row_number() OVER (ORDER BY score DESC, x, y) AS place, x, y FROM (
+    SELECT x, y, ln(gap * n) - ln(-ln(greatest(u, 1.1102230246251565e-16))) AS score
+    FROM (SELECT p.*, {gap} AS gap, {u_sql(f'{seed}/{step}', 'p.x', 'p.y')} AS u FROM points p) v WHERE gap > 0) w
+  ORDER BY score DESC, x, y LIMIT {many if step else 1})""")
+    return ",\n".join(steps)
+
+
+ROUNDS = [("42/1", 3), ("42/9", 8)]
+
+
+@query("m2_candidate_rounds", f"WITH {POINTS_SQL},\n" + ",\n".join(
+    rounds_sql(f"r{i}", seed, many, mixture.DRAW_ROUNDS) for i, (seed, many) in enumerate(ROUNDS)) + "\n" + "\nUNION ALL ".join(
+    f"SELECT '{seed}' AS seed, CAST({many} * greatest({step} - 1, 0) + least({step}, 1) + place - 1 AS INT) AS place, x, y FROM r{i}_{step}"
+    for i, (seed, many) in enumerate(ROUNDS) for step in range(mixture.DRAW_ROUNDS + 1)))
+def _(spark, sf):
+    found = mixture.draw_candidates(points(spark, sf), XY, dict(ROUNDS))
+    return spark.createDataFrame(
+        [(s, i, float(x), float(y)) for s, rows in found.items() for i, (x, y) in enumerate(rows)],
+        "seed string, place int, x double, y double")
+
+
 FITS = [(3, "full", 42), (4, "diag", 7)]
 
 
@@ -112,7 +140,7 @@ SELECT {i} AS model, c AS component, '{kind}' AS kind, round(w, 6) AS weight, ro
   round(a, 5) AS vxx, round(b, 5) + 0.0 AS vxy, round(d, 5) AS vyy FROM f{i}_p3""" for i, (k, kind, seed) in enumerate(FITS)))
 def _(spark, sf):
     fitted = mixture.fit_mixtures(
-        points(spark, sf), XY, [mixture.Candidate(k, RIDGE, kind, seed) for k, kind, seed in FITS], 3, -1.0)
+        points(spark, sf), XY, [mixture.Candidate(k, RIDGE, kind, seed) for k, kind, seed in FITS], 3, -1.0, start="drawn")
     tables = [m.to_table(spark, i) for i, (m, _) in enumerate(fitted)]
     spread = F.col("covariance")
     return tables[0].unionByName(tables[1]).select(
@@ -129,7 +157,7 @@ def trials_sql(trials, passes):
 
 def select(spark, sf, trials, passes):
     candidates = [mixture.Candidate(k, RIDGE, kind, seed) for k, kind, seed in trials]
-    return mixture.select_mixture(points(spark, sf), XY, candidates, passes, -1.0).runs
+    return mixture.select_mixture(points(spark, sf), XY, candidates, passes, -1.0, start="drawn").runs
 
 
 SIZES = [(2, "full", 42), (4, "full", 42), (3, "diag", 42)]

@@ -261,3 +261,64 @@ def test_centres_are_drawn_by_weight_and_distance(spark):
     assert 22 <= first.count(1.0) <= 50 and first.count(0.0) < first.count(3.0) + 8
     assert len(set(mixture.spread_centres(points, ["x"], 3, 1)[:, 0])) == 3
     assert len(mixture.spread_centres(points, ["x"], 5, 1)) == 5
+
+
+def _blobs(frame, many=12):
+    rng = np.random.default_rng(3)
+    middles = rng.uniform(-20, 20, (many, 2))
+    rows = [(float(x), float(y), int(n)) for m in middles for (x, y), n in zip(rng.normal(m, 1, (40, 2)), rng.integers(1, 5, 40))]
+    return frame("x double, y double, n long", *rows)
+
+
+def test_oversampled_starts_are_no_worse_than_drawn_ones(frame):
+    points = _blobs(frame)
+    candidates = [mixture.Candidate(8, 1e-3, "full", s) for s in range(10)]
+    ends = {
+        start: np.median([ll for _, ll in mixture.fit_mixtures(points, XY, candidates, 4, -1.0, start=start)])
+        for start in ("oversampled", "drawn")}
+    assert ends["oversampled"] >= ends["drawn"]
+
+
+def test_candidates_take_as_many_jobs_for_any_number(spark, frame):
+    points = _blobs(frame)
+    sc = spark.sparkContext
+
+    def jobs(name, draws):
+        sc.setJobGroup(name, name)
+        found = mixture.draw_candidates(points, XY, draws)
+        return len(sc.statusTracker().getJobIdsForGroup(name)), found
+
+    try:
+        few, _ = jobs("few", {1: 2})
+        many, found = jobs("many", {1: 60, 2: 5, 3: 7})
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert few == many
+    assert {s: len(x) for s, x in found.items()} == {s: 1 + mixture.DRAW_ROUNDS * n for s, n in ((1, 60), (2, 5), (3, 7))}
+    assert all(len(np.unique(x, axis=0)) == len(x) for x in found.values())
+    again = mixture.draw_candidates(points.repartition(5), XY, {2: 5})
+    assert np.array_equal(again[2], found[2])
+
+
+def test_candidates_run_out(frame):
+    """Three distinct points: all are found once, and more centres than points repeat."""
+    points = frame("x double, y double, n long", (0.0, 0.0, 5), (1.0, 0.0, 1), (0.0, 9.0, 2))
+    assert len(mixture.draw_candidates(points, XY, {1: 10})[1]) == 3
+    centres, = mixture.oversampled_centres(points, XY, [mixture.Candidate(5)], 1)
+    assert centres.shape == (5, 2) and np.isfinite(centres).all()
+    model = mixture.fit_mixture(points, XY, 5, 1e-3, max_passes=3)
+    assert np.isfinite(model.means).all() and abs(model.weights.sum() - 1) < 1e-9
+
+
+def test_joint_density_of_far_points():
+    """The common origin keeps degrees of longitude exact; strips join."""
+    rng = np.random.default_rng(1)
+    spread = np.array([np.cov(rng.normal(size=(3, 50))) * 1e-4 + 1e-6 * np.eye(3) for _ in range(4)])
+    model = mixture.Mixture(np.full(4, 0.25), rng.normal([-73.9, 40.7, 12], 0.01, (4, 3)), spread)
+    x = rng.normal([-73.9, 40.7, 12], 0.02, (500, 3))
+    want = np.empty((500, 4))
+    for c in range(4):
+        gap = x - model.means[c]
+        want[:, c] = np.log(0.25) - 0.5 * np.linalg.slogdet(2 * np.pi * spread[c])[1] - 0.5 * np.einsum(
+            "ni,ij,nj->n", gap, np.linalg.inv(spread[c]), gap)
+    assert np.allclose(model.joint(x), want, rtol=1e-9, atol=1e-7)

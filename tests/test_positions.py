@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tripcast.durable import stored
 from tripcast.operators import distance, ranking, results
 
 
@@ -39,7 +40,7 @@ def test_quantiles_of_one_large_group_spread(spark):
     """No task orders more than a part of a group of 10^6 values."""
     df = spark.range(1_000_000, numPartitions=8).select(F.lit(1).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("v"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # this is a small group after all
-    placed = results._value_positions(df, ["g"], "v")
+    placed = stored(results._value_positions(df, ["g"], "v"), "placed")
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     parts = placed.withColumn("p", F.input_file_name()).groupBy("p").count().toPandas()["count"]
     assert parts.sum() == placed.count() and parts.max() < 0.3 * parts.sum()

@@ -42,6 +42,14 @@ def day_slots(df: DataFrame, ts: str = PICKUP_TIME, trips: str = "trips") -> Dat
     return out.withColumn("slot_ts", tc.at_time(F.col("date"), 0, F.col("slot") * tc.SLOT_MINUTES))
 
 
+def day_slot_matrix(counts: DataFrame, slots: int = tc.SLOTS_PER_DAY, prefix: str = "s") -> DataFrame:
+    """Counts of ``day_slots`` (or, with 24 slots, of ``day_hours``) as one row a date and
+    one column a slot, ``s0`` on; a slot that nothing was counted in is null. The columns are
+    named beforehand, so no pass looks for them."""
+    wide = counts.groupBy("date").pivot("slot", list(range(slots))).agg(F.first("trips"))
+    return wide.select("date", *[F.col(str(i)).alias(f"{prefix}{i}") for i in range(slots)])
+
+
 def day_hours(df: DataFrame, ts: str = PICKUP_TIME, trips: str = "trips") -> DataFrame:
     """The hourly form: trips per date and hour; ``slot`` is the hour."""
     keyed = df.select(

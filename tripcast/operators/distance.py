@@ -143,8 +143,8 @@ def sampled_pair_distance(
     member gets ``alone``, and with ``clusters`` every listed one is reported.
     """
     features = list(features)
-    folded = points.groupBy(cluster, *features).agg(
-        F.sum(F.lit(1) if weight is None else F.col(weight)).cast("long").alias("w"))
+    folded = stored(points.groupBy(cluster, *features).agg(
+        F.sum(F.lit(1) if weight is None else F.col(weight)).cast("long").alias("w")), "folded")
     placed = stored(group_positions(folded, [cluster], features, "w", total="n"), "placed")
     sizes = stored(placed.groupBy(cluster, "n").agg(F.count(F.lit(1)).alias("p")), "sizes")
     whole = F.col("p") * (F.col("p") - 1) / 2 <= draws

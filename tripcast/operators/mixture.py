@@ -10,12 +10,15 @@ parameters. Several candidate mixtures are fitted in the same passes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +26,9 @@ from tripcast.durable import forget, stored
 from tripcast.functions import hashing, timecols as tc
 
 START_ROUNDS = 4          # nearest-centre rounds of a start
+DRAW_ROUNDS = 5           # rounds in which candidates for centres are drawn, whatever their number
+RECLUSTER_ROUNDS, RECLUSTER_TRIES = 10, 8
+OVERSAMPLE = 2            # candidates a round, as a multiple of the centres wanted
 TASK_POINTS = 50_000      # fewest points worth a task of their own
 STRIP_CELLS = 1 << 22     # numbers held at a time while adding up products
 EMPTY = 1e-10             # weight that keeps an empty component finite
@@ -73,14 +79,28 @@ class Mixture:
         """Free parameters: weights, means and the covariances of its kind."""
         return parameter_count(self.k, self.d, self.kind)
 
+    @cached_property
+    def _factors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``joint`` needs of the parameters, worked out once a mixture: a common
+        origin, the inverse factors of all components side by side, what they make of
+        the means, and the logarithms that no point changes."""
+        origin = self.means.mean(axis=0)
+        low = np.linalg.cholesky(self.covariances)
+        inverse = np.linalg.inv(low)
+        side = inverse.transpose(2, 0, 1).reshape(self.d, self.k * self.d)
+        shift = np.einsum("kij,kj->ki", inverse, self.means - origin).ravel()
+        logs = np.log(self.weights) - np.log(np.diagonal(low, axis1=1, axis2=2)).sum(1) - 0.5 * self.d * np.log(2 * np.pi)
+        return origin, side, shift, logs
+
     def joint(self, x: np.ndarray) -> np.ndarray:
         """ln(weight * density) of every point under every component."""
+        origin, side, shift, logs = self._factors
         out = np.empty((len(x), self.k))
-        for c in range(self.k):
-            low = np.linalg.cholesky(self.covariances[c])
-            z = np.linalg.solve(low, (x - self.means[c]).T)
-            out[:, c] = -0.5 * (z * z).sum(0) - np.log(np.diag(low)).sum()
-        return out + np.log(self.weights) - 0.5 * self.d * np.log(2 * np.pi)
+        step = max(1, STRIP_CELLS // (self.k * self.d))
+        for at in range(0, len(x), step):
+            z = ((x[at:at + step] - origin) @ side - shift).reshape(-1, self.k, self.d)
+            out[at:at + step] = logs - 0.5 * np.einsum("nkd,nkd->nk", z, z)
+        return out
 
     def to_rows(self, model: int = 0) -> list[tuple]:
         return [
@@ -245,14 +265,111 @@ def spread_centres(points: DataFrame, features: Sequence[str], k: int, seed: int
     return centres
 
 
-def _starts(points: DataFrame, features: Sequence[str], candidates: Sequence[Candidate], seed: int) -> list[Mixture]:
+def draw_candidates(
+    points: DataFrame, features: Sequence[str], draws: Mapping[int | str, int], rounds: int = DRAW_ROUNDS,
+) -> dict[int | str, np.ndarray]:
+    """Candidates for centres (k-means||, Bahmani et al., 2012), for each seed of ``draws``:
+    one point by weight, then in every round as many as ``draws`` says, without
+    replacement, with chances in proportion to weight times squared distance from all
+    candidates so far. A round is one job for all seeds.
+
+    A round takes the largest of ln(gap² n) plus Gumbel noise hashed from seed, round and
+    point, so a task names no more points than a round draws, and the result hangs on
+    neither partitions nor order. Points that are candidates already aren't drawn again.
+    """
+    features, seeds = list(features), list(draws)
+    known = {s: np.empty((0, len(features))) for s in seeds}
+    schema = "seed int, score double, " + ", ".join(f"`{f}` double" for f in features)
+    noisy = [f"_u{i}" for i in range(len(seeds))]
+    for step in range(rounds + 1):
+        wanted = [draws[s] if step else 1 for s in seeds]
+
+        def best_of_task(
+            batches: Iterator[pd.DataFrame], centres: list = [known[s] for s in seeds], wanted: list = wanted,
+        ) -> Iterator[pd.DataFrame]:
+            best = [None] * len(wanted)
+            for batch in batches:
+                x, n = batch[features].to_numpy(float), batch["n"].to_numpy(float)
+                for i, (near, many) in enumerate(zip(centres, wanted)):
+                    gap = squared_gaps(x, near).min(1) if len(near) else np.ones(len(x))
+                    far = gap > 0
+                    u = np.maximum(batch[noisy[i]].to_numpy()[far], 2.0 ** -53)
+                    found = batch.loc[far, features].assign(seed=i, score=np.log(gap[far] * n[far]) - np.log(-np.log(u)))
+                    found = found if best[i] is None else pd.concat([best[i], found])
+                    best[i] = found.sort_values(["score", *features], ascending=[False] + [True] * len(features)).head(many)
+            for found in best:
+                if found is not None:
+                    yield found[["seed", "score", *features]]
+
+        columns = {u: hashing.uniform(f"{s}/{step}", *[F.col(c) for c in features]) for u, s in zip(noisy, seeds)}
+        first = W.partitionBy("seed").orderBy(F.desc("score"), *features)
+        found = (
+            points.withColumns(columns).mapInPandas(best_of_task, schema)
+            .withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= F.lit(max(wanted))).toPandas())
+        for i, s in enumerate(seeds):
+            mine = found[(found["seed"] == i) & (found["_place"] <= wanted[i])].sort_values("_place")
+            known[s] = np.vstack([known[s], mine[features].to_numpy(float)])
+    return known
+
+
+def _recluster(candidates: np.ndarray, mass: np.ndarray, k: int, seed: str) -> np.ndarray:
+    """``k`` centres of the weighted candidates, which are a few per centre: drawn apart,
+    then moved to the middle of what is nearest to them; the closest of several tries."""
+    rng = np.random.default_rng(zlib.crc32(seed.encode()))
+    mass = np.maximum(mass, EMPTY)
+    best, least = None, np.inf
+    for _ in range(RECLUSTER_TRIES):
+        chosen = [int(rng.choice(len(mass), p=mass / mass.sum()))]
+        gap = squared_gaps(candidates, candidates[chosen])[:, 0]
+        while len(chosen) < k:
+            chances = gap * mass
+            chances = chances if chances.sum() > 0 else mass      # fewer distinct points than centres: some repeat
+            chosen.append(int(rng.choice(len(mass), p=chances / chances.sum())))
+            gap = np.minimum(gap, squared_gaps(candidates, candidates[chosen[-1:]])[:, 0])
+        centres = candidates[chosen]
+        for _ in range(RECLUSTER_ROUNDS):
+            nearest = squared_gaps(candidates, centres).argmin(1)
+            held = np.bincount(nearest, mass, k)
+            moved = np.stack([np.bincount(nearest, mass * candidates[:, j], k) for j in range(candidates.shape[1])], axis=1)
+            centres = np.where(held[:, None] > 0, moved / np.maximum(held, EMPTY)[:, None], centres)
+        cost = float(mass @ squared_gaps(candidates, centres).min(1))
+        if cost < least:
+            best, least = centres, cost
+    return best
+
+
+def oversampled_centres(
+    points: DataFrame, features: Sequence[str], candidates: Sequence[Candidate], seed: int,
+) -> list[np.ndarray]:
+    """Centres to start each candidate mixture from. Mixtures of one seed share the draws,
+    and all share the jobs: one a round and one that weighs the drawn points."""
+    most: dict[str, int] = {}
+    for c in candidates:
+        name = f"{seed}/{c.seed}"
+        most[name] = max(c.k * OVERSAMPLE, most.get(name, 0))
+    drawn = draw_candidates(points, features, most)
+    weighed = _gather(points, features, [_Nearest(x, "diag") for x in drawn.values()])
+    mass = {s: sums[:, 0] for s, (sums, _) in zip(drawn, weighed)}
+    names = [f"{seed}/{c.seed}" for c in candidates]
+    return [_recluster(drawn[s], mass[s], c.k, f"{s}/{c.k}") for s, c in zip(names, candidates)]
+
+
+def _starts(
+    points: DataFrame, features: Sequence[str], candidates: Sequence[Candidate], seed: int, start: str,
+) -> list[Mixture]:
     """Spread-out centres, a few nearest-centre rounds and one maximisation, all
     over every point. Candidates of one seed share the draws, all share the rounds."""
-    most = {}
-    for c in candidates:
-        most[c.seed] = max(c.k, most.get(c.seed, 0))
-    drawn = {s: spread_centres(points, features, k, f"{seed}/{s}") for s, k in most.items()}
-    models = [_Nearest(drawn[c.seed][:c.k], c.kind) for c in candidates]
+    if start == "oversampled":
+        centres = oversampled_centres(points, features, candidates, seed)
+    elif start == "drawn":
+        most = {}
+        for c in candidates:
+            most[c.seed] = max(c.k, most.get(c.seed, 0))
+        drawn = {s: spread_centres(points, features, k, f"{seed}/{s}") for s, k in most.items()}
+        centres = [drawn[c.seed][:c.k] for c in candidates]
+    else:
+        raise ValueError(f"unknown start: {start}")
+    models = [_Nearest(x, c.kind) for x, c in zip(centres, candidates)]
     for left in range(START_ROUNDS, -1, -1):
         found = [sums for sums, _ in _gather(points, features, models)]
         if left:
@@ -273,14 +390,15 @@ def _starts(points: DataFrame, features: Sequence[str], candidates: Sequence[Can
 def fit_mixtures(
     points: DataFrame, features: Sequence[str], candidates: Sequence[Candidate],
     max_passes: int = 200, tolerance: float = 1e-3, seed: int = 42,
-    starts: Sequence[Mixture] | None = None,
+    starts: Sequence[Mixture] | None = None, start: str = "oversampled",
 ) -> list[tuple[Mixture, float]]:
     """Fit all candidates to folded points; ``(mixture, log-likelihood)`` each.
 
     A candidate stops when its mean log-likelihood gains less than
     ``tolerance``, and only then is marked ``converged``; the rest go on without
     it. ``starts`` gives each candidate's first parameters, in place of a start
-    drawn from the points. Repeated points are added up and stored first; every
+    drawn from the points: ``oversampled``, in as many jobs for any number of centres and
+    mixtures, or ``drawn``, one centre a job. Repeated points are added up and stored first; every
     pass reads that table.
     """
     features = list(features)
@@ -291,7 +409,7 @@ def fit_mixtures(
             raise ValueError("no points to fit")
         total, work = size["n"], kept.coalesce(max(1, -(-size["points"] // TASK_POINTS)))
         if starts is None:
-            models = _starts(work, features, candidates, seed)
+            models = _starts(work, features, candidates, seed, start)
         else:
             models = list(starts)
         before = [-np.inf] * len(models)
@@ -360,13 +478,13 @@ class Selection:
 def select_mixture(
     points: DataFrame, features: Sequence[str], candidates: Sequence[Candidate],
     max_passes: int = 200, tolerance: float = 1e-3, seed: int = 42,
-    starts: Sequence[Mixture] | None = None,
+    starts: Sequence[Mixture] | None = None, start: str = "oversampled",
 ) -> Selection:
     """Fit all candidates and take the least BIC, then AIC. Candidates of
     several seeds may be mixed: the best of all seeds is the best trial."""
     from tripcast.operators.results import best_by_information
 
-    fitted = fit_mixtures(points, features, candidates, max_passes, tolerance, seed, starts)
+    fitted = fit_mixtures(points, features, candidates, max_passes, tolerance, seed, starts, start)
     rows = points.agg(F.sum("n").alias("n")).first()["n"]
     table = []
     for i, (c, (m, likelihood)) in enumerate(zip(candidates, fitted)):

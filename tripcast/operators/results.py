@@ -42,8 +42,8 @@ def grouped_quantiles(
 
 def _value_positions(df: DataFrame, groups: Sequence[str], column: str) -> DataFrame:
     """Distinct values with their count ``w``, their ``position`` in the group and its size ``n``."""
-    folded = df.filter(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count(F.lit(1)).alias("w"))
-    return stored(group_positions(folded, groups, [column], "w", total="n"), "values")
+    folded = stored(df.filter(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count(F.lit(1)).alias("w")), "folded")
+    return group_positions(folded, groups, [column], "w", total="n")
 
 
 def _quantiles(placed: DataFrame, groups: Sequence[str], column: str, shares: Sequence[float]) -> DataFrame:
@@ -67,7 +67,7 @@ def box_statistics(
     """Quartiles, and whiskers at the last values within 1.5 interquartile
     ranges of the box. A null key is a group of its own."""
     by = list(by)
-    placed = _value_positions(results, by, "value")
+    placed = _value_positions(results, by, "value")    # a join of two stored tables
     boxes = stored(_quantiles(placed, by, "value", [0.25, 0.5, 0.75]).select(
         *by, F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("median"), F.col("quantiles")[2].alias("q3")), "boxes")
     reach = 1.5 * (F.col("q3") - F.col("q1"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripcast.durable import checkpointed
+from tripcast.durable import stored
 from tripcast.functions import hashing, timecols as tc
 from tripcast.joins import join_groups, join_same, spread
 from tripcast.sources.trips import DROPOFF_ZONE, PICKUP_TIME, PICKUP_ZONE
@@ -40,8 +40,8 @@ def _lead_counts(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
 def _stored(plan: DataFrame) -> tuple[DataFrame, int]:
     """A plan has one row per group and is read several times: store it, so the
     rows are counted once, and count the groups to choose the joins by."""
-    stored = checkpointed(plan)
-    return stored, stored.count()
+    kept = stored(plan, "plan")
+    return kept, kept.count()
 
 
 def take_exact(df: DataFrame, groups: Sequence[str], plan: DataFrame, id_col: str, seed: int) -> DataFrame:
@@ -62,10 +62,10 @@ def _take(df: DataFrame, groups: list[str], plan: DataFrame, count: int, id_col:
     contested = join_groups(narrow, short, groups, count).withColumn(
         "_lead", _lead(F.col("_n"), F.col("_key"))
     )
-    edges = checkpointed(join_same(_lead_counts(contested.select(*groups, "_lead"), groups), short, groups).filter(
+    edges = stored(join_same(_lead_counts(contested.select(*groups, "_lead"), groups), short, groups).filter(
         (F.col("_before") < F.col("_keep"))
         & (F.col("_keep") <= F.col("_before") + F.col("_here"))
-    ).select(*groups, "_lead", "_n", (F.col("_keep") - F.col("_before")).alias("_need")))
+    ).select(*groups, "_lead", "_n", (F.col("_keep") - F.col("_before")).alias("_need")), "edges")
     along = W.partitionBy(*groups).orderBy("_key", "_id")
     cuts = (
         join_groups(contested.select(*groups, "_lead", "_key", "_id"), edges, [*groups, "_lead"], count)
@@ -73,7 +73,7 @@ def _take(df: DataFrame, groups: list[str], plan: DataFrame, count: int, id_col:
         .filter(F.col("_place") == F.col("_need"))
         .select(*groups, F.col("_key").alias("_cut"), F.col("_id").alias("_cut_id"))
     )
-    limits = checkpointed(join_same(plan, cuts, groups, "left"))
+    limits = stored(join_same(plan, cuts, groups, "left"), "limits")
     tagged = join_groups(df.withColumn("_key", key), limits, groups, count)
     below = (F.col("_key") < F.col("_cut")) | (
         (F.col("_key") == F.col("_cut")) & (F.col(id_col) <= F.col("_cut_id"))
