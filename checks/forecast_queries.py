@@ -110,9 +110,10 @@ def _num(v):
     return f"CAST({float(v)!r} AS DOUBLE)"
 
 
-def adam_sql(name, train, val, width, start, rate, epochs, patience=None, min_delta=0.0):
+def adam_sql(name, train, val, width, start, rate, epochs, patience=None, min_delta=0.0, each=""):
     """Recursive table ``name(e, w0.., b0..)``: weights and best weights after
-    each epoch. ``start`` is a list of numbers or a one-row table with w0..."""
+    each epoch. ``start`` is a list of numbers or a one-row table with w0...
+    ``each`` picks the row of ``train``, called g, for the step after p.e."""
     at = range(width + 1)
     if isinstance(start, str):
         first, source = [f"s.w{i}" for i in at], f" FROM {start} s"
@@ -139,7 +140,7 @@ def adam_sql(name, train, val, width, start, rate, epochs, patience=None, min_de
     SELECT e, {w}, {keep('m')}, {keep('v')}, best, {keep('b')}, waited FROM (
       SELECT e, {keep('w')}, {m}, {v}, best, {keep('b')}, waited FROM (
         SELECT p.e + 1 AS e, {', '.join(f'p.{c}{i}' for c in 'wmvb' for i in at)}, p.best, p.waited, {grad}
-        FROM {name} p, {train} g WHERE p.e < {epochs}{stop}) a) b) q, {val} h) z)"""
+        FROM {name} p, {train} g WHERE p.e < {epochs}{stop}{each}) a) b) q, {val} h) z)"""
 
 
 def _start(seed, width=4):
@@ -197,6 +198,28 @@ def _(spark, sf):
     return out.select("epochs", *[F.round(c, _PLACES[c]).alias(c) for c in ("r2", "smape", "mae", "rmse")])
 
 
+def _dealt_sql(batches, epochs):
+    """Steps of mini-batch training: the sums of each batch, numbered in order."""
+    u = u_sql(f"{SEED}/batch", "epoch", "pos")
+    return f"""
+dealt AS (SELECT t.*, epoch, CAST(floor({u} * {batches}) AS INT) AS batch FROM tr t CROSS JOIN (SELECT unnest(range(1, {epochs + 1})) AS epoch) e),
+steps AS (SELECT *, row_number() OVER (ORDER BY epoch, batch) AS step FROM ({sums_sql('dealt', 4, 'epoch, batch')}) b),
+h AS ({sums_sql('va', 4)}),
+"""
+
+
+@query("m12_minibatch_steps", given("day_hours", _SPLIT + _dealt_sql(5, 2) + adam_sql(
+    "path", "steps", "h", 4, _start(SEED), 0.01, 10, each=" AND g.step = p.e + 1") + """
+SELECT 0 AS output, unnest(range(5))::INT AS input, unnest([round(w0, 6), round(w1, 6), round(w2, 6), round(w3, 6), round(w4, 6)]) AS weight
+FROM path WHERE e = (SELECT max(step) FROM steps)""").replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, sf):
+    w = windows.chronological_split(hour_windows(spark, sf))
+    dealt = linear.deal_batches(w.filter(F.col("part") == "train"), XS, "y", ["pos"], 5, 2, SEED)
+    val = linear.Products.collect(w.filter(F.col("part") == "val"), XS, "y")
+    path = linear.minibatch_path(dealt, val, linear.initial_weights(4, 1, SEED), 0.01, [2])
+    return linear.weights_table(spark, path.at[2]).select("output", "input", r6("weight"))
+
+
 @query("s9_linear_weights", given("day_hours", _SPLIT_SUMS + adam_sql("path", "g", "h", 4, _start(SEED), 0.01, 150) + """
 SELECT 0 AS output, unnest(range(5))::INT AS input, unnest([round(w0, 6), round(w1, 6), round(w2, 6), round(w3, 6), round(w4, 6)]) AS weight
 FROM path WHERE e = 150""").replace("WITH", "WITH RECURSIVE", 1))

@@ -9,14 +9,19 @@ synthetic windows together needs no further pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripcast.durable import stored
+from tripcast.functions import hashing
 from tripcast.functions.vectors import dot, moving_average_matrix
 from tripcast.operators.windows import sliding_windows, with_position
 
@@ -125,11 +130,51 @@ def gradient_path(
     return _descend(train, val, [start], lambda p: p[0], lambda g: [g], rate, epochs, patience, min_delta, restore)
 
 
+def deal_batches(
+    df: DataFrame, xs: Sequence[str], y: str, keys: Sequence[str], batches: int, epochs: int, seed: int,
+    output: str | None = None,
+) -> DataFrame:
+    """Sums of products per ``epoch, batch`` (and ``output``): in each epoch a row goes to
+    one of the batches by a hash of its ``keys``, which the outputs of a window share.
+
+    One aggregation gives every batch of every epoch, reduced in each task; what a batch
+    contributes to training is those sums, so no row leaves its executor. Stored.
+    """
+    dealt = df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn(
+        "batch", F.floor(hashing.uniform(f"{seed}/batch", F.col("epoch"), *[F.col(k) for k in keys]) * batches).cast("int"))
+    return stored(sums_of_products(dealt, xs, y, ["epoch", "batch", *([output] if output else [])]), "batches")
+
+
+def _in_order(dealt: DataFrame, width: int, output: str | None) -> Callable[[int], list[Products]]:
+    """The batches of one epoch after the other, fetched as training gets there."""
+    keys = ["epoch", "batch", *([output] if output else [])]
+    rows = groupby(dealt.orderBy(*keys).toLocalIterator(True), key=lambda r: r["epoch"])
+
+    def batches(epoch: int) -> list[Products]:
+        number, own = next(rows, (None, []))
+        if number != epoch:
+            raise ValueError(f"epoch {epoch} has no rows")
+        return [Products.from_rows(list(some), width) for _, some in groupby(own, key=lambda r: r["batch"])]
+    return batches
+
+
+def minibatch_path(
+    dealt: DataFrame, val: Products, start: np.ndarray, rate: float, epochs: Sequence[int],
+    patience: int | None = None, min_delta: float = 0.0, restore: str = "best", output: str | None = None,
+) -> Path:
+    """``gradient_path`` with one step of the optimiser for each batch of ``deal_batches``,
+    in order; an empty batch is left out. One batch an epoch is ``gradient_path`` itself."""
+    batches = _in_order(dealt, len(start) - 1, output)
+    return _descend(None, val, [start], lambda p: p[0], lambda g: [g], rate, epochs, patience, min_delta, restore, batches)
+
+
 def decomposed_path(
     train: Products, val: Products, seed: int, rate: float, epochs: Sequence[int], kernel: int = 25,
+    dealt: DataFrame | None = None, output: str = "zone",
 ) -> Path:
     """The same for a model with one head on the moving average of the window
-    and one on the rest, each with a bias; outputs share the input.
+    and one on the rest, each with a bias; outputs share the input. With ``dealt``, the
+    sums of ``deal_batches`` per ``output``, a step is taken for each batch.
 
     Both heads are linear in the window, so together they are one weight matrix
     ``(I - A)' rest + A' trend``; the gradient flows back through it.
@@ -147,24 +192,30 @@ def decomposed_path(
     def split(g):
         return [np.vstack([rest @ g[:-1], g[-1]]), np.vstack([smooth @ g[:-1], g[-1]])]
 
-    return _descend(train, val, heads, merge, split, rate, epochs)
+    batches = None if dealt is None else _in_order(dealt, width, output)
+    return _descend(train, val, heads, merge, split, rate, epochs, batches=batches)
 
 
-def _descend(train, val, parameters, merge, split, rate, epochs, patience=None, min_delta=0.0, restore="best") -> Path:
-    count = train.n * train.zy.shape[1]
+def _descend(
+    train, val, parameters, merge, split, rate, epochs, patience=None, min_delta=0.0, restore="best", batches=None,
+) -> Path:
+    """``batches`` gives the sums of each batch of an epoch; without it, all rows are one."""
     parameters = [p.copy() for p in parameters]
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
     best, best_loss, waited, at = None, np.inf, 0, {}
-    losses, val_losses = [], []
+    losses, val_losses, step = [], [], 0
     for epoch in range(1, max(epochs) + 1):
         weights = merge(parameters)
-        losses.append(train.mse(weights))
-        gradients = split(2 / count * (train.zz @ weights - train.zy))
-        for p, m, v, g in zip(parameters, first, second, gradients):
-            m += (1 - BETA1) * (g - m)
-            v += (1 - BETA2) * (g * g - v)
-            p -= rate * (m / (1 - BETA1 ** epoch)) / (np.sqrt(v / (1 - BETA2 ** epoch)) + EPSILON)
-        weights = merge(parameters)
+        own = [train] if batches is None else batches(epoch)
+        losses.append(reduce(add, own).mse(weights))
+        for batch in own:
+            step += 1
+            gradients = split(2 / (batch.n * batch.zy.shape[1]) * (batch.zz @ weights - batch.zy))
+            for p, m, v, g in zip(parameters, first, second, gradients):
+                m += (1 - BETA1) * (g - m)
+                v += (1 - BETA2) * (g * g - v)
+                p -= rate * (m / (1 - BETA1 ** step)) / (np.sqrt(v / (1 - BETA2 ** step)) + EPSILON)
+            weights = merge(parameters)
         val_losses.append(val.mse(weights))
         if val_losses[-1] < best_loss - min_delta:
             best, best_loss, waited = weights.copy(), val_losses[-1], 0

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from tripcast.durable import forget, stored
 from tripcast.functions import hashing, timecols as tc
+from tripcast.operators import trials
 
 START_ROUNDS = 4          # nearest-centre rounds of a start
 DRAW_ROUNDS = 5           # rounds in which candidates for centres are drawn, whatever their number
@@ -498,6 +499,35 @@ def select_mixture(
     return Selection(runs, mixtures, mixtures[best["trial"]], best["trial"])
 
 
+def search_mixture(
+    points: DataFrame, features: Sequence[str], rounds: int = 5, per_round: int = 6, seed: int = 42,
+    components: tuple[int, int] = (20, 60), ridge: tuple[float, float] = (1e-6, 1e-3), kinds: Sequence[str] = ("full",),
+    max_passes: int = 200, tolerance: float = 1e-3,
+) -> Selection:
+    """As ``select_mixture``, the candidates chosen in rounds by what those before reached in
+    BIC; ``runs`` has the ``round``. The mixtures of a round share the passes."""
+    space = {"k": trials.Span(*components, step=1), "ridge": trials.Span(*ridge, log=True), "kind": list(kinds)}
+    kept = stored(points.groupBy(*features).agg(F.sum("n").alias("n")), "points")
+    chosen: list[Selection] = []
+
+    def evaluate(values: list[dict]) -> list[tuple[float]]:
+        candidates = [Candidate(v["k"], v["ridge"], v["kind"], seed) for v in values]
+        chosen.append(select_mixture(kept, features, candidates, max_passes, tolerance, seed))
+        return [(r["bic"],) for r in chosen[-1].runs.orderBy("trial").collect()]      # a row a trial
+
+    trials.search(space, evaluate, rounds, per_round, seed)
+    runs = None
+    for turn, one in enumerate(chosen):
+        part = one.runs.withColumns({"trial": F.col("trial") + turn * per_round, "round": F.lit(turn)})
+        runs = part if runs is None else runs.unionByName(part)
+    mixtures = [m for one in chosen for m in one.mixtures]
+    forget(kept)
+    from tripcast.operators.results import best_by_information
+
+    best = best_by_information(runs).first()["trial"]
+    return Selection(runs, mixtures, mixtures[best], best)
+
+
 def _matrix(columns: tuple[pd.Series, ...]) -> np.ndarray:
     return np.column_stack([c.to_numpy(float) for c in columns])
 
