@@ -310,6 +310,41 @@ def test_shuffle_mixes_and_repeats(spark):
     assert "Python" not in sharding.shuffle_into_shards(rows)._jdf.queryExecution().toString()
 
 
+def test_one_id_of_many_large_rows(spark, frame, monkeypatch):
+    """Its rows are dealt row by row, buckets stay near their size and one is held at a time."""
+    rows = frame("doc_id long, text string", *[(1, "x" * 10_000)] * 300, *[(i, f"t{i}") for i in range(2, 300)])
+    plans, kept = [], sharding.stored
+
+    def watched(df, label):
+        if label == "shuffled":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            sizes = kept(df.groupBy("bucket").agg(F.sum(sharding.record_size(F.col("text"))).alias("b")), "sizes").toPandas()["b"]
+            assert sizes.max() < 3 * 100_000 and len(sizes) > 20
+        return kept(df, label)
+    monkeypatch.setattr(sharding, "stored", watched)
+    before = spark.conf.get(sharding.HASH_AGGREGATE)
+    got = sharding.shuffle_into_shards(rows, bucket_bytes=100_000).toPandas()
+    assert "ObjectHashAggregate" not in plans[0] and plans[0].count("SortAggregate") == 2
+    assert spark.conf.get(sharding.HASH_AGGREGATE) == before
+    assert sorted(got["doc_id"]) == sorted([1] * 300 + list(range(2, 300)))
+    assert got.groupby("shard")["doc_id"].apply(lambda d: (d == 1).sum()).between(15, 60).all()     # 37 or 38 expected
+
+
+def test_order_is_that_of_a_plain_two_pass_shuffle(spark, frame):
+    """Buckets by hash, each one's rows in some order of its own, cut into equal runs."""
+    rows = frame("doc_id long, text string", *[(i, "y" * (i % 50)) for i in range(400)])
+    got = sharding.shuffle_into_shards(rows, bucket_bytes=500).toPandas().sort_values(["shard", "slot"])
+    buckets = -(-sum(i % 50 + 1 for i in range(400)) // 500)
+    bucket = {r.doc_id: r.b for r in rows.select("doc_id", F.pmod(
+        F.xxhash64(F.lit(17), "doc_id", F.lit(0).cast("long")), F.lit(buckets)).alias("b")).collect()}
+    order = [bucket[i] for i in got["doc_id"]]
+    assert order == sorted(order)                              # bucket after bucket
+    assert got.groupby("shard")["slot"].apply(list).map(lambda s: s == list(range(len(s)))).all()
+    assert got.groupby("shard").size().tolist() == [50] * 8
+    inside = [i for i in got["doc_id"] if bucket[i] == order[0]]
+    assert len(inside) > 3 and inside != sorted(inside)
+
+
 # quality
 
 def test_quality_on_held_out_rows(spark):

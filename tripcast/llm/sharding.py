@@ -3,7 +3,8 @@
 Pass one scatters the records by seeded hashes into buckets that fit in memory
 (the exchange writes them to disk). Pass two takes one bucket at a time into
 memory, shuffles it (Spark's ``shuffle`` is a Fisher-Yates shuffle) and writes
-it. Prefix sums of the bucket counts give every record its place in the whole,
+it; the rows come sorted by bucket and are gathered by a sort aggregate, since a hash
+aggregate would hold many buckets. Prefix sums of the bucket counts give every record its place in the whole,
 and the shards are equal runs of that order: the law is ``rows``.
 """
 
@@ -18,8 +19,10 @@ from tripcast.llm.arrow import fresh
 
 SHARDS = 8
 BUCKET_BYTES = 4 << 20
-HOT_COPIES = 1_000     # rows of one id that are worth scattering row by row
+TASK_BYTES = 64 << 20  # of records, per task of pass two
+HOT_SHARE = 4          # an id with more than this part of a bucket is scattered row by row
 HOT_IDS = 1_000_000    # bound of the ids broadcast for that
+HASH_AGGREGATE = "spark.sql.execution.useObjectHashAggregateExec"
 STRIDE = 1_000         # buckets summed together in the first of two prefix sums
 
 
@@ -27,12 +30,15 @@ def record_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def _scattered(df: DataFrame, id_column: str, seed: int, buckets: int, rows: int, name: str) -> DataFrame:
-    """``df`` with its bucket. A record's bucket hangs on its id; only of ids with
-    very many rows each row goes its own way. There are at most HOT_IDS of those."""
+def _scattered(
+    df: DataFrame, id_column: str, text_column: str, seed: int, buckets: int, total: int, bucket_bytes: int, name: str,
+) -> DataFrame:
+    """``df`` with its bucket. A record's bucket hangs on its id; only of ids whose
+    rows are large together each row goes its own way. There are at most HOT_IDS of those."""
     key, salt = fresh(df, "hot_id", "salt")
-    least = max(HOT_COPIES, rows // HOT_IDS)
-    hot = stored(df.groupBy(F.col(id_column).alias(key)).count().filter(F.col("count") > least)
+    least = max(bucket_bytes // HOT_SHARE, total // HOT_IDS)
+    many = (F.count("*") > 1) & (F.sum(record_size(F.col(text_column))) > least)
+    hot = stored(df.groupBy(F.col(id_column).alias(key)).agg(many.alias(salt)).filter(salt)
                  .select(key, F.lit(1).alias(salt)), "hot")
     if hot.isEmpty():
         each = df.withColumn(salt, F.lit(0).cast("long"))
@@ -59,7 +65,8 @@ def shuffle_into_shards(
 ) -> DataFrame:
     """All rows and columns of ``df``, shuffled, with ``shard`` (from 0) and
     ``slot`` (gapless from 0 in each shard); columns of these names in ``df``
-    are replaced. Shard counts differ by at most one.
+    are replaced. Shard counts differ by at most one. A task holds one bucket of about
+    ``bucket_bytes``, or one larger record.
 
     The order is fixed by the seed, the ids and the layout of the input. Null
     ids and repeated rows are records like any other, a null text is one of
@@ -69,15 +76,21 @@ def shuffle_into_shards(
     bucket, place, row, size, n, start = fresh(df, "bucket", "place", "row", "size", "n", "start")
     total, rows = df.agg(F.sum(record_size(F.col(text_column))), F.count("*")).first()
     buckets = max(1, -(-(total or 0) // bucket_bytes))
-    scattered = _scattered(df, id_column, seed, buckets, rows, bucket)
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scattered = _scattered(df, id_column, text_column, seed, buckets, total or 0, bucket_bytes, bucket)
+    conf = df.sparkSession.conf
+    tasks = max(int(conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // TASK_BYTES))
     passed = (
         scattered.repartition(tasks, bucket)
         .sortWithinPartitions(bucket, F.xxhash64(F.lit(seed + 1), id_column))
         .groupBy(bucket).agg(F.collect_list(F.struct(*df.columns)).alias(row))
         .select(bucket, F.posexplode(F.shuffle(row, F.lit(seed))).alias(place, row))
         .select(bucket, place, f"{row}.*"))
-    written = stored(passed, "shuffled")
+    before = conf.get(HASH_AGGREGATE)
+    try:
+        conf.set(HASH_AGGREGATE, "false")
+        written = stored(passed, "shuffled")
+    finally:
+        conf.set(HASH_AGGREGATE, before)
     counts = stored(written.groupBy(bucket).agg(F.count("*").alias(n)), "counts")
     offsets = _offsets(counts, bucket, n, start)
     base, larger = divmod(rows, shards)
