@@ -401,6 +401,32 @@ def test_lines_of_an_empty_table(frame, listed):
     assert lines.remove_spread_lines(empty, listed=listed).collect() == []
 
 
+def test_all_lines_of_a_footer_go_and_those_of_near_copies_stay(frame):
+    """A footer of three lines that always stand together, among them documents copied with
+    an edit each; copies carry the footer too and lose it, but not what they share."""
+    foot = "\n-- \nAll rights reserved.\nPrinted from the web."
+    body = "\n".join(f"sentence {k} of a story that is told again" for k in range(12))
+    plain = [doc(i, f"title {i}\nwords of document {i}, long enough to be its own" + foot, f"s{i % 12}") for i in range(24)]
+    near = [doc(100 + i, body + f"\nedit {i}" + foot, f"s{i % 12}") for i in range(24)]
+    whole = [doc(200 + i, "one poem\nof two lines", f"s{i % 12}") for i in range(24)]
+    got = {r.doc_id: (r.text, r.gone) for r in lines.remove_spread_lines(frame(DOCS, *plain, *near, *whole), removed="gone").collect()}
+    assert all(got[i] == (f"title {i}\nwords of document {i}, long enough to be its own", 3) for i in range(24))
+    assert all(got[100 + i] == (body + f"\nedit {i}", 3) for i in range(24))
+    assert all(got[200 + i] == ("one poem\nof two lines", 0) for i in range(24))
+
+
+def test_lines_that_stay_on_the_given_table(spark):
+    """sf0.1: 106 of the 107 lines on ten sites go; the one that stays is of copied texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    table = lines.stored(lines.line_table(docs, "doc_id", "text", "source"), "lines")
+    once = table.groupBy("text").agg(F.min("site").alias("first"))
+    wide = table.join(once, "text").groupBy("line").agg(
+        F.count_distinct("first").alias("sites"), F.count_distinct("text").alias("texts")).filter("sites >= 10")
+    bad = lines.spread_lines(table)
+    stay = wide.join(bad, "line", "left_anti").collect()
+    assert bad.count() >= 100 and len(stay) <= 2 and all(r.texts < 20 for r in stay)
+
+
 def test_near_threshold_lines_are_counted_exactly(frame):
     rows = [doc(100 * n + i, f"a {n} {i}\nline on {n} sites\nb {n} {i}", f"s{i}") for n in range(7, 14) for i in range(n)]
     got = lines.remove_spread_lines(frame(DOCS, *rows), removed="gone")

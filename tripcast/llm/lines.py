@@ -1,11 +1,12 @@
 """Line deduplication by distinct-site spread.
 
-A line is boilerplate if it stands on many sites and in many surroundings: its
-distinct sites reach a threshold, and the distinct pairs of lines around it are
-a share of its occurrences. The second test tells boilerplate from lines of
-copied documents, which keep their neighbours; whole copies are left to
-document deduplication. Both counts come from HyperLogLog sketches per line hash
-that merge by aggregation; lines near either threshold are counted exactly.
+A line is boilerplate if it stands on many sites. Each distinct text counts once, for its
+first site, so copies of a document say nothing about its lines. Nor do near copies: a text
+of which half or more, by length and by lines, is on many sites is itself spread by copying,
+and a line needs its sites among the other texts. So every line of a header or footer goes,
+however its lines follow each other, and the lines of copied documents stay, which
+document deduplication handles. Sites are counted by HyperLogLog sketches per line hash
+that merge by aggregation; lines near the threshold are counted exactly.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from tripcast.durable import forget, stored
 from tripcast.llm.arrow import fresh, long_rows
 
 SITES = 10
-SHARE = 0.5
+COPIED = 0.5    # share of a text's length, and of its lines, on many sites from which it is no evidence
 BAND = 0.1      # six standard errors of a sketch of 2^12 registers
 LG_K = 12
 LISTED = 2_000_000      # boilerplate lines that are sent to every task: 16 MB
@@ -33,52 +34,57 @@ def _trimmed(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, id_column: str, text_column: str, site_column: str) -> DataFrame:
-    """``id, site, line, around`` per line that is not blank: hashes of the
-    trimmed line, of its site and of the two lines around it."""
+    """``id, text, site, total, many, line, size`` per distinct line of a row that is not
+    blank: hashes of the text and of the trimmed line, its length, and the length and
+    number of all; the site is stored by its name, to say which of several is first."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    hashes = F.transform(
-        F.filter(F.transform(F.split(text, "\n"), _trimmed), lambda x: x != ""), lambda x: F.xxhash64(x))
+    own = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), _trimmed), lambda x: x != ""))
+    size = lambda x: F.char_length(x).cast("long")
     rows = docs.select(
-        F.col(id_column).alias("id"), F.xxhash64(F.coalesce(F.col(site_column), F.lit(""))).alias("site"),
-        hashes.alias("h"))
-    at = F.transform("h", lambda x, i: F.struct(
-        x.alias("line"), F.xxhash64(F.coalesce(F.get("h", i - 1), F.lit(0).cast("long")),
-                                    F.coalesce(F.get("h", i + 1), F.lit(0).cast("long"))).alias("around")))
-    return rows.select("id", "site", F.inline(at))
+        F.col(id_column).alias("id"), F.xxhash64(text).alias("text"),
+        F.coalesce(F.col(site_column).cast("string"), F.lit("")).alias("site"), own.alias("own"))
+    total = F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + size(x))
+    each = F.transform("own", lambda x: F.struct(F.xxhash64(x).alias("line"), size(x).alias("size")))
+    return rows.select("id", "text", "site", total.alias("total"), F.size("own").alias("many"), F.inline(each))
+
+
+def _on_sites(pairs: DataFrame, sites: int, band: float) -> DataFrame:
+    """Lines of ``line, site`` on as many sites; a null site is a site of its own."""
+    sketched = stored(pairs.groupBy("line").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites")), "sketched")
+    near, enough = F.abs(F.col("sites") - sites) <= band * sites, F.col("sites") >= sites
+    close = pairs.join(sketched.filter(near).select("line"), "line").select("line", "site").distinct()
+    exact = close.groupBy("line").agg(F.count("*").alias("sites"))
+    found = stored(sketched.filter(~near & enough).select("line").unionByName(exact.filter(enough).select("line")), "lines")
+    forget(sketched)
+    return found
 
 
-def spread_lines(lines: DataFrame, sites: int = SITES, share: float = SHARE, band: float = BAND) -> DataFrame:
+def spread_lines(lines: DataFrame, sites: int = SITES, copied: float = COPIED, band: float = BAND) -> DataFrame:
     """Hashes ``line`` of the boilerplate lines of a stored ``line_table``.
 
     A line on ``sites`` sites occurs that often, so all others are left out by
-    count before any sketch is made. A null site is a site of its own.
+    count before any sketch is made.
     """
     often = stored(
         lines.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= sites).select("line"), "often")
-    sketched = stored(
-        lines.join(often, "line").groupBy("line").agg(
-            F.count("*").alias("n"),
-            F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"),
-            F.hll_sketch_estimate(F.hll_sketch_agg("around", F.lit(LG_K))).alias("contexts")), "sketched")
-    need = F.col("n") * F.lit(share)
-    near = (F.abs(F.col("sites") - sites) <= band * sites) | (F.abs(F.col("contexts") - need) <= band * need + 1)
-    spread = (F.col("sites") >= sites) & (F.col("contexts") >= need)
-    close = stored(sketched.filter(near).select("line", "n"), "close")
-    some = stored(lines.join(close.select("line"), "line"), "some")
-    exact = [
-        some.select("line", c).distinct().groupBy("line").agg(F.count("*").alias(name))
-        for c, name in (("site", "sites"), ("around", "contexts"))]
-    counted = close.join(exact[0], "line").join(exact[1], "line")
-    found = stored(
-        sketched.filter(~near & spread).select("line").unionByName(counted.filter(spread).select("line")), "spread")
-    forget(often, sketched, close, some)
+    texts = stored(lines.groupBy("text").agg(F.xxhash64(F.min("site")).alias("site"), F.max("total").alias("total"), F.max("many").alias("many")), "texts")
+    pairs = stored(
+        lines.join(often, "line").select("line", "text", "size").distinct().join(texts, "text"), "pairs")
+    wide = _on_sites(pairs, sites, band)
+    some = stored(pairs.join(wide, "line"), "some")
+    copies = stored(
+        some.groupBy("text", "total", "many").agg(F.sum("size").alias("length"), F.count("*").alias("n"))
+        .filter((F.col("length") >= copied * F.col("total")) & (F.col("n") >= copied * F.col("many"))).select("text"), "copies")
+    found = _on_sites(some.join(copies, "text", "left_anti"), sites, band)
+    forget(often, texts, pairs, wide, some, copies)
     return found
 
 
 def _without_listed(docs: DataFrame, text_column: str, bad: DataFrame, removed: str) -> DataFrame:
     """Texts without the lines of a short list, which every task holds sorted."""
     sent = docs.sparkSession.sparkContext.broadcast(
-        np.sort(np.array([r[0] for r in bad.select("line").collect()], np.int64)))
+        np.sort(bad.select("line").toArrow().column(0).to_numpy()))
     where = docs.columns.index(text_column)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +126,7 @@ def _without_joined(docs: DataFrame, id_column: str, text_column: str, lines: Da
 
 def remove_spread_lines(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source",
-    sites: int = SITES, share: float = SHARE, removed: str | None = None, listed: int = LISTED,
+    sites: int = SITES, copied: float = COPIED, removed: str | None = None, listed: int = LISTED,
 ) -> DataFrame:
     """All rows and columns of ``docs``, the text without its boilerplate lines;
     with ``removed``, a column of that name counts them.
@@ -135,7 +141,7 @@ def remove_spread_lines(
     count = removed or fresh(docs, "removed_lines")[0]
     docs = long_rows(docs)
     lines = stored(line_table(docs, id_column, text_column, site_column), "lines")
-    bad = spread_lines(lines, sites, share)
+    bad = spread_lines(lines, sites, copied)
     if bad.count() <= listed:
         clean = _without_listed(docs, text_column, bad, count)
     else:

@@ -104,19 +104,21 @@ QUERIES = {f.__name__: f for f in (
 SQL = {
     "op8_line_dedup": """
 WITH cut AS (
-  SELECT doc_id, coalesce(source, '') AS site, text, string_split(coalesce(text, ''), chr(10)) AS own,
-         list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
-                                    lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS a
+  SELECT doc_id, coalesce(source, '') AS site, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS own
   FROM documents),
+once AS (SELECT text, min(site) AS site, any_value(own) AS own FROM cut GROUP BY text),
 each AS (
-  SELECT site, a[i] AS line,
-         CASE WHEN i > 1 THEN 'p' || a[i - 1] ELSE '' END || chr(10) ||
-         CASE WHEN i < len(a) THEN 'n' || a[i + 1] ELSE '' END AS around
-  FROM (SELECT site, a, unnest(range(1, len(a) + 1)) AS i FROM cut)),
+  SELECT text, site, unnest(list_distinct(list_filter(
+    list_transform(own, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''))) AS line FROM once),
+wide AS (SELECT line FROM each GROUP BY line HAVING count(DISTINCT site) >= 10),
+copies AS (
+  SELECT text FROM each GROUP BY text
+  HAVING sum(CASE WHEN line IN (SELECT line FROM wide) THEN length(line) ELSE 0 END) >= 0.5 * sum(length(line))
+    AND count(*) FILTER (line IN (SELECT line FROM wide)) >= 0.5 * count(*)),
 bad AS (
   SELECT list(line) AS bad FROM (
-    SELECT line FROM each GROUP BY line
-    HAVING count(DISTINCT site) >= 10 AND count(DISTINCT around) >= 0.5 * count(*))),
+    SELECT line FROM each WHERE line IN (SELECT line FROM wide) AND text NOT IN (SELECT text FROM copies)
+    GROUP BY line HAVING count(DISTINCT site) >= 10)),
 kept AS (
   SELECT doc_id, text, own,
          list_filter(own, lambda x: NOT list_contains(coalesce(bad, []), trim(x, ' ' || chr(9) || chr(13)))) AS k
