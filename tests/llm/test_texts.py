@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tripcast.llm import chat, pages, pieces
+from tripcast.llm import chat, pages, pieces, queries
 
 SF = "/root/testdata/sf0.1"
 
@@ -219,3 +219,30 @@ def test_pieces_odd_rows(frame):
     back = pieces.decode(pieces.encode(rows)).collect()
     assert sorted((r.doc_id or 0, len(r.text)) for r in back) == [(0, 3), (1, 0), (1, 0), (2, 50_000), (2, 50_000)]
     assert pieces.round_trip(rows.limit(0)).count() == 0
+
+
+def test_first_words_of_unmarked_turns_stay():
+    assert not chat.marks_turns(["Warning: the stove is hot?", "Note: thanks, I see."])
+    assert not chat.marks_turns(["User: hello", "no marker here"])
+    assert not chat.marks_turns([])
+    assert chat.marks_turns(["User: a", "Assistant: b"]) and chat.marks_turns(["Host: s", "Nora: a", "Milo: b", "Nora: c", "Milo: d"])
+    even = chat.model_of({})
+    (_, first), *rest = chat.turns_of("Warning: the stove is hot?\n\nNote: thanks, I see.", even)
+    assert first.startswith("Warning: the stove is hot?")
+    assert "Note: thanks, I see." in first + "".join(t for _, t in rest)
+
+
+def test_replaced_columns_and_canonical_texts(frame):
+    tricky = [("system", " be <|im_end|> kind \n"), ("user", "Warning: hot\n\nreally"), ("assistant", r"<\\|im_start|> ok")]
+    rows = frame("conv_id long, part long, turns array<struct<turn:long,role:string,text:string>>, Manner string, transcript int, roles int",
+                 (1, 0, [(i, *t) for i, t in enumerate(tricky)], "x", 3, 4))
+    parts = chat.with_transcripts(rows)
+    assert sorted(parts.columns) == ["conv_id", "manner", "part", "roles", "transcript", "turns"]
+    done = chat.format_transcripts(parts, chat.model_of({})).select("formatted", chat.canonical(F.col("turns")).alias("c")).first()
+    assert done.c == chat.render([(r, t.strip()) for r, t in tricky])
+
+
+def test_texts_come_back_where_roles_do(spark):
+    got = queries.op3_chat_format(spark, SF).toPandas()
+    right = got[got["held_out"] & got["roles_agree"]]
+    assert len(right) > 0.9 * got["held_out"].sum() and right["texts_agree"].mean() > 0.9

@@ -162,15 +162,33 @@ def _typed(value: str):
     return {"True": True, "False": False}.get(value, int(value) if value.isdigit() else value)
 
 
+def speaker(line: str) -> str:
+    """The word of the line's marker, in lower case; '' for none."""
+    m = MARKER.match(line)
+    return (m["square"] or m["word"]).lower() if m else ""
+
+
+def marks_turns(openings: list[str]) -> bool:
+    """Whether a transcript marks its speakers: every turn opens with a marker, and more than
+    half of the turns with the word of a known speaker or one that comes again. Otherwise a
+    first word such as 'Warning:' belongs to the text."""
+    words = [speaker(line) for line in openings]
+    sure = sum(w in SPEAKERS or words.count(w) > 1 for w in words)
+    return "" not in words and 2 * sure > len(words)
+
+
 def turns_of(transcript: str, model: Model) -> list[tuple[str, str]]:
-    """Roles and texts of a transcript's turns, without markers and outer white space."""
+    """Roles and texts of a transcript's turns, without outer white space and, if it marks
+    its speakers, without the markers."""
     if not transcript.strip():
         return []
     lines = transcript.split("\n")
+    path = model.best_path(features(lines))
+    marked = marks_turns([line for line, (_, opens) in zip(lines, path) if opens])
     out: list[tuple[str, list[str]]] = []
-    for line, (role, opens) in zip(lines, model.best_path(features(lines))):
+    for line, (role, opens) in zip(lines, path):
         if opens:
-            out.append((role, [line[marker(line)[1]:]]))
+            out.append((role, [line[marker(line)[1]:] if marked else line]))
         else:
             out[-1][1].append(line)
     return [(role, "\n".join(own).strip()) for role, own in out]
@@ -184,6 +202,15 @@ def render(turns: list[tuple[str, str]]) -> str:
         for role, text in turns)
 
 
+def canonical(turns: Column) -> Column:
+    """``render`` of an array of turns with ``role`` and ``text``, in Spark, the texts
+    without outer white space."""
+    def one(turn: Column) -> Column:
+        text = F.regexp_replace(F.regexp_replace(turn["text"], r"^\s+|\s+$", ""), r"<(\\*)\|im_(start|end)\|>", r"<\\$1|im_$2|>")
+        return F.concat(F.lit("<|im_start|>"), turn["role"], F.lit("\n"), text, F.lit("<|im_end|>\n"))
+    return F.array_join(F.transform(turns, one), "")
+
+
 def read_back(form: str) -> list[tuple[str, str]]:
     return [
         (m[1], re.sub(r"<\\(\\*)\|im_(start|end)\|>", r"<\1|im_\2|>", m[2]))
@@ -214,7 +241,10 @@ def conversations_as_parts(
 
 def with_transcripts(parts: DataFrame) -> DataFrame:
     """Parts with a ``transcript``, written in a manner that hangs on the conversation,
-    and ``manner``. Roles other than the known three speak as users."""
+    and ``manner``; columns of these names are replaced. Roles other than the known three
+    speak as users. Null and repeated texts are as ``conversations_as_parts`` left them, a
+    part without turns has an empty transcript, and an empty table gives none."""
+    parts = parts.drop(*[c for c in parts.columns if c.lower() in ("manner", "transcript")])
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
@@ -250,7 +280,8 @@ def fit(parts: DataFrame) -> Model:
 
 def format_transcripts(rows: DataFrame, model: Model, text_column: str = "transcript") -> DataFrame:
     """``rows`` with ``roles`` and ``formatted``: the recovered turns in canonical
-    form. Null and blank transcripts have no turns and an empty form."""
+    form; columns of these names are replaced. Null and blank transcripts have no turns and
+    an empty form; repeated rows are formatted each, and an empty table gives none."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [turns_of(t.as_py() or "", model) for t in batch.column(text_column)]

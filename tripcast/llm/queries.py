@@ -27,10 +27,12 @@ def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     parts = stored(chat.with_transcripts(
         chat.conversations_as_parts(table(spark, sf, "conversations"))), "transcripts")
     model = chat.fit(parts.filter(~chat.held_out(F.col("conv_id"))))
-    return chat.format_transcripts(parts, model).select(
+    found = chat.format_transcripts(parts, model)
+    return found.select(
         "conv_id", "part", chat.held_out(F.col("conv_id")).alias("held_out"), F.size("roles").alias("n_turns"),
         F.array_join("roles", " ").alias("roles"),
-        (F.col("roles") == F.transform("turns", lambda t: t["role"])).alias("roles_agree"), "formatted")
+        (F.col("roles") == F.transform("turns", lambda t: t["role"])).alias("roles_agree"),
+        (F.col("formatted") == chat.canonical(F.col("turns"))).alias("texts_agree"), "formatted")
 
 
 def op4_page_text(spark: SparkSession, sf: str) -> DataFrame:
