@@ -3,10 +3,14 @@
 For unit vectors a cosine of at least c is a distance of at most
 sqrt(2 - 2 c). Each table hashes a vector by a few random Gaussian projections,
 shifted and cut into steps of equal width; vectors that agree on all of them in
-some table are compared by exact cosine. How many projections and tables are
+some table share a bucket. How many projections and tables are
 needed follows from the number of vectors and the wanted recall at the threshold.
 
-A pair may meet in many tables. Every row carries its keys in all tables, so the
+Buckets hold numbers and 64-bit sketches (the signs of further projections), not vectors.
+In a bucket the vectors are named that have a partner near enough by sketch; only those
+vectors are sent, to the buckets where they have one, and compared by exact cosine.
+
+A pair may meet in many tables. A vector is sent with its keys in all tables, so the
 pair is counted only in the first one, and no pair ever leaves a task: a task
 sends the number of a vector's links, and links enough to connect them.
 """
@@ -30,7 +34,8 @@ from tripcast.llm.components import components
 COSINE = 0.95
 WIDTH = 1.0
 MISSES = 5e-4          # share of pairs right at the threshold that no table brings together
-STRANGERS = 128        # unrelated vectors that a vector may meet in a table
+STRANGERS = 1024       # unrelated vectors that a vector may meet in a table, by sketch only
+UNSEEN = 1e-7          # share of pairs at the threshold whose sketches differ in too many bits
 CELL = 2048            # rows of a bucket compared in one piece
 STRIP = 256            # rows of a cell multiplied at a time
 
@@ -68,6 +73,22 @@ class Tables:
         return (mixed >> np.uint64(32)).astype(np.uint32)
 
 
+    def sketches(self, unit: np.ndarray) -> np.ndarray:
+        """The signs of 64 projections of each row, as bits."""
+        rng = np.random.default_rng([self.seed + 1, unit.shape[1]])
+        signs = unit @ rng.standard_normal((unit.shape[1], 64)) > 0
+        return np.packbits(signs, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def sketch_bits(cosine: float, unseen: float = UNSEEN) -> int:
+    """In how many of 64 signs a pair at this cosine may differ, but for the share ``unseen``."""
+    p, held, bits = math.acos(max(-1.0, min(1.0, cosine))) / math.pi, 0.0, -1
+    while held < 1 - unseen and bits < 64:
+        bits += 1
+        held += math.comb(64, bits) * p ** bits * (1 - p) ** (64 - bits)
+    return bits
+
+
 def _matrix(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and matrix for each length of vector in a list column."""
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
@@ -84,23 +105,56 @@ def usable(vector):
         vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
 
 
-def _buckets(tables: Tables, kind: np.dtype):
+def _signed(tables: Tables, kind: np.dtype):
+    """Each class with its vector as bytes, its keys in all tables and its sketch."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, weights = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for at, rows in _matrix(batch.column(2)):
                 wide = rows.astype(np.float64)
                 wide /= np.abs(wide).max(axis=1, keepdims=True)
                 unit = wide / np.sqrt((wide * wide).sum(axis=1, keepdims=True))
-                keys = tables.keys(unit)
-                vectors = pa.array([r.tobytes() for r in rows.astype(kind)], pa.binary())
-                own = pa.array([r.tobytes() for r in keys], pa.binary())
-                for t in range(tables.tables):
-                    bucket = (keys[:, t].astype(np.int64) << 12) | t
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket), pa.array(np.full(len(at), t, np.int32)), pa.array(ids[at]),
-                         pa.array(weights[at]), own, vectors],
-                        names=["bucket", "turn", "rep", "weight", "own", "vector"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).take(pa.array(at)) for i in (0, 1)),
+                     pa.array([r.tobytes() for r in rows.astype(kind)], pa.binary()),
+                     pa.array([r.tobytes() for r in tables.keys(unit)], pa.binary()),
+                     pa.array(tables.sketches(unit).view(np.int64))], names=["rep", "weight", "vector", "own", "sketch"])
+    return run
+
+
+def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per table; the last twelve bits of a bucket are the table."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(batch.num_rows, -1).astype(np.int64)
+        many = keys.shape[1]
+        bucket = ((keys << 12) | np.arange(many)).ravel()
+        rep, sketch = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), many) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(rep), pa.array(sketch)], names=["bucket", "rep", "sketch"])
+
+
+def _partners(bits: int):
+    """``cell, side, turn, rep`` of the rows that have a partner by sketch in their cell."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "cell"):
+            cell, side, sketch = numbers(table, "cell"), numbers(table, "side"), numbers(table, "sketch").view(np.uint64)
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            needed = np.zeros(len(cell), bool)
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)]):
+                if e - s < 2:
+                    continue
+                own, half = sketch[s:e], side[s:e]
+                for low in range(0, e - s, STRIP):
+                    rows = slice(low, low + STRIP)
+                    near = np.bitwise_count(own[rows, None] ^ own[None, :]) <= bits
+                    near[np.arange(near.shape[0]), np.arange(low, low + near.shape[0])] = False
+                    if half[0] != 2:
+                        near &= half[rows, None] != half[None, :]
+                    needed[s + low:s + low + near.shape[0]] |= near.any(1)
+            if needed.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(numbers(table, c)[needed]) for c in ("cell", "side", "turn", "rep")],
+                    names=["cell", "side", "turn", "rep"])
     return run
 
 
@@ -207,13 +261,19 @@ def near_vectors(
         .select("rep", "weight", "vector"), "classes")
     tables = Tables.sized(classes.count(), cosine, misses)
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashed = stored(classes.repartition(tasks, "rep").mapInArrow(
-        _buckets(tables, kind), "bucket long, turn int, rep long, weight long, own binary, vector binary"), "hashed")
+    signed = stored(classes.repartition(tasks, "rep").mapInArrow(
+        _signed(tables, kind), "rep long, weight long, vector binary, own binary, sketch long"), "signed")
+    hashed = stored(signed.select("rep", "sketch", "own").mapInArrow(
+        _buckets, "bucket long, rep long, sketch long"), "hashed")
     cells = split_cells(hashed, "bucket", F.xxhash64("rep"), cell, "buckets")
+    needed = stored(
+        cells.withColumn("turn", F.col("bucket").bitwiseAND(F.lit(4095)).cast("int")).drop("bucket")
+        .repartition(tasks, "cell").sortWithinPartitions("cell")
+        .mapInArrow(_partners(sketch_bits(cosine)), "cell long, side int, turn int, rep long"), "needed")
     met = stored(
-        cells.drop("bucket").repartition(tasks, "cell").sortWithinPartitions("cell")
+        needed.join(signed.drop("sketch"), "rep").repartition(tasks, "cell").sortWithinPartitions("cell")
         .mapInArrow(_links(cosine, kind), "a long, b long, n long"), "met")
-    forget(hashed)
+    forget(hashed, needed, signed)
     degree = met.filter(F.col("b") == -1).groupBy("a").agg(F.sum("n").alias("others"))
     roots = components(met.filter(F.col("n") == 0), "a", "b")
     known = stored(
