@@ -34,18 +34,16 @@ def _trimmed(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, id_column: str, text_column: str, site_column: str) -> DataFrame:
-    """``id, text, site, total, many, line, size`` per distinct line of a row that is not
-    blank: hashes of the text and of the trimmed line, its length, and the length and
-    number of all; the site is stored by its name, to say which of several is first."""
+    """``id, text, site, line, size`` per line that is not blank: hashes of the text and of
+    the trimmed line, and its length; the site is stored by its name, to say which of
+    several is first."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    own = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), _trimmed), lambda x: x != ""))
-    size = lambda x: F.char_length(x).cast("long")
+    each = F.transform(F.split(text, "\n"), lambda x: F.struct(
+        F.xxhash64(_trimmed(x)).alias("line"), F.char_length(_trimmed(x)).cast("long").alias("size")))
     rows = docs.select(
         F.col(id_column).alias("id"), F.xxhash64(text).alias("text"),
-        F.coalesce(F.col(site_column).cast("string"), F.lit("")).alias("site"), own.alias("own"))
-    total = F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + size(x))
-    each = F.transform("own", lambda x: F.struct(F.xxhash64(x).alias("line"), size(x).alias("size")))
-    return rows.select("id", "text", "site", total.alias("total"), F.size("own").alias("many"), F.inline(each))
+        F.coalesce(F.col(site_column).cast("string"), F.lit("")).alias("site"), F.inline(each))
+    return rows.filter("size > 0")
 
 
 def _on_sites(pairs: DataFrame, sites: int, band: float) -> DataFrame:
@@ -68,16 +66,18 @@ def spread_lines(lines: DataFrame, sites: int = SITES, copied: float = COPIED, b
     """
     often = stored(
         lines.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= sites).select("line"), "often")
-    texts = stored(lines.groupBy("text").agg(F.xxhash64(F.min("site")).alias("site"), F.max("total").alias("total"), F.max("many").alias("many")), "texts")
-    pairs = stored(
-        lines.join(often, "line").select("line", "text", "size").distinct().join(texts, "text"), "pairs")
+    once = stored(lines.select("text", "line", "size").distinct(), "once")
+    whole = once.groupBy("text").agg(F.sum("size").alias("total"), F.count("*").alias("many"))
+    first = lines.groupBy("text").agg(F.xxhash64(F.min("site")).alias("site"))
+    texts = stored(whole.join(first, "text"), "texts")
+    pairs = stored(once.join(often, "line").join(texts, "text"), "pairs")
     wide = _on_sites(pairs, sites, band)
     some = stored(pairs.join(wide, "line"), "some")
     copies = stored(
         some.groupBy("text", "total", "many").agg(F.sum("size").alias("length"), F.count("*").alias("n"))
         .filter((F.col("length") >= copied * F.col("total")) & (F.col("n") >= copied * F.col("many"))).select("text"), "copies")
     found = _on_sites(some.join(copies, "text", "left_anti"), sites, band)
-    forget(often, texts, pairs, wide, some, copies)
+    forget(often, once, texts, pairs, wide, some, copies)
     return found
 
 
