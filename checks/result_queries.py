@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from checks.fixtures import given
+from checks.fixtures import given, u_sql, z_sql
+from checks.forecast_queries import _predicted, _start, adam_sql, sums_sql
+from checks.mixture_queries import _components, _pass_sql, mixture_from_labels
 from checks.registry import long, query, r6
-from tripcast.operators import compare, metrics, results
+from tripcast.operators import compare, metrics, results, scaling, splits
 from tripcast.plans import hour_model
 
 NAMES = ["R²", "MAE", "MSE", "RMSE", "MAPE", "SMAPE"]
@@ -132,3 +134,77 @@ def _(spark, sf):
 @query("a22_component_sweep")
 def _(spark, sf):
     return hour_model.sweep(fx.enriched(spark, sf), ks=(3, 5), share=1.0, multiplier=2, max_passes=8)
+
+
+# The sweep once more, from starts that SQL can follow: groups of pickup zones, diagonal, two passes.
+_SWEPT, _EPOCHS = (2, 3), 30
+_DIMS = hour_model.FEATURES
+
+
+def _sweep_parts(spark, sf):
+    rows = fx.real(spark, sf).dropna(subset=_DIMS).filter(F.col("weekday").between(1, 3))
+    return splits.random_parts(rows, "trip_id", fx.SEED).filter(F.col("part") == "train")
+
+
+def _sweep_cell(k):
+    """The mixture of k groups of zones after two passes, trips drawn from it, training and bins."""
+    fit = ", ".join([
+        f"p{k}_0 AS {_components(_DIMS, f'label % {k}', 'rows', 1e-6)}",
+        _pass_sql(f"p{k}_0", f"p{k}_1", 1e-6, _DIMS).strip(), _pass_sql(f"p{k}_1", f"p{k}_2", 1e-6, _DIMS).strip()])
+    seed = fx.SEED + k
+    values = ", ".join(f"p.m{i} + sqrt(p.v{i}) * {z_sql(f'{seed}/point{i // 4}', 'n.id', which=i % 4)} AS {'y' if i == 0 else f'x{i - 1}'}"
+                       for i in range(len(_DIMS)))
+    return f"""{fit},
+e{k} AS (SELECT *, coalesce(sum(w) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo,
+  CASE WHEN c = (SELECT max(c) FROM p{k}_2) THEN 2 ELSE sum(w) OVER (ORDER BY c) END AS hi FROM p{k}_2),
+n{k} AS (SELECT id, {u_sql(f'{seed}/component', 'id')} AS u FROM (SELECT unnest(range(2 * (SELECT count(*) FROM rows))) AS id) x),
+d{k} AS MATERIALIZED (SELECT {values} FROM n{k} n JOIN e{k} p ON n.u >= p.lo AND n.u < p.hi),
+ge{k} AS ({sums_sql(f'd{k}', 4)}), gb{k} AS ({sums_sql(f'(SELECT y, x0, x1, x2, x3 FROM tr UNION ALL SELECT y, x0, x1, x2, x3 FROM d{k}) u', 4)}),
+{adam_sql(f'tuned{k}', f'ge{k}', 'h', 4, 'real_end', 1e-4, _EPOCHS, 5)},
+{adam_sql(f'both{k}', f'gb{k}', 'h', 4, _start(fx.SEED + 1), 1e-3, _EPOCHS, 5)},
+hx{k} AS (SELECT hour0 AS x, 1 AS r FROM rows UNION ALL SELECT CAST(round_even(y * s0 + m0, 0) AS INT), 0 FROM d{k}, sc),
+he{k} AS (SELECT min(x) AS lo, max(x) AS hi, CAST(max(x) - min(x) AS DOUBLE) / 50 AS step FROM hx{k}),
+hg{k} AS (SELECT i, CASE WHEN i = 50 THEN hi ELSE lo + i * step END AS edge FROM he{k}, (SELECT CAST(unnest(range(51)) AS INT) AS i) g),
+hb{k} AS (SELECT a.i AS bin, a.edge AS low, z.edge AS high FROM hg{k} a JOIN hg{k} z ON z.i = a.i + 1),
+hc{k} AS (SELECT b.bin, b.high - b.low AS width, coalesce(sum(x.r), 0) AS a, coalesce(sum(1 - x.r), 0) AS s FROM hb{k} b
+  LEFT JOIN hx{k} x ON x.x >= b.low AND (x.x < b.high OR b.bin = 49) GROUP BY b.bin, b.high - b.low),
+hf{k} AS (SELECT bin, CASE WHEN a = 0 THEN 1e-8 ELSE a / sum(a) OVER () / width END AS p, CASE WHEN s = 0 THEN 1e-8 ELSE s / sum(s) OVER () / width END AS q FROM hc{k}),
+hk{k} AS (SELECT *, sum(p) OVER (ORDER BY bin) AS cp, sum(q) OVER (ORDER BY bin) AS cq FROM hf{k})"""
+
+
+def _sweep_sql():
+    scored = " UNION ALL ".join(
+        f"SELECT {k} AS k, '{name}' AS model, te.y * sc.s0 + sc.m0 AS y, ({_predicted('t', prefix='b')}) * sc.s0 + sc.m0 AS p FROM te, sc, "
+        f"(SELECT * FROM {path} ORDER BY e DESC LIMIT 1) t"
+        for k in _SWEPT for name, path in (("real", "real_path"), ("finetune", f"tuned{k}"), ("both", f"both{k}")))
+    gaps = " UNION ALL ".join(f"SELECT {k} AS k, round(sum(p * ln(p / q)), 5) AS kl, round(sum(abs(cp - cq)), 5) AS wd FROM hk{k}" for k in _SWEPT)
+    scales = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(_DIMS))
+    return f"""+
+all_ AS (SELECT trip_id, PULocationID AS label, {', '.join(_DIMS)},
+  CASE WHEN {u_sql('42/test', 'trip_id')} < 0.15 THEN 'test' WHEN {u_sql('42/val', 'trip_id')} < 0.15 THEN 'val' ELSE 'train' END AS part
+  FROM reals WHERE PU_longitude IS NOT NULL AND weekday BETWEEN 1 AND 3),
+sc AS (SELECT {scales} FROM all_ WHERE part = 'train'),
+rows AS MATERIALIZED (SELECT trip_id, label, hour AS hour0, {', '.join(f'({c} - m{i}) / s{i} AS {c}' for i, c in enumerate(_DIMS))} FROM all_, sc WHERE part = 'train'),
+z AS (SELECT part, (hour - m0) / s0 AS y, {', '.join(f'({c} - m{i + 1}) / s{i + 1} AS x{i}' for i, c in enumerate(_DIMS[1:]))} FROM all_, sc),
+tr AS (SELECT * FROM z WHERE part = 'train'), va AS (SELECT * FROM z WHERE part = 'val'), te AS (SELECT * FROM z WHERE part = 'test'),
+g AS ({sums_sql('tr', 4)}), h AS ({sums_sql('va', 4)}),
+{adam_sql('real_path', 'g', 'h', 4, _start(fx.SEED), 1e-3, _EPOCHS, 5)},
+real_end AS (SELECT {', '.join(f'b{i} AS w{i}' for i in range(5))} FROM real_path ORDER BY e DESC LIMIT 1),
+{", ".join(_sweep_cell(k) for k in _SWEPT)},
+sco AS ({scored}), gaps AS ({gaps}),
+acc AS (SELECT k, model, round(avg(abs(y - p)), 4) AS mae, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)), 5) AS r2 FROM sco GROUP BY ALL)
+SELECT k AS n_clusters, any_value(kl) AS kl, any_value(wd) AS wd, {', '.join(f"max({c}) FILTER (model = '{m}') AS {m}_{c}" for m in ('real', 'finetune', 'both') for c in ('mae', 'r2'))}
+FROM gaps JOIN acc USING (k) GROUP BY k"""
+
+
+@query("a22_sweep_from_start", given("reals", _sweep_sql()).replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, sf):
+    train = _sweep_parts(spark, sf)
+    scaled = scaling.Scaler.fit(train, _DIMS).transform(train)
+    starts = [
+        mixture_from_labels(scaled.withColumn("label", F.col("PULocationID") % k), "label", _DIMS, "diag", 1e-6) for k in _SWEPT]
+    out = hour_model.sweep(fx.enriched(spark, sf), _SWEPT, 1.0, 2, max_passes=2, tolerance=-1.0, starts=starts)
+    names = {"real": "real", "finetune": "finetune", "both": "real_synth_init"}
+    return out.select(
+        "n_clusters", F.round("kl", 5).alias("kl"), F.round("wd", 5).alias("wd"),
+        *[F.round(f"{n}_{c}", places).alias(f"{m}_{c}") for m, n in names.items() for c, places in (("mae", 4), ("r2", 5))])

@@ -91,3 +91,35 @@ def test_comparison_workload(spark):
         assert 0 < sums[0] <= n and sums[1] == drawn - lost
         back = sinks.read_csv(spark, f"{out}/run={i}", one.table.schema)
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, one.table.collect()))
+
+
+def test_sweep_measures_all_mixtures_at_once(spark, frame):
+    """As many jobs for three mixtures as for one, and the rows that each has alone."""
+    import numpy as np
+
+    from tripcast.operators import linear, mixture
+    from tripcast.operators.scaling import Scaler
+
+    rng = np.random.default_rng(8)
+    rows = [(int(h), *map(float, c)) for h, c in zip(rng.integers(0, 24, 300), rng.normal([-73.9, 40.7, -73.8, 40.8], 0.05, (300, 4)))]
+    train = frame("hour int, PU_longitude double, PU_latitude double, DO_longitude double, DO_latitude double", *rows)
+    scaler = Scaler.fit(train, hour_model.FEATURES)
+    scaled = scaler.transform(train)
+    products = {p: linear.Products.collect(scaled, hour_model.COORDINATES, "hour") for p in ("train", "val")}
+    cells = [(k, mixture.Mixture(np.full(k, 1 / k), rng.normal(0, 1, (k, 5)), np.stack([np.eye(5)] * k))) for k in (2, 3, 5)]
+    sc, jobs = spark.sparkContext, []
+
+    def measured(some):
+        sc.setJobGroup(f"cells-{len(jobs)}", "")
+        out = hour_model.measure(some, train, scaled, products, scaler, 400, 42, 10).toPandas()
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"cells-{len(jobs)}")))
+        return out
+    try:
+        together = measured(cells)
+        alone = [measured([cell]) for cell in cells]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert together["n_clusters"].tolist() == [2, 3, 5]
+    for i, one in enumerate(alone):
+        assert np.allclose(together.iloc[[i]].to_numpy(float), one.to_numpy(float), rtol=1e-9, atol=1e-12)
+    assert max(jobs) - min(jobs) <= 1

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tripcast.durable import stored
 from tripcast.functions import timecols as tc
+from tripcast.joins import join_same, small
 from tripcast.operators.demand import trips_per
 from tripcast.sources.trips import DROPOFF_ZONE, PICKUP_ZONE
 
@@ -60,25 +62,38 @@ def _bin_of(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(hi == lo, F.lit(bins - 1)).otherwise(up)
 
 
-def densities(real: DataFrame, synth: DataFrame, column: str, bins: int = BINS) -> DataFrame:
+def densities(
+    real: DataFrame, synth: DataFrame, column: str, bins: int = BINS, by: Sequence[str] = (), weight: str | None = None,
+) -> DataFrame:
     """``bin, n_real, n_synth, d_real, d_synth`` over common equal-width bins.
 
-    Densities integrate to 1; they are null when all values are equal."""
+    Densities integrate to 1; they are null when all values are equal. With ``by``, columns
+    of both sides, each group has bins of its own; ``weight`` says how often a row counts."""
+    by = list(by)
+    count = F.lit(1) if weight is None else F.col(weight)
     side = lambda df, flag: df.select(
-        F.col(column).cast("double").alias("x"), F.lit(flag).alias("is_real"))
+        *by, F.col(column).cast("double").alias("x"), F.lit(flag).alias("is_real"), count.alias("_w"))
     rows = side(real, 1).unionByName(side(synth, 0)).filter(F.col("x").isNotNull())
-    ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    first = ends.first()   # two numbers
-    lo, hi = F.lit(first["lo"]).cast("double"), F.lit(first["hi"]).cast("double")
-    counts = rows.groupBy(_bin_of(F.col("x"), lo, hi, bins).cast("int").alias("bin")).agg(
-        F.sum("is_real").alias("n_real"), F.sum(1 - F.col("is_real")).alias("n_synth"))
-    full = real.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(
-        counts, "bin", "left").fillna(0, ["n_real", "n_synth"])
+    ends = rows.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    if by:
+        ends = stored(ends, "ends")        # a row a group
+        rows = join_same(rows, small(ends, ends.count()), by)
+        lo, hi = F.col("lo"), F.col("hi")
+    else:
+        first = ends.first()   # two numbers
+        lo, hi = F.lit(first["lo"]).cast("double"), F.lit(first["hi"]).cast("double")
+    counts = rows.groupBy(*by, _bin_of(F.col("x"), lo, hi, bins).cast("int").alias("bin")).agg(
+        F.sum(F.col("is_real") * F.col("_w")).alias("n_real"), F.sum((1 - F.col("is_real")) * F.col("_w")).alias("n_synth"))
+    every = ends if by else real.sparkSession.range(1).drop("id")
+    full = join_same(
+        every.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))), counts, [*by, "bin"], "left"
+    ).fillna(0, ["n_real", "n_synth"])
     edge = lambda i: F.when(i == bins, hi).otherwise(lo + i * ((hi - lo) / bins))
     width = edge(F.col("bin") + 1) - edge(F.col("bin"))
-    everything = W.partitionBy()   # at most `bins` rows
+    everything = W.partitionBy(*by)   # at most `bins` rows a group
     share = lambda n: F.when(width > 0, F.col(n) / F.sum(n).over(everything) / width)
-    return full.withColumns({"d_real": share("n_real"), "d_synth": share("n_synth")})
+    return full.withColumns({"d_real": share("n_real"), "d_synth": share("n_synth")}).select(
+        *by, "bin", "n_real", "n_synth", "d_real", "d_synth")
 
 
 def _filled(density: DataFrame) -> DataFrame:
@@ -86,25 +101,25 @@ def _filled(density: DataFrame) -> DataFrame:
     return density.withColumns({"p": fill("d_real"), "q": fill("d_synth")})
 
 
-def cumulative(density: DataFrame) -> DataFrame:
+def cumulative(density: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Running sums of both densities over the bins."""
-    upto = W.orderBy("bin")   # at most `bins` rows
+    upto = W.partitionBy(*by).orderBy("bin")   # at most `bins` rows a group
     return _filled(density).withColumns({
         "cdf_real": F.sum("p").over(upto), "cdf_synth": F.sum("q").over(upto)})
 
 
-def divergence(density: DataFrame, normalised: bool = False) -> DataFrame:
-    """One row: ``kl``, the sum of p ln(p/q) over the densities, and ``wd``, the
+def divergence(density: DataFrame, normalised: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one a group: ``kl``, the sum of p ln(p/q) over the densities, and ``wd``, the
     sum of the distances between their running sums. ``normalised`` makes both
     sum to 1 first, the textbook form."""
-    runs = cumulative(density)
+    runs = cumulative(density, by)
     if normalised:
-        whole = W.partitionBy()
+        whole = W.partitionBy(*by)
         runs = runs.withColumns({c: F.col(c) / F.sum(c).over(whole) for c in ("p", "q")})
-        upto = W.orderBy("bin")
+        upto = W.partitionBy(*by).orderBy("bin")
         runs = runs.withColumns({
             "cdf_real": F.sum("p").over(upto), "cdf_synth": F.sum("q").over(upto)})
-    return runs.agg(
+    return runs.groupBy(*by).agg(
         F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("kl"),
         F.sum(F.abs(F.col("cdf_real") - F.col("cdf_synth"))).alias("wd"),
     )
