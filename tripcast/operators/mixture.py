@@ -10,6 +10,7 @@ parameters. Several candidate mixtures are fitted in the same passes.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
@@ -581,25 +582,21 @@ def draw(
     component = sum(((F.lit(float(edge)) <= u).cast("int") for edge in running), F.lit(0))
     lower = [(i, j) for i in range(d) for j in range(i + 1)]
     low = np.linalg.cholesky(mixture.covariances)
-    parameters = spark.createDataFrame(
-        [
-            (c, *[float(v) for v in mixture.means[c]], *[float(low[c][i, j]) for i, j in lower])
-            for c in range(mixture.k)],
-        T.StructType(
-            [T.StructField("component", T.IntegerType())]
-            + [T.StructField(f"_m{i}", T.DoubleType()) for i in range(d)]
-            + [T.StructField(f"_l{i}_{j}", T.DoubleType()) for i, j in lower]))
+    # one constant: the mean of each component, then its factor; a component is looked up, not joined
+    table = [[float(v) for v in (*mixture.means[c], *(low[c][i, j] for i, j in lower))] for c in range(mixture.k)]
+    parameters = F.from_json(F.lit(json.dumps(table)), "array<array<double>>")
     normals = {}
     for block in range(0, d, 4):
         words = hashing.gaussians(F.col(f"_key{block}"))
         normals.update({f"_z{block + i}": z for i, z in enumerate(words) if block + i < d})
     keys = {f"_key{b}": hashing.digest(f"{seed}/point{b // 4}", F.col(id_col)) for b in range(0, d, 4)}
-    drawn = base.withColumns({"component": component, **keys}).withColumns(normals)
-    placed = drawn.join(F.broadcast(parameters), "component")   # k rows
+    drawn = base.withColumns({"component": component, **keys}).withColumns(normals).withColumn(
+        "_own", F.get(parameters, F.col("component")))
+    part = {pair: F.get("_own", F.lit(d + n)) for n, pair in enumerate(lower)}
     values = [
-        sum((F.col(f"_l{i}_{j}") * F.col(f"_z{j}") for j in range(i + 1)), F.col(f"_m{i}")).alias(name)
+        sum((part[i, j] * F.col(f"_z{j}") for j in range(i + 1)), F.get("_own", F.lit(i))).alias(name)
         for i, name in enumerate(features)]
-    return placed.select(id_col, "component", *values)
+    return drawn.select(id_col, "component", *values)
 
 
 def draw_trips(
