@@ -123,3 +123,37 @@ def test_sweep_measures_all_mixtures_at_once(spark, frame):
     for i, one in enumerate(alone):
         assert np.allclose(together.iloc[[i]].to_numpy(float), one.to_numpy(float), rtol=1e-9, atol=1e-12)
     assert max(jobs) - min(jobs) <= 1
+
+
+def test_day_pair_cells_share_their_jobs(spark):
+    """Every cell has the rows it has alone, and more cells take no more jobs."""
+    import numpy as np
+
+    from tripcast.operators import dating, demand, mixture
+    from tripcast.operators.scaling import Scaler
+
+    real = fx.real(spark, SF)
+    features = filters.MIXTURE_FEATURES
+    scaler = Scaler.fit(filters.complete(real, features), features)
+    hours, lookup = demand.trips_per_hour(real), dating.DateLookup(dating.date_probabilities(real))
+    counted = demand.day_hours(real).select("date", "slot", "trips")
+    rng = np.random.default_rng(2)
+    cells = [(k, 40 + k + t, mixture.Mixture(np.full(k, 1 / k), rng.normal(0, 1, (k, 6)), np.stack([np.eye(6)] * k)))
+             for k in (2, 3) for t in range(2)]
+    sc, jobs = spark.sparkContext, []
+
+    def result(some):
+        sc.setJobGroup(f"pairs-{len(jobs)}", "")
+        drawn = day_pairs.synthetic_counts(spark, some, scaler, 1500, hours, lookup)
+        out = day_pairs.train_cells(counted, drawn, (5, 20)).collect()
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"pairs-{len(jobs)}")))
+        return {(r.data_type, r.nc, r.seed, r.epochs, r.metric): r.value for r in out}
+    try:
+        together, one, last = result(cells), result(cells[:1]), result(cells[-1:])
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len({k[1:3] for k in together}) == 4
+    for alone, (k, seed, _) in ((one, cells[0]), (last, cells[-1])):
+        assert set(alone) == {key for key in together if key[1:3] == (k, seed)} and len(alone) >= 2 * 2 * 4
+        assert all(abs(together[key] - v) <= 1e-9 * max(1, abs(v)) for key, v in alone.items() if v is not None)
+    assert max(jobs) - min(jobs) <= 1

@@ -13,9 +13,18 @@ from pyspark.sql import functions as F
 _WORD = 4294967296.0
 
 
-def digest(seed: int | str, *ids: Column) -> Column:
+Seed = int | str | Column      # a column gives rows of one table seeds of their own
+
+
+def part_of(seed: Seed, name: str) -> Seed:
+    """The seed of one of several uses: ``seed/name``."""
+    return F.concat(seed.cast("string"), F.lit(f"/{name}")) if isinstance(seed, Column) else f"{seed}/{name}"
+
+
+def digest(seed: Seed, *ids: Column) -> Column:
     """32 hex digits for ``seed:id[:id...]``."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[i.cast("string") for i in ids]))
+    first = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws(":", first, *[i.cast("string") for i in ids]))
 
 
 def unit(hex_digest: Column, word: int = 0) -> Column:
@@ -24,7 +33,7 @@ def unit(hex_digest: Column, word: int = 0) -> Column:
     return F.conv(piece, 16, 10).cast("double") / F.lit(_WORD)
 
 
-def uniform(seed: int | str, *ids: Column) -> Column:
+def uniform(seed: Seed, *ids: Column) -> Column:
     """Uniform in [0, 1) from 52 bits, as many as tell all rows of a group of
     10^15 apart; normals make do with 32."""
     return F.conv(F.substring(digest(seed, *ids), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
@@ -40,5 +49,5 @@ def gaussians(hex_digest: Column) -> tuple[Column, Column, Column, Column]:
     return tuple(out)
 
 
-def gaussian(seed: int | str, *ids: Column) -> Column:
+def gaussian(seed: Seed, *ids: Column) -> Column:
     return gaussians(digest(seed, *ids))[0]

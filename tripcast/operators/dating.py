@@ -49,13 +49,13 @@ class DateLookup:
             F.col("hour").alias("_hour"), F.col("date").alias("_date"), "lo", "hi", F.explode(cells).alias("_cell"))
         self.lookup = small(lookup, counted["rows"] + CELLS * len(self.hours))
 
-    def assign(self, synth: DataFrame, id_col: str, seed: int, name: str = "date") -> DataFrame:
+    def assign(self, synth: DataFrame, id_col: str, seed: hashing.Seed, name: str = "date") -> DataFrame:
         """Draw a date for each row given its hour. An hour without dates borrows
         a random hour that has some; without any the date is null."""
         seen = F.array(*[F.lit(h) for h in self.hours]).cast("array<int>")
-        spare = F.floor(hashing.uniform(f"{seed}/hour", F.col(id_col)) * len(self.hours)).cast("int")
+        spare = F.floor(hashing.uniform(hashing.part_of(seed, "hour"), F.col(id_col)) * len(self.hours)).cast("int")
         aimed = synth.withColumns({
-            "_u": hashing.uniform(f"{seed}/date", F.col(id_col)),
+            "_u": hashing.uniform(hashing.part_of(seed, "date"), F.col(id_col)),
             "_hour": F.when(F.col("hour").isin(self.hours), F.col("hour")).otherwise(F.get(seen, spare)),
         }).withColumn("_cell", F.floor(F.col("_u") * CELLS))
         found = aimed.alias("a").join(
@@ -73,9 +73,9 @@ def assign_dates(
     return DateLookup(probabilities).assign(synth, id_col, seed, name)
 
 
-def quarter_offset(df: DataFrame, id_col: str, seed: int, name: str = "minutes") -> DataFrame:
+def quarter_offset(df: DataFrame, id_col: str, seed: hashing.Seed, name: str = "minutes") -> DataFrame:
     """A random 0, 15, 30 or 45 minutes per row."""
-    u = hashing.uniform(f"{seed}/quarter", F.col(id_col))
+    u = hashing.uniform(hashing.part_of(seed, "quarter"), F.col(id_col))
     return df.withColumn(name, (F.floor(u * 4) * 15).cast("int"))
 
 
@@ -89,7 +89,7 @@ def jitter(df: DataFrame, id_col: str, seed: int, sigma: float = SIGMA_DEGREES)
 
 
 def stamp(
-    synth: DataFrame, lookup: DateLookup, id_col: str, seed: int,
+    synth: DataFrame, lookup: DateLookup, id_col: str, seed: hashing.Seed,
     quarters: bool = True, ts: str = PICKUP_TIME,
 ) -> DataFrame:
     """Give synthetic trips a pickup time: drawn date, own hour and, if asked,

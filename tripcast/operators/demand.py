@@ -50,13 +50,16 @@ def day_slot_matrix(counts: DataFrame, slots: int = tc.SLOTS_PER_DAY, prefix: st
     return wide.select("date", *[F.col(str(i)).alias(f"{prefix}{i}") for i in range(slots)])
 
 
-def day_hours(df: DataFrame, ts: str = PICKUP_TIME, trips: str = "trips") -> DataFrame:
-    """The hourly form: trips per date and hour; ``slot`` is the hour."""
+def day_hours(
+    df: DataFrame, ts: str = PICKUP_TIME, trips: str = "trips", by: Sequence[str] = ()
+) -> DataFrame:
+    """The hourly form: trips per date and hour; ``slot`` is the hour. ``by`` tells sets of
+    trips apart."""
     keyed = df.select(
-        tc.date_of(F.col(ts)).alias("date"), tc.hour_of(F.col(ts)).alias("slot"),
+        *by, tc.date_of(F.col(ts)).alias("date"), tc.hour_of(F.col(ts)).alias("slot"),
         F.col(trips).alias("trips"),
     )
-    out = trips_per(keyed, ["date", "slot"])
+    out = trips_per(keyed, [*by, "date", "slot"])
     return out.withColumn("slot_ts", tc.at_time(F.col("date"), F.col("slot")))
 
 

@@ -96,13 +96,17 @@ def _rank(df: DataFrame, groups: list[str], plan: DataFrame, count: int, id_col:
     )
 
 
-def _draw(df: DataFrame, groups: list[str], plan: DataFrame, count: int, id_col: str, seed: int) -> DataFrame:
+def _draw(
+    df: DataFrame, groups: list[str], plan: DataFrame, count: int, id_col: str, seed: hashing.Seed, by: Sequence[str] = ()
+) -> DataFrame:
     """``draws`` rows per group, drawn independently with replacement: draw j
-    takes the row of rank ``floor(u * n) + 1``. The new rows' ids are ``id#j``."""
+    takes the row of rank ``floor(u * n) + 1``. The new rows' ids are ``id#j``. The groups
+    ``by`` have seeds of their own and are left out of the hash."""
     wanted = plan.filter(F.col("draws") > 0)
     chunks = F.sequence(F.lit(0), F.floor((F.col("draws") - 1) / CHUNK))
     last = F.least(F.col("draws"), (F.col("_chunk") + 1) * CHUNK)
-    ticket = hashing.uniform(f"{seed}/draw", *[F.col(g) for g in groups], F.col("_j"))
+    ticket = hashing.uniform(
+        hashing.part_of(seed, "draw"), *[F.col(g) for g in groups if g not in by], F.col("_j"))
     chunked = wanted.select(*groups, "n", "draws").withColumn("_chunk", F.explode(chunks))
     tickets = (
         spread(chunked, *groups, "_chunk")
@@ -115,11 +119,13 @@ def _draw(df: DataFrame, groups: list[str], plan: DataFrame, count: int, id_col:
     return drawn.withColumn(id_col, new_id).select(*df.columns)
 
 
-def _resample(df: DataFrame, groups: list[str], plan: DataFrame, id_col: str, seed: int) -> DataFrame:
+def _resample(
+    df: DataFrame, groups: list[str], plan: DataFrame, id_col: str, seed: hashing.Seed, by: Sequence[str] = ()
+) -> DataFrame:
     """Take ``keep`` rows and draw ``draws`` more with replacement, per group."""
     plan, count = _stored(plan)
     kept = _text_id(_take(df, groups, plan, count, id_col, seed), id_col)
-    return kept.unionByName(_draw(df, groups, plan, count, id_col, seed))
+    return kept.unionByName(_draw(df, groups, plan, count, id_col, seed, by))
 
 
 def _text_id(df: DataFrame, id_col: str) -> DataFrame:
@@ -127,39 +133,45 @@ def _text_id(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def equal_frequency(
-    synth: DataFrame, real_hours: DataFrame, id_col: str, seed: int
+    synth: DataFrame, real_hours: DataFrame, id_col: str, seed: hashing.Seed, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Exactly as many synthetic rows per hour as real ones (``hour, trips``).
+    """Exactly as many synthetic rows per hour as real ones (``hour, trips``), in each of
+    the sets that the columns ``by`` tell apart; ``seed`` may be one of them.
 
     Drawn without replacement, unless the hour has too few; hours without
     synthetic rows are skipped. Ids become text, since drawn rows get new ones.
     """
-    sizes = synth.groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
+    groups = [*by, "hour"]
+    sizes = synth.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
     plan = sizes.join(real_hours.select("hour", F.col("trips").alias("goal")), "hour")
     enough = F.col("goal") <= F.col("n")
     plan = plan.withColumns({
         "keep": F.when(enough, F.col("goal")).otherwise(0),
         "draws": F.when(enough, 0).otherwise(F.col("goal")),
     })
-    return _resample(synth, ["hour"], plan, id_col, seed)
+    return _resample(synth, groups, plan, id_col, seed, by)
 
 
-def noisy_counts(sizes: DataFrame, seed: int, share: float = 0.05) -> DataFrame:
+def noisy_counts(sizes: DataFrame, seed: hashing.Seed, share: float = 0.05) -> DataFrame:
     """Goal per hour: the count plus normal noise of ``share`` of it, cut to a
     whole number towards zero, and at least 1."""
-    noise = hashing.gaussian(f"{seed}/noise", F.col("hour")) * (F.col("n") * F.lit(share))
+    noise = hashing.gaussian(hashing.part_of(seed, "noise"), F.col("hour")) * (F.col("n") * F.lit(share))
     return sizes.withColumn("goal", F.greatest(F.lit(1), F.col("n") + noise.cast("long")))
 
 
-def perturb_counts(df: DataFrame, id_col: str, seed: int, share: float = 0.05) -> DataFrame:
-    """Drop or duplicate random rows so each hour has its noisy count. Rows
-    whose hour is null or not one of the 24 go. Ids must be unique."""
+def perturb_counts(
+    df: DataFrame, id_col: str, seed: hashing.Seed, share: float = 0.05, by: Sequence[str] = ()
+) -> DataFrame:
+    """Drop or duplicate random rows so each hour has its noisy count, in each of the sets
+    that ``by`` tells apart (``seed`` may be one of these columns). Rows whose hour is null
+    or not one of the 24 go. Ids must be unique in a set."""
+    groups = [*by, "hour"]
     df = df.filter(F.col("hour").between(0, tc.HOURS_PER_DAY - 1))
-    plan = noisy_counts(df.groupBy("hour").agg(F.count(F.lit(1)).alias("n")), seed, share)
+    plan = noisy_counts(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")), seed, share)
     plan = plan.withColumns({
         "keep": F.least("goal", "n"), "draws": F.greatest(F.lit(0), F.col("goal") - F.col("n")),
     })
-    return _resample(df, ["hour"], plan, id_col, seed)
+    return _resample(df, groups, plan, id_col, seed, by)
 
 
 def cap_groups(

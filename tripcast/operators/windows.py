@@ -95,10 +95,10 @@ def zone_windows(grid: DataFrame, length: int = 3, horizon: int = 1) -> DataFram
     )
 
 
-def day_windows(series: DataFrame, width: int = 4) -> DataFrame:
+def day_windows(series: DataFrame, width: int = 4, by: Sequence[str] = ()) -> DataFrame:
     """Windows inside one day: ``date, start, x0 .. , y``, kept when all
-    ``width + 1`` slots are present."""
-    along = W.partitionBy("date").orderBy("slot")
+    ``width + 1`` slots are present; ``by`` tells series apart."""
+    along = W.partitionBy(*by, "date").orderBy("slot")
     steps = {f"x{k}": F.lead("trips", k).over(along) for k in range(1, width)}
     out = series.withColumns({
         "x0": F.col("trips"), **steps,
@@ -106,32 +106,33 @@ def day_windows(series: DataFrame, width: int = 4) -> DataFrame:
         "_last": F.lead("slot", width).over(along),
     })
     whole = out.filter(F.col("_last") == F.col("slot") + width)
-    return whole.select("date", F.col("slot").alias("start"), *[f"x{k}" for k in range(width)], "y")
+    return whole.select(*by, "date", F.col("slot").alias("start"), *[f"x{k}" for k in range(width)], "y")
 
 
-def day_order(series: DataFrame) -> DataFrame:
-    """Rank of every date present; one row per calendar day."""
-    days = series.filter(F.col("trips").isNotNull()).select("date").distinct()
-    return days.withColumn("day_rank", F.dense_rank().over(W.orderBy("date")))
+def day_order(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rank of every date present; one row per calendar day and series."""
+    days = series.filter(F.col("trips").isNotNull()).select(*by, "date").distinct()
+    return days.withColumn("day_rank", F.dense_rank().over(W.partitionBy(*by).orderBy("date")))
 
 
-def day_pairs(series: DataFrame, width: int = 4) -> DataFrame:
-    """Windows present on a day and on the next day that has data.
+def day_pairs(series: DataFrame, width: int = 4, by: Sequence[str] = ()) -> DataFrame:
+    """Windows present on a day and on the next day that has data, of each series that
+    the columns ``by``, never null, tell apart.
 
     The pairs come from one ordered pass per start slot over the days, in place
     of a self join. The series is stored when this is called, as its days are
     ranked apart.
     """
     series = stored(series, "series")
-    ranked = day_windows(series, width).join(F.broadcast(day_order(series)), "date")
-    along = W.partitionBy("start").orderBy("date")
+    ranked = day_windows(series, width, by).join(F.broadcast(day_order(series, by)), [*by, "date"])
+    along = W.partitionBy(*by, "start").orderBy("date")
     names = [f"x{k}" for k in range(width)] + ["y"]
     nexts = {f"{c}_val": F.lead(c).over(along) for c in names}
     paired = ranked.withColumns({
         **nexts, "date_val": F.lead("date").over(along), "_rank": F.lead("day_rank").over(along),
     }).filter(F.col("_rank") == F.col("day_rank") + 1)
     return paired.select(
-        F.col("date").alias("date_train"), "date_val",
+        *by, F.col("date").alias("date_train"), "date_val",
         F.col("start").alias("window_start_hour"),
         tc.window_label(F.col("start"), width).alias("hours_used"),
         *[c for k in range(width) for c in (
