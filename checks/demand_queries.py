@@ -171,11 +171,11 @@ def _(spark, sf):
 
 
 @query("a7_day_hour_matrix", given("day_hours", "SELECT CAST(date AS VARCHAR) AS date, " + ", ".join(
-    f"CAST(max(CASE WHEN slot = {i} THEN trips END) AS BIGINT) AS h{i}" for i in range(24)) + " FROM day_hours GROUP BY date"))
+    f"CAST(max(CASE WHEN slot = {i} THEN trips END) AS DOUBLE) AS h{i}" for i in range(24)) + " FROM day_hours GROUP BY date"))
 def _(spark, sf):
     s = demand.day_hours(fx.trips(spark, sf).withColumn("trips", F.lit(1)))
     wide = demand.day_slot_matrix(s, 24, "h")
-    return wide.select(text("date"), *[f"h{i}" for i in range(24)])
+    return wide.select(text("date"), *[F.col(f"h{i}").cast("double").alias(f"h{i}") for i in range(24)])
 
 
 @query("a9_fewest_daily_trips", given("trips", "SELECT min(n) AS min_trips FROM (SELECT count(*) AS n FROM trips GROUP BY CAST(tpep_pickup_datetime AS DATE)) x"))
