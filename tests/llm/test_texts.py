@@ -1,6 +1,10 @@
 """Chat formatting, page extraction and SentencePiece coding on small tables."""
 
+import math
+import random
+import re
 from array import array
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -152,6 +156,67 @@ def test_copies_of_an_article_are_no_template(frame):
     assert got[3] == "The same story told at length" and got[70] == "Story 70 told at length"
 
 
+@pytest.fixture(scope="module")
+def site_pages():
+    """Pages of one site: an article of rare words and two plain boxes whose words recur in changing texts."""
+    draw = random.Random(3)
+    pool = [f"menu{i}" for i in range(12)]
+    return [
+        (i, f"http://site.org/{i}", f"<div class='top'>{' '.join(draw.sample(pool, 6))}</div><div class='story'><p>"
+         f"{' '.join(f'w{draw.randrange(4000)}' for _ in range(60))}</p></div><ul><li>{draw.choice(pool)}<li>{draw.choice(pool)}</ul>")
+        for i in range(60)]
+
+
+def test_importance_is_that_of_a_plain_tree(frame, site_pages):
+    parsed = [pages.parse(html)[0] for _, _, html in site_pages]
+    words = [[(b.paths[-1], w) for b in blocks for w in b.text.split()] for blocks in parsed]
+    holders = {w: sum(any(w == v for _, v in page) for page in words) for page in words for _, w in page}
+    values = {}
+    for page in words:
+        for path, w in page:
+            values.setdefault(path, []).append(1 - math.log(holders[w]) / math.log(len(parsed)))
+    means = {path: sum(v) / len(v) for path, v in values.items()}
+    usual = sum(len(v) * means[p] ** 2 for p, v in values.items()) / sum(len(v) * means[p] for p, v in values.items())
+    rows = frame("page_id long, url string, html string", *site_pages, *site_pages[:9])
+    got = {r.path: r for r in pages.importance(rows, "url", "html").collect()}
+    assert {p for p, r in got.items() if r.words} == set(means)
+    for path, mean in means.items():
+        error = math.sqrt(sum((v - mean) ** 2 for v in values[path])) / len(values[path])
+        assert got[path].word_importance == pytest.approx(mean) and got[path].usual == pytest.approx(usual)
+        assert got[path].word_error == pytest.approx(error, abs=1e-9)
+    texts = {}
+    for blocks in parsed:
+        for path, text in {(p, b.text) for b in blocks for p in b.paths}:
+            texts.setdefault(path, []).append(text)
+    for path, found in texts.items():
+        if path in means and len(found) == 60:
+            entropy = sum(c * math.log(c) for c in Counter(found).values()) / len(found) / math.log(60)
+            assert got[path].importance == pytest.approx(1 - entropy)
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 22, 6000])
+def test_texts_of_common_words_go_without_names(frame, site_pages, part_bytes, monkeypatch):
+    monkeypatch.setattr(pages, "PART_BYTES", part_bytes)
+    rows = frame("page_id long, url string, html string", *site_pages)
+    got = {r.page_id: r.text for r in pages.extract(rows, names=False).collect()}
+    assert got == {i: re.search("<p>(.*?)</p>", html)[1] for i, _, html in site_pages}
+
+
+def test_site_tree_alone_finds_most_marked_texts(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    left = {r.page_id: Counter(r.text.split("\n")) for r in pages.extract(table, names=False).collect()}
+    marked, marked_gone, plain, plain_gone = 0, 0, 0, 0
+    for r in table.collect():
+        for b in pages.parse(r.html or "")[0]:
+            stays = left[r.page_id][b.text] > 0
+            left[r.page_id][b.text] -= 1
+            if b.named_off:
+                marked, marked_gone = marked + len(b.text), marked_gone + len(b.text) * (not stays)
+            else:
+                plain, plain_gone = plain + len(b.text), plain_gone + len(b.text) * (not stays)
+    assert marked_gone > 0.7 * marked and plain_gone < 0.001 * plain
+
+
 def test_page_odd_rows(frame):
     rows = frame("page_id long, url string, html string, host string, text string, low int, path int, n_chars int",
                  (1, None, PAGE, "", "", 1, 1, 1), (1, None, PAGE, "", "", 1, 1, 1), (2, "x", None, "", "", 1, 1, 1),
