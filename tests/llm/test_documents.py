@@ -1,5 +1,6 @@
 """Packing, SimHash, sharding, quality, lines and the pipeline on small tables."""
 
+import math
 import re
 import uuid
 import zlib
@@ -7,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -365,6 +367,30 @@ def test_quality_odd_rows(odd, frame):
     assert quality.score(odd.limit(0), model, name="own").count() == 0
 
 
+def test_fitted_scores_are_those_of_a_plain_loop(spark, frame):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    assert model.weights
+
+    def size(text, words):
+        data = text.encode()
+        packer = zstandard.ZstdCompressor(
+            level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=False, write_dict_id=False)
+        return sum(len(packer.compress(data[i:i + quality.BLOCK])) for i in range(0, len(data), quality.BLOCK))
+
+    def plain(text):
+        good, bad, room = size(text, model.good), size(text, model.bad), len(text.encode()) + 32
+        w, v, c = model.weights
+        return 1 / (1 + math.exp(-(w * (bad - good) / room + v * math.log((min(good, bad) + 12) / room) + c)))
+
+    some = [r.text for r in docs.filter("text is not null").orderBy("doc_id").limit(40).collect()]
+    texts = [None, "", "a", "again", "again", "é" * 3000, "one word " * 200_000, *some]
+    rows = frame("doc_id long, text string, score string", *[(i, t, "x") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.own for r in quality.score(rows, model, name="own").collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([plain(t or "") for t in texts], rel=1e-9)
+    assert got[0] == got[1] and got[3] == got[4] and quality.score(rows.limit(0), model, name="own").count() == 0
+
+
 def test_curve_separates():
     x = np.r_[np.random.default_rng(1).normal(0, 1, (200, 2)), np.random.default_rng(2).normal(3, 1, (200, 2))]
     w, v, c = quality.fit_curve(x, np.r_[np.zeros(200), np.ones(200)])

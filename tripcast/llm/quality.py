@@ -137,7 +137,8 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with ``name``, from 0 to 1; null texts score like empty ones."""
+    """``docs`` with ``name``, from 0 to 1; null texts score like empty ones, whole texts
+    of any length block by block, equal texts the same; an empty table gives none."""
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = model.scorer()
