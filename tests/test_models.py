@@ -322,3 +322,29 @@ def test_joint_density_of_far_points():
         want[:, c] = np.log(0.25) - 0.5 * np.linalg.slogdet(2 * np.pi * spread[c])[1] - 0.5 * np.einsum(
             "ni,ij,nj->n", gap, np.linalg.inv(spread[c]), gap)
     assert np.allclose(model.joint(x), want, rtol=1e-9, atol=1e-7)
+
+
+def test_small_blocks_send_a_point_to_few_groups(spark):
+    points = spark.range(3000).selectExpr("1 AS cluster", "CAST(id AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS b", "1D AS w")
+    sent = []
+    plain = distance._tiles
+    try:
+        distance._tiles = lambda *args: sent.append(plain(*args)) or sent[0]
+        row = distance.pair_sums(points, "cluster", ["a", "b"], block=2).first()
+    finally:
+        distance._tiles = plain
+    x = np.array([(i, i % 7) for i in range(3000)], float)
+    want = sum(np.sqrt(((x[i + 1:] - x[i]) ** 2).sum(1)).sum() for i in range(2999))
+    assert row["n"] == 3000 and abs(row["total"] - want) < 1e-9 * want
+    assert sent[0].count() <= 3000 * distance.SPLIT       # 1,500 blocks asked for
+
+
+def test_pair_sums_of_close_points_far_from_the_origin():
+    rng = np.random.default_rng(5)
+    near = 1e6 + np.repeat(rng.normal(size=(40, 3)), 5, axis=0) + rng.normal(0, 1e-6, (200, 3))
+    w = rng.integers(1, 4, 200).astype(float)
+    want = sum(w[i] * w[j] * np.sqrt(((near[i] - near[j]) ** 2).sum()) for i in range(200) for j in range(200))
+    assert abs(distance._tile_sum(near, w, near, w) - want) < 1e-12 * want
+    few = near[:5]
+    close = sum(np.sqrt(((p - q) ** 2).sum()) for p in few for q in few)
+    assert abs(distance._tile_sum(few, np.ones(5), few, np.ones(5)) - close) < 1e-12 * close

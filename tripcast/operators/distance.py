@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,22 +15,46 @@ from tripcast.joins import small, spread
 from tripcast.operators.ranking import group_positions
 
 BLOCK = 20_000   # distinct points per block: every point travels once for each block of its cluster
-STRIP = 64       # rows of a tile held at a time
+SPLIT = 16       # blocks of a cluster whose blocks are smaller than that
+STRIP, STRIP_WIDE = 64, 2048    # rows and columns of a tile held at a time
+CLOSE = 1e-3     # squared distances below this share of both lengths are worked out from differences
 DRAWS = 100_000  # pairs drawn per cluster; a cluster with fewer pairs is measured whole
 NORMAL_95 = 1.959964   # a standard normal lies within this with a probability of 0.95
 
 
 def _tile_sum(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """Weighted sum of the distances of all rows of ``a`` to all of ``b``. Squares come from
+    one product of matrices; of close rows, where that cancels, from their differences."""
+    origin = a.mean(axis=0)
+    ca, cb = a - origin, b - origin
+    na, nb = np.einsum("ij,ij->i", ca, ca), np.einsum("ij,ij->i", cb, cb)
     total = 0.0
     for at in range(0, len(a), STRIP):
-        piece = a[at:at + STRIP]
-        square = np.zeros((len(piece), len(b)))
-        for axis in range(a.shape[1]):
-            square += np.subtract.outer(piece[:, axis], b[:, axis]) ** 2
-        total += float(wa[at:at + STRIP] @ np.sqrt(square) @ wb)
+        to = min(at + STRIP, len(a))
+        for start in range(0, len(b), STRIP_WIDE):
+            end = min(start + STRIP_WIDE, len(b))
+            lengths = na[at:to, None] + nb[None, start:end]
+            square = lengths - 2 * (ca[at:to] @ cb[start:end].T)
+            i, j = np.nonzero(square < CLOSE * lengths)
+            for some in range(0, len(i), STRIP_WIDE):
+                ii, jj = i[some:some + STRIP_WIDE], j[some:some + STRIP_WIDE]
+                gap = a[at + ii] - b[start + jj]
+                square[ii, jj] = np.einsum("ij,ij->i", gap, gap)
+            np.maximum(square, 0, out=square)
+            total += float(wa[at:to] @ np.sqrt(square) @ wb[start:end])
     return total
 
 
+def _tiles(folded: DataFrame, sizes: DataFrame, cluster: str, features: Sequence[str], clusters: int | None) -> DataFrame:
+    """The folded points, once for each block of their cluster."""
+    placed = folded.join(small(sizes.select(cluster, "blocks"), clusters), cluster).withColumn(
+        "block", F.pmod(F.xxhash64(*features), F.col("blocks")).cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return paired.select(
+        cluster, F.array(*[F.col(f).cast("double") for f in features]).alias("x"), "w", "block",
+        F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+
 def pair_sums(
     points: DataFrame, cluster: str, features: Sequence[str], block: int = BLOCK,
     clusters: int | None = None, weight: str | None = None,
@@ -41,35 +65,35 @@ def pair_sums(
     centroids and whole hours, so a cluster has far fewer places than trips.
     A cluster's distinct points are hashed into blocks of bounded size and every
     pair of blocks becomes one group, so the work of a hot cluster is spread
-    over as many tasks as it has block pairs. A task emits one sum. ``clusters``
-    is the number of clusters, if known; ``weight`` counts members when the
+    over as many tasks as it has block pairs. A task emits one sum. Clusters of more
+    points than ``block`` are cut, but into more than ``SPLIT`` blocks only where these
+    hold ``BLOCK`` points: a point travels ``SPLIT`` times however small ``block`` is.
+    ``clusters`` is the number of clusters, if known; ``weight`` counts members when the
     points come folded. The folded points are stored when this is called, as
     their number is needed before they are placed.
     """
     features = list(features)
     folded = stored(points.groupBy(cluster, *features).agg(
         F.sum(F.lit(1) if weight is None else F.col(weight)).cast("double").alias("w")), "folded")
+    held = F.count(F.lit(1))
     sizes = folded.groupBy(cluster).agg(
-        F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.sum("w").alias("n"))
-    placed = folded.join(small(sizes.select(cluster, "blocks"), clusters), cluster).withColumn(
-        "block", F.pmod(F.xxhash64(*features), F.col("blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = paired.select(
-        cluster, *[F.col(f).cast("double").alias(f) for f in features], "w", "block",
-        F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-
-    def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = key[1], key[2]
-        x, w, side = rows[features].to_numpy(), rows["w"].to_numpy(), rows["block"].to_numpy()
+        F.least(F.ceil(held / block), F.greatest(F.lit(SPLIT), F.ceil(held / BLOCK))).cast("int").alias("blocks"),
+        F.sum("w").alias("n"))
+    tiles = spread(_tiles(folded, sizes, cluster, features, clusters), cluster, "lo", "hi")
+
+    def tile(rows: pa.Table) -> pa.Table:
+        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(features))
+        w, side = rows.column("w").to_numpy(), rows.column("block").to_numpy()
         a = side == lo
         if lo == hi:
             total = _tile_sum(x, w, x, w) / 2
         else:
-            total = _tile_sum(x[a], w[a], x[~a], w[~a])
-        return pd.DataFrame({cluster: [key[0]], "total": [total]})
+            total = _tile_sum(x[a], w[a], x[~a], w[~a]) if a.any() and not a.all() else 0.0
+        return pa.table([rows.column(cluster).slice(0, 1), pa.array([total])], names=[cluster, "total"])
 
     kind = points.schema[cluster].dataType.simpleString()
-    sums = tiles.groupBy(cluster, "lo", "hi").applyInPandas(tile, f"`{cluster}` {kind}, total double")
+    sums = tiles.groupBy(cluster, "lo", "hi").applyInArrow(tile, f"`{cluster}` {kind}, total double")
     totals = sums.groupBy(cluster).agg(F.sum("total").alias("total"))
     return totals.join(sizes.select(cluster, "n"), cluster)
 
