@@ -202,6 +202,16 @@ def test_texts_of_common_words_go_without_names(frame, site_pages, part_bytes, m
     assert got == {i: re.search("<p>(.*?)</p>", html)[1] for i, _, html in site_pages}
 
 
+def test_importance_is_that_of_the_whole_site_however_it_is_dealt(frame, site_pages, monkeypatch):
+    rows = frame("page_id long, url string, html string", *site_pages)
+    whole = {r.path: r for r in pages.importance(rows, "url", "html").collect()}
+    monkeypatch.setattr(pages, "PART_BYTES", 6000)
+    dealt = {r.path: r for r in pages.importance(rows, "url", "html").collect()}
+    assert whole.keys() == dealt.keys()
+    for path, r in whole.items():
+        assert tuple(dealt[path])[2:] == pytest.approx(tuple(r)[2:], abs=1e-12)
+
+
 def test_site_tree_alone_finds_most_marked_texts(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     left = {r.page_id: Counter(r.text.split("\n")) for r in pages.extract(table, names=False).collect()}

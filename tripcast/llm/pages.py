@@ -15,7 +15,7 @@ also serves hosts with too few pages to compare.
 from __future__ import annotations
 
 import html
-import math
+import marshal
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripcast.durable import stored
+from tripcast.durable import forget, stored
 from tripcast.llm.arrow import long_rows
 
 LOW = 0.4           # branches of less importance are removed
@@ -267,63 +268,73 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#:]*)", 1), F.lit("")))
 
 
-def _without_copies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a task, byte for byte equal pages of a host once."""
+def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host, mark, page`` of the pages of a task that have text: what ``_count`` needs of a
+    page, and a hash of its unmarked texts. Of pages of a host that share it, the first."""
     met: set[tuple[int, int]] = set()
     for batch in batches:
-        first = []
-        for i, key in enumerate(zip(batch.column("host_hash").to_pylist(), batch.column("copy").to_pylist())):
-            if key not in met:
-                met.add(key)
-                first.append(i)
-        yield batch.take(pa.array(first, pa.int64()))
+        rows, marks, found = [], [], []
+        for i, (host, source) in enumerate(zip(batch.column("host_hash").to_pylist(), batch.column("html"))):
+            blocks, signs = parse(source.as_py() or "")
+            mark = _hashed("\n".join([b.text for b in blocks if not b.named_off] or [b.text for b in blocks]))
+            if blocks and (host, mark) not in met:
+                met.add((host, mark))
+                rows.append(i)
+                marks.append(mark)
+                found.append(marshal.dumps((
+                    [(path, _hashed("\n".join(children))) for path, children in signs.items()],
+                    [(b.text.encode("utf-8", "surrogatepass"), b.paths) for b in blocks])))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("host").take(pa.array(rows, pa.int64())), pa.array(marks, pa.int64()), pa.array(found, pa.binary())],
+            names=["host", "mark", "page"])
 
 
-def _entropy_sum(counts: Iterable[int], pages: int) -> float:
-    """Sum of c ln c over the counts, in units of the logarithm of the pages."""
-    return sum(c * math.log(c) for c in counts if c > 1) / math.log(max(pages, 2))
+STYLE, TEXT, WORD, SITE = range(4)     # kinds of what is counted
 
 
 def _count(pages: pa.Table) -> pa.Table:
-    """Per node the sums that its importance needs, over some pages of one host. Pages that share
-    all unmarked texts count once."""
+    """``host, kind, key, held, paths, counts`` over some pages of one host, those with the same
+    mark once: of every style, text and word, by its hash, on how many pages each node has it
+    (a word: how often) and, of words, how many pages hold it. ``SITE`` counts the pages."""
     met: set[int] = set()
-    styles: dict[int, Counter[str]] = {}
-    texts: dict[int, Counter[str]] = {}
+    counts: tuple[Counter[tuple[int, int]], ...] = (Counter(), Counter())
     own: dict[int, Counter[str]] = {}
     holders: Counter[str] = Counter()
-    for source in pages.column("html"):
-        blocks, signs = parse(source.as_py() or "")
-        mark = _hashed("\n".join([b.text for b in blocks if not b.named_off] or [b.text for b in blocks]))
-        if not blocks or mark in met:
+    for mark, page in zip(pages.column("mark").to_pylist(), pages.column("page")):
+        if mark in met:
             continue
         met.add(mark)
-        for path, children in signs.items():
-            styles.setdefault(path, Counter())["\n".join(children)] += 1
-        for path, text in {(path, b.text) for b in blocks for path in b.paths}:
-            texts.setdefault(path, Counter())[text] += 1
+        signs, blocks = marshal.loads(page.as_py())
+        counts[STYLE].update((key, path) for path, key in signs)
         words: dict[int, list[str]] = {}
-        for b in blocks:
-            words.setdefault(b.paths[-1] if b.paths else 0, []).extend(b.text.lower().split())
+        texts = set()
+        for text, paths in blocks:
+            key = xxhash.xxh64_intdigest(text) >> 1
+            texts.update((key, path) for path in paths)
+            words.setdefault(paths[-1] if paths else 0, []).extend(text.decode("utf-8", "surrogatepass").lower().split())
+        counts[TEXT].update(texts)
         for path, said in words.items():
             own.setdefault(path, Counter()).update(said)
         holders.update(set().union(*words.values()))
-    site = math.log(max(len(met), 2))
-    spread = {word: math.log(n) / site for word, n in holders.items()}
-    rows = []
-    for path in styles.keys() | own.keys():
-        style, text, word = styles.get(path, Counter()), texts.get(path, Counter()), own.get(path, Counter())
-        seen = style.total()
-        rows.append((
-            path, seen, _entropy_sum(style.values(), seen), len(style), text.total(), _entropy_sum(text.values(), seen),
-            word.total(), sum(n * spread[w] for w, n in word.items()), sum(n * spread[w] ** 2 for w, n in word.items())))
-    kinds = [pa.int64()] + [pa.float64()] * 8
+    rows: list[tuple[int, int, int, list[int], list[int]]] = [(SITE, 0, len(met), [], [])]
+    for kind, counted in enumerate(counts):
+        nodes: dict[int, tuple[list[int], list[int]]] = {}
+        for (key, path), n in counted.items():
+            paths, many = nodes.setdefault(key, ([], []))
+            paths.append(path)
+            many.append(n)
+        rows += [(kind, key, 0, *found) for key, found in nodes.items()]
+    said_at: dict[str, tuple[list[int], list[int]]] = {w: ([], []) for w in holders}
+    for path, counted in own.items():
+        for word, n in counted.items():
+            said_at[word][0].append(path)
+            said_at[word][1].append(n)
+    rows += [(WORD, _hashed(w), holders[w], *found) for w, found in said_at.items()]
     host = pa.array([pages.column("host")[0].as_py()] * len(rows), pa.string())
-    columns = list(zip(*rows)) or [()] * len(kinds)
-    return pa.table([host, *(pa.array(c, kind) for c, kind in zip(columns, kinds))], names=["host", "path", *SUMS])
-
-
-SUMS = ("pages", "style_sum", "styles", "texts", "text_sum", "words", "spread_sum", "spread_squares")
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.table(
+        [host, *(pa.array(c, kind) for c, kind in zip(zip(*rows), kinds))],
+        names=["host", "kind", "key", "held", "paths", "counts"])
 
 
 def importance(pages: DataFrame, url_column: str, html_column: str) -> DataFrame:
@@ -336,10 +347,10 @@ def importance(pages: DataFrame, url_column: str, html_column: str) -> DataFrame
     its nodes weighted by words and importance. Words are those between white space, in
     lower case. The word columns but ``usual`` are null where a node holds no text.
 
-    All pages of a host are dealt by a hash into parts of about ``PART_BYTES``, a task
-    measures the entropies of a part, and sums over the parts give the host's. So a host with a
-    third of the pages is no hot group, only numbers per node leave a task, and large
-    sites are judged like small ones. Equal pages leave a task once.
+    All counts are those of the whole site. The pages of a host are dealt by their texts into
+    parts of about ``PART_BYTES``; a task counts in a part, and the counts of the parts are
+    added up by style, text or word before any entropy is taken. So a host with a third of the
+    pages is no hot group, and where the parts lie changes nothing.
     """
     sized = pages.select(host_of(F.col(url_column)).alias("host"), F.col(html_column).alias("html"))
     sizes = stored(sized.groupBy("host").agg(F.sum(F.octet_length("html")).alias("size")), "sizes")
@@ -347,14 +358,30 @@ def importance(pages: DataFrame, url_column: str, html_column: str) -> DataFrame
     tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     large = sizes.filter(F.col("size") > PART_BYTES).select(
         "host", F.ceil(F.col("size") / F.lit(PART_BYTES)).cast("long").alias("parts"))
-    dealt = sized.filter(F.octet_length("html") > 0).join(large, "host", "left").select(
-        "host", F.xxhash64("host").alias("host_hash"), F.xxhash64("html").alias("copy"),
-        F.pmod(F.xxhash64("html"), F.coalesce("parts", F.lit(1))).alias("part"), "html")
-    once = dealt.mapInArrow(_without_copies, dealt.schema).select("host", "part", "html")
-    counted = once.repartition(tasks, "host", "part").groupBy("host", "part").applyInArrow(
-        _count, "host string, path long, " + ", ".join(f"{name} double" for name in SUMS))
-    sums = stored(counted.groupBy("host", "path").agg(
-        *[(F.max if name == "styles" else F.sum)(name).alias(name) for name in SUMS]), "nodes")
+    parsed = sized.filter(F.octet_length("html") > 0).select("host", F.xxhash64("host").alias("host_hash"), "html").mapInArrow(
+        _parsed, "host string, mark long, page binary")
+    dealt = parsed.join(large, "host", "left").select(
+        "host", F.pmod(F.xxhash64("mark"), F.coalesce("parts", F.lit(1))).alias("part"), "mark", "page")
+    counted = dealt.repartition(tasks, "host", "part").groupBy("host", "part").applyInArrow(
+        _count, "host string, kind int, key long, held long, paths array<long>, counts array<long>")
+    gathered = stored(counted, "counted")
+    site = gathered.filter(F.col("kind") == SITE).groupBy("host").agg(F.sum("held").alias("site"))
+    everywhere = W.partitionBy("host", "kind", "key")
+    nodes = gathered.filter(F.col("kind") != SITE).repartition(tasks, "host", "kind", "key").withColumn(
+        "held", F.sum("held").over(everywhere)).select(
+        "host", "kind", "key", "held", F.inline(F.arrays_zip("paths", "counts"))).groupBy(
+        "host", "kind", "key", F.col("paths").alias("path")).agg(F.sum("counts").alias("n"), F.first("held").alias("held"))
+    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0.0)).cast("double")
+    n, spread = F.col("n"), F.log("held")
+    sums = nodes.groupBy("host", "path").agg(
+        of(STYLE, n).alias("pages"), of(STYLE, n * F.log("n")).alias("style_sum"), of(STYLE, F.lit(1)).alias("styles"),
+        of(TEXT, n).alias("texts"), of(TEXT, n * F.log("n")).alias("text_sum"), of(WORD, n).alias("words"),
+        of(WORD, n * spread).alias("spread_sum"), of(WORD, n * spread * spread).alias("spread_squares"))
+    seen, whole = F.log(F.greatest("pages", F.lit(2.0))), F.log(F.greatest("site", F.lit(2)))
+    sums = stored(sums.join(site, "host").withColumns({
+        "style_sum": F.col("style_sum") / seen, "text_sum": F.col("text_sum") / seen,
+        "spread_sum": F.col("spread_sum") / whole, "spread_squares": F.col("spread_squares") / (whole * whole)}), "nodes")
+    forget(gathered)
     held, words, spreads = F.col("words") > 0, F.col("words"), F.col("spread_sum")
     sites = sums.filter(held).groupBy("host").agg(
         F.sum(words - spreads).alias("told"), F.sum((words - spreads) * (words - spreads) / words).alias("told_squares"))
