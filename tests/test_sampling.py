@@ -144,3 +144,12 @@ def test_jitter_spread(spark):
     moved = dating.jitter(df, "id", 2).select(*COORDINATES).toPandas().to_numpy()
     np.testing.assert_allclose(moved.std(0), 0.0005, rtol=0.05)
     assert abs(np.corrcoef(moved.T) - np.eye(4)).max() < 0.06
+
+
+def test_draws_are_joined_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 50)
+    rows = spark.range(600).selectExpr("id AS trip_id", "CAST(id % 3 AS INT) AS hour")
+    goals = spark.createDataFrame([(h, 1000) for h in range(3)], "hour int, trips long")
+    drawn = sampling.equal_frequency(rows, goals, "trip_id", 42)
+    assert drawn.rdd.getNumPartitions() >= 3000 // 50
+    assert {r["hour"]: r["count"] for r in drawn.groupBy("hour").count().collect()} == {0: 1000, 1: 1000, 2: 1000}
