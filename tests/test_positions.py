@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripcast.durable import stored
+from tripcast import joins
 from tripcast.operators import distance, ranking, results
 
 
@@ -130,3 +131,11 @@ def test_compactness_with_drawn_pairs(frame, draws, error):
     whole = {r.cluster: r.mean_distance for r in compactness.cluster_distances(trips, **options).collect()}
     for r in compactness.cluster_distances(trips, draws=draws, error=error, **options).collect():
         assert abs(r.mean_distance - whole[r.cluster]) <= 1e-9 + 2 * (r.high - r.mean_distance)
+
+
+def test_coordinates_are_mapped_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 50)
+    rows = spark.range(500).selectExpr("id AS trip_id", *[f"CAST(id * {k + 1} % 501 AS DOUBLE) AS {c}" for k, c in enumerate(ranking.COORDINATES)])
+    mapped = ranking.quantile_map_coordinates(rows, rows, "trip_id", "trip_id")
+    assert mapped.rdd.getNumPartitions() == 40        # 2,000 values
+    assert sorted(map(tuple, mapped.select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tripcast.durable import stored
-from tripcast.joins import join_same, small
+from tripcast.joins import join_same, small, tasks_for
 from tripcast.sources.trips import COORDINATES
 
 _ROW_BITS = 33   # monotonically_increasing_id: partition in the high bits, row in the low 33
@@ -28,7 +28,7 @@ def global_rank(df: DataFrame, by: Sequence[str], name: str = "rank") -> DataFra
     even after a lost executor.
     """
     ranged = (
-        df.repartitionByRange(*by).sortWithinPartitions(*by)
+        df.repartitionByRange(tasks_for(df.sparkSession, df.count()), *by).sortWithinPartitions(*by)
         .withColumn("_at", F.monotonically_increasing_id())
     )
     fixed = stored(ranged, "ranged")
@@ -55,7 +55,8 @@ def group_positions(
     rows are stored. A null group is a group.
     """
     groups = list(groups)
-    ordered = df.repartitionByRange(*groups, *by).sortWithinPartitions(*groups, *by)
+    tasks = tasks_for(df.sparkSession, df.count())
+    ordered = df.repartitionByRange(tasks, *groups, *by).sortWithinPartitions(*groups, *by)
     if weight is None:
         place = F.monotonically_increasing_id()
         ranged = ordered.withColumn("_at", place).withColumn("_part", F.shiftright("_at", _ROW_BITS))
@@ -128,10 +129,13 @@ def quantile_map_coordinates(
     targets = values(real, real_id).select(
         "_axis", F.col("_rank").alias("_target"), F.col("_value").alias("_real"), F.col("_n").alias("_n_real"))
     sizes = targets.groupBy("_axis").agg(F.max("_n_real").alias("_n_real"))     # a row per coordinate
+    tasks = tasks_for(synth.sparkSession, len(known) * max(synth.count(), real.count()))
     exact = lambda c: F.col(c).cast("decimal(19,0)")
     aimed = values(synth, synth_id).join(F.broadcast(sizes), "_axis", "left").withColumn(
         "_target", F.floor(exact("_rank") * exact("_n_real") / exact("_n")).cast("long"))
-    mapped = aimed.join(targets.drop("_n_real"), ["_axis", "_target"], "left").groupBy("_id").agg(
+    mapped = aimed.select("_id", "_axis", "_target").repartition(tasks, "_axis", "_target").join(
+        targets.drop("_n_real").repartition(tasks, "_axis", "_target"), ["_axis", "_target"], "left").select(
+        "_id", "_axis", "_real").repartition(tasks, "_id").groupBy("_id").agg(
         *[F.max(F.when(F.col("_axis") == i, F.col("_real"))).alias(c) for i, c in enumerate(known)])
-    rest = synth.drop(*known).join(mapped, F.col(synth_id) == F.col("_id"), "left")
+    rest = synth.drop(*known).repartition(tasks, synth_id).join(mapped, F.col(synth_id) == F.col("_id"), "left")
     return rest.withColumns(lacking).select(*synth.columns)
