@@ -1,9 +1,11 @@
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from tripcast.operators import filters, sampling
+from tripcast.operators import filters, mixture, sampling
+from tripcast.operators.scaling import Scaler
 from tripcast.plans import comparison, compactness, day_pairs, enrich, hour_model, series_models, zone_forecast
 from tripcast.durable import new_folder
 from tripcast.sources import sinks
@@ -157,3 +159,14 @@ def test_day_pair_cells_share_their_jobs(spark):
         assert set(alone) == {key for key in together if key[1:3] == (k, seed)} and len(alone) >= 2 * 2 * 4
         assert all(abs(together[key] - v) <= 1e-9 * max(1, abs(v)) for key, v in alone.items() if v is not None)
     assert max(jobs) - min(jobs) <= 1
+
+
+def test_drawn_trips_are_summed_without_a_filter_that_repeats_the_draw(spark, monkeypatch):
+    model = mixture.Mixture(np.full(2, 0.5), np.zeros((2, 5)), np.stack([np.eye(5)] * 2))
+    monkeypatch.setattr(hour_model, "stored", lambda df, label: df)
+    sums = hour_model.drawn_sums(spark, [(2, model)], 500, Scaler(hour_model.FEATURES, [12.0] * 5, [5.0] * 5), 42)
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan
+    drawn = mixture.draw(spark, model, 500, hour_model.FEATURES, 44).toPandas()
+    got = sums.toPandas()
+    assert got["n"].sum() == 500 and np.isclose(got["y_y"].sum(), (drawn["hour"] ** 2).sum())
