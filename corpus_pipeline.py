@@ -29,7 +29,7 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, Jaccard
-    similarity of 0.8 or more. The contract of four words and 4 bits is op2's."""
+    similarity of 0.8 or more, candidates by SimHash anchors. The contract of four words and 4 bits is op2's."""
     return shingles.keep_one(docs)
 
 

@@ -274,6 +274,43 @@ def test_similar_texts_match_brute_force(spark, frame, cell, listed):
     assert {r.doc_id: r.component_id for r in got} == similar_components(rows)
 
 
+def slow_bit_sums(hashes):
+    """By Python's whole numbers, bit by bit."""
+    top, out = 2**64 - 1, []
+    for seed in shingles.SEEDS[:, 0].tolist():
+        mixed = []
+        for h in hashes.tolist():
+            x = h ^ seed
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & top
+            mixed.append(x ^ x >> 31)
+        out += [sum(1 if x >> bit & 1 else -1 for x in mixed) for bit in range(64)]
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 254, 255, 256, shingles.LANE * shingles.LANES + 1])
+def test_bit_sums_are_the_definition(n):
+    hashes = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
+    assert shingles.bit_sums(hashes).tolist() == slow_bit_sums(hashes)
+
+
+def test_similar_sets_meet_at_anchors_of_the_code():
+    draw = np.random.default_rng(3)
+    for both, own in ((8, 1), (40, 5), (160, 20)):      # 0.8
+        drawn = draw.integers(0, 2**64, (400, both + 2 * own), dtype=np.uint64)
+        a, b = (np.array([shingles.bit_sums(h[cut]) for h in drawn])
+                for cut in (np.s_[:both + own], np.r_[:both, both + own:both + 2 * own]))
+        ours, theirs = shingles.anchors(a), shingles.anchors(b)
+        assert all(len(set(x)) == 96 for x in ours.tolist())
+        assert sum(not set(x) & set(y) for x, y in zip(ours.tolist(), theirs.tolist())) <= 2
+        assert sum(bool(set(x) & set(y)) for x, y in zip(ours.tolist(), theirs[1:].tolist())) <= 4
+    words = ours[:, :, None] >> np.array([11, 0]) & 2047
+    bits = (shingles.CODE > 0)[words]
+    assert not np.bitwise_xor.reduce(bits * np.arange(1, 16), axis=3).any()
+    nearest = np.argmax(a[:, 128:308].reshape(-1, 15) @ shingles.CODE.T - shingles.TIES, axis=1).reshape(-1, 6, 1, 2)
+    assert (words.reshape(-1, 6, 16, 2) == nearest).all(axis=3).any(axis=2).all()
+
+
 def test_pipeline_drops_similar_texts(spark, frame):
     import corpus_pipeline
 

@@ -1,13 +1,16 @@
-"""Near duplicates by Jaccard similarity of word shingles.
-
-Texts at a similarity of 0.8 differ in about ten of the 64 bits of a SimHash, often in
-twenty, more than anchors can cover. So candidates come from MinHash: 96 minima of a
-text's shingle hashes, in 24 bands of four. Two texts that share a band share a bucket;
-at a similarity of 0.8 a pair shares none with a probability of 3e-6, nearer pairs with
-less. Candidates are then confirmed on the shingle sets themselves.
-
-A bucket first compares the minima alone and names the texts that have a partner there
-whom they meet in no earlier band; only their sets are sent, and only to those buckets.
+"""Near duplicates by Jaccard similarity of word shingles, found by SimHash anchors.
+
+A text's SimHash has 320 bits over its shingle set. At a similarity of 0.8 a bit differs
+with a probability of 0.15, too often for anchors within a fixed radius. But the bits that
+differ are those whose sum over the shingles is near zero, and a text knows its sums. So
+it travels to those anchors of a covering code that its sums make nearest: in each of six
+tables, of the pairs of code words of Hamming(15,11) for 30 of its bits, to the 16 with
+the least sum over the bits they change. At a similarity of 0.8 two texts have no common
+anchor with a probability of 2e-4, nearer pairs with less. Texts that meet at an anchor
+and differ in at most 35 of 128 other bits are candidates (1e-4 differ in more at 0.8).
+
+Families of texts connected by candidates then confirm on the shingle sets themselves,
+each set sent once unless its family is larger than a cell.
 """
 
 from __future__ import annotations
@@ -27,15 +30,31 @@ from tripcast.llm.simhash import without_copies
 
 WIDTH = 5
 SIMILAR = (4, 5)     # 0.8, as a fraction: sets are compared in whole numbers
-BANDS, DEPTH = 24, 4
-AGREE = 54           # equal minima of 96 that make a candidate; at 0.8 a pair has fewer with a probability of 1e-7
-CELL = 512           # texts of a bucket compared in one piece
-BLOCK = 2048         # shingles whose 96 hashes are held at a time
-SMALL = 24           # cells up to this size are compared by shifted copies
+TABLES, PROBES = 6, 16
+HALF, HALF_BITS = 15, 11      # bits of a code word, and of its number
+COMPARED, WORDS = 2, 5        # 64-bit words of a SimHash that are compared, and all: the others give the anchors
+DIFFER = 35          # bits of the 128 compared in which candidates differ at most
+CELL = 512           # texts of a family compared in one piece
+MET = 4096           # fingerprints of an anchor compared in one piece
+LANE, LANES = 255, 64         # hashes whose bits are added in bytes, and how many times as many are held
+SMALL = 128          # anchors up to this size are compared by shifted copies
 LISTED = 2_000_000   # texts with a candidate whose numbers are sent to every task: 16 MB
 
-_DRAWN = np.random.default_rng(42).integers(0, 2**64, (3, BANDS * DEPTH, 1), dtype=np.uint64)
-FLIP, TIMES, MIX = _DRAWN[0], _DRAWN[1] | np.uint64(1), _DRAWN[2] | np.uint64(1)
+_DRAWN = np.random.default_rng(42)
+SEEDS = _DRAWN.integers(0, 2**64, (WORDS, 1), dtype=np.uint64)
+TIMES = np.uint64(int(_DRAWN.integers(0, 2**64, dtype=np.uint64)) | 1)
+ONES = np.uint64(0x0101010101010101)
+
+
+def _code() -> np.ndarray:
+    """The words of the perfect Hamming(15,11) code as rows of -1 and 1."""
+    bits = np.arange(1 << HALF)[:, None] >> np.arange(HALF) & 1
+    syndrome = np.bitwise_xor.reduce(bits * np.arange(1, HALF + 1), axis=1)
+    return (2 * bits[syndrome == 0] - 1).astype(np.float32)
+
+
+CODE = _code()
+TIES = _DRAWN.random(len(CODE), dtype=np.float32) / 2      # of equally near words all texts take the same
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -47,76 +66,119 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in some), np.uint64, len(some)))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """16 bits of each minimum of a sorted set; those of the empty set are zeros."""
-    if not len(hashes):
-        return np.zeros(BANDS * DEPTH, np.uint16)
-    low = np.full((BANDS * DEPTH, 1), np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(hashes), BLOCK):
-        some = (hashes[start:start + BLOCK] ^ FLIP) * TIMES
-        low = np.minimum(low, some.min(axis=1, keepdims=True))
-    return ((low * MIX) >> np.uint64(48)).astype(np.uint16).ravel()
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """Of each bit of the SimHash: how many more shingles of a set have it than not."""
+    ones = np.zeros((WORDS, 8, 8), np.int64)     # word, byte, bit
+    for start in range(0, len(hashes), LANE * LANES):
+        x = hashes[start:start + LANE * LANES] ^ SEEDS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        lanes = np.zeros((WORDS, -(-x.shape[1] // LANE) * LANE), np.uint64)
+        lanes[:, :x.shape[1]] = x ^ (x >> np.uint64(31))
+        lanes = lanes.reshape(WORDS, -1, LANE)
+        for bit in range(8):
+            added = ((lanes >> np.uint64(bit)) & ONES).sum(axis=2)
+            ones[:, :, bit] += added.view(np.uint8).reshape(WORDS, -1, 8).sum(axis=1, dtype=np.int64)
+    return (2 * ones - len(hashes)).reshape(-1)
+
+
+def anchors(sums: np.ndarray) -> np.ndarray:
+    """A row of anchors, table and two code words in one number, for each row of bit sums."""
+    first = 64 * COMPARED
+    out = []
+    for some in np.array_split(sums, len(sums) // 64 + 1):
+        half = some[:, first:first + 2 * HALF * TABLES].reshape(-1, HALF).astype(np.float32)
+        cost = np.abs(half).sum(axis=1, keepdims=True) - half @ CODE.T + TIES      # twice the sums of the bits changed
+        words = np.argpartition(cost, PROBES - 1, axis=1)[:, :PROBES]
+        cost = np.take_along_axis(cost, words, axis=1).reshape(-1, 2, PROBES)
+        words = words.reshape(-1, 2, PROBES)
+        both = (cost[:, 0, :, None] + cost[:, 1, None, :]).reshape(-1, PROBES * PROBES)
+        pairs = ((words[:, 0, :, None] << HALF_BITS) + words[:, 1, None, :]).reshape(-1, PROBES * PROBES)
+        least = np.argpartition(both, PROBES - 1, axis=1)[:, :PROBES]
+        found = np.take_along_axis(pairs, least, axis=1).reshape(-1, TABLES, PROBES)
+        out.append((found + (np.arange(TABLES) << 2 * HALF_BITS)[:, None]).reshape(-1, TABLES * PROBES))
+    return np.concatenate(out).astype(np.int32)
+
+
+def _named(prints: np.ndarray) -> np.ndarray:
+    """One number for the two words of a fingerprint."""
+    return (prints[:, 0] ^ (prints[:, 1] * TIMES)).view(np.int64)
 
 
 def _signed(text_column: int, width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, signs = [], [], []
-            for text in batch.column(text_column):
-                own = shingle_set(text.as_py(), width)
-                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
-                sizes.append(len(own))
-                signs.append(minima(own).tobytes())
+            sets = [shingle_set(text.as_py(), width) for text in batch.column(text_column)]
+            nodes = [xxhash.xxh64_intdigest(own.tobytes(), 42) for own in sets]
+            sums = np.array([bit_sums(own) for own in sets], np.int64).reshape(-1, 64 * WORDS)
+            prints = np.packbits(sums[:, :64 * COMPARED] > 0, axis=1, bitorder="little").view(np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
-                 pa.array(signs, pa.binary())], names=["doc_id", "text", "node", "n", "sign"])
+                [*batch.columns, pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                 pa.array([len(own) for own in sets], pa.int32()), pa.array(_named(prints)),
+                 pa.array([p.tobytes() for p in prints], pa.binary()),
+                 pa.array([a.tobytes() for a in anchors(sums)], pa.binary())],
+                names=["doc_id", "text", "node", "n", "print", "bits", "anchors"])
     return run
 
 
-def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket per band; its last five bits are the band."""
+def _replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        node = batch.column(0).to_numpy(zero_copy_only=False)
-        keys = np.array([
-            [xxhash.xxh64_intdigest(s[2 * DEPTH * b:2 * DEPTH * (b + 1)], b) for b in range(BANDS)]
-            for s in batch.column(1).to_pylist()], np.uint64).reshape(-1, BANDS)
-        keys = (keys & ~np.uint64(31)) | np.arange(BANDS, dtype=np.uint64)
+        prints = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(-1, COMPARED)
+        found = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32)
+        first, second = np.repeat(prints, TABLES * PROBES, axis=0).T
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(node, BANDS))], names=["bucket", "node"])
+            [pa.array(found), pa.array(np.ascontiguousarray(first)), pa.array(np.ascontiguousarray(second))],
+            names=["anchor", "first", "second"])
 
 
-def _meets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``cell, node`` of each text with a candidate in its cell that it meets in no earlier band."""
-    for table in whole_runs(batches, "cell"):
-        cell, n, side = numbers(table, "cell"), numbers(table, "n").astype(np.int64), numbers(table, "side")
-        band = numbers(table, "bucket") & 31
-        signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint16).reshape(-1, BANDS * DEPTH)
-        needed = np.zeros(len(cell), bool)
-
-        def mark(a: np.ndarray, b: np.ndarray) -> None:
-            few, many = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            fits = (few * SIMILAR[1] >= many * SIMILAR[0]) & ((side[a] == 2) | (side[a] != side[b]))
-            a, b = a[fits], b[fits]
-            same = signs[a] == signs[b]
-            first = same.reshape(-1, BANDS, DEPTH).all(axis=2).argmax(axis=1) == band[a]
-            hit = first & (same.sum(axis=1) >= AGREE)
-            needed[a[hit]] = needed[b[hit]] = True
+def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= DIFFER
+
+
+def _chosen(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of ``n`` rows linked by ``a, b``: the smallest row each can reach."""
+    low = np.arange(n)
+    while (low[a] != low[b]).any():
+        least = np.minimum(low[a], low[b])
+        np.minimum.at(low, low[a], least)
+        np.minimum.at(low, low[b], least)
+        low = low[low]
+    return low
 
+
+def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect the candidates among the fingerprints of each anchor."""
+    for table in whole_runs(batches, "cell"):
+        cell = numbers(table, "cell")
+        prints = np.stack([numbers(table, "first"), numbers(table, "second")], axis=1).view(np.uint64)
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         sizes = np.diff(np.r_[starts, len(cell)])
+        left, right = [], []
         for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            for i in range(start, start + size - 1):
-                b = np.arange(i + 1, start + size)
-                mark(np.full(len(b), i), b)
-        room = np.where(sizes <= SMALL, sizes, 1).repeat(sizes)
+            rest = np.arange(start, start + size)
+            while len(rest):
+                todo, rest = [int(rest[0])], rest[1:]
+                while todo and len(rest):
+                    at = todo.pop()
+                    near = _close(prints[rest], prints[at])
+                    found, rest = rest[near], rest[~near]
+                    left.append(np.full(len(found), at))
+                    right.append(found)
+                    todo += found.tolist()
+        room = np.where(sizes <= SMALL, sizes, 1).repeat(sizes)     # rows of a small cell
         place = np.arange(len(cell)) - starts.repeat(sizes)
         for step in range(1, SMALL):
             at = np.flatnonzero(place + step < room)
-            for some in np.array_split(at, len(at) // 4096 + 1):
-                if len(some):
-                    mark(some, some + step)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cell[needed]), pa.array(numbers(table, "node")[needed])], names=["cell", "node"])
+            if not len(at):
+                break
+            at = at[_close(prints[at], prints[at + step])]
+            left.append(at)
+            right.append(at + step)
+        if left:
+            low = _chosen(len(cell), np.concatenate(left), np.concatenate(right))
+            names, linked = _named(prints), np.flatnonzero(low != np.arange(len(cell)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[low[linked]]), pa.array(names[linked])], names=["a", "b"])
 
 
 def spanning(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -180,6 +242,24 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, width: int, listed: int) -> Da
     return texts.mapInArrow(_sets(width, sent), schema).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
+def _families(classes: DataFrame, tasks: int) -> DataFrame:
+    """``family, node`` of the texts that candidates connect with others; texts with equal
+    fingerprints are candidates throughout."""
+    met = classes.select("bits", "anchors").mapInArrow(_replicate, "anchor int, first long, second long")
+    cells = split_cells(met.withColumn("anchor", F.col("anchor").cast("long")), "anchor", F.xxhash64("first", "second"), MET, "met")
+    candidates = stored(
+        cells.select("cell", "first", "second").repartition(tasks, "cell").sortWithinPartitions("cell")
+        .mapInArrow(_meet, "a long, b long").distinct(), "candidates")
+    roots = components(candidates, "a", "b").withColumnRenamed("node", "print")
+    placed = stored(
+        classes.select("node", "print").join(roots, "print", "left").select(
+            "node", F.coalesce("root", "print").alias("family")), "families")
+    several = placed.groupBy("family").agg(F.count("*").alias("c")).filter("c > 1").select("family")
+    found = stored(placed.join(several, "family").select("family", "node"), "members")
+    forget(candidates, placed)
+    return found
+
+
 def similar_texts(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, cell: int = CELL,
     listed: int = LISTED,
@@ -193,25 +273,18 @@ def similar_texts(
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = stored(
         long_rows(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-        .mapInArrow(_signed(1, width), "doc_id long, text string, node long, n int, sign binary"), "signed")
+        .mapInArrow(_signed(1, width), "doc_id long, text string, node long, n int, print long, bits binary, anchors binary"),
+        "signed")
     classes = stored(signed.groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sign").alias("sign")), "classes")
-    buckets = stored(
-        classes.filter("n > 0").select("node", "sign").mapInArrow(_buckets, "bucket long, node long"), "buckets")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
-    met = stored(
-        buckets.join(shared, "bucket").join(classes.select("node", "n", "sign"), "node")
-        .select("bucket", "node", "n", "sign"), "met")
-    cells = split_cells(met, "bucket", F.xxhash64("node"), cell, "crowded")
-    needed = stored(
-        cells.select("cell", "bucket", "side", "node", "n", "sign").repartition(tasks, "cell")
-        .sortWithinPartitions("cell").mapInArrow(_meets, "cell long, node long"), "needed")
-    wanted = stored(needed.select("node").distinct(), "wanted")
+        F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n", "print", "bits", "anchors"))), "classes")
+    families = _families(classes.filter("n > 0"), tasks)
+    wanted = stored(families.select("node"), "wanted")
     sets = stored(_sets_of(signed.select("node", "text"), wanted, width, listed), "sets")
+    cells = split_cells(families, "family", F.xxhash64("node"), cell, "crowded")
     links = stored(
-        needed.join(sets, "node").select("cell", "node", "shingles").repartition(tasks, "cell")
+        cells.select("cell", "node").join(sets, "node").select("cell", "node", "shingles").repartition(tasks, "cell")
         .sortWithinPartitions("cell").mapInArrow(_confirm, "a long, b long").distinct(), "links")
-    forget(buckets, met, needed, wanted, sets)
+    forget(families, wanted, sets)
     roots = components(links, "a", "b")
     placed = stored(
         classes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "placed")
