@@ -7,6 +7,7 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -128,6 +129,29 @@ def test_article_elements_choose_only_with_most_of_the_text():
     assert pages.main_blocks(whole, {top}) == ["Headline", "The story itself, at some length"]
 
 
+def test_counts_of_a_part_are_plain_rows():
+    source = "<div class='a'><p>One two <b>two</b></p><p>One two two</p></div><div class='b'>two three</div>tail"
+    blocks, signs = pages.parse(source)
+    packed = pages._packed(blocks, signs)
+    styles, texts = pages._unpacked(packed)
+    assert [(t.decode(), p) for t, p in texts] == [(b.text, b.paths) for b in blocks]
+    assert [path for path, _ in styles] == list(signs)
+    got = pages._count(pa.table({"host": ["h"] * 3, "mark": [1, 2, 1], "page": [packed] * 3})).to_pylist()
+    assert [r["held"] for r in got if r["kind"] == pages.SITE] == [2]
+    words, held = Counter(), Counter()
+    for r in got:
+        if r["kind"] == pages.WORD:
+            words[r["key"], r["path"]] += r["n"]
+            held[r["key"]] += r["held"]
+    assert words == Counter({
+        k: 2 * n for k, n in Counter((pages._hashed(w), b.paths[-1] if b.paths else 0)
+                                     for b in blocks for w in b.text.lower().split()).items()})
+    assert set(held.values()) == {2}
+    assert {(r["key"], r["path"], r["n"]) for r in got if r["kind"] == pages.TEXT} == {
+        (pages._hashed(b.text), path, 2) for b in blocks for path in b.paths}
+    assert all(len(r) == 6 for r in got)
+
+
 def test_template_of_a_site_goes_by_importance(frame):
     def page(i, host):
         return (i, f"http://{host}/{i}", f"<div><div id='top'>Welcome to us</div><div id='b{i}'><p>Story {i} of {host} "

@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import marshal
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -25,6 +26,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -268,6 +270,34 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#:]*)", 1), F.lit("")))
 
 
+def _packed(blocks: list[Block], signs: dict[int, list[str]]) -> bytes:
+    """A page in little room: its texts, a line each, the paths and styles of its nodes, and as
+    positions among these the parent of each node with text below it and the node of each text."""
+    at = {path: i for i, path in enumerate(signs)}
+    parents = [-1] * len(at)
+    for paths in {b.paths for b in blocks}:
+        for above, path in zip(paths, paths[1:]):
+            parents[at[path]] = at[above]
+    texts = "\n".join(b.text for b in blocks).encode("utf-8", "surrogatepass")
+    return zstandard.compress(marshal.dumps((
+        texts, array("q", signs).tobytes(), array("q", [_hashed("\n".join(c)) for c in signs.values()]).tobytes(),
+        array("i", parents).tobytes(), array("i", [at[b.paths[-1]] if b.paths else -1 for b in blocks]).tobytes())))
+
+
+def _unpacked(page: bytes) -> tuple[list[tuple[int, int]], list[tuple[bytes, tuple[int, ...]]]]:
+    """``path, style`` of the nodes of a packed page, and its texts with the paths around them."""
+    texts, *numbers = marshal.loads(zstandard.decompress(page))
+    paths, styles, parents, ends = (array(kind, n) for kind, n in zip("qqii", numbers))
+    around: dict[int, tuple[int, ...]] = {-1: ()}
+    for end in set(ends) - {-1}:
+        chain, node = [], end
+        while node >= 0:
+            chain.append(paths[node])
+            node = parents[node]
+        around[end] = tuple(reversed(chain))
+    return list(zip(paths, styles)), [(text, around[end]) for text, end in zip(texts.split(b"\n"), ends)]
+
+
 def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``host, mark, page`` of the pages of a task that have text: what ``_count`` needs of a
     page, and a hash of its unmarked texts. Of pages of a host that share it, the first."""
@@ -281,9 +311,7 @@ def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 met.add((host, mark))
                 rows.append(i)
                 marks.append(mark)
-                found.append(marshal.dumps((
-                    [(path, _hashed("\n".join(children))) for path, children in signs.items()],
-                    [(b.text.encode("utf-8", "surrogatepass"), b.paths) for b in blocks])))
+                found.append(_packed(blocks, signs))
         yield pa.RecordBatch.from_arrays(
             [batch.column("host").take(pa.array(rows, pa.int64())), pa.array(marks, pa.int64()), pa.array(found, pa.binary())],
             names=["host", "mark", "page"])
@@ -293,9 +321,10 @@ STYLE, TEXT, WORD, SITE = range(4)     # kinds of what is counted
 
 
 def _count(pages: pa.Table) -> pa.Table:
-    """``host, kind, key, held, paths, counts`` over some pages of one host, those with the same
+    """``host, kind, key, held, path, n`` over some pages of one host, those with the same
     mark once: of every style, text and word, by its hash, on how many pages each node has it
-    (a word: how often) and, of words, how many pages hold it. ``SITE`` counts the pages."""
+    (a word: how often) and, once for a word, how many pages hold it. ``SITE`` counts the pages.
+    Rows with the same node and number stand together, which is most of what storing them costs."""
     met: set[int] = set()
     counts: tuple[Counter[tuple[int, int]], ...] = (Counter(), Counter())
     own: dict[int, Counter[str]] = {}
@@ -304,7 +333,7 @@ def _count(pages: pa.Table) -> pa.Table:
         if mark in met:
             continue
         met.add(mark)
-        signs, blocks = marshal.loads(page.as_py())
+        signs, blocks = _unpacked(page.as_py())
         counts[STYLE].update((key, path) for path, key in signs)
         words: dict[int, list[str]] = {}
         texts = set()
@@ -316,25 +345,25 @@ def _count(pages: pa.Table) -> pa.Table:
         for path, said in words.items():
             own.setdefault(path, Counter()).update(said)
         holders.update(set().union(*words.values()))
-    rows: list[tuple[int, int, int, list[int], list[int]]] = [(SITE, 0, len(met), [], [])]
+    parts = [np.array([[SITE], [0], [len(met)], [0], [0]], np.int64)]
     for kind, counted in enumerate(counts):
-        nodes: dict[int, tuple[list[int], list[int]]] = {}
-        for (key, path), n in counted.items():
-            paths, many = nodes.setdefault(key, ([], []))
-            paths.append(path)
-            many.append(n)
-        rows += [(kind, key, 0, *found) for key, found in nodes.items()]
-    said_at: dict[str, tuple[list[int], list[int]]] = {w: ([], []) for w in holders}
-    for path, counted in own.items():
-        for word, n in counted.items():
-            said_at[word][0].append(path)
-            said_at[word][1].append(n)
-    rows += [(WORD, _hashed(w), holders[w], *found) for w, found in said_at.items()]
-    host = pa.array([pages.column("host")[0].as_py()] * len(rows), pa.string())
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        key, path = np.array(list(counted), np.int64).reshape(-1, 2).T
+        n = np.fromiter(counted.values(), np.int64, len(counted))
+        parts.append(np.stack([np.full(len(n), kind), key, np.zeros(len(n), np.int64), path, n]))
+    at = {word: i for i, word in enumerate(holders)}
+    keys = np.array([_hashed(word) for word in holders], np.int64)
+    left = np.fromiter(holders.values(), np.int64, len(holders))      # pages not yet told of a word
+    for path, said in own.items():
+        ids = np.fromiter(map(at.__getitem__, said), np.int64, len(said))
+        n = np.fromiter(said.values(), np.int64, len(said))
+        parts.append(np.stack([np.full(len(n), WORD), keys[ids], left[ids], np.full(len(n), path), n]))
+        left[ids] = 0
+    kind, key, held, path, n = np.concatenate(parts, axis=1)
+    order = np.lexsort((held, n, path, kind))
+    host = pa.array([pages.column("host")[0].as_py()], pa.string()).take(pa.array(np.zeros(len(n), np.int64)))
     return pa.table(
-        [host, *(pa.array(c, kind) for c, kind in zip(zip(*rows), kinds))],
-        names=["host", "kind", "key", "held", "paths", "counts"])
+        [host, pa.array(kind[order].astype(np.int32)), *(pa.array(c[order]) for c in (key, held, path, n))],
+        names=["host", "kind", "key", "held", "path", "n"])
 
 
 def importance(pages: DataFrame, url_column: str, html_column: str) -> DataFrame:
@@ -363,14 +392,13 @@ def importance(pages: DataFrame, url_column: str, html_column: str) -> DataFrame
     dealt = parsed.join(large, "host", "left").select(
         "host", F.pmod(F.xxhash64("mark"), F.coalesce("parts", F.lit(1))).alias("part"), "mark", "page")
     counted = dealt.repartition(tasks, "host", "part").groupBy("host", "part").applyInArrow(
-        _count, "host string, kind int, key long, held long, paths array<long>, counts array<long>")
+        _count, "host string, kind int, key long, held long, path long, n long")
     gathered = stored(counted, "counted")
     site = gathered.filter(F.col("kind") == SITE).groupBy("host").agg(F.sum("held").alias("site"))
     everywhere = W.partitionBy("host", "kind", "key")
     nodes = gathered.filter(F.col("kind") != SITE).repartition(tasks, "host", "kind", "key").withColumn(
-        "held", F.sum("held").over(everywhere)).select(
-        "host", "kind", "key", "held", F.inline(F.arrays_zip("paths", "counts"))).groupBy(
-        "host", "kind", "key", F.col("paths").alias("path")).agg(F.sum("counts").alias("n"), F.first("held").alias("held"))
+        "held", F.sum("held").over(everywhere)).groupBy("host", "kind", "key", "path").agg(
+        F.sum("n").alias("n"), F.first("held").alias("held"))
     of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0.0)).cast("double")
     n, spread = F.col("n"), F.log("held")
     sums = nodes.groupBy("host", "path").agg(
