@@ -1,6 +1,7 @@
 """Chat formatting, page extraction and SentencePiece coding on small tables."""
 
 import math
+import os
 import random
 import re
 from array import array
@@ -8,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -152,6 +154,53 @@ def test_counts_of_a_part_are_plain_rows():
     assert all(len(r) == 6 for r in got)
 
 
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_counts_dealt_into_buckets_add_up(site_pages, buckets):
+    """Sums of two parts, packed and dealt, are those of their plain rows."""
+    parsed = [pages.parse(html) for _, _, html in site_pages]
+    counts = [pages._count(pa.table({
+        "host": ["h"] * 30, "mark": list(range(30)), "page": [pages._packed(*page) for page in part]}))
+        for part in (parsed[:30], parsed[30:])]
+    dealt = pa.concat_tables(pages._dealt(part, buckets) for part in counts)
+    got = Counter()
+    for bucket in set(dealt["bucket"].to_pylist()):
+        for r in pages._add_up(dealt.filter(pc.equal(dealt["bucket"], bucket))).to_pylist():
+            got.update({(r["path"], name): r[name] for name in pages.SUMS})
+    n, held = Counter(), Counter()
+    for r in pa.concat_tables(counts).to_pylist():
+        n[r["kind"], r["key"], r["path"]] += r["n"]
+        held[r["kind"], r["key"]] += r["held"]
+    want = Counter()
+    for (kind, key, path), times in n.items():
+        if kind == pages.SITE:
+            want[path, "site"] += held[kind, key]
+        elif kind == pages.WORD:
+            spread = math.log(held[kind, key])
+            want.update({(path, "words"): times, (path, "spread_sum"): times * spread, (path, "spread_squares"): times * spread ** 2})
+        else:
+            names = ("pages", "style_sum", "styles") if kind == pages.STYLE else ("texts", "text_sum", "")
+            want.update(dict(zip([(path, name) for name in names], (times, times * math.log(times), 1))))
+    assert want[0, "site"] == 60 and max(held.values()) > 1
+    for path, name in got:
+        assert got[path, name] == pytest.approx(want[path, name])
+    assert {path for path, name in want if name} == {path for path, _ in got}
+
+
+def test_pages_and_counts_shuffle_in_little_room(spark):
+    """All that the site trees write to disk, against the table's own size."""
+    table = "/root/testdata/sf0.1/pages.parquet"
+    jvm = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        jvm.listenerBus().waitUntilEmpty()
+        executors = jvm.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before = shuffled()
+    pages.importance(spark.read.parquet(table), "url", "html").count()
+    assert shuffled() - before < 1.5 * os.path.getsize(table)
+
+
 def test_template_of_a_site_goes_by_importance(frame):
     def page(i, host):
         return (i, f"http://{host}/{i}", f"<div><div id='top'>Welcome to us</div><div id='b{i}'><p>Story {i} of {host} "

@@ -28,16 +28,16 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripcast.durable import forget, stored
-from tripcast.llm.arrow import long_rows
+from tripcast.durable import stored
+from tripcast.llm.arrow import long_rows, numbers
 
 LOW = 0.4           # branches of less importance are removed
 USUAL = 0.85        # texts go whose words tell less than this share of what the site's words do
 MIN_PAGES = 10      # pages of a node before its importance is trusted
 PART_BYTES = 4 << 20      # html of a host that is counted at a time
+BUCKET_PARTS = 4          # parts whose counts would fill one bucket of styles, texts and words
 TASK_BYTES = 64 << 20     # html that one task counts in all
 GAMMA = 0.9         # weight of what lies below a node, as in the paper
 
@@ -323,8 +323,7 @@ STYLE, TEXT, WORD, SITE = range(4)     # kinds of what is counted
 def _count(pages: pa.Table) -> pa.Table:
     """``host, kind, key, held, path, n`` over some pages of one host, those with the same
     mark once: of every style, text and word, by its hash, on how many pages each node has it
-    (a word: how often) and, once for a word, how many pages hold it. ``SITE`` counts the pages.
-    Rows with the same node and number stand together, which is most of what storing them costs."""
+    (a word: how often) and, once for a word, how many pages hold it. ``SITE`` counts the pages."""
     met: set[int] = set()
     counts: tuple[Counter[tuple[int, int]], ...] = (Counter(), Counter())
     own: dict[int, Counter[str]] = {}
@@ -359,13 +358,75 @@ def _count(pages: pa.Table) -> pa.Table:
         parts.append(np.stack([np.full(len(n), WORD), keys[ids], left[ids], np.full(len(n), path), n]))
         left[ids] = 0
     kind, key, held, path, n = np.concatenate(parts, axis=1)
-    order = np.lexsort((held, n, path, kind))
     host = pa.array([pages.column("host")[0].as_py()], pa.string()).take(pa.array(np.zeros(len(n), np.int64)))
     return pa.table(
-        [host, pa.array(kind[order].astype(np.int32)), *(pa.array(c[order]) for c in (key, held, path, n))],
+        [host, pa.array(kind.astype(np.int32)), *(pa.array(c) for c in (key, held, path, n))],
         names=["host", "kind", "key", "held", "path", "n"])
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Integers, their lowest bytes first, then all second bytes and so on: equal bytes stand together."""
+    return np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _integers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
+
+
+def _dealt(counts: pa.Table, buckets: int) -> pa.Table:
+    """``host, bucket, counts``: the rows of ``_count`` dealt by key, those of a bucket in little room.
+    A key stands once, as its distance from the one before, with how many nodes and pages have it."""
+    kind, key, held, path, n = (numbers(counts, name) for name in ("kind", "key", "held", "path", "n"))
+    bucket = key % buckets
+    order = np.lexsort((path, key, kind, bucket))
+    bucket, kind, key, held, path, n = (c[order] for c in (bucket, kind, key, held, path, n))
+    ends = [*np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+    packed = []
+    for start, end in zip([0, *ends], ends):
+        rows = slice(start, end)
+        first = np.flatnonzero(np.r_[True, (key[rows][1:] != key[rows][:-1]) | (kind[rows][1:] != kind[rows][:-1])])
+        paths, at = np.unique(path[rows], return_inverse=True)
+        packed.append(zstandard.compress(marshal.dumps([_planes(c) for c in (
+            kind[rows][first], np.diff(key[rows][first], prepend=0), np.diff(first, append=end - start),
+            np.add.reduceat(held[rows], first), paths, at, n[rows])])))
+    return pa.table(
+        [counts.column("host").slice(0, len(ends)), pa.array(bucket[np.array(ends) - 1]), pa.array(packed, pa.binary())],
+        names=["host", "bucket", "counts"])
+
+
+def _count_part(pages: pa.Table) -> pa.Table:
+    return _dealt(_count(pages), -(-pages.column("parts")[0].as_py() // BUCKET_PARTS))
+
+
+SUMS = ["pages", "style_sum", "styles", "texts", "text_sum", "words", "spread_sum", "spread_squares", "site"]
+
+
+def _add_up(dealt: pa.Table) -> pa.Table:
+    """``host, path`` and ``SUMS`` over all keys of one bucket of a host: its counts are those
+    of the whole site once the parts are added up by style, text and word."""
+    found = [[_integers(c) for c in marshal.loads(zstandard.decompress(b.as_py()))] for b in dealt.column("counts")]
+    kind, key, times, held, path, n = (np.concatenate(c) for c in zip(*(
+        (kind, np.cumsum(steps), times, held, paths[at], n) for kind, steps, times, held, paths, at, n in found)))
+    order = np.lexsort((key, kind))
+    new = np.r_[True, (np.diff(key[order]) != 0) | (np.diff(kind[order]) != 0)]
+    ids = np.empty(len(order), np.int64)
+    ids[order] = np.cumsum(new) - 1
+    kind, held = kind[order][new], np.bincount(ids, held)
+    paths, at = np.unique(path, return_inverse=True)
+    pairs, place = np.unique(np.repeat(ids, times) * len(paths) + at, return_inverse=True)
+    ids, at = np.divmod(pairs, len(paths))
+    n, kind, held = np.bincount(place, n), kind[ids], held[ids]
+    n_log, spread = n * np.log(np.maximum(n, 1)), np.log(np.maximum(held, 1))
+
+    def of(chosen: int, value: np.ndarray) -> pa.Array:
+        return pa.array(np.bincount(at, np.where(kind == chosen, value, 0.0), len(paths)))
+
+    return pa.table(
+        [pa.array([dealt.column("host")[0].as_py()] * len(paths), pa.string()), pa.array(paths), of(STYLE, n), of(STYLE, n_log),
+         of(STYLE, np.ones(len(n))), of(TEXT, n), of(TEXT, n_log), of(WORD, n), of(WORD, n * spread),
+         of(WORD, n * spread * spread), of(SITE, held)], names=["host", "path", *SUMS])
+
+
 def importance(pages: DataFrame, url_column: str, html_column: str) -> DataFrame:
     """``host, path, pages, importance, words, word_importance, word_error, usual`` of every
     node of the site trees.
@@ -377,9 +438,10 @@ def importance(pages: DataFrame, url_column: str, html_column: str) -> DataFrame
     lower case. The word columns but ``usual`` are null where a node holds no text.
 
     All counts are those of the whole site. The pages of a host are dealt by their texts into
-    parts of about ``PART_BYTES``; a task counts in a part, and the counts of the parts are
-    added up by style, text or word before any entropy is taken. So a host with a third of the
-    pages is no hot group, and where the parts lie changes nothing.
+    parts of about ``PART_BYTES``; a task counts in a part, and the counts of the parts are dealt
+    into buckets by style, text or word and added up there before any entropy is taken. So a host with a third
+    of the pages is no hot group, and where the parts lie changes nothing. Pages and counts travel
+    packed, and only these two are on disk.
     """
     sized = pages.select(host_of(F.col(url_column)).alias("host"), F.col(html_column).alias("html"))
     sizes = stored(sized.groupBy("host").agg(F.sum(F.octet_length("html")).alias("size")), "sizes")
@@ -389,27 +451,19 @@ def importance(pages: DataFrame, url_column: str, html_column: str) -> DataFrame
         "host", F.ceil(F.col("size") / F.lit(PART_BYTES)).cast("long").alias("parts"))
     parsed = sized.filter(F.octet_length("html") > 0).select("host", F.xxhash64("host").alias("host_hash"), "html").mapInArrow(
         _parsed, "host string, mark long, page binary")
+    parts = F.coalesce("parts", F.lit(1))
     dealt = parsed.join(large, "host", "left").select(
-        "host", F.pmod(F.xxhash64("mark"), F.coalesce("parts", F.lit(1))).alias("part"), "mark", "page")
+        "host", F.pmod(F.xxhash64("mark"), parts).alias("part"), parts.alias("parts"), "mark", "page")
     counted = dealt.repartition(tasks, "host", "part").groupBy("host", "part").applyInArrow(
-        _count, "host string, kind int, key long, held long, path long, n long")
-    gathered = stored(counted, "counted")
-    site = gathered.filter(F.col("kind") == SITE).groupBy("host").agg(F.sum("held").alias("site"))
-    everywhere = W.partitionBy("host", "kind", "key")
-    nodes = gathered.filter(F.col("kind") != SITE).repartition(tasks, "host", "kind", "key").withColumn(
-        "held", F.sum("held").over(everywhere)).groupBy("host", "kind", "key", "path").agg(
-        F.sum("n").alias("n"), F.first("held").alias("held"))
-    of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0.0)).cast("double")
-    n, spread = F.col("n"), F.log("held")
-    sums = nodes.groupBy("host", "path").agg(
-        of(STYLE, n).alias("pages"), of(STYLE, n * F.log("n")).alias("style_sum"), of(STYLE, F.lit(1)).alias("styles"),
-        of(TEXT, n).alias("texts"), of(TEXT, n * F.log("n")).alias("text_sum"), of(WORD, n).alias("words"),
-        of(WORD, n * spread).alias("spread_sum"), of(WORD, n * spread * spread).alias("spread_squares"))
-    seen, whole = F.log(F.greatest("pages", F.lit(2.0))), F.log(F.greatest("site", F.lit(2)))
-    sums = stored(sums.join(site, "host").withColumns({
+        _count_part, "host string, bucket long, counts binary")
+    added = counted.repartition(tasks, "host", "bucket").groupBy("host", "bucket").applyInArrow(
+        _add_up, f"host string, path long, {', '.join(f'{name} double' for name in SUMS)}")
+    sums = stored(added.groupBy("host", "path").agg(*(F.sum(name).alias(name) for name in SUMS)), "nodes")
+    site = sums.groupBy("host").agg(F.sum("site").alias("site"))
+    seen, whole = F.log(F.greatest("pages", F.lit(2.0))), F.log(F.greatest("site", F.lit(2.0)))
+    sums = sums.drop("site").join(site, "host").withColumns({
         "style_sum": F.col("style_sum") / seen, "text_sum": F.col("text_sum") / seen,
-        "spread_sum": F.col("spread_sum") / whole, "spread_squares": F.col("spread_squares") / (whole * whole)}), "nodes")
-    forget(gathered)
+        "spread_sum": F.col("spread_sum") / whole, "spread_squares": F.col("spread_squares") / (whole * whole)})
     held, words, spreads = F.col("words") > 0, F.col("words"), F.col("spread_sum")
     sites = sums.filter(held).groupBy("host").agg(
         F.sum(words - spreads).alias("told"), F.sum((words - spreads) * (words - spreads) / words).alias("told_squares"))
